@@ -77,5 +77,5 @@ def filter_domains(df: DataFrame) -> DataFrame:
 
     Distinct runs as a partial aggregate per task, so only distinct labels move.
     """
-    dims = df.select(F.stack(2, F.lit("Sector"), F.col("Sector"), F.lit("Geography"), F.col("Geography")).alias("dimension", "value"))
+    dims = df.select(F.stack(F.lit(2), F.lit("Sector"), F.col("Sector"), F.lit("Geography"), F.col("Geography")).alias("dimension", "value"))
     return dims.distinct().orderBy("dimension", "value")

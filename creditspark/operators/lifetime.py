@@ -41,33 +41,33 @@ def amortisation_schedule(df: DataFrame, discount_rate: float, stressed: bool =
     d = monthly_discount(discount_rate)
     r = monthly_rate(R)
     rows = df.where(usable).select(
-        *keys, "LoanID", P.alias("_P"), r.alias("_r"), n.alias("_n"), A.alias("_A"),
-        monthly_hazard(pd_col).alias("_p"), clip(lgd_col, 0.0, 1.0).alias("_lgd"),
+        *keys, "LoanID", P.alias("_prin"), r.alias("_r"), n.alias("_n"), A.alias("_A"),
+        monthly_hazard(pd_col).alias("_haz"), clip(lgd_col, 0.0, 1.0).alias("_lgd"),
         F.explode(F.sequence(F.lit(1), n)).alias("month"),
     )
     j = (F.col("month") - 1).cast("double")
     zero = F.abs(F.col("_r")) < ZERO_RATE_EPS
     g = F.pow(F.lit(1.0) + F.col("_r"), j)
-    open_bal = F.when(zero, F.col("_P") - (F.col("_P") / F.col("_n")) * j).otherwise(
-        F.col("_P") * g - F.col("_A") * (g - F.lit(1.0)) / F.col("_r")
+    open_bal = F.when(zero, F.col("_prin") - (F.col("_prin") / F.col("_n")) * j).otherwise(
+        F.col("_prin") * g - F.col("_A") * (g - F.lit(1.0)) / F.col("_r")
     )
     sched = rows.select(
-        *keys, "LoanID", "month", "_P", "_r", "_A", "_p", "_lgd",
+        *keys, "LoanID", "month", "_prin", "_r", "_A", "_haz", "_lgd",
         # The first month starts from the principal itself; later ones from the
         # balance floored at zero.
-        F.when(F.col("month") == 1, F.col("_P")).otherwise(F.greatest(open_bal, F.lit(0.0))).alias("opening_balance"),
+        F.when(F.col("month") == 1, F.col("_prin")).otherwise(F.greatest(open_bal, F.lit(0.0))).alias("opening_balance"),
         # Month 1 always runs; later months only while the balance is positive.
         ((F.col("month") == 1) | (open_bal > BALANCE_STOP)).alias("_live"),
     ).where("_live")
     interest = F.when(zero, F.lit(0.0)).otherwise(F.col("opening_balance") * F.col("_r"))
-    survival = F.pow(F.lit(1.0) - F.col("_p"), (F.col("month") - 1).cast("double"))
-    loss = survival * F.col("_p") * F.col("_lgd") * F.col("opening_balance")
+    survival = F.pow(F.lit(1.0) - F.col("_haz"), (F.col("month") - 1).cast("double"))
+    loss = survival * F.col("_haz") * F.col("_lgd") * F.col("opening_balance")
     return sched.select(
         *keys, "LoanID", "month", "opening_balance",
         interest.alias("interest"),
         (F.col("_A") - interest).alias("principal"),
         survival.alias("survival"),
-        (survival * F.col("_p")).alias("default_mass"),
+        (survival * F.col("_haz")).alias("default_mass"),
         loss.alias("loss"),
         (loss / F.pow(F.lit(1.0 + d), F.col("month").cast("double"))).alias("loss_pv"),
     )
