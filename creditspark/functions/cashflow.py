@@ -1,7 +1,9 @@
 """Amortisation cash flows as closed-form Column expressions.
 
 All loops of the row-wise formulation collapse to powers of ``1 + r``, so the
-whole cash-flow stack stays inside whole-stage codegen.
+whole cash-flow stack stays inside whole-stage codegen. The functions accept
+the monthly rate and growth factors as precomputed columns, so a projection
+layer can evaluate each ``pow`` once and reuse it by name.
 """
 
 from __future__ import annotations
@@ -12,66 +14,92 @@ from pyspark.sql import functions as F
 from .core import col, lit
 
 ZERO_RATE_EPS = 1e-12
+_NULL = "double"
 
 
 def monthly_rate(annual_rate) -> Column:
     return col(annual_rate) / F.lit(12.0)
 
 
-def payment(P, R, n) -> Column:
+def growth(r, periods) -> Column:
+    """``(1 + r)^periods`` with the periods as a double."""
+    p = F.lit(float(periods)) if isinstance(periods, (int, float)) else col(periods).cast("double")
+    return F.pow(F.lit(1.0) + col(r), p)
+
+
+def payment(P, R, n, r=None, g_n=None) -> Column:
     """Level monthly payment of an annuity; NULL on missing inputs or n <= 0.
 
     ``P*(1+r)^n / (((1+r)^n - 1)/r)``, i.e. ``pmt(r, n, -P)``; ``P/n`` when
     the monthly rate is (numerically) zero.
     """
     P, R, n = col(P), col(R), col(n)
-    r = monthly_rate(R)
-    growth = F.pow(F.lit(1.0) + r, n)
-    annuity = (P * growth) / ((growth - F.lit(1.0)) / r)
+    r = monthly_rate(R) if r is None else col(r)
+    g = growth(r, n) if g_n is None else col(g_n)
+    annuity = (P * g) / ((g - F.lit(1.0)) / r)
     return (
-        F.when(P.isNull() | R.isNull() | n.isNull() | (n <= 0), F.lit(None).cast("double"))
+        F.when(P.isNull() | R.isNull() | n.isNull() | (n <= 0), F.lit(None).cast(_NULL))
         .when(F.abs(r) < ZERO_RATE_EPS, P / n)
         .otherwise(annuity)
     )
 
 
-def balance_at(P, R, n, k: int, A=None) -> Column:
-    """Outstanding balance after ``k`` payments (C2); ``A`` may pass a named payment."""
-    P, R, n = col(P), col(R), col(n)
-    r = monthly_rate(R)
-    A = payment(P, R, n) if A is None else col(A)
+def balance_at(P, R, n, k: int, A, r=None, g_k=None) -> Column:
+    """Outstanding balance after ``k`` payments (C2), given the payment ``A``."""
+    P, R, n, A = col(P), col(R), col(n), col(A)
+    r = monthly_rate(R) if r is None else col(r)
+    g = growth(r, k) if g_k is None else col(g_k)
     kk = F.lit(float(k))
-    g = F.pow(F.lit(1.0) + r, kk)
     amortised = P * g - A * (g - F.lit(1.0)) / r
     straight = F.greatest(P - (P / n) * kk, F.lit(0.0))
-    out = F.when(P.isNull() | R.isNull() | n.isNull(), F.lit(None).cast("double"))
+    out = F.when(P.isNull() | R.isNull() | n.isNull(), F.lit(None).cast(_NULL))
     if k <= 0:
         return out.otherwise(P)
     return out.when(n <= k, F.lit(0.0)).when(F.abs(r) < ZERO_RATE_EPS, straight).otherwise(amortised)
 
 
-def first_year_interest(P, R, n, A=None) -> Column:
-    """Interest paid over the first ``min(12, n)`` months.
+def first_year_interest(P, R, n, A, r=None, g_m=None) -> Column:
+    """Interest paid over the first ``m = min(12, n)`` months.
 
     Sum of interest = payments made minus principal repaid:
-    ``A*m - (P - B_m)`` with the unclamped balance ``B_m``. A negative
-    principal has no meaningful schedule and gives NULL; zero principal 0.
+    ``A*m - (P - B_m)`` with the unclamped balance ``B_m``; ``g_m`` is
+    ``(1+r)^m``. A negative principal has no meaningful schedule and gives
+    NULL; zero principal 0.
     """
-    P, R, n = col(P), col(R), col(n)
-    r = monthly_rate(R)
-    A = payment(P, R, n) if A is None else col(A)
+    P, R, n, A = col(P), col(R), col(n), col(A)
+    r = monthly_rate(R) if r is None else col(r)
     m = F.least(n, F.lit(12)).cast("double")
-    g = F.pow(F.lit(1.0) + r, m)
+    g = growth(r, m) if g_m is None else col(g_m)
     b_m = P * g - A * (g - F.lit(1.0)) / r
     return (
-        F.when(P.isNull() | R.isNull() | n.isNull() | (n <= 0), F.lit(None).cast("double"))
+        F.when(P.isNull() | R.isNull() | n.isNull() | (n <= 0), F.lit(None).cast(_NULL))
         .when(F.abs(r) < ZERO_RATE_EPS, F.lit(0.0))
-        .when(P < 0, F.lit(None).cast("double"))
+        .when(P < 0, F.lit(None).cast(_NULL))
         .when(P == 0, F.lit(0.0))
         .otherwise(A * m - (P - b_m))
     )
 
 
+def cashflow_layers(rate_col: str, sfx: str = "") -> list[list[tuple[str, Column]]]:
+    """Projection layers producing MonthlyPayment, AnnualDebtService,
+    Balance_12m and Interest_Y1 (with ``sfx``) from LoanAmount, TermMonths and
+    ``rate_col``; helper columns start with an underscore."""
+    P, n, R = F.col("LoanAmount"), F.col("TermMonths"), F.col(rate_col)
+    r, g_n, g12 = f"_r{sfx}", f"_gn{sfx}", f"_g12{sfx}"
+    A = "MonthlyPayment" + sfx
+    g_m = F.when(n >= 12, F.col(g12)).otherwise(F.col(g_n))
+    return [
+        [(r, monthly_rate(R))],
+        [(g_n, growth(F.col(r), n)), (g12, growth(F.col(r), 12))],
+        [(A, payment(P, R, n, r=r, g_n=g_n))],
+        [
+            ("AnnualDebtService" + sfx, F.col(A) * F.lit(12.0)),
+            ("Balance_12m" + sfx, balance_at(P, R, n, 12, A, r=r, g_k=g12)),
+            ("Interest_Y1" + sfx, first_year_interest(P, R, n, A, r=r, g_m=g_m)),
+        ],
+    ]
+
+
 def stressed_rate(R, rate_bps) -> Column:
     """Rate shock: ``max(R + bps/1e4, 0)``, NULL kept."""
     R = col(R)

@@ -53,9 +53,16 @@ def np_round(c, digits: int) -> Column:
     return F.rint(c * F.lit(scale)) / F.lit(scale)
 
 
+# Characters Python's ``str.strip()`` removes (``str.isspace``).
+PY_WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: removes leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: trims that character set from both ends (no regex)."""
+    return F.trim(col(c), F.lit(PY_WHITESPACE))
 
 
 def collapse_ws(c) -> Column:
@@ -67,17 +74,17 @@ def key_of(c) -> Column:
     return F.lower(strip_ws(F.coalesce(col(c), F.lit(""))))
 
 
-# A plain decimal or scientific number, or inf / infinity / nan, with optional
-# sign and surrounding blanks: the strings ``pandas.to_numeric`` accepts.
-# Java-style suffixes ("1d", "1f") that Spark's cast would take are rejected.
-_NUMBER_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+# A plain decimal or scientific number, or inf / infinity, with optional sign and
+# surrounding blanks: the strings ``pandas.to_numeric`` turns into a number.
+# Java-style suffixes ("1d", "1f") that Spark's cast would take are rejected, and
+# "nan" is left out because it is missing data (NaN becomes NULL here).
+_NUMBER_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
 
 def to_number(c) -> Column:
-    """``pd.to_numeric(errors='coerce')`` on a string column, NaN mapped to NULL."""
+    """``pd.to_numeric(errors='coerce')`` on a string column; NaN never results."""
     c = col(c)
-    parsed = F.when(c.rlike(_NUMBER_RE), F.trim(c).try_cast("double"))
-    return nan_to_null(parsed)
+    return F.when(c.rlike(_NUMBER_RE), F.trim(c).try_cast("double"))
 
 
 def lookup(c, table: dict, default) -> Column:
@@ -86,3 +93,16 @@ def lookup(c, table: dict, default) -> Column:
     for k, v in table.items():
         pairs += [F.lit(k), F.lit(v)]
     return F.coalesce(F.create_map(*pairs)[col(c)], F.lit(default))
+
+
+def apply_layers(df, layers) -> "DataFrame":  # noqa: F821
+    """Add each layer of ``(name, Column)`` pairs as one projection on top of
+    the previous, so later layers refer to earlier values by name."""
+    for layer in layers:
+        df = df.select("*", *[c.alias(name) for name, c in layer])
+    return df
+
+
+def drop_helpers(df):
+    """Drop underscore-prefixed helper columns."""
+    return df.drop(*[c for c in df.columns if c.startswith("_")])

@@ -25,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .cashflow import ZERO_RATE_EPS, monthly_rate, payment
-from .core import clip, col
+from .cashflow import ZERO_RATE_EPS, monthly_rate
+from .core import clip, col, safe_div
 
 # --- Fixed values that must equal the reference's for identical results -----
 HAZARD_PD_FLOOR, HAZARD_PD_CAP = 1e-9, 0.99
@@ -62,7 +62,8 @@ def _weighted_geometric_sum(u: Column, n: Column) -> Column:
 
 
 def _weighted_geometric_sum_exact(u: Column, n: Column) -> Column:
-    """sum_{j<n} j u^j term by term (slow path for u within 1e-4 of 1)."""
+    """sum_{j<n} j u^j term by term (slow path, only for u within 1e-4 of 1,
+    i.e. near-zero hazard and discount, which the scorecard's PD floor excludes)."""
     return F.aggregate(
         F.sequence(F.lit(0), n - 1),
         F.lit(0.0),
@@ -70,34 +71,36 @@ def _weighted_geometric_sum_exact(u: Column, n: Column) -> Column:
     )
 
 
-def lifetime_el(P, R, n, pd12, lgd, discount_rate_annual: float, A=None) -> Column:
-    """Present value of lifetime expected loss per loan (L3); NULL when any of
-    principal, rate, term (> 0), PD or LGD is missing."""
-    P, R, n, pd12, lgd = col(P), col(R), col(n), col(pd12), col(lgd)
-    r = monthly_rate(R)
-    A = payment(P, R, n) if A is None else col(A)
+def lifetime_el_layers(P, R, n, pd12, lgd, discount_rate_annual: float, A, out: str, tag: str):
+    """Projection layers computing the present value of lifetime expected loss
+    (L3) into column ``out``; NULL when any of principal, rate, term (> 0), PD or
+    LGD is missing. Helper columns are named ``_<tag>_*``."""
+    P, R, n, pd12, lgd, A = col(P), col(R), col(n), col(pd12), col(lgd), col(A)
+    h = lambda name: f"_{tag}_{name}"
+    c = lambda name: F.col(h(name))
     d = monthly_discount(discount_rate_annual)
     one_d = F.lit(1.0 + d)
-    p = monthly_hazard(pd12)
-    loss_rate = p * clip(lgd, 0.0, 1.0) / one_d
-
-    x_u = (-p - F.lit(d)) / one_d
-    x_v = (r - p - p * r - F.lit(d)) / one_d
-    u = F.lit(1.0) + x_u
-    g_u = _geometric_sum(x_u, n)
-    g_v = _geometric_sum(x_v, n)
-    a_over_r = A / r
-    annuity_form = loss_rate * ((P - a_over_r) * g_v + a_over_r * g_u)
-    weighted = F.when(F.abs(x_u) < 1e-4, _weighted_geometric_sum_exact(u, n)).otherwise(
-        _weighted_geometric_sum(u, n)
-    )
-    straight_form = loss_rate * (P * g_u - (P / n) * weighted)
-
+    r = monthly_rate(R)
     missing = P.isNull() | R.isNull() | n.isNull() | (n <= 0) | pd12.isNull() | lgd.isNull()
-    return (
-        F.when(missing, F.lit(None).cast("double"))
-        .when(p == 0, F.lit(0.0))
-        .when(P <= 0, loss_rate * P)
-        .when(F.abs(r) < ZERO_RATE_EPS, straight_form)
-        .otherwise(annuity_form)
-    )
+    return [
+        [(h("p"), monthly_hazard(pd12)), (h("r"), r)],
+        [
+            (h("lr"), c("p") * clip(lgd, 0.0, 1.0) / one_d),
+            (h("xu"), (-c("p") - F.lit(d)) / one_d),
+            (h("xv"), (c("r") - c("p") - c("p") * c("r") - F.lit(d)) / one_d),
+            (h("aor"), safe_div(A, c("r"))),
+        ],
+        [
+            (h("gu"), _geometric_sum(c("xu"), n)),
+            (h("gv"), _geometric_sum(c("xv"), n)),
+            (h("u"), F.lit(1.0) + c("xu")),
+        ],
+        [(out,
+          F.when(missing, F.lit(None).cast("double"))
+          .when(c("p") == 0, F.lit(0.0))
+          .when(P <= 0, c("lr") * P)
+          .when(F.abs(c("r")) < ZERO_RATE_EPS,
+                c("lr") * (P * c("gu") - (P / n) * F.when(F.abs(c("xu")) < 1e-4, _weighted_geometric_sum_exact(c("u"), n))
+                           .otherwise(_weighted_geometric_sum(c("u"), n))))
+          .otherwise(c("lr") * ((P - c("aor")) * c("gv") + c("aor") * c("gu"))))],
+    ]

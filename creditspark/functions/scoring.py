@@ -60,17 +60,26 @@ def sector_factor(sector) -> Column:
     return lookup(key_of(sector), SECTOR_FACTORS, SECTOR_DEFAULT)
 
 
-def pd_raw(credit_score, dti, ltv, sector) -> Column:
-    """Scorecard product before clipping: base x DTI factor x LTV factor x sector."""
-    base = _ge_bands(col(credit_score), SCORE_BANDS, SCORE_FLOOR_PD, SCORE_MISSING_PD)
+def score_base_pd(credit_score) -> Column:
+    return _ge_bands(col(credit_score), SCORE_BANDS, SCORE_FLOOR_PD, SCORE_MISSING_PD)
+
+
+def pd_raw(credit_score, dti, ltv, sector=None, sector_f=None, base_pd=None) -> Column:
+    """Scorecard product before clipping: base x DTI factor x LTV factor x sector.
+
+    ``sector_f`` / ``base_pd`` may pass precomputed columns (they do not change
+    under stress, so a scenario run computes them once per loan)."""
+    base = score_base_pd(credit_score) if base_pd is None else col(base_pd)
     dti_f = _le_bands(col(dti), DTI_BANDS, DTI_ABOVE, DTI_MISSING)
     ltv_f = _le_bands(col(ltv), LTV_BANDS, LTV_ABOVE, LTV_MISSING)
-    return base * dti_f * ltv_f * sector_factor(sector)
+    sf = sector_factor(sector) if sector_f is None else col(sector_f)
+    return base * dti_f * ltv_f * sf
 
 
-def pd_scorecard(credit_score, dti, ltv, sector) -> Column:
+def pd_scorecard(credit_score, dti, ltv, sector=None, sector_f=None, base_pd=None) -> Column:
     """12-month PD in [0.002, 0.35]."""
-    return F.least(F.greatest(pd_raw(credit_score, dti, ltv, sector), F.lit(PD_FLOOR)), F.lit(PD_CAP))
+    raw = pd_raw(credit_score, dti, ltv, sector, sector_f, base_pd)
+    return F.least(F.greatest(raw, F.lit(PD_FLOOR)), F.lit(PD_CAP))
 
 
 def stressed_pd(pd_pre_unemp, unemp_mult) -> Column:
@@ -82,11 +91,12 @@ def haircut(coll_type) -> Column:
     return lookup(key_of(coll_type), HAIRCUTS, HAIRCUT_DEFAULT)
 
 
-def lgd(loan_amount, collateral_base, coll_type) -> Column:
+def lgd(loan_amount, collateral_base, coll_type=None, haircut_col=None) -> Column:
     """Collateral LGD (R2): 0.60 without usable amount or collateral, else
     ``1 - min(C(1-h)/P, 1) * 0.9`` clipped to [0.05, 0.95]."""
     P, C = col(loan_amount), col(collateral_base)
-    effective = F.greatest(C, F.lit(0.0)) * (F.lit(1.0) - haircut(coll_type))
+    h = haircut(coll_type) if haircut_col is None else col(haircut_col)
+    effective = F.greatest(C, F.lit(0.0)) * (F.lit(1.0) - h)
     recovery = F.least(effective / P, F.lit(1.0)) * (F.lit(1.0) - F.lit(RECOVERY_COST))
     bounded = F.least(F.greatest(F.lit(1.0) - recovery, F.lit(LGD_FLOOR)), F.lit(LGD_CAP))
     no_cover = P.isNull() | (P <= 0) | C.isNull() | (C <= 0)
@@ -112,7 +122,12 @@ def tier_key(pd_col) -> Column:
 
 def tier_from_cuts(pd_col, q_low, q_high) -> Column:
     """Low / Medium / High against the cutpoints; missing PD is Medium."""
-    x = tier_key(pd_col)
+    return tier_from_key(tier_key(pd_col), q_low, q_high)
+
+
+def tier_from_key(x, q_low, q_high) -> Column:
+    """As ``tier_from_cuts`` on an already computed ``tier_key`` column."""
+    x = col(x)
     return (
         F.when(x <= lit(q_low), F.lit("Low"))
         .when(x <= lit(q_high), F.lit("Medium"))

@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import clip, collapse_ws, nan_to_null, strip_ws, to_number
-from ..schema import NUMERIC_COLUMNS, UNKNOWN, UNKNOWN_LABELS, check_required
+from ..schema import UNKNOWN, UNKNOWN_LABELS, check_required
 
 OPTIONAL_NUMERIC = ("CreditScore", "MonthlyIncome", "NOI", "EBITDA", "CollateralValue", "CurrentMarketValue")
 
 
 def normalise_dim(c: Column) -> Column:
-    """Strip, collapse inner whitespace, map empty / nan / none / null (any case) to Unknown."""
+    """Strip, collapse inner whitespace, map empty / nan / none / null (any case) to Unknown.
+
+    NULL and the unknown labels are recognised on the raw value (a blank one
+    collapses to empty), so the regex runs once per row.
+    """
     s = collapse_ws(strip_ws(c.cast("string")))
-    return F.when(s.isNull() | F.lower(s).isin(*UNKNOWN_LABELS), F.lit(UNKNOWN)).otherwise(s)
+    unknown = c.isNull() | F.lower(strip_ws(c.cast("string"))).isin(*UNKNOWN_LABELS)
+    return F.when(unknown, F.lit(UNKNOWN)).otherwise(s)
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -44,18 +49,6 @@ def decimal_rate(r: Column) -> Column:
     return F.when(r > 1.0, r / F.lit(100.0)).otherwise(r)
 
 
-def collateral_base(cmv: Column, cv: Column) -> Column:
-    """Market value if positive, else collateral value if positive, floored at 1e-9."""
-    chosen = F.coalesce(F.when(cmv > 0, cmv), F.when(cv > 0, cv))
-    return clip(chosen, 1e-9)
-
-
-def term_months(t: Column) -> Column:
-    """Positive whole months, truncated toward zero; else NULL (P5)."""
-    whole = t.try_cast("int")
-    return F.when(whole > 0, whole)
-
-
 def with_generated_ids(df: DataFrame) -> DataFrame:
     """Dense ``L-001``-style ids by position (P6), without an RDD and without
     pulling rows to the driver.
@@ -80,33 +73,44 @@ def with_generated_ids(df: DataFrame) -> DataFrame:
 
 
 def clean(raw: DataFrame, lenient_rates: bool = False) -> DataFrame:
-    """Cleaned portfolio with canonical column names and types."""
+    """Cleaned portfolio with canonical column names and types.
+
+    Two projection layers: the first coerces every raw column once, the second
+    derives from those named values, so no coercion expression is repeated.
+    """
     check_required(raw.columns)
     cols = set(raw.columns)
     if "LoanID" not in cols:
         raw = with_generated_ids(raw)
         cols.add("LoanID")
 
-    out = [
+    null_d = F.lit(None).cast("double")
+    strict_rate = as_number(raw, "InterestRate")
+    rate = F.coalesce(strict_rate, lenient_rate_text(F.col("InterestRate"))) if lenient_rates else strict_rate
+    coerced = raw.select(
         F.coalesce(F.col("LoanID").cast("string"), F.lit("nan")).alias("LoanID"),
         (F.col("Borrower").cast("string") if "Borrower" in cols else F.lit(None).cast("string")).alias("Borrower"),
         (normalise_dim(F.col("Sector")) if "Sector" in cols else F.lit(UNKNOWN)).alias("Sector"),
         (normalise_dim(F.col("Geography")) if "Geography" in cols else F.lit(UNKNOWN)).alias("Geography"),
         as_number(raw, "LoanAmount").alias("LoanAmount"),
-    ]
-    strict_rate = as_number(raw, "InterestRate")
-    rate = F.coalesce(strict_rate, lenient_rate_text(F.col("InterestRate"))) if lenient_rates else strict_rate
-    out.append(nan_to_null(decimal_rate(rate)).alias("InterestRate_clean"))
-    out.append(term_months(as_number(raw, "TermMonths")).alias("TermMonths"))
-    for name in OPTIONAL_NUMERIC:
-        if name in cols:
-            out.append(as_number(raw, name).alias(name))
-    out.append((F.col("CollateralType").cast("string") if "CollateralType" in cols else F.lit(None).cast("string")).alias("CollateralType"))
-    cmv = as_number(raw, "CurrentMarketValue") if "CurrentMarketValue" in cols else F.lit(None).cast("double")
-    cv = as_number(raw, "CollateralValue") if "CollateralValue" in cols else F.lit(None).cast("double")
-    out.append(collateral_base(cmv, cv).alias("CollateralBase"))
-    assert set(NUMERIC_COLUMNS) >= set(OPTIONAL_NUMERIC)
-    return raw.select(*out)
+        rate.alias("_rate"),
+        as_number(raw, "TermMonths").try_cast("int").alias("_term"),
+        *[as_number(raw, n).alias(n) for n in OPTIONAL_NUMERIC if n in cols],
+        (F.col("CollateralType").cast("string") if "CollateralType" in cols else F.lit(None).cast("string")).alias("CollateralType"),
+        (as_number(raw, "CurrentMarketValue") if "CurrentMarketValue" in cols else null_d).alias("_cmv"),
+        (as_number(raw, "CollateralValue") if "CollateralValue" in cols else null_d).alias("_cv"),
+    )
+    chosen = coerced.select(
+        "*",
+        decimal_rate(F.col("_rate")).alias("InterestRate_clean"),
+        F.when(F.col("_term") > 0, F.col("_term")).alias("TermMonths"),
+        F.coalesce(F.when(F.col("_cmv") > 0, F.col("_cmv")), F.when(F.col("_cv") > 0, F.col("_cv"))).alias("_coll"),
+    )
+    present_optional = [n for n in OPTIONAL_NUMERIC if n in cols]
+    return chosen.select(
+        "LoanID", "Borrower", "Sector", "Geography", "LoanAmount", "InterestRate_clean", "TermMonths",
+        *present_optional, "CollateralType", clip(F.col("_coll"), 1e-9).alias("CollateralBase"),
+    )
 
 
 def optional(df: DataFrame, name: str) -> Column:

@@ -1,7 +1,9 @@
 """Base cash flows, ratios and risk (C1-C8, R1-R4) as named projection layers.
 
-Each layer names what the next one reuses (payment before balance and
-interest), so common subexpressions are computed once per row.
+Each layer names what the next one reuses (rate, growth factors, payment), so
+every ``pow`` and lookup is evaluated once per row and the generated code stays
+small. Helper columns start with an underscore; ``_base_pd``, ``_sector_f``
+and ``_haircut`` are kept because the stress operator reuses them.
 """
 
 from __future__ import annotations
@@ -9,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cashflow import balance_at, first_year_interest, payment
-from ..functions.core import safe_div
-from ..functions.scoring import ead_12m, lgd, pd_scorecard
+from ..functions.cashflow import cashflow_layers
+from ..functions.core import apply_layers, key_of, lookup, safe_div
+from ..functions.scoring import (
+    HAIRCUT_DEFAULT, HAIRCUTS, SECTOR_DEFAULT, SECTOR_FACTORS, ead_12m, lgd, pd_scorecard, score_base_pd,
+)
 from .clean import optional
 
+KEEP_FOR_STRESS = ("_base_pd", "_sector_f", "_haircut")
+
 
 def dscr_expr(df: DataFrame, ads: Column, row_fallback: bool = False) -> Column:
     """DSCR source is chosen per *table*: NOI if the column exists (even when
@@ -28,15 +34,7 @@ def dscr_expr(df: DataFrame, ads: Column, row_fallback: bool = False) -> Column:
 
 def with_cashflows(df: DataFrame) -> DataFrame:
     """MonthlyPayment, AnnualDebtService, Balance_12m, Interest_Y1."""
-    P, R, n = F.col("LoanAmount"), F.col("InterestRate_clean"), F.col("TermMonths")
-    df = df.withColumn("MonthlyPayment", payment(P, R, n))
-    A = F.col("MonthlyPayment")
-    return df.select(
-        "*",
-        (A * F.lit(12.0)).alias("AnnualDebtService"),
-        balance_at(P, R, n, 12, A=A).alias("Balance_12m"),
-        first_year_interest(P, R, n, A=A).alias("Interest_Y1"),
-    )
+    return apply_layers(df, cashflow_layers("InterestRate_clean"))
 
 
 def with_ratios(df: DataFrame, dscr_row_fallback: bool = False) -> DataFrame:
@@ -54,12 +52,20 @@ def with_risk(df: DataFrame) -> DataFrame:
     """PD_12m, LGD, EAD_12m, EL_12m."""
     df = df.select(
         "*",
-        pd_scorecard(optional(df, "CreditScore"), F.col("DTI"), F.col("LTV"), F.col("Sector")).alias("PD_12m"),
-        lgd(F.col("LoanAmount"), F.col("CollateralBase"), F.col("CollateralType")).alias("LGD"),
+        score_base_pd(optional(df, "CreditScore")).alias("_base_pd"),
+        # Sector is already stripped by cleaning; the key is its lower case.
+        lookup(F.lower(F.col("Sector")), SECTOR_FACTORS, SECTOR_DEFAULT).alias("_sector_f"),
+        lookup(key_of(F.col("CollateralType")), HAIRCUTS, HAIRCUT_DEFAULT).alias("_haircut"),
+    )
+    df = df.select(
+        "*",
+        pd_scorecard(None, F.col("DTI"), F.col("LTV"), sector_f="_sector_f", base_pd="_base_pd").alias("PD_12m"),
+        lgd(F.col("LoanAmount"), F.col("CollateralBase"), haircut_col="_haircut").alias("LGD"),
         ead_12m(F.col("LoanAmount"), F.col("Balance_12m")).alias("EAD_12m"),
     )
     return df.withColumn("EL_12m", F.col("PD_12m") * F.col("LGD") * F.col("EAD_12m"))
 
 
 def enrich_base(clean_df: DataFrame, dscr_row_fallback: bool = False) -> DataFrame:
-    return with_risk(with_ratios(with_cashflows(clean_df), dscr_row_fallback))
+    out = with_risk(with_ratios(with_cashflows(clean_df), dscr_row_fallback))
+    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in KEEP_FOR_STRESS])

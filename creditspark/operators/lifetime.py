@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cashflow import ZERO_RATE_EPS, monthly_rate
-from ..functions.core import clip
-from ..functions.lifetime import BALANCE_STOP, lifetime_el, monthly_discount, monthly_hazard
+from ..functions.core import apply_layers, clip
+from ..functions.lifetime import BALANCE_STOP, lifetime_el_layers, monthly_discount, monthly_hazard
 
 
 def with_lifetime_el(df: DataFrame, discount_rate: float) -> DataFrame:
-    """EL_life_base (base rate, PD, LGD) and EL_life_st (stressed ones)."""
-    P, n = F.col("LoanAmount"), F.col("TermMonths")
-    return df.select(
-        "*",
-        lifetime_el(P, F.col("InterestRate_clean"), n, F.col("PD_12m"), F.col("LGD"), discount_rate,
-                    A=F.col("MonthlyPayment")).alias("EL_life_base"),
-        lifetime_el(P, F.col("InterestRate_st"), n, F.col("PD_12m_st"), F.col("LGD_st"), discount_rate,
-                    A=F.col("MonthlyPayment_st")).alias("EL_life_st"),
-    )
+    """EL_life_base (base rate, PD, LGD) and EL_life_st (stressed ones), as
+    closed forms: a handful of projection layers, no explode, no shuffle."""
+    base = lifetime_el_layers("LoanAmount", "InterestRate_clean", "TermMonths", "PD_12m", "LGD", discount_rate,
+                              "MonthlyPayment", "EL_life_base", "lb")
+    stressed = lifetime_el_layers("LoanAmount", "InterestRate_st", "TermMonths", "PD_12m_st", "LGD_st",
+                                  discount_rate, "MonthlyPayment_st", "EL_life_st", "ls")
+    layers = [b + s for b, s in zip(base, stressed)]
+    out = apply_layers(df, layers)
+    return out.drop(*[c for c in out.columns if c.startswith("_lb_") or c.startswith("_ls_")])
 
 
 def amortisation_schedule(df: DataFrame, discount_rate: float, stressed: bool = True) -> DataFrame:

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cashflow import balance_at, first_year_interest, payment, stressed_collateral, stressed_rate
-from ..functions.core import safe_div
-from ..functions.scoring import ead_12m, lgd, pd_scorecard, stressed_pd, tier_from_cuts
+from ..functions.cashflow import cashflow_layers, stressed_collateral, stressed_rate
+from ..functions.core import apply_layers, drop_helpers, safe_div
+from ..functions.scoring import ead_12m, lgd, pd_scorecard, stressed_pd, tier_from_key, tier_key
 from ..params import Scenario
 from .clean import optional
 from .enrich import dscr_expr
@@ -39,40 +39,37 @@ def scenario_frame(spark: SparkSession, scenarios: Sequence[Scenario]) -> DataFr
 
 def with_stress(base: DataFrame, scenarios: DataFrame, dscr_row_fallback: bool = False) -> DataFrame:
     """Stressed cash flows, ratios, PD / LGD / EAD / EL and tier for every
-    (loan, scenario). Expects the base columns and the cut columns."""
+    (loan, scenario). Expects the base columns (with ``_base_pd``,
+    ``_sector_f``, ``_haircut``) and the cut columns."""
     df = base.crossJoin(F.broadcast(scenarios))
-    P, n = F.col("LoanAmount"), F.col("TermMonths")
+    P = F.col("LoanAmount")
     df = df.select(
         "*",
         stressed_rate(F.col("InterestRate_clean"), F.col("rate_bps")).alias("InterestRate_st"),
         stressed_collateral(F.col("CollateralBase"), F.col("coll_drop")).alias("CollateralBase_st"),
     )
-    R = F.col("InterestRate_st")
-    df = df.withColumn("MonthlyPayment_st", payment(P, R, n))
-    A = F.col("MonthlyPayment_st")
-    df = df.select(
-        "*",
-        (A * F.lit(12.0)).alias("AnnualDebtService_st"),
-        balance_at(P, R, n, 12, A=A).alias("Balance_12m_st"),
-        first_year_interest(P, R, n, A=A).alias("Interest_Y1_st"),
-    )
+    df = apply_layers(df, cashflow_layers("InterestRate_st", "_st"))
     df = df.select(
         "*",
         (P / F.col("CollateralBase_st")).alias("LTV_st"),
-        safe_div(A, optional(df, "MonthlyIncome")).alias("DTI_st"),
+        safe_div(F.col("MonthlyPayment_st"), optional(df, "MonthlyIncome")).alias("DTI_st"),
         dscr_expr(df, F.col("AnnualDebtService_st"), dscr_row_fallback).alias("DSCR_st"),
         safe_div(optional(df, "EBITDA"), F.col("Interest_Y1_st")).alias("ICR_st"),
     )
-    df = df.withColumn(
-        "PD_12m_st_preU",
-        pd_scorecard(optional(df, "CreditScore"), F.col("DTI_st"), F.col("LTV_st"), F.col("Sector")),
-    )
     df = df.select(
         "*",
-        stressed_pd(F.col("PD_12m_st_preU"), F.col("unemp_mult")).alias("PD_12m_st"),
-        lgd(P, F.col("CollateralBase_st"), F.col("CollateralType")).alias("LGD_st"),
+        pd_scorecard(None, F.col("DTI_st"), F.col("LTV_st"), sector_f="_sector_f", base_pd="_base_pd").alias(
+            "PD_12m_st_preU"
+        ),
+        lgd(P, F.col("CollateralBase_st"), haircut_col="_haircut").alias("LGD_st"),
         ead_12m(P, F.col("Balance_12m_st")).alias("EAD_12m_st"),
     )
-    df = df.withColumn("EL_12m_st", F.col("PD_12m_st") * F.col("LGD_st") * F.col("EAD_12m_st"))
+    df = df.withColumn("PD_12m_st", stressed_pd(F.col("PD_12m_st_preU"), F.col("unemp_mult")))
+    df = df.select(
+        "*",
+        (F.col("PD_12m_st") * F.col("LGD_st") * F.col("EAD_12m_st")).alias("EL_12m_st"),
+        tier_key(F.col("PD_12m_st")).alias("_tx_st"),
+    )
     # Stressed tiers use the *base* cutpoints.
-    return df.withColumn("RiskTier_st", tier_from_cuts(F.col("PD_12m_st"), F.col("q_low"), F.col("q_high")))
+    df = df.withColumn("RiskTier_st", tier_from_key(F.col("_tx_st"), F.col("q_low"), F.col("q_high")))
+    return drop_helpers(df)

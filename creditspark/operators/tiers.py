@@ -18,7 +18,7 @@ from ..functions.scoring import (
     TIER_MIN_GAP,
     TIER_PERCENTILES,
     threshold_tier,
-    tier_from_cuts,
+    tier_from_key,
     tier_key,
 )
 
@@ -51,7 +51,8 @@ def with_cuts(df: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def with_base_tier(df: DataFrame) -> DataFrame:
-    return df.withColumn("RiskTier", tier_from_cuts(F.col("PD_12m"), F.col("q_low"), F.col("q_high")))
+    df = df.withColumn("_tx", tier_key(F.col("PD_12m")))
+    return df.withColumn("RiskTier", tier_from_key(F.col("_tx"), F.col("q_low"), F.col("q_high"))).drop("_tx")
 
 
 def with_threshold_tier(df: DataFrame, suffix: str = "") -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_parallelism
+
 # --- Fixed values of the derived test portfolio (shared with the oracle SQL) ---
 SEGMENT_SECTOR = {"BUILDING": "Construction", "FURNITURE": "Retail", "MACHINERY": "Manufacturing",
                   "AUTOMOBILE": "Transport"}
@@ -90,9 +92,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw (uncleaned) loan table over ``sf_dir``; one row per order."""
+    """Raw (uncleaned) loan table over ``sf_dir``; one row per order.
+
+    The order scan drives the loan stream's partitioning; a scan with fewer
+    splits than cores (a single small file) is spread out first.
+    """
+    orders = ensure_parallelism(read_table(spark, sf_dir, "orders"), spark)
     return loans_from_tables(
-        read_table(spark, sf_dir, "orders"),
+        orders,
         read_table(spark, sf_dir, "customer"),
         read_table(spark, sf_dir, "nation"),
     )
