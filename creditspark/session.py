@@ -19,6 +19,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Skip per-Column call-site capture (a JVM round trip per operator call).
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
