@@ -1,0 +1,23 @@
+"""Upload-folder stream: two files become two scored batches."""
+
+import os
+
+from creditspark.sources.sample import write_template
+from creditspark.streaming.uploads import start_scoring
+
+
+def test_two_uploads_two_batches(spark, scratch):
+    inbox = os.path.join(scratch, "inbox")
+    write_template(spark, os.path.join(scratch, "t1"))
+    write_template(spark, os.path.join(scratch, "t2"))
+    os.makedirs(inbox)
+    for i, d in enumerate(("t1", "t2")):
+        src = [f for f in os.listdir(os.path.join(scratch, d)) if f.endswith(".csv")][0]
+        os.link(os.path.join(scratch, d, src), os.path.join(inbox, f"upload{i}.csv"))
+    out = os.path.join(scratch, "out")
+    q = start_scoring(spark, inbox, out, os.path.join(scratch, "ckpt"), available_now=True)
+    q.awaitTermination(300)
+    batches = sorted(d for d in os.listdir(out) if d.startswith("batch_id="))
+    assert len(batches) == 2
+    kpis = spark.read.parquet(os.path.join(out, batches[0], "kpis")).collect()
+    assert len(kpis) == 3 and all(r["n_loans"] == 3 for r in kpis)
