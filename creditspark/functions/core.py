@@ -106,3 +106,17 @@ def apply_layers(df, layers) -> "DataFrame":  # noqa: F821
 def drop_helpers(df):
     """Drop underscore-prefixed helper columns."""
     return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
+def keep_where(df, cond: Column):
+    """Keep the rows where ``cond`` is true, evaluated on the already computed
+    columns of ``df``.
+
+    A plain ``where`` on a derived column is pushed by the optimizer below the
+    projections that compute it (into the scenario join, even), so the whole
+    scoring chain would be evaluated twice per row: once inlined into the
+    predicate, once for the output. A generator cannot be pushed below its
+    child, so exploding a one-element array for kept rows (NULL, hence no row,
+    otherwise) filters in place without that duplication.
+    """
+    return df.select("*", F.explode(F.when(cond, F.array(F.lit(True)))).alias("_keep")).drop("_keep")

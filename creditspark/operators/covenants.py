@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import np_round
+from ..functions.core import keep_where, np_round
 from ..functions.covenant import badge, headrooms, tightest, worst_headroom
 from ..params import Covenants
 
@@ -29,7 +29,7 @@ def exceptions(cov_df: DataFrame) -> DataFrame:
     """V7: every Red / Amber loan (feeds the exceptions sink)."""
     cols = ["Scenario", "LoanID", "Borrower", "Sector", "Geography", "DSCR_st", "ICR_st", "LTV_st", "DTI_st",
             "Badge_st", "WorstHeadroom_st"]
-    return cov_df.where(F.col("Badge_st").isin(*WATCH_BADGES)).select(*cols)
+    return keep_where(cov_df, F.col("Badge_st").isin(*WATCH_BADGES)).select(*cols)
 
 
 def watchlist(cov_df: DataFrame, n: int = 10, severity_first: bool = False, report_rounding: bool = True) -> DataFrame:
@@ -44,9 +44,13 @@ def watchlist(cov_df: DataFrame, n: int = 10, severity_first: bool = False, repo
     """
     worst = np_round(F.col("WorstHeadroom_st"), 4) if report_rounding else F.col("WorstHeadroom_st")
     badge_key = F.when(F.col("Badge_st") == "Red", 0).otherwise(1) if severity_first else F.col("Badge_st")
-    w = Window.partitionBy("Scenario").orderBy(badge_key.asc(), worst.asc_nulls_last(), F.col("LoanID").asc())
-    return (
-        cov_df.where(F.col("Badge_st").isin(*WATCH_BADGES))
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= n)
+    # Watch rows sort first, so their ranks equal a ranking of watch rows only.
+    # Filtering *after* the ranking keeps the badge predicate from being pushed
+    # below the projections that compute it (which would evaluate the stress
+    # chain twice per row).
+    watch = F.col("Badge_st").isin(*WATCH_BADGES)
+    w = Window.partitionBy("Scenario").orderBy(
+        watch.desc(), badge_key.asc(), worst.asc_nulls_last(), F.col("LoanID").asc()
     )
+    ranked = cov_df.withColumn("rank", F.row_number().over(w))
+    return ranked.where((F.col("rank") <= n) & watch)

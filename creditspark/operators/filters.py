@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import keep_where
 from ..schema import EmptyPortfolioError
 
 ALL = "All"
@@ -65,11 +66,8 @@ def filter_tier(stressed: DataFrame, tier: str = ALL) -> DataFrame:
     if tier not in TIERS:
         raise ValueError(f"tier must be one of {TIERS} or 'All', got {tier!r}")
     present = stressed.groupBy("Scenario").agg(F.max(F.col("RiskTier_st") == tier).alias("_has_tier"))
-    return (
-        stressed.join(F.broadcast(present), "Scenario")
-        .where(~F.col("_has_tier") | (F.col("RiskTier_st") == tier))
-        .drop("_has_tier")
-    )
+    joined = stressed.join(F.broadcast(present), "Scenario")
+    return keep_where(joined, ~F.col("_has_tier") | (F.col("RiskTier_st") == tier)).drop("_has_tier")
 
 
 def filter_domains(df: DataFrame) -> DataFrame:

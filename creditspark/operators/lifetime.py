@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cashflow import ZERO_RATE_EPS, monthly_rate
-from ..functions.core import apply_layers, clip
+from ..functions.core import apply_layers, clip, keep_where
 from ..functions.lifetime import BALANCE_STOP, lifetime_el_layers, monthly_discount, monthly_hazard
 
 
@@ -40,7 +40,7 @@ def amortisation_schedule(df: DataFrame, discount_rate: float, stressed: bool =
     keys = [c for c in ("Scenario",) if c in df.columns]
     d = monthly_discount(discount_rate)
     r = monthly_rate(R)
-    rows = df.where(usable).select(
+    rows = keep_where(df, usable).select(
         *keys, "LoanID", P.alias("_prin"), r.alias("_r"), n.alias("_n"), A.alias("_A"),
         monthly_hazard(pd_col).alias("_haz"), clip(lgd_col, 0.0, 1.0).alias("_lgd"),
         F.explode(F.sequence(F.lit(1), n)).alias("month"),
@@ -58,7 +58,8 @@ def amortisation_schedule(df: DataFrame, discount_rate: float, stressed: bool =
         F.when(F.col("month") == 1, F.col("_prin")).otherwise(F.greatest(open_bal, F.lit(0.0))).alias("opening_balance"),
         # Month 1 always runs; later months only while the balance is positive.
         ((F.col("month") == 1) | (open_bal > BALANCE_STOP)).alias("_live"),
-    ).where("_live")
+    )
+    sched = keep_where(sched, F.col("_live"))
     interest = F.when(zero, F.lit(0.0)).otherwise(F.col("opening_balance") * F.col("_r"))
     survival = F.pow(F.lit(1.0) - F.col("_haz"), (F.col("month") - 1).cast("double"))
     loss = survival * F.col("_haz") * F.col("_lgd") * F.col("opening_balance")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cashflow import cashflow_layers, stressed_collateral, stressed_rate
@@ -37,10 +37,11 @@ def scenario_frame(spark: SparkSession, scenarios: Sequence[Scenario]) -> DataFr
     return spark.createDataFrame(rows, SCENARIO_SCHEMA)
 
 
-def with_stress(base: DataFrame, scenarios: DataFrame, dscr_row_fallback: bool = False) -> DataFrame:
+def with_stress(base: DataFrame, scenarios: DataFrame, q_low: Column, q_high: Column,
+                dscr_row_fallback: bool = False) -> DataFrame:
     """Stressed cash flows, ratios, PD / LGD / EAD / EL and tier for every
     (loan, scenario). Expects the base columns (with ``_base_pd``,
-    ``_sector_f``, ``_haircut``) and the cut columns."""
+    ``_sector_f``, ``_haircut``); ``q_low`` / ``q_high`` are the base cutpoints."""
     df = base.crossJoin(F.broadcast(scenarios))
     P = F.col("LoanAmount")
     df = df.select(
@@ -71,5 +72,5 @@ def with_stress(base: DataFrame, scenarios: DataFrame, dscr_row_fallback: bool =
         tier_key(F.col("PD_12m_st")).alias("_tx_st"),
     )
     # Stressed tiers use the *base* cutpoints.
-    df = df.withColumn("RiskTier_st", tier_from_key(F.col("_tx_st"), F.col("q_low"), F.col("q_high")))
+    df = df.withColumn("RiskTier_st", tier_from_key(F.col("_tx_st"), q_low, q_high))
     return drop_helpers(df)

@@ -9,7 +9,7 @@ tiny at any row count. The one-row result is broadcast into the row stream.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import (
@@ -44,15 +44,23 @@ def tier_cuts(base: DataFrame, pd_col: str = "PD_12m") -> DataFrame:
     )
 
 
+def cut_values(cuts: DataFrame) -> tuple[Column, Column]:
+    """The cutpoints as scalar subqueries. Spark runs the (merged) subquery once
+    per query and inlines the two values as literals into the row stage, so the
+    tiering is a plain projection; a query that does not use the tiers prunes
+    the subquery, and with it the extra pass over the loans, entirely."""
+    return cuts.select("q_low").scalar(), cuts.select("q_high").scalar()
+
+
 def with_cuts(df: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Attach the one-row cut table to every row: a broadcast nested-loop join
-    against a single row, i.e. a per-row projection without a shuffle."""
-    return df.crossJoin(F.broadcast(cuts.select("q_low", "q_high")))
+    """Attach q_low / q_high as columns (for display)."""
+    q_low, q_high = cut_values(cuts)
+    return df.select("*", q_low.alias("q_low"), q_high.alias("q_high"))
 
 
-def with_base_tier(df: DataFrame) -> DataFrame:
+def with_base_tier(df: DataFrame, q_low: Column, q_high: Column) -> DataFrame:
     df = df.withColumn("_tx", tier_key(F.col("PD_12m")))
-    return df.withColumn("RiskTier", tier_from_key(F.col("_tx"), F.col("q_low"), F.col("q_high"))).drop("_tx")
+    return df.withColumn("RiskTier", tier_from_key(F.col("_tx"), q_low, q_high)).drop("_tx")
 
 
 def with_threshold_tier(df: DataFrame, suffix: str = "") -> DataFrame:

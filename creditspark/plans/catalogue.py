@@ -38,12 +38,33 @@ def _r(name: str, digits: int) -> Column:
     return np_round(F.col(name), digits).alias(name)
 
 
+# Built plans are reused across catalogue queries of one session: a DataFrame
+# is an immutable lazy plan, so reusing it skips rebuilding the same expression
+# trees (thousands of py4j calls) while every query still executes from the
+# raw tables. Keyed by the session's application id and the inputs.
+_PLANS: dict = {}
+
+
+def _key(spark: SparkSession, *parts):
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:
+        app = id(spark)
+    return (app, id(spark)) + parts
+
+
 def _run(spark: SparkSession, sf_dir: str, params: RunParams = RunParams()) -> PortfolioRun:
-    return run_portfolio(spark, loans(spark, sf_dir), params)
+    k = _key(spark, "run", sf_dir, params)
+    if k not in _PLANS:
+        _PLANS[k] = run_portfolio(spark, loans(spark, sf_dir), params)
+    return _PLANS[k]
 
 
 def _clean(spark, sf_dir) -> DataFrame:
-    return clean(loans(spark, sf_dir))
+    k = _key(spark, "clean", sf_dir)
+    if k not in _PLANS:
+        _PLANS[k] = clean(loans(spark, sf_dir))
+    return _PLANS[k]
 
 
 # --- cleaning, filters, quality ---------------------------------------------------

@@ -20,14 +20,14 @@ from ..operators.filters import ALL, EffectiveFilters, filter_portfolio, filter_
 from ..operators.lifetime import with_lifetime_el
 from ..operators.pricing import with_pricing
 from ..operators.stress import scenario_frame, with_stress
-from ..operators.tiers import tier_cuts, with_base_tier, with_cuts
+from ..operators.tiers import cut_values, tier_cuts, with_base_tier
 from ..params import RunParams
 
 
 @dataclass
 class PortfolioRun:
     clean: DataFrame
-    base: DataFrame  # filtered loans with base metrics, cuts and RiskTier
+    base: DataFrame  # filtered loans with base metrics and RiskTier
     cuts: DataFrame  # one row: n_pd, q_low, q_high
     stressed: DataFrame  # one row per (loan, scenario)
     view: DataFrame  # stressed rows after the tier filter
@@ -64,7 +64,8 @@ def run_portfolio(
     # Cuts come from the filtered base population, before any tier filter (T9),
     # and before the scenario join, so each loan counts once.
     cuts = tier_cuts(enriched)
-    base = with_base_tier(with_cuts(enriched, cuts))
-    stressed = with_stress(base, scenario_frame(spark, params.scenarios), params.dscr_row_fallback)
+    q_low, q_high = cut_values(cuts)
+    base = with_base_tier(enriched, q_low, q_high)
+    stressed = with_stress(base, scenario_frame(spark, params.scenarios), q_low, q_high, params.dscr_row_fallback)
     view = filter_tier(stressed, params.tier)
     return PortfolioRun(cleaned, base, cuts, stressed, view, eff, params)

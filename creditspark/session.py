@@ -74,7 +74,11 @@ def ensure_parallelism(df, spark: SparkSession | None = None):
     unchanged, so no shuffle is added at scale.
     """
     spark = spark or df.sparkSession
-    target = min_partitions(spark)
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = min_partitions(spark)
+        current = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the plan alone
+        return df
+    if current < target:
         return df.repartition(target)
     return df
