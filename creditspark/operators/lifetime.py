@@ -59,7 +59,9 @@ def amortisation_schedule(df: DataFrame, discount_rate: float, stressed: bool =
         # Month 1 always runs; later months only while the balance is positive.
         ((F.col("month") == 1) | (open_bal > BALANCE_STOP)).alias("_live"),
     )
-    sched = keep_where(sched, F.col("_live"))
+    # A plain filter: it cannot move below the explode, and repeating the one
+    # balance expression is cheaper than a generator per loan-month.
+    sched = sched.where(F.col("_live"))
     interest = F.when(zero, F.lit(0.0)).otherwise(F.col("opening_balance") * F.col("_r"))
     survival = F.pow(F.lit(1.0) - F.col("_haz"), (F.col("month") - 1).cast("double"))
     loss = survival * F.col("_haz") * F.col("_lgd") * F.col("opening_balance")
