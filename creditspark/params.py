@@ -111,6 +111,8 @@ class RunParams:
     dscr_row_fallback: bool = False
     lenient_rates: bool = False
     severity_first: bool = False
+    # "percentile" (33/66 cuts on base PD, the default) or "threshold" (R7 rules).
+    tiering: str = "percentile"
 
     @property
     def discount_rate(self) -> float:

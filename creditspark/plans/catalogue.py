@@ -22,7 +22,9 @@ from ..operators.filters import filter_domains, filter_portfolio
 from ..operators.lifetime import amortisation_schedule
 from ..operators.quality import issue_sample, issues
 from ..operators.rankings import preview, top_k
-from ..operators.report import display_pricing, mask_pii
+from ..operators.report import (
+    display_base_risk, display_covenants, display_derived_base, display_pricing, display_stressed_risk, mask_pii,
+)
 from ..operators.tiers import tier_cuts, with_threshold_tier
 from ..params import RunParams
 from ..plans.portfolio import PortfolioRun, run_portfolio
@@ -270,6 +272,24 @@ def masked_report(spark, sf_dir):
     )
 
 
+# --- display projections (P8) -------------------------------------------------------
+
+def derived_metrics_display(spark, sf_dir):
+    return display_derived_base(_run(spark, sf_dir).base)
+
+
+def base_risk_display(spark, sf_dir):
+    return display_base_risk(_run(spark, sf_dir).base)
+
+
+def stressed_risk_display(spark, sf_dir):
+    return display_stressed_risk(_run(spark, sf_dir).view)
+
+
+def covenant_display(spark, sf_dir):
+    return display_covenants(_run(spark, sf_dir).covenants())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_portfolio": clean_portfolio,
     "filter_domains": filter_domains_q,
@@ -303,4 +323,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_el": top_el,
     "top_spread": top_spread,
     "masked_report": masked_report,
+    "derived_metrics_display": derived_metrics_display,
+    "base_risk_display": base_risk_display,
+    "stressed_risk_display": stressed_risk_display,
+    "covenant_display": covenant_display,
 }

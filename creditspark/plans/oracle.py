@@ -387,5 +387,18 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
         regexp_replace(Borrower, '(.)(.*)', '\\1***') AS Borrower, Sector, Geography,
         {RND('EAD_12m_st', M)} AS EAD_12m_st, {RND('EL_12m_st', M)} AS EL_12m_st,
         {RND('PD_12m_st * 1e2', 2)} AS PD_12m_st, {RND('LGD_st * 1e2', 2)} AS LGD_st, RiskTier_st FROM stressed"""
+
+    money = ", ".join(f"{RND(c, 2)} AS {c}" for c in ("MonthlyPayment", "AnnualDebtService", "Balance_12m", "Interest_Y1"))
+    ratios = ", ".join(f"{RND(c, 4)} AS {c}" for c in ("LTV", "DTI", "DSCR", "ICR"))
+    sql["derived_metrics_display"] = W + f"""SELECT LoanID, Borrower, Sector, Geography, {RND('LoanAmount', 2)} AS LoanAmount,
+        InterestRate_clean * 1e2 AS "InterestRate_%", TermMonths, {money}, {ratios} FROM tiered"""
+    sql["base_risk_display"] = W + f"""SELECT LoanID, {RND('PD_12m * 1e2', 2)} AS PD_12m, {RND('LGD * 1e2', 2)} AS LGD,
+        {RND('EAD_12m', 2)} AS EAD_12m, {RND('EL_12m', 2)} AS EL_12m, RiskTier FROM tiered"""
+    sql["stressed_risk_display"] = W + f"""SELECT Scenario, LoanID, {RND('PD_12m_st * 1e2', 2)} AS PD_12m_st,
+        {RND('LGD_st * 1e2', 2)} AS LGD_st, {RND('EAD_12m_st', 2)} AS EAD_12m_st, {RND('EL_12m_st', 2)} AS EL_12m_st,
+        RiskTier_st FROM stressed"""
+    cov4 = ", ".join(f"{RND(c, 4)} AS {c}" for c in ("DSCR_st", "ICR_st", "LTV_st", "DTI_st", "HR_DSCR_st", "HR_ICR_st",
+                                                       "HR_LTV_st", "HR_DTI_st", "WorstHeadroom_st"))
+    sql["covenant_display"] = W + f"SELECT Scenario, LoanID, Badge_st, {cov4} FROM covs"
     return sql
 

@@ -20,7 +20,7 @@ from ..operators.filters import ALL, EffectiveFilters, filter_portfolio, filter_
 from ..operators.lifetime import with_lifetime_el
 from ..operators.pricing import with_pricing
 from ..operators.stress import scenario_frame, with_stress
-from ..operators.tiers import cut_values, tier_cuts, with_base_tier
+from ..operators.tiers import cut_values, tier_cuts, with_base_tier, with_threshold_tier
 from ..params import RunParams
 
 
@@ -67,5 +67,17 @@ def run_portfolio(
     q_low, q_high = cut_values(cuts)
     base = with_base_tier(enriched, q_low, q_high)
     stressed = with_stress(base, scenario_frame(spark, params.scenarios), q_low, q_high, params.dscr_row_fallback)
+    if params.tiering == "threshold":
+        # Rule-based tiers from PD and the leverage ratios, base and stressed.
+        base = _threshold_tiers(base, "")
+        stressed = _threshold_tiers(_threshold_tiers(stressed, ""), "_st")
+    elif params.tiering != "percentile":
+        raise ValueError(f"tiering must be 'percentile' or 'threshold', got {params.tiering!r}")
     view = filter_tier(stressed, params.tier)
     return PortfolioRun(cleaned, base, cuts, stressed, view, eff, params)
+
+
+def _threshold_tiers(df: DataFrame, sfx: str) -> DataFrame:
+    """Replace ``RiskTier<sfx>`` by the rule-based tier on the same metrics."""
+    out = with_threshold_tier(df, sfx).drop("RiskTier" + sfx)
+    return out.withColumnRenamed("RiskTier_threshold" + sfx, "RiskTier" + sfx)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.clean import with_generated_ids
 from ..schema import check_required
 from ..session import ensure_parallelism
 
@@ -65,6 +66,14 @@ def read_csv_portfolio(
     df = df.select(*[F.col(f"`{old}`").alias(new) for old, new in renames.items()])
     check_required(df.columns)
     df = df.select(*[F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return _ids_then_spread(df, spark)
+
+
+def _ids_then_spread(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Position-based ids must follow file order, so they are generated on the
+    scan itself, before any repartition spreads the rows."""
+    if "LoanID" not in df.columns:
+        df = with_generated_ids(df)
     return ensure_parallelism(df, spark)
 
 
@@ -72,7 +81,7 @@ def read_parquet_portfolio(spark: SparkSession, path: str) -> DataFrame:
     """Read a loan table stored as Parquet (typed or string columns)."""
     df = spark.read.parquet(path)
     check_required(df.columns)
-    return ensure_parallelism(df, spark)
+    return _ids_then_spread(df, spark)
 
 
 def read_portfolio(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFrame:

@@ -191,3 +191,29 @@ def test_dscr_source_is_per_table(spark):
     assert rows["E-1"]["DSCR"] is None and rows["E-2"]["DSCR"] is not None
     rows = {r["LoanID"]: r for r in run_portfolio(spark, df, RunParams(dscr_row_fallback=True)).base.collect()}
     assert rows["E-1"]["DSCR"] is not None
+
+
+def test_threshold_tiering_mode(spark):
+    from creditspark.sources.sample import sample_portfolio
+
+    run = run_portfolio(spark, sample_portfolio(spark), RunParams(tiering="threshold"))
+    rows = {(r["Scenario"], r["LoanID"]): r for r in run.view.collect()}
+    # L-009: PD .32 >= .06 -> High; L-002: PD .006, LTV .68, DTI .14, DSCR 7.2 -> Low.
+    assert rows[("Base", "L-009")]["RiskTier"] == "High" and rows[("Base", "L-002")]["RiskTier"] == "Low"
+    # Severe L-002: stressed PD .0135, but stressed LTV .909 > .90 -> High.
+    assert rows[("Severe", "L-002")]["RiskTier_st"] == "High"
+    with pytest.raises(ValueError):
+        run_portfolio(spark, sample_portfolio(spark), RunParams(tiering="other"))
+
+
+def test_csv_without_ids_follows_file_order(spark, scratch):
+    import os
+
+    lines = ["Sector,LoanAmount,InterestRate,TermMonths"] + [f"Retail,{1000 + i},5,12" for i in range(30)]
+    p = os.path.join(scratch, "noid.csv")
+    with open(p, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    from creditspark.sources.csv import read_csv_portfolio
+
+    got = {r["LoanID"]: r["LoanAmount"] for r in clean(read_csv_portfolio(spark, p)).collect()}
+    assert got["L-001"] == 1000.0 and got["L-030"] == 1029.0 and len(got) == 30
