@@ -18,12 +18,24 @@ def test_no_python_and_no_cartesian(spark):
         assert "CartesianProduct" not in p, name
 
 
-def test_scenarios_and_cuts_are_broadcast(spark):
+def test_scenarios_broadcast_and_cuts_scalar(spark):
     p = plan(catalogue.kpis_by_scenario(spark, SF))
-    assert p.count("BroadcastNestedLoopJoin") >= 2
+    assert p.count("BroadcastNestedLoopJoin") == 1  # the scenario table
+    assert "Subquery" in p  # the tier cutpoints
     assert "SortMergeJoin" not in p
 
 
+def test_unused_tiers_prune_the_cut_pass(spark):
+    p = plan(catalogue.covenant_table(spark, SF))
+    assert "Subquery" not in p and "percentile" not in p.lower()
+
+
+def test_badge_filter_stays_above_scoring(spark):
+    p = plan(catalogue.exceptions_q(spark, SF))
+    join_lines = [line for line in p.split("\n") if "BroadcastNestedLoopJoin" in line]
+    assert join_lines and all("Badge" not in line and "CASE" not in line for line in join_lines)
+
+
 def test_global_top_k_is_take_ordered(spark):
     run = catalogue._run(spark, SF)
     p = plan(top_k(run.view, "EAD_12m_st", 10, by=None))
