@@ -113,6 +113,10 @@ class RunParams:
     severity_first: bool = False
     # "percentile" (33/66 cuts on base PD, the default) or "threshold" (R7 rules).
     tiering: str = "percentile"
+    # Write the cleaned, enriched base once (reliable checkpoint in the shared
+    # spark.checkpoint.dir) so that the cut pass and every later analysis read
+    # it instead of re-running the source scan and joins.
+    materialize_base: bool = False
 
     @property
     def discount_rate(self) -> float:

@@ -22,6 +22,7 @@ from ..operators.pricing import with_pricing
 from ..operators.stress import scenario_frame, with_stress
 from ..operators.tiers import cut_values, tier_cuts, with_base_tier, with_threshold_tier
 from ..params import RunParams
+from ..session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -61,6 +62,9 @@ def run_portfolio(
         # F5 only needs a job when a filter could have emptied the table.
         require_rows(filtered)
     enriched = enrich_base(filtered, params.dscr_row_fallback)
+    if params.materialize_base:
+        ensure_checkpoint_dir(spark)
+        enriched = enriched.checkpoint(eager=True)
     # Cuts come from the filtered base population, before any tier filter (T9),
     # and before the scenario join, so each loan counts once.
     cuts = tier_cuts(enriched)

@@ -43,8 +43,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir`` if set; otherwise (local runs and
-    tests only) a fresh scratch folder under /tmp."""
+    """The cluster's ``spark.checkpoint.dir`` if set; otherwise, for a local
+    master only (tests, benchmarks), a fresh scratch folder under /tmp. On a
+    cluster a machine-local folder would not survive executor loss, so an unset
+    checkpoint dir is an error there."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -54,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
     path = tempfile.mkdtemp(prefix="creditspark-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)

@@ -116,3 +116,10 @@ def test_template_three_rows(spark):
     assert (c["q_low"], c["q_high"]) == (0.02, 0.06)
     rows = run.base.select("DSCR", "ICR").collect()
     assert all(r["DSCR"] is None and r["ICR"] is None for r in rows)
+
+
+def test_materialized_base_gives_same_kpis(spark, run):
+    m = run_portfolio(spark, sample_portfolio(spark), RunParams(materialize_base=True))
+    a = sorted(tuple(r) for r in A.kpis_by_scenario(run.view).collect())
+    b = sorted(tuple(r) for r in A.kpis_by_scenario(m.view).collect())
+    assert a == b
