@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,19 +42,24 @@ def amortisation_schedule(df: DataFrame, discount_rate: float, stressed: bool =
     keys = [c for c in ("Scenario",) if c in df.columns]
     d = monthly_discount(discount_rate)
     r = monthly_rate(R)
-    rows = keep_where(df, usable).select(
+    # Per-loan logarithms, so that each month needs exp() of a product instead
+    # of pow() (Spark evaluates both with StrictMath; exp is the cheaper one).
+    per_loan = keep_where(df, usable).select(
         *keys, "LoanID", P.alias("_prin"), r.alias("_r"), n.alias("_n"), A.alias("_A"),
         monthly_hazard(pd_col).alias("_haz"), clip(lgd_col, 0.0, 1.0).alias("_lgd"),
-        F.explode(F.sequence(F.lit(1), n)).alias("month"),
     )
-    j = (F.col("month") - 1).cast("double")
+    # Everything beside the generator in this projection is evaluated once per loan.
+    rows = per_loan.select(
+        "*", F.log1p(F.col("_r")).alias("_lg"), F.log1p(-F.col("_haz")).alias("_ls"),
+        F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("month"),
+    ).withColumn("_j", (F.col("month") - 1).cast("double"))
     zero = F.abs(F.col("_r")) < ZERO_RATE_EPS
-    g = F.pow(F.lit(1.0) + F.col("_r"), j)
-    open_bal = F.when(zero, F.col("_prin") - (F.col("_prin") / F.col("_n")) * j).otherwise(
+    g = F.exp(F.col("_j") * F.col("_lg"))
+    open_bal = F.when(zero, F.col("_prin") - (F.col("_prin") / F.col("_n")) * F.col("_j")).otherwise(
         F.col("_prin") * g - F.col("_A") * (g - F.lit(1.0)) / F.col("_r")
     )
     sched = rows.select(
-        *keys, "LoanID", "month", "_prin", "_r", "_A", "_haz", "_lgd",
+        *keys, "LoanID", "month", "_r", "_A", "_haz", "_lgd", "_ls", "_j",
         # The first month starts from the principal itself; later ones from the
         # balance floored at zero.
         F.when(F.col("month") == 1, F.col("_prin")).otherwise(F.greatest(open_bal, F.lit(0.0))).alias("opening_balance"),
@@ -63,8 +70,9 @@ def amortisation_schedule(df: DataFrame, discount_rate: float, stressed: bool =
     # balance expression is cheaper than a generator per loan-month.
     sched = sched.where(F.col("_live"))
     interest = F.when(zero, F.lit(0.0)).otherwise(F.col("opening_balance") * F.col("_r"))
-    survival = F.pow(F.lit(1.0) - F.col("_haz"), (F.col("month") - 1).cast("double"))
+    survival = F.exp(F.col("_j") * F.col("_ls"))
     loss = survival * F.col("_haz") * F.col("_lgd") * F.col("opening_balance")
+    log_disc = math.log1p(d)
     return sched.select(
         *keys, "LoanID", "month", "opening_balance",
         interest.alias("interest"),
@@ -72,6 +80,6 @@ def amortisation_schedule(df: DataFrame, discount_rate: float, stressed: bool =
         survival.alias("survival"),
         (survival * F.col("_haz")).alias("default_mass"),
         loss.alias("loss"),
-        (loss / F.pow(F.lit(1.0 + d), F.col("month").cast("double"))).alias("loss_pv"),
+        (loss * F.exp(-(F.col("_j") + F.lit(1.0)) * F.lit(log_disc))).alias("loss_pv"),
     )
 

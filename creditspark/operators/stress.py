@@ -30,11 +30,19 @@ def scenario_frame(spark: SparkSession, scenarios: Sequence[Scenario]) -> DataFr
     names = [s.name for s in scenarios]
     if len(set(names)) != len(names):
         raise ValueError(f"scenario names must be unique: {names}")
-    rows = [
-        (s.name, i, float(s.rate_bps), float(s.unemp_pp), float(s.coll_drop), s.unemp_mult)
+    # A VALUES list is a local relation: broadcasting it needs no Spark job.
+    def q(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def d(x) -> str:
+        return f"{float(x)!r}D"
+
+    rows = ", ".join(
+        f"({q(s.name)}, {i}, {d(s.rate_bps)}, {d(s.unemp_pp)}, {d(s.coll_drop)}, {d(s.unemp_mult)})"
         for i, s in enumerate(scenarios)
-    ]
-    return spark.createDataFrame(rows, SCENARIO_SCHEMA)
+    )
+    cols = ", ".join(f.split()[0] for f in SCENARIO_SCHEMA.split(", "))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({cols})")
 
 
 def with_stress(base: DataFrame, scenarios: DataFrame, q_low: Column, q_high: Column,
