@@ -52,12 +52,6 @@ def cut_values(cuts: DataFrame) -> tuple[Column, Column]:
     return cuts.select("q_low").scalar(), cuts.select("q_high").scalar()
 
 
-def with_cuts(df: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Attach q_low / q_high as columns (for display)."""
-    q_low, q_high = cut_values(cuts)
-    return df.select("*", q_low.alias("q_low"), q_high.alias("q_high"))
-
-
 def with_base_tier(df: DataFrame, q_low: Column, q_high: Column) -> DataFrame:
     df = df.withColumn("_tx", tier_key(F.col("PD_12m")))
     return df.withColumn("RiskTier", tier_from_key(F.col("_tx"), q_low, q_high)).drop("_tx")

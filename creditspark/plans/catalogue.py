@@ -23,7 +23,8 @@ from ..operators.lifetime import amortisation_schedule
 from ..operators.quality import issue_sample, issues
 from ..operators.rankings import preview, top_k
 from ..operators.report import (
-    display_base_risk, display_covenants, display_derived_base, display_pricing, display_stressed_risk, mask_pii,
+    display_base_risk, display_covenants, display_derived_base, display_lifetime, display_pricing,
+    display_stressed_risk, mask_pii,
 )
 from ..operators.tiers import tier_cuts, with_threshold_tier
 from ..params import RunParams
@@ -213,8 +214,7 @@ def amortisation_schedule_q(spark, sf_dir):
 
 
 def lifetime_el(spark, sf_dir):
-    life = _run(spark, sf_dir).lifetime()
-    return life.select("LoanID", "Scenario", _r("EL_life_base", MONEY), _r("EL_life_st", MONEY))
+    return display_lifetime(_run(spark, sf_dir).lifetime())
 
 
 def lifetime_totals(spark, sf_dir):

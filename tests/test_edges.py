@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from creditspark.operators.clean import clean
 from creditspark.operators.covenants import with_covenants
-from creditspark.operators.filters import filter_portfolio, filter_tier
+from creditspark.operators.filters import filter_portfolio
 from creditspark.operators.quality import issues
 from creditspark.operators.report import mask_pii
 from creditspark.params import RunParams, Scenario, custom_scenario

@@ -66,3 +66,13 @@ def test_sinks_and_snapshot(spark, scratch):
     assert {r["snapshot_id"] for r in kpis} == {"RPT-TEST"} and len(kpis) == 3
     with pytest.raises(Exception):
         write_snapshot(spark, run, os.path.join(scratch, "snap"), snapshot_id="RPT-TEST")
+
+
+def test_read_portfolio_parquet(spark, scratch):
+    from creditspark.sources.csv import read_portfolio
+    from creditspark.sources.sample import sample_portfolio
+
+    path = os.path.join(scratch, "loans.parquet")
+    sample_portfolio(spark).write.parquet(path)
+    run = run_portfolio(spark, read_portfolio(spark, path))
+    assert run.base.count() == 10
