@@ -92,7 +92,8 @@ def top3_sector_share(view: DataFrame) -> DataFrame:
     top = ead_by(view, "Sector", 3).groupBy("Scenario").agg(F.sum("ead_st").alias("top3_ead"))
     total = view.groupBy("Scenario").agg(_sum0(F.col("EAD_12m_st")).alias("total_ead_st"))
     pos = F.col("total_ead_st") > 0
-    return total.join(top, "Scenario", "left").select(
+    # ``top`` has one row per scenario (at most 64): a bounded broadcast.
+    return total.join(F.broadcast(top), "Scenario", "left").select(
         "Scenario",
         F.coalesce(F.col("top3_ead"), F.lit(0.0)).alias("top3_ead"),
         "total_ead_st",

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import keep_where, np_round
 from ..functions.covenant import badge, headrooms, tightest, worst_headroom
 from ..params import Covenants
+from .rankings import rank_within
 
 WATCH_BADGES = ("Red", "Amber")
 
@@ -38,9 +39,8 @@ def watchlist(cov_df: DataFrame, n: int = 10, severity_first: bool = False, repo
     Reference order sorts the badge *alphabetically* (Amber before Red), then
     worst headroom ascending; ``severity_first`` puts Red first. The report
     rounds to 4 decimals before sorting, which the default follows. LoanID
-    breaks remaining ties. ``row_number <= n`` per scenario is planned as a
-    per-task group limit before the shuffle, so at most n rows per scenario
-    and task are exchanged.
+    breaks remaining ties. The ranking is the two-level ``rank_within``: per-task
+    group limits, then at most 64 x n rows per scenario in the final task.
     """
     worst = np_round(F.col("WorstHeadroom_st"), 4) if report_rounding else F.col("WorstHeadroom_st")
     badge_key = F.when(F.col("Badge_st") == "Red", 0).otherwise(1) if severity_first else F.col("Badge_st")
@@ -49,8 +49,5 @@ def watchlist(cov_df: DataFrame, n: int = 10, severity_first: bool = False, repo
     # below the projections that compute it (which would evaluate the stress
     # chain twice per row).
     watch = F.col("Badge_st").isin(*WATCH_BADGES)
-    w = Window.partitionBy("Scenario").orderBy(
-        watch.desc(), badge_key.asc(), worst.asc_nulls_last(), F.col("LoanID").asc()
-    )
-    ranked = cov_df.withColumn("rank", F.row_number().over(w))
-    return ranked.where((F.col("rank") <= n) & watch)
+    order = [watch.desc(), badge_key.asc(), worst.asc_nulls_last(), F.col("LoanID").asc()]
+    return rank_within(cov_df, "Scenario", order, n).where(watch)

@@ -1,24 +1,47 @@
-"""Top-k rankings (K1-K4).
+"""Top-k rankings (K1-K4) and the ranking primitive used by the watchlist.
 
-Per scenario, ``row_number() <= k`` over ``partitionBy("Scenario")`` is planned
-with a partial group limit ahead of the exchange, so each task sends at most
-k rows per scenario; a single-scenario top-k becomes ``TakeOrderedAndProject``.
-LoanID is the last sort key everywhere, so results do not depend on file order.
+Per group (scenario), the top k rows are found in two levels so that no single
+task ever receives more than ``fan_in * k`` rows of one group, however many
+input partitions there are and however hot the group is:
+
+1. rows are ranked within (group, input partition mod ``fan_in``); Spark runs
+   this ``row_number() <= k`` as a per-task group limit before the exchange, so
+   each task ships at most k rows per group;
+2. the survivors are ranked within the group; each group's reducer sees at most
+   ``fan_in * k`` rows.
+
+Every global top-k row is in the top k of its own first-level slot, so the
+result is exact. LoanID is the last sort key everywhere, so results do not
+depend on file order. A single global top-k is ``TakeOrderedAndProject``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FAN_IN = 64
+
+
+def rank_within(df: DataFrame, by: str, order: list[Column], k: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Rows ranked 1..k per ``by`` under ``order`` (column ``rank``), exactly."""
+    slot = F.pmod(F.spark_partition_id(), F.lit(fan_in))
+    first = (
+        df.withColumn("_slot", slot)
+        .withColumn("_r1", F.row_number().over(Window.partitionBy(by, "_slot").orderBy(*order)))
+        .where(F.col("_r1") <= k)
+        .drop("_slot", "_r1")
+    )
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return ranked.where(F.col("rank") <= k)
+
 
 def top_k(df: DataFrame, measure: str, k: int = 10, by: str | None = "Scenario") -> DataFrame:
     """Rows with the ``k`` largest ``measure`` (NULLs last), per ``by`` group."""
     order = [F.col(measure).desc_nulls_last(), F.col("LoanID").asc()]
     if by is None:
         return df.orderBy(*order).limit(k)
-    w = Window.partitionBy(by).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rank_within(df, by, order, k)
 
 
 def preview(df: DataFrame, n: int = 10) -> DataFrame:
