@@ -69,9 +69,11 @@ def min_partitions(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def ensure_parallelism(df, spark: SparkSession | None = None):
+def ensure_parallelism(df, spark: SparkSession | None = None, key: str | None = None):
     """Spread an input that arrives in fewer partitions than the cluster has
-    cores (one small file, one row group) with a round-robin repartition.
+    cores (one small file, one row group). With a unique ``key`` the rows are
+    hash-partitioned on it (deterministic on recomputation without a sort, and
+    a unique key cannot skew); otherwise round-robin.
 
     Only file scans are checked (their partition count is known without running
     a job). A large input already has at least that many splits and is returned
@@ -84,5 +86,5 @@ def ensure_parallelism(df, spark: SparkSession | None = None):
     except Exception:  # sessions without RDD access: leave the plan alone
         return df
     if current < target:
-        return df.repartition(target)
+        return df.repartition(target, key) if key else df.repartition(target)
     return df

@@ -97,7 +97,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     The order scan drives the loan stream's partitioning; a scan with fewer
     splits than cores (a single small file) is spread out first.
     """
-    orders = ensure_parallelism(read_table(spark, sf_dir, "orders"), spark)
+    orders = ensure_parallelism(read_table(spark, sf_dir, "orders"), spark, key="o_orderkey")
     return loans_from_tables(
         orders,
         read_table(spark, sf_dir, "customer"),
