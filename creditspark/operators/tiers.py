@@ -1,15 +1,16 @@
 """Percentile tier cutpoints and tier assignment.
 
-The cutpoints are one global aggregate over the base PD. Its state is the
-exact ``percentile`` counts map, keyed by distinct PD values; the scorecard
-yields at most a few hundred distinct values (6 score bands x 4 DTI x 4 LTV x
-sector factors), so the partial aggregate per task and the final merge stay
-tiny at any row count. The one-row result is broadcast into the row stream.
+The cutpoints are exact order statistics of the base PD, read from a
+frequency table (count per distinct PD value). The scorecard yields at most a
+few hundred distinct values (6 score bands x 4 DTI x 4 LTV x sector factors),
+so that table is tiny at any row count; it is built with a partial aggregate
+per task and merged per key across reducers. The one-row result enters the
+row stream as scalar subqueries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import (
@@ -24,20 +25,57 @@ from ..functions.scoring import (
 
 
 def tier_cuts(base: DataFrame, pd_col: str = "PD_12m") -> DataFrame:
-    """One row ``(n_pd, q_low, q_high)``: 33/66 percentiles (linear), a fixed
-    fallback below 6 values, widened about the midpoint below a 0.003 gap."""
+    """One row ``(n_pd, q_low, q_high)``: 33/66 percentiles (linear
+    interpolation), a fixed fallback below 6 values, widened about the midpoint
+    below a 0.003 gap.
+
+    The percentile is computed exactly from a frequency table: a count per
+    distinct tier key, which partial aggregation builds per task and reducers
+    merge per key. The scorecard yields at most a few hundred distinct PDs, so
+    the table that the order statistics are read from is tiny, and no single
+    task ever merges one state per input partition.
+    """
     x = tier_key(F.col(pd_col))
-    agg = base.agg(
-        F.count(x).alias("n_pd"),
-        F.percentile(x, F.array(*[F.lit(p) for p in TIER_PERCENTILES])).alias("_q"),
+    # No filter on the key here: Catalyst would push it below the scoring
+    # projections and inline the whole chain into the predicate. A NULL key
+    # forms its own group, which counts for nothing below.
+    freq = base.select(x.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("_c"))
+    freq = freq.select("x", F.when(F.col("x").isNotNull(), F.col("_c")).otherwise(F.lit(0)).alias("c"))
+    # Single-partition windows over the frequency table (bounded by the number
+    # of distinct PD values, not by the loans).
+    cum = freq.select(
+        "x",
+        F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"),
+        F.sum("c").over(Window.partitionBy()).alias("n"),
     )
-    lo, hi = F.col("_q")[0], F.col("_q")[1]
+    lo_p, hi_p = TIER_PERCENTILES
+
+    def order_stat(index: Column) -> Column:
+        """Value at 0-based sorted position ``index``: the first x whose
+        cumulative count exceeds it."""
+        return F.min(F.when(F.col("cum") > index, F.col("x")))
+
+    aggs = [F.max("n").alias("n_pd")]
+    for name, p in (("lo", lo_p), ("hi", hi_p)):
+        pos = (F.col("n") - 1).cast("double") * F.lit(p)
+        aggs += [order_stat(F.floor(pos)).alias(f"_{name}_a"), order_stat(F.ceil(pos)).alias(f"_{name}_b"),
+                 F.max(pos - F.floor(pos)).alias(f"_{name}_t")]
+    stats = cum.agg(*aggs).withColumn("n_pd", F.coalesce(F.col("n_pd"), F.lit(0)).cast("long"))
+
+    def lerp(name: str) -> Column:
+        a, b, t = F.col(f"_{name}_a"), F.col(f"_{name}_b"), F.col(f"_{name}_t")
+        return F.when(t == 0, a).otherwise(a + (b - a) * t)
+
     small = F.col("n_pd") < TIER_MIN_COUNT
-    q_low = F.when(small, F.lit(TIER_FALLBACK[0])).otherwise(lo)
-    q_high = F.when(small, F.lit(TIER_FALLBACK[1])).otherwise(hi)
+    q = stats.select(
+        "n_pd",
+        F.when(small, F.lit(TIER_FALLBACK[0])).otherwise(lerp("lo")).alias("_ql"),
+        F.when(small, F.lit(TIER_FALLBACK[1])).otherwise(lerp("hi")).alias("_qh"),
+    )
+    q_low, q_high = F.col("_ql"), F.col("_qh")
     mid = (q_low + q_high) / F.lit(2.0)
     narrow = (q_high - q_low) < F.lit(TIER_MIN_GAP)
-    return agg.select(
+    return q.select(
         "n_pd",
         F.when(narrow, mid - F.lit(TIER_MIN_GAP / 2)).otherwise(q_low).alias("q_low"),
         F.when(narrow, mid + F.lit(TIER_MIN_GAP / 2)).otherwise(q_high).alias("q_high"),

@@ -234,7 +234,6 @@ def portfolio_pricing(spark, sf_dir):
     return p.select("Scenario", _r("el_rate", PROB), _r("spread_bps", 4), _r("allin_pct", PCT))
 
 
-RANK_COLUMNS = ("LoanID", "Borrower", "Sector", "Geography", "EAD_12m_st", "EL_12m_st", "PD_12m_st", "LGD_st", "RiskTier_st")
 
 
 def _ranked(df: DataFrame, measure: str) -> DataFrame:
