@@ -62,7 +62,7 @@ PY_WHITESPACE = (
 
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: trims that character set from both ends (no regex)."""
-    return F.trim(col(c), F.lit(PY_WHITESPACE))
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def collapse_ws(c) -> Column:
