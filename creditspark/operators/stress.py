@@ -1,8 +1,9 @@
 """Macro stress scenarios.
 
-All scenarios run in one pass: the loan stream is joined with a broadcast
-scenario table (one row per scenario, a handful at most), which multiplies each
-loan into one row per scenario inside the same stage; no loan is shuffled.
+All scenarios run in one pass. The scenarios are parameters, so each loan row
+is expanded into one row per scenario by ``inline`` over a literal array of
+scenario structs: a generator inside the same stage, with no join, no
+broadcast and no shuffle of loans.
 """
 
 from __future__ import annotations
@@ -24,12 +25,8 @@ MAX_SCENARIOS = 64
 
 
 def scenario_frame(spark: SparkSession, scenarios: Sequence[Scenario]) -> DataFrame:
-    """The scenario table (X1); its size is the number of scenarios passed in."""
-    if not 0 < len(scenarios) <= MAX_SCENARIOS:
-        raise ValueError(f"between 1 and {MAX_SCENARIOS} scenarios are supported, got {len(scenarios)}")
-    names = [s.name for s in scenarios]
-    if len(set(names)) != len(names):
-        raise ValueError(f"scenario names must be unique: {names}")
+    """The scenario table (X1) for display and reporting."""
+    _check(scenarios)
     # A VALUES list is a local relation: broadcasting it needs no Spark job.
     def q(text: str) -> str:
         return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -45,12 +42,33 @@ def scenario_frame(spark: SparkSession, scenarios: Sequence[Scenario]) -> DataFr
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({cols})")
 
 
-def with_stress(base: DataFrame, scenarios: DataFrame, q_low: Column, q_high: Column,
+def _check(scenarios: Sequence[Scenario]) -> None:
+    if not 0 < len(scenarios) <= MAX_SCENARIOS:
+        raise ValueError(f"between 1 and {MAX_SCENARIOS} scenarios are supported, got {len(scenarios)}")
+    names = [s.name for s in scenarios]
+    if len(set(names)) != len(names):
+        raise ValueError(f"scenario names must be unique: {names}")
+
+
+def scenario_array(scenarios: Sequence[Scenario]) -> Column:
+    """The scenarios as a literal array of structs (folded into the plan)."""
+    _check(scenarios)
+    return F.array(*[
+        F.struct(
+            F.lit(s.name).alias("Scenario"), F.lit(i).alias("scenario_order"),
+            F.lit(float(s.rate_bps)).alias("rate_bps"), F.lit(float(s.unemp_pp)).alias("unemp_pp"),
+            F.lit(float(s.coll_drop)).alias("coll_drop"), F.lit(float(s.unemp_mult)).alias("unemp_mult"),
+        )
+        for i, s in enumerate(scenarios)
+    ])
+
+
+def with_stress(base: DataFrame, scenarios: Sequence[Scenario], q_low: Column, q_high: Column,
                 dscr_row_fallback: bool = False) -> DataFrame:
     """Stressed cash flows, ratios, PD / LGD / EAD / EL and tier for every
     (loan, scenario). Expects the base columns (with ``_base_pd``,
     ``_sector_f``, ``_haircut``); ``q_low`` / ``q_high`` are the base cutpoints."""
-    df = base.crossJoin(F.broadcast(scenarios))
+    df = base.select("*", F.inline(scenario_array(scenarios)))
     P = F.col("LoanAmount")
     df = df.select(
         "*",

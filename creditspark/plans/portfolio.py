@@ -1,10 +1,10 @@
 """The end-to-end portfolio plan: clean -> filter -> base risk -> cuts ->
 scenarios -> tier view -> covenants / lifetime / pricing.
 
-Everything up to the view is one lazy plan of projections plus two broadcast
-joins of fixed-size tables (the one-row cut table and the scenario table). The
-only aggregate before the view is the cut percentile, whose state is bounded by
-the number of distinct scorecard PDs.
+Everything up to the view is one lazy plan of projections: the scenarios
+expand each loan through a generator over a literal array, and the tier cuts
+enter as one scalar subquery (an aggregate over a frequency table bounded by
+the number of distinct scorecard PDs).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ..operators.enrich import enrich_base
 from ..operators.filters import ALL, EffectiveFilters, filter_portfolio, filter_tier, require_rows
 from ..operators.lifetime import with_lifetime_el
 from ..operators.pricing import with_pricing
-from ..operators.stress import scenario_frame, with_stress
+from ..operators.stress import with_stress
 from ..operators.tiers import cut_values, tier_cuts, with_base_tier, with_threshold_tier
 from ..params import RunParams
 from ..session import ensure_checkpoint_dir
@@ -70,7 +70,7 @@ def run_portfolio(
     cuts = tier_cuts(enriched)
     q_low, q_high = cut_values(cuts)
     base = with_base_tier(enriched, q_low, q_high)
-    stressed = with_stress(base, scenario_frame(spark, params.scenarios), q_low, q_high, params.dscr_row_fallback)
+    stressed = with_stress(base, params.scenarios, q_low, q_high, params.dscr_row_fallback)
     if params.tiering == "threshold":
         # Rule-based tiers from PD and the leverage ratios, base and stressed.
         base = _threshold_tiers(base, "")
