@@ -109,6 +109,7 @@ def write_snapshot(spark: SparkSession, run, root: str, mask: bool = True, snaps
     from .covenants import watchlist
     from .quality import issue_sample, issues
     from .rankings import top_k
+    from .stress import scenario_frame
 
     sid = snapshot_id or new_snapshot_id()
     base = f"{root.rstrip('/')}/{sid}"
@@ -149,6 +150,7 @@ def write_snapshot(spark: SparkSession, run, root: str, mask: bool = True, snaps
         "funding_cost_pct double, masked boolean",
     )
     tables["meta"] = meta
+    tables["scenarios"] = scenario_frame(spark, p.scenarios)
     # Every table below is an aggregate or a top-k: bounded, one file each.
     for name, df in tables.items():
         df.withColumn("snapshot_id", F.lit(sid)).coalesce(1).write.mode("errorifexists").parquet(f"{base}/{name}")

@@ -64,6 +64,8 @@ def test_sinks_and_snapshot(spark, scratch):
     assert loans.count() == 30 and all(r["LoanID"].startswith("****") for r in loans.collect())
     kpis = spark.read.parquet(f"{base}/kpis").collect()
     assert {r["snapshot_id"] for r in kpis} == {"RPT-TEST"} and len(kpis) == 3
+    scen = {r["Scenario"]: r for r in spark.read.parquet(f"{base}/scenarios").collect()}
+    assert scen["Severe"]["rate_bps"] == 250.0 and scen["Adverse"]["unemp_mult"] == 1.2
     with pytest.raises(Exception):
         write_snapshot(spark, run, os.path.join(scratch, "snap"), snapshot_id="RPT-TEST")
 
