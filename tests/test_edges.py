@@ -217,3 +217,18 @@ def test_csv_without_ids_follows_file_order(spark, scratch):
 
     got = {r["LoanID"]: r["LoanAmount"] for r in clean(read_csv_portfolio(spark, p)).collect()}
     assert got["L-001"] == 1000.0 and got["L-030"] == 1029.0 and len(got) == 30
+
+
+def test_empty_and_single_loan_portfolios(spark):
+    from creditspark.operators import aggregates as A
+
+    empty = frame(spark, {}).limit(0)
+    run = run_portfolio(spark, empty)
+    c = run.cuts.collect()[0]
+    assert (c["n_pd"], c["q_low"], c["q_high"]) == (0, 0.02, 0.06)
+    assert run.full().count() == 0 and A.kpis_by_scenario(run.view).count() == 0
+    one_run = run_portfolio(spark, frame(spark, {}))
+    assert one_run.full().count() == 3
+    k = A.kpis_by_scenario(one_run.view).collect()
+    assert len(k) == 3 and all(r["n_loans"] == 1 for r in k)
+    assert A.lifetime_totals(one_run.lifetime()).count() == 3
