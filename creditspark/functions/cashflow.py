@@ -58,25 +58,34 @@ def balance_at(P, R, n, k: int, A, r=None, g_k=None) -> Column:
     return out.when(n <= k, F.lit(0.0)).when(F.abs(r) < ZERO_RATE_EPS, straight).otherwise(amortised)
 
 
-def first_year_interest(P, R, n, A, r=None, g_m=None) -> Column:
+def first_year_interest(P, R, n, A=None, r=None) -> Column:
     """Interest paid over the first ``m = min(12, n)`` months.
 
-    Sum of interest = payments made minus principal repaid:
-    ``A*m - (P - B_m)`` with the unclamped balance ``B_m``; ``g_m`` is
-    ``(1+r)^m``. A negative principal has no meaningful schedule and gives
-    NULL; zero principal 0.
+    With ``q = 1 + r`` the annuity balance is ``B_j = P (q^n - q^j)/(q^n - 1)``,
+    so the interest sum is
+
+        sum_{j<m} r B_j = P (r m q^n - (q^m - 1)) / (q^n - 1),
+
+    evaluated with ``E_k = q^k - 1 = expm1(k log1p(r))``. Unlike
+    ``A*m - (P - B_m)`` it has no ``A/r`` term, so it keeps its precision at
+    tiny rates (where that form cancels to ~1e-5 relative). ``A`` is accepted
+    for call compatibility and not needed. A negative principal has no
+    meaningful schedule and gives NULL; zero principal 0.
     """
-    P, R, n, A = col(P), col(R), col(n), col(A)
+    P, R, n = col(P), col(R), col(n)
     r = monthly_rate(R) if r is None else col(r)
+    nd = n.cast("double")
     m = F.least(n, F.lit(12)).cast("double")
-    g = growth(r, m) if g_m is None else col(g_m)
-    b_m = P * g - A * (g - F.lit(1.0)) / r
+    ln_q = F.log1p(r)
+    e_n = F.expm1(nd * ln_q)
+    e_m = F.expm1(m * ln_q)
+    stable = P * (r * m * (F.lit(1.0) + e_n) - e_m) / e_n
     return (
         F.when(P.isNull() | R.isNull() | n.isNull() | (n <= 0), F.lit(None).cast(_NULL))
         .when(F.abs(r) < ZERO_RATE_EPS, F.lit(0.0))
         .when(P < 0, F.lit(None).cast(_NULL))
         .when(P == 0, F.lit(0.0))
-        .otherwise(A * m - (P - b_m))
+        .otherwise(stable)
     )
 
 
@@ -87,7 +96,6 @@ def cashflow_layers(rate_col: str, sfx: str = "") -> list[list[tuple[str, Column
     P, n, R = F.col("LoanAmount"), F.col("TermMonths"), F.col(rate_col)
     r, g_n, g12 = f"_r{sfx}", f"_gn{sfx}", f"_g12{sfx}"
     A = "MonthlyPayment" + sfx
-    g_m = F.when(n >= 12, F.col(g12)).otherwise(F.col(g_n))
     return [
         [(r, monthly_rate(R))],
         [(g_n, growth(F.col(r), n)), (g12, growth(F.col(r), 12))],
@@ -95,7 +103,7 @@ def cashflow_layers(rate_col: str, sfx: str = "") -> list[list[tuple[str, Column
         [
             ("AnnualDebtService" + sfx, F.col(A) * F.lit(12.0)),
             ("Balance_12m" + sfx, balance_at(P, R, n, 12, A, r=r, g_k=g12)),
-            ("Interest_Y1" + sfx, first_year_interest(P, R, n, A, r=r, g_m=g_m)),
+            ("Interest_Y1" + sfx, first_year_interest(P, R, n, r=r)),
         ],
     ]
 
