@@ -7,9 +7,9 @@ The month-by-month definition is
 with monthly hazard ``p``, survival ``S_j = (1-p)^j``, monthly discount ``d``
 and opening balance ``B_j``. With ``u = (1-p)/(1+d)``, ``v = u(1+r)`` and
 ``G(q) = sum_{j<n} q^j = (q^n - 1)/(q - 1)`` the annuity balance
-``B_j = (P - A/r)(1+r)^j + A/r`` gives
+``B_j = P (q^n - q^j) / (q^n - 1)`` (``q = 1 + r``) gives
 
-    EL = p*LGD/(1+d) * [(P - A/r) G(v) + (A/r) G(u)]
+    EL = p*LGD*P / ((1+d)(q^n - 1)) * [q^n G(u) - G(v)]
 
 and the straight-line (zero-rate) balance ``B_j = P - jP/n`` gives
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .cashflow import ZERO_RATE_EPS, monthly_rate
-from .core import clip, col, safe_div
+from .core import clip, col
 
 # --- Fixed values that must equal the reference's for identical results -----
 HAZARD_PD_FLOOR, HAZARD_PD_CAP = 1e-9, 0.99
@@ -71,16 +71,23 @@ def _weighted_geometric_sum_exact(u: Column, n: Column) -> Column:
     )
 
 
-def lifetime_el_layers(P, R, n, pd12, lgd, discount_rate_annual: float, A, out: str, tag: str):
+def lifetime_el_layers(P, R, n, pd12, lgd, discount_rate_annual: float, out: str, tag: str):
     """Projection layers computing the present value of lifetime expected loss
     (L3) into column ``out``; NULL when any of principal, rate, term (> 0), PD or
-    LGD is missing. Helper columns are named ``_<tag>_*``."""
-    P, R, n, pd12, lgd, A = col(P), col(R), col(n), col(pd12), col(lgd), col(A)
+    LGD is missing. Helper columns are named ``_<tag>_*``.
+
+    Annuity case: with ``q = 1 + r``, ``B_j = P (q^n - q^j)/(q^n - 1)``, so
+    ``EL = p LGD P / ((1+d) E_n) * ((1 + E_n) G(u) - G(v))`` with
+    ``E_n = q^n - 1 = expm1(n log1p(r))``; no ``A/r`` term, hence no
+    cancellation at tiny rates.
+    """
+    P, R, n, pd12, lgd = col(P), col(R), col(n), col(pd12), col(lgd)
     h = lambda name: f"_{tag}_{name}"
     c = lambda name: F.col(h(name))
     d = monthly_discount(discount_rate_annual)
     one_d = F.lit(1.0 + d)
     r = monthly_rate(R)
+    nd = n.cast("double")
     missing = P.isNull() | R.isNull() | n.isNull() | (n <= 0) | pd12.isNull() | lgd.isNull()
     return [
         [(h("p"), monthly_hazard(pd12)), (h("r"), r)],
@@ -88,7 +95,7 @@ def lifetime_el_layers(P, R, n, pd12, lgd, discount_rate_annual: float, A, out:
             (h("lr"), c("p") * clip(lgd, 0.0, 1.0) / one_d),
             (h("xu"), (-c("p") - F.lit(d)) / one_d),
             (h("xv"), (c("r") - c("p") - c("p") * c("r") - F.lit(d)) / one_d),
-            (h("aor"), safe_div(A, c("r"))),
+            (h("en"), F.expm1(nd * F.log1p(c("r")))),
         ],
         [
             (h("gu"), _geometric_sum(c("xu"), n)),
@@ -102,5 +109,5 @@ def lifetime_el_layers(P, R, n, pd12, lgd, discount_rate_annual: float, A, out:
           .when(F.abs(c("r")) < ZERO_RATE_EPS,
                 c("lr") * (P * c("gu") - (P / n) * F.when(F.abs(c("xu")) < 1e-4, _weighted_geometric_sum_exact(c("u"), n))
                            .otherwise(_weighted_geometric_sum(c("u"), n))))
-          .otherwise(c("lr") * ((P - c("aor")) * c("gv") + c("aor") * c("gu"))))],
+          .otherwise(c("lr") * P * ((F.lit(1.0) + c("en")) * c("gu") - c("gv")) / c("en")))],
     ]

@@ -16,9 +16,9 @@ def with_lifetime_el(df: DataFrame, discount_rate: float) -> DataFrame:
     """EL_life_base (base rate, PD, LGD) and EL_life_st (stressed ones), as
     closed forms: a handful of projection layers, no explode, no shuffle."""
     base = lifetime_el_layers("LoanAmount", "InterestRate_clean", "TermMonths", "PD_12m", "LGD", discount_rate,
-                              "MonthlyPayment", "EL_life_base", "lb")
+                              "EL_life_base", "lb")
     stressed = lifetime_el_layers("LoanAmount", "InterestRate_st", "TermMonths", "PD_12m_st", "LGD_st",
-                                  discount_rate, "MonthlyPayment_st", "EL_life_st", "ls")
+                                  discount_rate, "EL_life_st", "ls")
     layers = [b + s for b, s in zip(base, stressed)]
     out = apply_layers(df, layers)
     return out.drop(*[c for c in out.columns if c.startswith("_lb_") or c.startswith("_ls_")])
