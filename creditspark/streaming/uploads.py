@@ -1,47 +1,53 @@
 """Upload folder as a stream: each arriving loan file is scored as one portfolio.
 
 The reference scores a file when a user uploads it. Here a folder receives
-files and Structured Streaming picks them up, one file per micro-batch, so a
-batch is exactly one upload (cutpoints are computed over that upload, as the
-reference does). ``foreachBatch`` runs the same batch plan as ``run_portfolio``
-and writes the enriched loans and the KPIs under ``batch_id=<n>``; with the
-checkpoint location the sink is exactly-once across restarts (a batch that is
-re-run overwrites only its own folder).
+files and Structured Streaming discovers them exactly once (the file source's
+checkpointed log), one file per micro-batch. The stream itself only carries
+file paths (the ``binaryFile`` source with just the ``path`` column selected
+does not read contents); ``foreachBatch`` reads the new file with the batch
+CSV reader, so an upload keeps exactly the batch semantics: header names,
+optional columns present or absent (T3), sniffed separator and encoding. The
+file is then scored as one portfolio (cutpoints over that upload, as the
+reference does), and the enriched loans and the KPIs are written under
+``batch_id=<n>``; a re-run batch overwrites only its own folder, so the sink is
+exactly-once across restarts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..params import RunParams
 from ..plans.portfolio import run_portfolio
-from ..schema import RAW_STRING_SCHEMA
-from ..sources.csv import NA_TOKENS
+from ..sources.csv import read_csv_portfolio
 
+# The binaryFile source's fixed schema (streaming sources need it spelled out).
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
-def upload_stream(spark: SparkSession, in_dir: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Streaming read of loan CSVs with the template header, one file per batch."""
+
+def upload_paths(spark: SparkSession, in_dir: str, glob: str = "*.csv") -> DataFrame:
+    """Streaming list of newly arrived upload files, one per micro-batch."""
     return (
-        spark.readStream.schema(RAW_STRING_SCHEMA)
-        .option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
+        spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE_SCHEMA)
+        .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", 1)
-        .csv(in_dir)
-        .withColumn("_source_file", F.col("_metadata.file_path"))
+        .load(in_dir)
+        .select("path")
     )
 
 
 def _score_batch(out_dir: str, params: RunParams):
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        raw = batch.drop("_source_file").select(
-            *[F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)).alias(c) for c in RAW_STRING_SCHEMA.fieldNames()]
-        )
-        if raw.isEmpty():
+        # At most maxFilesPerTrigger (= 1) paths: a bounded list.
+        paths = [r["path"] for r in batch.select("path").distinct().collect()]
+        if not paths:
             return
+        raw = read_csv_portfolio(spark, paths[0]) if len(paths) == 1 else None
+        if raw is None:
+            raise ValueError(f"one upload per batch expected, got {len(paths)}")
         run = run_portfolio(spark, raw, params, check_empty=False)
         target = f"{out_dir.rstrip('/')}/batch_id={batch_id}"
         run.full().write.mode("overwrite").parquet(f"{target}/loans")
@@ -53,7 +59,7 @@ def _score_batch(out_dir: str, params: RunParams):
 def start_scoring(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                   params: RunParams = RunParams(), available_now: bool = False):
     """Start the scoring query; ``available_now`` processes what is there and stops."""
-    writer = upload_stream(spark, in_dir).writeStream.foreachBatch(_score_batch(out_dir, params)).option(
+    writer = upload_paths(spark, in_dir).writeStream.foreachBatch(_score_batch(out_dir, params)).option(
         "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -1,23 +1,31 @@
-"""Upload-folder stream: two files become two scored batches."""
+"""Upload-folder stream: two files become two scored batches, each with its own columns."""
 
 import os
 
-from creditspark.sources.sample import write_template
+from creditspark.sources.sample import SAMPLE_LOANS, write_template
 from creditspark.streaming.uploads import start_scoring
 
+SAMPLE_HEADER = ("LoanID,Borrower,Sector,Geography,LoanAmount,InterestRate,TermMonths,CreditScore,MonthlyIncome,"
+                 "CollateralType,CollateralValue,CurrentMarketValue,ExistingDTI")
+
 
 def test_two_uploads_two_batches(spark, scratch):
     inbox = os.path.join(scratch, "inbox")
-    write_template(spark, os.path.join(scratch, "t1"))
-    write_template(spark, os.path.join(scratch, "t2"))
     os.makedirs(inbox)
-    for i, d in enumerate(("t1", "t2")):
-        src = [f for f in os.listdir(os.path.join(scratch, d)) if f.endswith(".csv")][0]
-        os.link(os.path.join(scratch, d, src), os.path.join(inbox, f"upload{i}.csv"))
+    write_template(spark, os.path.join(scratch, "t1"))
+    src = [f for f in os.listdir(os.path.join(scratch, "t1")) if f.endswith(".csv")][0]
+    os.link(os.path.join(scratch, "t1", src), os.path.join(inbox, "upload0.csv"))
+    with open(os.path.join(inbox, "upload1.csv"), "w") as f:  # no NOI / EBITDA columns
+        f.write(SAMPLE_HEADER + "\n" + "\n".join(",".join(str(v) for v in row) for row in SAMPLE_LOANS) + "\n")
     out = os.path.join(scratch, "out")
     q = start_scoring(spark, inbox, out, os.path.join(scratch, "ckpt"), available_now=True)
     q.awaitTermination(300)
     batches = sorted(d for d in os.listdir(out) if d.startswith("batch_id="))
     assert len(batches) == 2
-    kpis = spark.read.parquet(os.path.join(out, batches[0], "kpis")).collect()
-    assert len(kpis) == 3 and all(r["n_loans"] == 3 for r in kpis)
+    sizes = sorted(spark.read.parquet(os.path.join(out, b, "loans")).count() for b in batches)
+    assert sizes == [9, 30]  # 3 template loans and 10 sample loans, 3 scenarios each
+    for b in batches:
+        loans = spark.read.parquet(os.path.join(out, b, "loans"))
+        with_noi = "NOI" in loans.columns
+        dscr_null = loans.where("DSCR IS NULL").count() == loans.count()
+        assert dscr_null == with_noi  # T3: NOI column present (empty) -> DSCR NULL everywhere
