@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import with_generated_ids
 from ..schema import check_required
-from ..session import ensure_parallelism
+from ..session import spread_target
 
 # Candidate separators, in preference order for ties.
 SEPARATORS = (",", ";", "\t", "|")
@@ -71,10 +71,12 @@ def read_csv_portfolio(
 
 def _ids_then_spread(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Position-based ids must follow file order, so they are generated on the
-    scan itself, before any repartition spreads the rows."""
+    scan itself, before any repartition spreads the rows. Whether to spread is
+    decided on the plain scan, where the split count needs no job."""
+    target = spread_target(df, spark)
     if "LoanID" not in df.columns:
         df = with_generated_ids(df)
-    return ensure_parallelism(df, spark)
+    return df.repartition(target) if target else df
 
 
 def read_parquet_portfolio(spark: SparkSession, path: str) -> DataFrame:
