@@ -33,7 +33,10 @@ def tier_cuts(base: DataFrame, pd_col: str = "PD_12m") -> DataFrame:
     distinct tier key, which partial aggregation builds per task and reducers
     merge per key. The scorecard yields at most a few hundred distinct PDs, so
     the table that the order statistics are read from is tiny, and no single
-    task ever merges one state per input partition.
+    task ever merges one state per input partition. ``pd_col`` must be a
+    scorecard PD (or another column with a bounded number of distinct values):
+    the order statistics are read with single-partition windows over the
+    frequency table.
     """
     x = tier_key(F.col(pd_col))
     # No filter on the key here: Catalyst would push it below the scoring

@@ -76,3 +76,14 @@ def test_schedule_repays_principal(full):
 def test_masking_never_shows_more_than_four(spark):
     df = catalogue.masked_report(spark, SF)
     assert df.where(~F.col("LoanID").rlike(r"^\*\*\*\*.{0,4}$")).count() == 0
+
+
+def test_distinct_base_pds_are_bounded(full):
+    from creditspark.functions.scoring import (
+        DTI_BANDS, LTV_BANDS, SCORE_BANDS, SECTOR_FACTORS, tier_key,
+    )
+
+    _, df = full
+    bound = (len(SCORE_BANDS) + 1) * (len(DTI_BANDS) + 1) * (len(LTV_BANDS) + 1) * (len(set(SECTOR_FACTORS.values())) + 1)
+    assert bound <= 6 * 4 * 4 * 7
+    assert df.select(tier_key(F.col("PD_12m")).alias("x")).distinct().count() <= bound
