@@ -82,9 +82,15 @@ _NUMBER_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$
 
 
 def to_number(c) -> Column:
-    """``pd.to_numeric(errors='coerce')`` on a string column; NaN never results."""
+    """``pd.to_numeric(errors='coerce')`` on a string column; NaN never results.
+
+    An overflowing literal such as ``1e400`` is unparseable for pandas (missing),
+    while the cast would give infinity; infinity is kept only when spelled out.
+    """
     c = col(c)
-    return F.when(c.rlike(_NUMBER_RE), F.trim(c).try_cast("double"))
+    parsed = F.when(c.rlike(_NUMBER_RE), F.trim(c).try_cast("double"))
+    finite_or_spelled = (F.abs(parsed) != F.lit(float("inf"))) | F.lower(c).contains("inf")
+    return F.when(finite_or_spelled, parsed)
 
 
 def lookup(c, table: dict, default) -> Column:

@@ -232,3 +232,19 @@ def test_empty_and_single_loan_portfolios(spark):
     k = A.kpis_by_scenario(one_run.view).collect()
     assert len(k) == 3 and all(r["n_loans"] == 1 for r in k)
     assert A.lifetime_totals(one_run.lifetime()).count() == 3
+
+
+def test_number_parsing_matches_pandas(spark):
+    import math
+
+    import pandas as pd
+
+    from creditspark.functions.core import to_number
+
+    vals = ["1", " 12 ", "1e3", "-2.5", "+3", ".5", "5.", "inf", "-inf", "+inf", "Infinity", "-Infinity", "INF",
+            "nan", "NaN", "1d", "1f", "0x10", "1,000", "1_000", "", "abc", "1e400", "-1e400", "-0", "1 2", "\t7\n", None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "s string").select(to_number("s")).collect()]
+    for v, g in zip(vals, got):
+        p = pd.to_numeric(pd.Series([v], dtype=object), errors="coerce").iloc[0]
+        p = None if (p is None or (isinstance(p, float) and math.isnan(p))) else float(p)
+        assert p == g or (p is None and g is None), (v, p, g)
