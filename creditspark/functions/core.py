@@ -65,8 +65,14 @@ def strip_ws(c) -> Column:
     return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
+# Python's ``\s`` (str.isspace) as an explicit Java character class: Java's
+# Unicode ``\s`` leaves out the separators U+001C..U+001F that Python counts.
+_PY_WS_CLASS = "[" + "".join(f"\\u{ord(ch):04x}" for ch in PY_WHITESPACE) + "]+"
+
+
 def collapse_ws(c) -> Column:
-    return F.regexp_replace(col(c), r"(?U)\s+", " ")
+    """pandas ``str.replace(r"\\s+", " ", regex=True)``: whitespace runs become one space."""
+    return F.regexp_replace(col(c), _PY_WS_CLASS, " ")
 
 
 def key_of(c) -> Column:

@@ -248,3 +248,16 @@ def test_number_parsing_matches_pandas(spark):
         p = pd.to_numeric(pd.Series([v], dtype=object), errors="coerce").iloc[0]
         p = None if (p is None or (isinstance(p, float) and math.isnan(p))) else float(p)
         assert p == g or (p is None and g is None), (v, p, g)
+
+
+def test_label_normalisation_matches_pandas(spark):
+    import pandas as pd
+
+    from creditspark.operators.clean import normalise_dim
+
+    vals = ["  Real   Estate ", " Retail ", "Real\tEstate", "​X", "NULL ", "None", "  ", "", None, "nan",
+            "Health\x1ccare", "a　b", "x\x1f", "n/a", "NA", "Retail\r\n", "\xa0y "]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "s string").select(normalise_dim(F.col("s"))).collect()]
+    exp = pd.Series(vals, dtype=object).astype(str).str.strip().str.replace(r"\s+", " ", regex=True)
+    exp[exp.str.lower().isin(["", "nan", "none", "null"])] = "Unknown"
+    assert got == list(exp)
