@@ -24,7 +24,8 @@ def mask_pii(df: DataFrame) -> DataFrame:
     if "LoanID" in df.columns:
         out = out.withColumn("LoanID", F.concat(F.lit(MASK_PREFIX), F.right(F.col("LoanID"), F.lit(MASK_KEEP))))
     if "Borrower" in df.columns:
-        out = out.withColumn("Borrower", F.regexp_replace(F.col("Borrower"), "(.)(.*)", "$1" + MASK_SUFFIX))
+        # (?d): only "\n" ends a line, as for Python's "." (Java also stops at "\r").
+        out = out.withColumn("Borrower", F.regexp_replace(F.col("Borrower"), "(?d)(.)(.*)", "$1" + MASK_SUFFIX))
     return out
 
 

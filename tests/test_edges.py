@@ -149,8 +149,11 @@ def test_dirty_sectors(spark):
 
 
 def test_mask(spark):
-    df = spark.createDataFrame([("L-0012", "Alpha Co"), ("ab", None)], "LoanID string, Borrower string")
+    import re
+
+    df = spark.createDataFrame([("L-0012", "Alpha Co"), ("ab", None), ("x", "Al\rpha\nBeta")], "LoanID string, Borrower string")
     got = mask_pii(df).collect()
+    assert got[2]["Borrower"] == re.sub(r"(.)(.*)", r"\1***", "Al\rpha\nBeta")
     assert (got[0]["LoanID"], got[0]["Borrower"]) == ("****0012", "A***")
     assert (got[1]["LoanID"], got[1]["Borrower"]) == ("****ab", None)
 
