@@ -57,6 +57,9 @@ def read_csv_portfolio(
         .option("sep", sep)
         .option("encoding", encoding)
         .option("inferSchema", False)
+        # pandas' default quoting: "" inside a quoted field is one quote.
+        .option("quote", '"')
+        .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("multiLine", False)
         .csv(path)

@@ -78,3 +78,12 @@ def test_read_portfolio_parquet(spark, scratch):
     sample_portfolio(spark).write.parquet(path)
     run = run_portfolio(spark, read_portfolio(spark, path))
     assert run.base.count() == 10
+
+
+def test_doubled_quotes_like_pandas(spark, scratch):
+    import pandas as pd
+
+    text = HEADER + '\nL-1,"Alpha ""Best"" Co, Ltd",Retail,NY,1000,5,12,700\n'
+    p = _write(os.path.join(scratch, "q.csv"), text.encode())
+    row = read_csv_portfolio(spark, p).collect()[0]
+    assert row["Borrower"] == pd.read_csv(p)["Borrower"][0] == 'Alpha "Best" Co, Ltd'
