@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import keep_where
+
 # --- Fixed values that must equal the reference's for identical results -----
 MSG_AMOUNT = "LoanAmount<=0 or missing"
 MSG_TERM = "TermMonths<=0 or missing"
@@ -32,7 +34,9 @@ def issues(clean_df: DataFrame) -> DataFrame:
         cs = F.col("CreditScore")
         rules.append(F.when(cs.isNotNull() & ((cs < SCORE_RANGE[0]) | (cs > SCORE_RANGE[1])), F.lit(MSG_SCORE)))
     rules.append(F.when(coll.isNull() | (coll <= 0), F.lit(MSG_COLLATERAL)))
-    return clean_df.select("LoanID", F.concat_ws(ISSUE_SEPARATOR, *rules).alias("Issues")).where(F.col("Issues") != "")
+    out = clean_df.select("LoanID", F.concat_ws(ISSUE_SEPARATOR, *rules).alias("Issues"))
+    # Filter on the computed text without re-running the cleaning in a pushed-down predicate.
+    return keep_where(out, F.col("Issues") != "")
 
 
 def issue_sample(issues_df: DataFrame, n: int = 10) -> DataFrame:
