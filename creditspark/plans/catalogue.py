@@ -155,6 +155,15 @@ def kpis_by_scenario(spark, sf_dir):
     return k.select("Scenario", "n_loans", *cols)
 
 
+def kpis_tier_high(spark, sf_dir):
+    """KPIs over the stressed High tier (per scenario; all loans where a
+    scenario has no High loan)."""
+    k = agg.kpis_by_scenario(_run(spark, sf_dir, RunParams(tier="High")).view)
+    digits = {"total_ead": TOTAL, "wavg_pd": PROB, "total_el": TOTAL, "pct_high": PCT}
+    cols = [_r(f"{p}_{m}", d) for p in ("base", "st", "delta") for m, d in digits.items()]
+    return k.select("Scenario", "n_loans", *cols)
+
+
 def tier_histogram(spark, sf_dir):
     return agg.tier_histogram(_run(spark, sf_dir).view)
 
@@ -305,6 +314,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kpis_base": kpis_base,
     "stressed_risk": stressed_risk,
     "kpis_by_scenario": kpis_by_scenario,
+    "kpis_tier_high": kpis_tier_high,
     "tier_histogram": tier_histogram,
     "ead_by_sector": ead_by_sector,
     "ead_by_geography": ead_by_geography,

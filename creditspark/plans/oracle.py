@@ -307,6 +307,15 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
           SELECT Scenario, count(*) AS n_loans, {quad('base_', 'EAD_12m', 'PD_12m', 'EL_12m', 'RiskTier')},
                  {quad('st_', 'EAD_12m_st', 'PD_12m_st', 'EL_12m_st', 'RiskTier_st')}
           FROM stressed GROUP BY Scenario) a) b"""
+    sql["kpis_tier_high"] = W + f""", present AS (
+          SELECT Scenario, max(CASE WHEN RiskTier_st = 'High' THEN 1 ELSE 0 END) AS has_high FROM stressed GROUP BY Scenario),
+        tier_view AS (SELECT s.* FROM stressed s JOIN present p ON s.Scenario = p.Scenario
+                      WHERE p.has_high = 0 OR s.RiskTier_st = 'High')
+        SELECT Scenario, n_loans, {kcols}, {dcols} FROM (
+        SELECT Scenario, n_loans, {fin('base_')}, {fin('st_')} FROM (
+          SELECT Scenario, count(*) AS n_loans, {quad('base_', 'EAD_12m', 'PD_12m', 'EL_12m', 'RiskTier')},
+                 {quad('st_', 'EAD_12m_st', 'PD_12m_st', 'EL_12m_st', 'RiskTier_st')}
+          FROM tier_view GROUP BY Scenario) a) b"""
     sql["tier_histogram"] = W + """, hist AS (
           SELECT Scenario, 'base' AS basis, RiskTier AS tier, count(*) AS n FROM stressed GROUP BY 1, 2, 3
           UNION ALL SELECT Scenario, 'stressed', RiskTier_st, count(*) FROM stressed GROUP BY 1, 2, 3),
