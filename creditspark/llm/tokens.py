@@ -17,9 +17,11 @@ import pyarrow as pa
 from creditspark.llm import textbatch as tb
 
 # Pieces remembered by a Python worker; when full, the memory starts anew.
-MEMORY_PIECES = 600_000
+MEMORY_PIECES = 300_000
 # Longer pieces are encoded without being remembered.
 MEMORY_PIECE_BYTES = 64
+# Bytes of text whose ids are gathered at once.
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -178,7 +180,7 @@ def crc32(ids: np.ndarray) -> int:
 def encoded(texts: pa.Array, path: str, end_id: int):
     """Yields ``(row, ids)`` for each text of a batch, with the end id."""
     encoder = Encoder.at(path)
-    for first, end, data, offsets in tb.slices(texts):
+    for first, end, data, offsets in tb.slices(texts, SLICE_BYTES):
         ids, at = encoder.encode(data, offsets)
         for d in range(end - first):
             yield first + d, with_end(ids[at[d]: at[d + 1]], end_id)
