@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import fingerprints, idfiles, packing
+from creditspark.llm import fingerprints, idfiles, mixing, packing
 from creditspark.llm.shared import folder, table
 
 END_ID = 0
@@ -27,6 +27,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path(), END_ID, packing.CAPACITY)
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = idfiles.write(docs, folder(spark, "token-ids"), tokenizer_path(), END_ID)
@@ -36,6 +41,7 @@ def op8_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_source_mix": op7_source_mix,
     "op8_token_id_files": op8_token_id_files,
 }
 
