@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import fingerprints, idfiles, mixing, neardup, packing
+from creditspark.llm import fingerprints, idfiles, mixing, neardup, packing, secretscan
 from creditspark.llm.shared import folder, table
 
 END_ID = 0
@@ -22,6 +22,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_next(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digests(secretscan.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, tokenizer_path(), END_ID, packing.CAPACITY)
@@ -44,6 +48,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_source_mix": op7_source_mix,
     "op8_token_id_files": op8_token_id_files,

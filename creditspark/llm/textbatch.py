@@ -63,13 +63,17 @@ class Words:
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~_SPACE[data]
-    before = np.zeros(len(data), dtype=bool)
+    return runs(~_SPACE[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> Words:
+    """Maximal runs of marked bytes, cut where a text ends."""
+    before = np.zeros(len(inside), dtype=bool)
     before[1:] = inside[:-1]
-    after = np.zeros(len(data), dtype=bool)
+    after = np.zeros(len(inside), dtype=bool)
     after[:-1] = inside[1:]
     edges = offsets[1:-1]
-    before[edges[edges < len(data)]] = False
+    before[edges[edges < len(inside)]] = False
     after[edges[edges > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1

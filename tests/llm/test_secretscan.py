@@ -1,0 +1,100 @@
+"""Operator 3: base spans against plain patterns, planted keys, clean texts."""
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+
+from creditspark.llm import secretscan as ss
+from creditspark.llm.catalogue import QUERIES
+
+SCHEMA = "doc_id long, text string, spans string, bin int"
+
+
+def brute(text):
+    text = text or ""
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(ss.KINDS[k], a, b) for a, k, b in sorted(found)]
+
+
+def base_of(row):
+    return [tuple(s) for s in row.spans if s.kind != "random"]
+
+
+def test_base_spans_equal_the_patterns(spark):
+    rng = random.Random(4)
+    parts = ["password", "PassWD", "toKen", "ſecret", "secret", "api_key", "APIKEY", "\"", "'", " ", "  ", ":", "=", "abc12", "abcdef",
+             "x/y+z=", "AKIA", "AKIAABCDEF", "0123456789", "deadbeef", "é", "😀", "\n", "ABCD0123"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 30))), "", 0) for i in range(4000)]
+    rows += [(-1, None, None, None), (None, "token=abcdef", "", 0), (-2, "", "", 0), (-1, "é" * 50_000 + " secret: 123456 " + "x" * 50_000, "", 0)]
+    got = ss.scan(spark.createDataFrame(rows, SCHEMA), cutoff={}).collect()
+    want = sorted(((d, brute(t)) for d, t, *_ in rows), key=repr)
+    assert sorted(((r.doc_id, base_of(r)) for r in got), key=repr) == want
+
+
+def prose(rng, n):
+    syllables = "the an re on ti er ing st nd tion ha ent ed is or at".split()
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 9))) for _ in range(n))
+
+
+def planted(rng):
+    raw = rng.randbytes(36)
+    return rng.choice([base64.b64encode(raw).decode().rstrip("="), base64.b32encode(raw).decode().rstrip("="),
+                       "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(44))])
+
+
+def test_random_keys_are_found_and_ordinary_strings_are_not(spark):
+    rng = random.Random(9)
+    rows, keys = [], {}
+    for i in range(400):
+        text = prose(rng, 300)
+        if i % 4 == 0:
+            keys[i] = planted(rng)
+            text = f"{text[:500]} ({keys[i]}) {text[500:]}"
+        elif i % 4 == 1:
+            text += " internationalisation2024andlocalisation release-2024-01-15-version-2 aaaaaaaaaaaaaaaaaaaaaaaaaaaa1111"
+        rows.append((i, text, "", 0))
+    got = {r.doc_id: [rows[r.doc_id][1][s.start: s.end] for s in r.spans if s.kind == "random"]
+           for r in ss.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(keys[i] in " ".join(got[i]) for i in keys) >= 0.9 * len(keys)
+    assert sum(len(v) for i, v in got.items() if i not in keys) <= 2
+
+
+def test_battery_on_random_and_patterned_strings():
+    rng = np.random.default_rng(0)
+    hexes = np.frombuffer("".join(rng.choice(list("0123456789abcdef"), 40 * 2000)).encode(), dtype=np.uint8)
+    lengths = np.full(2000, 40)
+    p = ss.battery(hexes, lengths, ss.infer(hexes, lengths))
+    assert 0.3 < np.median(p) < 0.7 and (p < 0.05).mean() < 0.12
+    odd = [b"0123456789abcdef" * 3, b"a1" * 24, b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa11111111"]
+    flat, n = np.frombuffer(b"".join(odd), dtype=np.uint8), np.array([48, 48, 48])
+    assert (ss.battery(flat, n, ss.infer(flat, n)) < 1e-3).all()
+
+
+def test_redaction(spark):
+    rows = [(1, "é token = \"abcdef123\" end", "s", 1), (2, None, None, None), (3, "AKIA" + "A" * 20 + " x", "", 2), (4, "", "", 0)]
+    got = {r.doc_id: r for r in ss.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].text == "é [SECRET]\" end" and got[2].text is None and got[3].text == "[SECRET] x" and got[4].text == ""
+    assert got[1].spans == "s" and got[3].bin == 2
+    assert ss.redact(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op3_secret_scan"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute(texts[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in ss.KINDS[:3])
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert {*joined.split(",")} <= {*r.spans.split(","), ""}
+    assert sum(r.n_random for r in rows) <= 2
