@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import fingerprints, idfiles, mixing, neardup, packing, secretscan
+from creditspark.llm import fingerprints, idfiles, mixing, neardup, packing, qualityrules, secretscan
 from creditspark.llm.shared import folder, table
 
 END_ID = 0
@@ -31,6 +31,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path(), END_ID, packing.CAPACITY)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualityrules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op3_secret_scan": op3_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_source_mix": op7_source_mix,
     "op8_token_id_files": op8_token_id_files,
     "op9_near_duplicates": op9_near_duplicates,
