@@ -242,3 +242,14 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``mix`` for documents that each have one source."""
     items = cut(sizes(docs, "source").withColumn("sources", F.array(F.col("source").cast("string"))))
     return mix(items, seed=seed)
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them (left out if never)."""
+    keys = [F.xxhash64("doc_id", "source", "text", F.lit(k)).alias(f"mix_key{k}") for k in (1, 2)]
+    names = ["mix_key1", "mix_key2"]
+    narrow = docs.select("doc_id", "source", "text", *keys)
+    items = cut(sizes(narrow, "source", *names).withColumn("sources", F.array(F.col("source").cast("string"))))
+    copies = mix(items, seed=seed).groupBy(*names).agg(F.sum("copies").alias("mix_copies")).where("mix_copies > 0")
+    taken = docs.select("*", *keys).dropDuplicates(names).join(copies, names)
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)

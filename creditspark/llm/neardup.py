@@ -307,3 +307,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, s: float = 0.8) -> DataFram
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def without_copies(docs: DataFrame, words: int = 5, s: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one with
+    the smallest doc_id. Equal rows count once; rows without a doc_id stay."""
+    kept = near_duplicates(docs, words, s).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -344,25 +344,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(costs, index, weights, bias)
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """doc_id, score and ``keep`` columns for each row of ``docs``."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the score of each row's text as a last column, named
+    toxicity_score (with underscores before it where that name is taken)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS
+    at, name = docs.columns.index("text"), "toxicity_score"
+    while name in docs.columns:
+        name = "_" + name
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         restorer = Restorer(m.costs)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scores(batch.column(batch.schema.get_field_index("text")), restorer))],
-                                             names=[*batch.schema.names, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scores(batch.column(at), restorer))],
+                                             names=[*batch.schema.names, name])
 
-    names = dict.fromkeys(["doc_id", "text", *keep])
-    rows = docs.select(*[F.col(c) for c in names])
-    return rows.mapInArrow(scored, T.StructType([*rows.schema.fields, T.StructField("toxicity_score", T.DoubleType())]))
+    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``."""
-    rows = score(docs, train(docs, labels))
+    rows = score(docs.select("doc_id", "text"), train(docs, labels))
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"),
                        F.col("toxicity_score").alias("score"),
                        F.when(F.col("toxicity_score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic."""
+    rows = score(docs, train(docs, labels))
+    return rows.where(F.col(rows.columns[-1]) < 0.5).select(*docs.columns)
