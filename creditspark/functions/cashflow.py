@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import col, lit
+from .core import col, lit, nan_to_null
 
 ZERO_RATE_EPS = 1e-12
 _NULL = "double"
@@ -31,7 +31,8 @@ def payment(P, R, n, r=None, g_n=None) -> Column:
     """Level monthly payment of an annuity; NULL on missing inputs or n <= 0.
 
     ``P*(1+r)^n / (((1+r)^n - 1)/r)``, i.e. ``pmt(r, n, -P)``; ``P/n`` when
-    the monthly rate is (numerically) zero.
+    the monthly rate is (numerically) zero. Where the growth factor overflows
+    (a very long term or high rate) the payment is missing, not NaN.
     """
     P, R, n = col(P), col(R), col(n)
     r = monthly_rate(R) if r is None else col(r)
@@ -40,7 +41,7 @@ def payment(P, R, n, r=None, g_n=None) -> Column:
     return (
         F.when(P.isNull() | R.isNull() | n.isNull() | (n <= 0), F.lit(None).cast(_NULL))
         .when(F.abs(r) < ZERO_RATE_EPS, P / n)
-        .otherwise(annuity)
+        .otherwise(nan_to_null(annuity))
     )
 
 
@@ -55,10 +56,10 @@ def balance_at(P, R, n, k: int, A, r=None, g_k=None) -> Column:
     out = F.when(P.isNull() | R.isNull() | n.isNull(), F.lit(None).cast(_NULL))
     if k <= 0:
         return out.otherwise(P)
-    return out.when(n <= k, F.lit(0.0)).when(F.abs(r) < ZERO_RATE_EPS, straight).otherwise(amortised)
+    return out.when(n <= k, F.lit(0.0)).when(F.abs(r) < ZERO_RATE_EPS, straight).otherwise(nan_to_null(amortised))
 
 
-def first_year_interest(P, R, n, A=None, r=None) -> Column:
+def first_year_interest(P, R, n, r=None) -> Column:
     """Interest paid over the first ``m = min(12, n)`` months.
 
     With ``q = 1 + r`` the annuity balance is ``B_j = P (q^n - q^j)/(q^n - 1)``,
@@ -68,9 +69,8 @@ def first_year_interest(P, R, n, A=None, r=None) -> Column:
 
     evaluated with ``E_k = q^k - 1 = expm1(k log1p(r))``. Unlike
     ``A*m - (P - B_m)`` it has no ``A/r`` term, so it keeps its precision at
-    tiny rates (where that form cancels to ~1e-5 relative). ``A`` is accepted
-    for call compatibility and not needed. A negative principal has no
-    meaningful schedule and gives NULL; zero principal 0.
+    tiny rates (where that form cancels to ~1e-5 relative). A negative principal
+    has no meaningful schedule and gives NULL; zero principal 0; overflow NULL.
     """
     P, R, n = col(P), col(R), col(n)
     r = monthly_rate(R) if r is None else col(r)
@@ -85,7 +85,7 @@ def first_year_interest(P, R, n, A=None, r=None) -> Column:
         .when(F.abs(r) < ZERO_RATE_EPS, F.lit(0.0))
         .when(P < 0, F.lit(None).cast(_NULL))
         .when(P == 0, F.lit(0.0))
-        .otherwise(stable)
+        .otherwise(nan_to_null(stable))
     )
 
 

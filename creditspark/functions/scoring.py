@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..params import PD_ST_CAP, PD_ST_FLOOR
 from .core import clip, col, key_of, lit, lookup
 
 # --- Fixed values that must equal the reference's for identical results -----
@@ -83,8 +84,8 @@ def pd_scorecard(credit_score, dti, ltv, sector=None, sector_f=None, base_pd=Non
 
 
 def stressed_pd(pd_pre_unemp, unemp_mult) -> Column:
-    """Unemployment multiplier and wider bounds [0.002, 0.60]."""
-    return clip(col(pd_pre_unemp) * lit(unemp_mult), 0.002, 0.60)
+    """Unemployment multiplier and the wider stressed bounds."""
+    return clip(col(pd_pre_unemp) * lit(unemp_mult), PD_ST_FLOOR, PD_ST_CAP)
 
 
 def haircut(coll_type) -> Column:

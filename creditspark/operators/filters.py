@@ -24,7 +24,8 @@ TIERS = ("Low", "Medium", "High")
 class EffectiveFilters:
     sector: str
     geography: str
-    notes: tuple[str, ...] = ()
+    # (dimension, value) of a filter that matched nothing and was dropped.
+    notes: tuple[tuple[str, str], ...] = ()
 
 
 def _apply(df: DataFrame, sector: str, geography: str) -> DataFrame:
@@ -41,19 +42,19 @@ def filter_portfolio(df: DataFrame, sector: str = ALL, geography: str = ALL) ->
     notes = []
     if (sector != ALL or geography != ALL) and out.isEmpty():
         if geography != ALL:
-            notes.append(f"No loans for Geography='{geography}' with Sector='{sector}'; Geography=All used")
+            notes.append(("geography", geography))
             geography = ALL
         elif sector != ALL:
-            notes.append(f"No loans for Sector='{sector}'; Sector=All used")
+            notes.append(("sector", sector))
             sector = ALL
         out = _apply(df, sector, geography)
     return out, EffectiveFilters(sector, geography, tuple(notes))
 
 
-def require_rows(df: DataFrame) -> DataFrame:
+def require_rows(df: DataFrame, sector: str = ALL, geography: str = ALL) -> DataFrame:
     """stop when no loans remain."""
     if df.isEmpty():
-        raise EmptyPortfolioError("No loans remain after applying the current filters.")
+        raise EmptyPortfolioError(sector, geography)
     return df
 
 

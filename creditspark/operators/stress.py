@@ -21,7 +21,6 @@ from .clean import optional
 from .enrich import dscr_expr
 
 SCENARIO_SCHEMA = "Scenario string, scenario_order int, rate_bps double, unemp_pp double, coll_drop double, unemp_mult double"
-MAX_SCENARIOS = 64
 
 
 def scenario_frame(spark: SparkSession, scenarios: Sequence[Scenario]) -> DataFrame:
@@ -43,8 +42,8 @@ def scenario_frame(spark: SparkSession, scenarios: Sequence[Scenario]) -> DataFr
 
 
 def _check(scenarios: Sequence[Scenario]) -> None:
-    if not 0 < len(scenarios) <= MAX_SCENARIOS:
-        raise ValueError(f"between 1 and {MAX_SCENARIOS} scenarios are supported, got {len(scenarios)}")
+    if not scenarios:
+        raise ValueError("at least one scenario is needed")
     names = [s.name for s in scenarios]
     if len(set(names)) != len(names):
         raise ValueError(f"scenario names must be unique: {names}")

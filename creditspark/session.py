@@ -62,35 +62,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
-
-
-def min_partitions(spark: SparkSession) -> int:
-    """Parallelism floor for row-wise scoring: the cluster's default parallelism."""
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def spread_target(df, spark: SparkSession | None = None) -> int | None:
-    """The partition count to spread ``df`` to, or None when it already has at
-    least one split per core. Call it on a plain scan (no joins): the count of
-    file splits is then known without running any job."""
-    spark = spark or df.sparkSession
-    try:
-        target = min_partitions(spark)
-        current = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access: leave the plan alone
-        return None
-    return target if current < target else None
-
-
-def ensure_parallelism(df, spark: SparkSession | None = None, key: str | None = None):
-    """Spread an input that arrives in fewer partitions than the cluster has
-    cores (one small file, one row group). With a unique ``key`` the rows are
-    hash-partitioned on it (deterministic on recomputation without a sort, and
-    a unique key cannot skew); otherwise round-robin. A large input already has
-    at least that many splits and is returned unchanged, so no shuffle is added
-    at scale. ``df`` should be a plain scan (see ``spread_target``).
-    """
-    target = spread_target(df, spark)
-    if target is None:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)

@@ -49,7 +49,7 @@ def loans():
 def test_lifetime_and_interest_match_loop(spark, loans):
     df = spark.createDataFrame(loans, "id int, LoanAmount double, R double, TermMonths int, pd double, lgd double")
     df = df.withColumn("A", payment("LoanAmount", "R", "TermMonths"))
-    df = df.withColumn("iy", first_year_interest("LoanAmount", "R", "TermMonths", "A"))
+    df = df.withColumn("iy", first_year_interest("LoanAmount", "R", "TermMonths"))
     df = apply_layers(df, lifetime_el_layers("LoanAmount", "R", "TermMonths", "pd", "lgd", DISCOUNT, "el", "t"))
     got = {r["id"]: (r["iy"], r["el"]) for r in df.select("id", "iy", "el").collect()}
     for i, P, R, n, pd, lgd in loans:

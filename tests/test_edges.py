@@ -10,9 +10,9 @@ from creditspark.operators.quality import issues
 from creditspark.operators.report import mask_pii
 from creditspark.params import RunParams, Scenario, custom_scenario
 from creditspark.plans.portfolio import run_portfolio
-from creditspark.schema import MissingColumnsError, RAW_STRING_SCHEMA
+from creditspark.schema import MissingColumnsError, TEMPLATE_COLUMNS
 
-COLS = [f.name for f in RAW_STRING_SCHEMA.fields if f.name not in ("NOI", "EBITDA")]
+COLS = [c for c in TEMPLATE_COLUMNS if c not in ("NOI", "EBITDA")]
 BASE_ROW = dict(LoanID="E-1", Borrower="Alpha Co", Sector="Retail", Geography="NY", LoanAmount="1200",
                 InterestRate="6", TermMonths="12", CreditScore="700", MonthlyIncome="5000", CollateralType="Equipment",
                 CollateralValue="2000", CurrentMarketValue="1900", ExistingDTI="0.2")

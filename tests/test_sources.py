@@ -8,8 +8,8 @@ from creditspark.operators.clean import clean
 from creditspark.operators.covenants import exceptions
 from creditspark.operators.report import display_pricing, write_exceptions_csv, write_pricing_table, write_snapshot
 from creditspark.plans.portfolio import run_portfolio
-from creditspark.schema import MissingColumnsError
-from creditspark.sources.csv import read_csv_portfolio, sniff
+from creditspark.schema import MalformedRowsError, MissingColumnsError
+from creditspark.sources.csv import encodings, read_csv_portfolio
 from creditspark.sources.sample import sample_portfolio, write_template
 
 HEADER = "LoanID,Borrower,Sector,Geography,LoanAmount,InterestRate,TermMonths,CreditScore"
@@ -23,7 +23,7 @@ def _write(path, data: bytes):
 
 def test_latin1(spark, scratch):
     p = _write(os.path.join(scratch, "l1.csv"), (HEADER + "\nL-1,Caf\xe9 Co,Retail,NY,1000,5,12,700\n").encode("latin-1"))
-    assert sniff(spark, p) == (",", "ISO-8859-1")
+    assert list(encodings(spark, p)) == ["ISO-8859-1"]
     row = read_csv_portfolio(spark, p).collect()[0]
     assert row["Borrower"] == "Café Co"
 
@@ -87,3 +87,46 @@ def test_doubled_quotes_like_pandas(spark, scratch):
     p = _write(os.path.join(scratch, "q.csv"), text.encode())
     row = read_csv_portfolio(spark, p).collect()[0]
     assert row["Borrower"] == pd.read_csv(p)["Borrower"][0] == 'Alpha "Best" Co, Ltd'
+
+
+def test_encoding_from_every_line(spark, scratch):
+    """The first byte that is not UTF-8 is on line 1,000."""
+    lines = [HEADER] + [f"L-{i},Co {i},Retail,NY,1000,5,12,700" for i in range(998)] + ["L-x,Caf\xe9,H\xf4tellerie,NY,1,5,12,700"]
+    p = _write(os.path.join(scratch, "late.csv"), "\n".join(lines).encode("latin-1"))
+    row = read_csv_portfolio(spark, p).where("LoanID = 'L-x'").collect()[0]
+    assert (row["Borrower"], row["Sector"]) == ("Caf\u00e9", "H\u00f4tellerie")
+
+
+def test_folder_of_two_encodings(spark, scratch):
+    folder = os.path.join(scratch, "two")
+    os.makedirs(folder)
+    _write(os.path.join(folder, "a.csv"), (HEADER + "\nL-1,Caf\u00e9,Retail,NY,1000,5,12,700\n").encode("utf-8"))
+    _write(os.path.join(folder, "b.csv"), (HEADER + "\nL-2,Caf\u00e9,Retail,NY,1000,5,12,700\n").encode("latin-1"))
+    assert {r["Borrower"] for r in read_csv_portfolio(spark, folder).collect()} == {"Caf\u00e9"}
+
+
+def test_rows_that_do_not_fit_are_errors(spark, scratch):
+    good = "L-1,Alpha,Retail,NY,1000,5,12,700\n"
+    surplus = _write(os.path.join(scratch, "s.csv"), (HEADER + "\n" + good + "L-2,Alpha, Ltd,Retail,NY,1000,5,12,700\n").encode())
+    with pytest.raises(MalformedRowsError) as e:
+        read_csv_portfolio(spark, surplus)
+    assert (e.value.surplus, e.value.unbalanced) == (1, 0)
+    broken = _write(os.path.join(scratch, "b.csv"), (HEADER + '\n' + good + 'L-2,"Al\npha",Retail,NY,1000,5,12,700\n').encode())
+    with pytest.raises(MalformedRowsError) as e:
+        read_csv_portfolio(spark, broken)
+    assert e.value.unbalanced >= 1
+    assert [r["Borrower"] for r in read_csv_portfolio(spark, broken, multi_line=True).collect()] == ["Alpha", "Al\npha"]
+    short = _write(os.path.join(scratch, "short.csv"), (HEADER + "\nL-1,Alpha,Retail,NY,1000,5,12\n" + good).encode())
+    assert [r["CreditScore"] for r in read_csv_portfolio(spark, short).collect()] == [None, "700"]
+    quoted = _write(os.path.join(scratch, "q2.csv"), (HEADER + '\nL-1,"a,b,c,d,e,f,g",Retail,NY,1000,5,12\n').encode())
+    assert read_csv_portfolio(spark, quoted).count() == 1
+
+
+def test_another_header_is_an_error(spark, scratch):
+    folder = os.path.join(scratch, "headers")
+    os.makedirs(folder)
+    _write(os.path.join(folder, "a.csv"), (HEADER + "\nL-1,A,Retail,NY,1000,5,12,700\n").encode())
+    swapped = HEADER.replace("Sector,Geography", "Geography,Sector")
+    _write(os.path.join(folder, "b.csv"), (swapped + "\nL-2,B,NY,Retail,1000,5,12,700\n").encode())
+    with pytest.raises(Exception, match="header"):
+        read_csv_portfolio(spark, folder).collect()
