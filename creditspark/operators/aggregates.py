@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import np_round
+from ..functions.scoring import tier_from_key, tier_key
 from ..params import Pricing
+from .tiers import with_window_cuts
 
 TIER_ORDER = ("Low", "Medium", "High")
 
@@ -43,18 +45,85 @@ def kpi_finish(prefix: str) -> list[Column]:
     ]
 
 
+_SIDES = (("base_", "", "tx"), ("st_", "_st", "tx_st"))
+
+
+def _grouped(df: DataFrame, by: list[str], sides) -> DataFrame:
+    """Sums and counts per ``by`` and tier key(s): the one pass over the loans.
+    PDs are discrete, so the keys and with them the table are few."""
+    keys = [tier_key(F.col(f"PD_12m{sfx}")).alias(tx) for _, sfx, tx in sides]
+    sums = []
+    for prefix, sfx, _ in sides:
+        e = F.col(f"EAD_12m{sfx}")
+        sums += [F.sum(e).alias(f"{prefix}ead"), F.sum(F.col(f"PD_12m{sfx}") * e).alias(f"{prefix}pd_ead"),
+                 F.sum(f"EL_12m{sfx}").alias(f"{prefix}el")]
+    return df.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("n_loans"), *sums)
+
+
+def _tiered(grouped: DataFrame, by: list[str], sides) -> DataFrame:
+    df = with_window_cuts(grouped, by)
+    for prefix, _, tx in sides:
+        df = df.withColumn(f"{prefix}tier", tier_from_key(tx, F.col("q_low"), F.col("q_high")))
+    return df
+
+
+def _totals(prefix: str) -> list[Column]:
+    e = F.col(f"{prefix}ead")
+    return [
+        _sum0(e).alias(f"{prefix}total_ead"),
+        _sum0(F.col(f"{prefix}pd_ead")).alias(f"_{prefix}pd_ead"),
+        _sum0(F.col(f"{prefix}el")).alias(f"{prefix}total_el"),
+        _sum0(F.when(F.col(f"{prefix}tier") == "High", e)).alias(f"_{prefix}high_ead"),
+    ]
+
+
+def tier_table(scenarios: DataFrame, tier: str = "All") -> DataFrame:
+    """The grouped table of a stressed run, percentile tiers assigned from it,
+    in one pass over ``scenarios`` (one row per loan and scenario, no tiers
+    needed). Cuts come from all loans of a scenario, which are the base loans;
+    ``tier`` then keeps one stressed tier where it occurs (F4)."""
+    df = _tiered(_grouped(scenarios, ["Scenario"], _SIDES), ["Scenario"], _SIDES)
+    if tier == "All":
+        return df
+    chosen = F.col("st_tier") == tier
+    present = F.max(chosen).over(Window.partitionBy("Scenario"))
+    return df.withColumn("_present", present).where(chosen | ~F.col("_present")).drop("_present")
+
+
+def kpis_base_one_pass(base: DataFrame) -> DataFrame:
+    """A1 from the base loans without tiers."""
+    sides = (("", "", "tx"),)
+    grouped = _tiered(_grouped(base, [], sides), [], sides)
+    return grouped.agg(*_totals("")).select(*kpi_finish(""))
+
+
+def kpis_one_pass(table: DataFrame) -> DataFrame:
+    """A2, A3, A11 from ``tier_table``."""
+    agg = table.groupBy("Scenario").agg(F.sum("n_loans").alias("n_loans"), *_totals("base_"), *_totals("st_"))
+    return _with_deltas(agg)
+
+
+def tier_histogram_one_pass(table: DataFrame) -> DataFrame:
+    """A4 from ``tier_table``."""
+    return _histogram(table, "base_tier", "st_tier", F.col("n_loans"))
+
+
 def kpis_base(base: DataFrame) -> DataFrame:
-    """A1: base KPIs over the whole filtered table (one row)."""
+    """A1: base KPIs over a table that already has tiers (one row)."""
     return base.agg(*kpi_aggs("EAD_12m", "PD_12m", "EL_12m", "RiskTier", "")).select(*kpi_finish(""))
 
 
 def kpis_by_scenario(view: DataFrame) -> DataFrame:
-    """Loans in view, base and stressed KPIs and their deltas."""
-    agg = view.groupBy("Scenario").agg(
+    """A2, A3, A11 over a table that already has tiers (rule-based ones, say)."""
+    return _with_deltas(view.groupBy("Scenario").agg(
         F.count(F.lit(1)).alias("n_loans"),
         *kpi_aggs("EAD_12m", "PD_12m", "EL_12m", "RiskTier", "base_"),
         *kpi_aggs("EAD_12m_st", "PD_12m_st", "EL_12m_st", "RiskTier_st", "st_"),
-    )
+    ))
+
+
+def _with_deltas(agg: DataFrame) -> DataFrame:
+    """Loans in view, base and stressed KPIs and their deltas."""
     out = agg.select("Scenario", "n_loans", *kpi_finish("base_"), *kpi_finish("st_"))
     return out.select(
         "*",
@@ -63,16 +132,18 @@ def kpis_by_scenario(view: DataFrame) -> DataFrame:
 
 
 def tier_histogram(view: DataFrame) -> DataFrame:
-    """A4: loans per tier, base and stressed, zero-filled over Low/Medium/High.
+    """A4 over a table that already has tiers."""
+    return _histogram(view, "RiskTier", "RiskTier_st", F.lit(1))
+
 
-    Conditional counts per scenario, then ``stack`` unpivots them: the zero rows
-    exist without a join against a tier domain.
-    """
+def _histogram(df: DataFrame, base: str, stressed: str, weight: Column) -> DataFrame:
+    """Loans per tier, base and stressed, zero-filled over Low/Medium/High:
+    conditional sums per scenario, unpivoted by ``stack`` without a join."""
     aggs = []
-    for basis, col_name in (("base", "RiskTier"), ("stressed", "RiskTier_st")):
+    for basis, col_name in (("base", base), ("stressed", stressed)):
         for t in TIER_ORDER:
-            aggs.append(F.count(F.when(F.col(col_name) == t, 1)).alias(f"{basis}_{t}"))
-    wide = view.groupBy("Scenario").agg(*aggs)
+            aggs.append(F.sum(F.when(F.col(col_name) == t, weight).otherwise(0)).cast("long").alias(f"{basis}_{t}"))
+    wide = df.groupBy("Scenario").agg(*aggs)
     args = []
     for basis in ("base", "stressed"):
         for i, t in enumerate(TIER_ORDER):
@@ -88,15 +159,15 @@ def ead_by(view: DataFrame, key: str, n: int = 10, measure: str = "EAD_12m_st")
 
 
 def top3_sector_share(view: DataFrame) -> DataFrame:
-    """Share of the three largest sectors in stressed EAD, percent."""
-    top = ead_by(view, "Sector", 3).groupBy("Scenario").agg(F.sum("ead_st").alias("top3_ead"))
-    total = view.groupBy("Scenario").agg(_sum0(F.col("EAD_12m_st")).alias("total_ead_st"))
+    """Share of the three largest sectors in stressed EAD, percent. The
+    total is the sum over the grouped sectors, so the loans are read once."""
+    sums = view.groupBy("Scenario", "Sector").agg(_sum0(F.col("EAD_12m_st")).alias("ead_st"))
+    w = Window.partitionBy("Scenario").orderBy(F.col("ead_st").desc_nulls_last(), F.col("Sector").asc())
+    totals = sums.withColumn("rank", F.row_number().over(w)).groupBy("Scenario").agg(
+        F.sum(F.when(F.col("rank") <= 3, F.col("ead_st"))).alias("top3_ead"), F.sum("ead_st").alias("total_ead_st"))
     pos = F.col("total_ead_st") > 0
-    # ``top`` has one row per scenario (at most 64): a bounded broadcast.
-    return total.join(F.broadcast(top), "Scenario", "left").select(
-        "Scenario",
-        F.coalesce(F.col("top3_ead"), F.lit(0.0)).alias("top3_ead"),
-        "total_ead_st",
+    return totals.select(
+        "Scenario", "top3_ead", "total_ead_st",
         F.when(pos, F.col("top3_ead") / F.when(pos, F.col("total_ead_st")) * F.lit(100.0)).alias("top3_share_pct"),
     )
 

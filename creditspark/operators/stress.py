@@ -62,11 +62,10 @@ def scenario_array(scenarios: Sequence[Scenario]) -> Column:
     ])
 
 
-def with_stress(base: DataFrame, scenarios: Sequence[Scenario], q_low: Column, q_high: Column,
-                dscr_row_fallback: bool = False) -> DataFrame:
-    """Stressed cash flows, ratios, PD / LGD / EAD / EL and tier for every
-    (loan, scenario). Expects the base columns (with ``_base_pd``,
-    ``_sector_f``, ``_haircut``); ``q_low`` / ``q_high`` are the base cutpoints."""
+def stress_risk(base: DataFrame, scenarios: Sequence[Scenario], dscr_row_fallback: bool = False) -> DataFrame:
+    """Stressed cash flows, ratios, PD / LGD / EAD / EL for every (loan,
+    scenario). Expects the base columns (with ``_base_pd``, ``_sector_f``,
+    ``_haircut``)."""
     df = base.select("*", F.inline(scenario_array(scenarios)))
     P = F.col("LoanAmount")
     df = df.select(
@@ -91,11 +90,11 @@ def with_stress(base: DataFrame, scenarios: Sequence[Scenario], q_low: Column, q
         ead_12m(P, F.col("Balance_12m_st")).alias("EAD_12m_st"),
     )
     df = df.withColumn("PD_12m_st", stressed_pd(F.col("PD_12m_st_preU"), F.col("unemp_mult")))
-    df = df.select(
-        "*",
-        (F.col("PD_12m_st") * F.col("LGD_st") * F.col("EAD_12m_st")).alias("EL_12m_st"),
-        tier_key(F.col("PD_12m_st")).alias("_tx_st"),
-    )
-    # Stressed tiers use the *base* cutpoints.
-    df = df.withColumn("RiskTier_st", tier_from_key(F.col("_tx_st"), q_low, q_high))
-    return drop_helpers(df)
+    return drop_helpers(df.withColumn("EL_12m_st", F.col("PD_12m_st") * F.col("LGD_st") * F.col("EAD_12m_st")))
+
+
+def with_stress(base: DataFrame, scenarios: Sequence[Scenario], q_low: Column, q_high: Column,
+                dscr_row_fallback: bool = False) -> DataFrame:
+    """``stress_risk`` with RiskTier_st: stressed tiers use the *base* cutpoints."""
+    df = stress_risk(base, scenarios, dscr_row_fallback).withColumn("_tx_st", tier_key(F.col("PD_12m_st")))
+    return drop_helpers(df.withColumn("RiskTier_st", tier_from_key(F.col("_tx_st"), q_low, q_high)))

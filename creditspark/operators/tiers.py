@@ -1,11 +1,9 @@
 """Percentile tier cutpoints and tier assignment.
 
-The cutpoints are exact order statistics of the base PD, read from a
-frequency table (count per distinct PD value). The scorecard yields at most a
-few hundred distinct values (6 score bands x 4 DTI x 4 LTV x sector factors),
-so that table is tiny at any row count; it is built with a partial aggregate
-per task and merged per key across reducers. The one-row result enters the
-row stream as scalar subqueries.
+The cutpoints are exact order statistics of the base PD, taken with the
+built-in ``percentile`` from a frequency table (a count per distinct PD). The
+scorecard yields at most a few hundred distinct values (6 score bands x 4 DTI x
+4 LTV x sector factors), so that table is small at any number of loans.
 """
 
 from __future__ import annotations
@@ -24,65 +22,43 @@ from ..functions.scoring import (
 )
 
 
+def _cutpoints(n_pd: Column, q: Column) -> tuple[Column, Column]:
+    """Low and high cut from the percentiles ``q``: a fixed fallback below 6
+    values, widened about the midpoint below a 0.003 gap."""
+    small = n_pd < TIER_MIN_COUNT
+    lo = F.when(small, F.lit(TIER_FALLBACK[0])).otherwise(q[0])
+    hi = F.when(small, F.lit(TIER_FALLBACK[1])).otherwise(q[1])
+    mid, narrow = (lo + hi) / F.lit(2.0), (hi - lo) < F.lit(TIER_MIN_GAP)
+    half = F.lit(TIER_MIN_GAP / 2)
+    return F.when(narrow, mid - half).otherwise(lo), F.when(narrow, mid + half).otherwise(hi)
+
+
+def _percentiles(x: str, n: str) -> Column:
+    return F.percentile(F.col(x), list(TIER_PERCENTILES), F.col(n))
+
+
 def tier_cuts(base: DataFrame, pd_col: str = "PD_12m") -> DataFrame:
-    """One row ``(n_pd, q_low, q_high)``: 33/66 percentiles (linear
-    interpolation), a fixed fallback below 6 values, widened about the midpoint
-    below a 0.003 gap.
-
-    The percentile is computed exactly from a frequency table: a count per
-    distinct tier key, which partial aggregation builds per task and reducers
-    merge per key. The scorecard yields at most a few hundred distinct PDs, so
-    the table that the order statistics are read from is tiny, and no single
-    task ever merges one state per input partition. ``pd_col`` must be a
-    scorecard PD (or another column with a bounded number of distinct values):
-    the order statistics are read with single-partition windows over the
-    frequency table.
-    """
-    x = tier_key(F.col(pd_col))
-    # No filter on the key here: Catalyst would push it below the scoring
-    # projections and inline the whole chain into the predicate. A NULL key
-    # forms its own group, which counts for nothing below.
-    freq = base.select(x.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("_c"))
-    freq = freq.select("x", F.when(F.col("x").isNotNull(), F.col("_c")).otherwise(F.lit(0)).alias("c"))
-    # Single-partition windows over the frequency table (bounded by the number
-    # of distinct PD values, not by the loans).
-    cum = freq.select(
-        "x",
-        F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"),
-        F.sum("c").over(Window.partitionBy()).alias("n"),
-    )
-    lo_p, hi_p = TIER_PERCENTILES
-
-    def order_stat(index: Column) -> Column:
-        """Value at 0-based sorted position ``index``: the first x whose
-        cumulative count exceeds it."""
-        return F.min(F.when(F.col("cum") > index, F.col("x")))
-
-    aggs = [F.max("n").alias("n_pd")]
-    for name, p in (("lo", lo_p), ("hi", hi_p)):
-        pos = (F.col("n") - 1).cast("double") * F.lit(p)
-        aggs += [order_stat(F.floor(pos)).alias(f"_{name}_a"), order_stat(F.ceil(pos)).alias(f"_{name}_b"),
-                 F.max(pos - F.floor(pos)).alias(f"_{name}_t")]
-    stats = cum.agg(*aggs).withColumn("n_pd", F.coalesce(F.col("n_pd"), F.lit(0)).cast("long"))
-
-    def lerp(name: str) -> Column:
-        a, b, t = F.col(f"_{name}_a"), F.col(f"_{name}_b"), F.col(f"_{name}_t")
-        return F.when(t == 0, a).otherwise(a + (b - a) * t)
-
-    small = F.col("n_pd") < TIER_MIN_COUNT
-    q = stats.select(
-        "n_pd",
-        F.when(small, F.lit(TIER_FALLBACK[0])).otherwise(lerp("lo")).alias("_ql"),
-        F.when(small, F.lit(TIER_FALLBACK[1])).otherwise(lerp("hi")).alias("_qh"),
-    )
-    q_low, q_high = F.col("_ql"), F.col("_qh")
-    mid = (q_low + q_high) / F.lit(2.0)
-    narrow = (q_high - q_low) < F.lit(TIER_MIN_GAP)
-    return q.select(
-        "n_pd",
-        F.when(narrow, mid - F.lit(TIER_MIN_GAP / 2)).otherwise(q_low).alias("q_low"),
-        F.when(narrow, mid + F.lit(TIER_MIN_GAP / 2)).otherwise(q_high).alias("q_high"),
-    )
+    """One row ``(n_pd, q_low, q_high)``. The frequency table is built with a
+    partial count per task and merged per key, so no task merges one state per
+    input partition. A NULL PD counts for nothing."""
+    # No filter on the key: it would be pushed below the scoring projections,
+    # with the whole chain inlined into the predicate.
+    freq = base.select(tier_key(F.col(pd_col)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    stats = freq.agg(F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("n"))), F.lit(0)).alias("n_pd"),
+                     _percentiles("x", "n").alias("q"))
+    q_low, q_high = _cutpoints(F.col("n_pd"), F.col("q"))
+    return stats.select(F.col("n_pd").cast("long").alias("n_pd"), q_low.alias("q_low"), q_high.alias("q_high"))
+
+
+def with_window_cuts(grouped: DataFrame, by: list[str], x: str = "tx", n: str = "n_loans") -> DataFrame:
+    """``grouped`` (a row per ``by`` and tier keys, with counts) with q_low and
+    q_high of each ``by`` group. The groups hold the scorecard's distinct keys
+    only, so a window over one of them is small."""
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    df = grouped.withColumn("_n", F.coalesce(F.sum(F.when(F.col(x).isNotNull(), F.col(n))).over(whole), F.lit(0)))
+    df = df.withColumn("_q", _percentiles(x, n).over(whole))
+    q_low, q_high = _cutpoints(F.col("_n"), F.col("_q"))
+    return df.withColumn("q_low", q_low).withColumn("q_high", q_high).drop("_n", "_q")
 
 
 def cut_values(cuts: DataFrame) -> tuple[Column, Column]:

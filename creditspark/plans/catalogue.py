@@ -41,33 +41,12 @@ def _r(name: str, digits: int) -> Column:
     return np_round(F.col(name), digits).alias(name)
 
 
-# Built plans are reused across catalogue queries of one session: a DataFrame
-# is an immutable lazy plan, so reusing it skips rebuilding the same expression
-# trees (thousands of py4j calls) while every query still executes from the
-# raw tables. Keyed by the session's application id and the inputs.
-_PLANS: dict = {}
-
-
-def _key(spark: SparkSession, *parts):
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:
-        app = id(spark)
-    return (app, id(spark)) + parts
-
-
 def _run(spark: SparkSession, sf_dir: str, params: RunParams = RunParams()) -> PortfolioRun:
-    k = _key(spark, "run", sf_dir, params)
-    if k not in _PLANS:
-        _PLANS[k] = run_portfolio(spark, loans(spark, sf_dir), params)
-    return _PLANS[k]
+    return run_portfolio(spark, loans(spark, sf_dir), params)
 
 
 def _clean(spark, sf_dir) -> DataFrame:
-    k = _key(spark, "clean", sf_dir)
-    if k not in _PLANS:
-        _PLANS[k] = clean(loans(spark, sf_dir))
-    return _PLANS[k]
+    return clean(loans(spark, sf_dir))
 
 
 # --- cleaning, filters, quality ---------------------------------------------------
@@ -130,7 +109,7 @@ def tiers_threshold(spark, sf_dir):
 
 
 def kpis_base(spark, sf_dir):
-    k = agg.kpis_base(_run(spark, sf_dir).base)
+    k = _run(spark, sf_dir).kpis_base()
     return k.select(_r("total_ead", TOTAL), _r("wavg_pd", PROB), _r("total_el", TOTAL), _r("pct_high", PCT))
 
 
@@ -149,7 +128,7 @@ def stressed_risk(spark, sf_dir):
 
 
 def kpis_by_scenario(spark, sf_dir):
-    k = agg.kpis_by_scenario(_run(spark, sf_dir).view)
+    k = _run(spark, sf_dir).kpis()
     digits = {"total_ead": TOTAL, "wavg_pd": PROB, "total_el": TOTAL, "pct_high": PCT}
     cols = [_r(f"{p}_{m}", d) for p in ("base", "st", "delta") for m, d in digits.items()]
     return k.select("Scenario", "n_loans", *cols)
@@ -158,14 +137,14 @@ def kpis_by_scenario(spark, sf_dir):
 def kpis_tier_high(spark, sf_dir):
     """KPIs over the stressed High tier (per scenario; all loans where a
     scenario has no High loan)."""
-    k = agg.kpis_by_scenario(_run(spark, sf_dir, RunParams(tier="High")).view)
+    k = _run(spark, sf_dir, RunParams(tier="High")).kpis()
     digits = {"total_ead": TOTAL, "wavg_pd": PROB, "total_el": TOTAL, "pct_high": PCT}
     cols = [_r(f"{p}_{m}", d) for p in ("base", "st", "delta") for m, d in digits.items()]
     return k.select("Scenario", "n_loans", *cols)
 
 
 def tier_histogram(spark, sf_dir):
-    return agg.tier_histogram(_run(spark, sf_dir).view)
+    return _run(spark, sf_dir).tier_histogram()
 
 
 def ead_by_sector(spark, sf_dir):

@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import aggregates as agg
 from ..operators.clean import clean
 from ..operators.covenants import with_covenants
 from ..operators.enrich import enrich_base
 from ..operators.filters import ALL, EffectiveFilters, filter_portfolio, filter_tier, require_rows
 from ..operators.lifetime import with_lifetime_el
 from ..operators.pricing import with_pricing
-from ..operators.stress import with_stress
+from ..operators.stress import stress_risk, with_stress
 from ..operators.tiers import cut_values, tier_cuts, with_base_tier, with_threshold_tier
 from ..params import RunParams
 from ..session import ensure_checkpoint_dir
@@ -28,6 +29,8 @@ from ..session import ensure_checkpoint_dir
 @dataclass
 class PortfolioRun:
     clean: DataFrame
+    enriched: DataFrame  # filtered loans with base metrics
+    scenarios: DataFrame  # one row per (loan, scenario) with stressed metrics, no tiers
     base: DataFrame  # filtered loans with base metrics and RiskTier
     cuts: DataFrame  # one row: n_pd, q_low, q_high
     stressed: DataFrame  # one row per (loan, scenario)
@@ -35,6 +38,25 @@ class PortfolioRun:
     filters: EffectiveFilters
     params: RunParams
 
+    def kpis_base(self) -> DataFrame:
+        """A1; one pass over the loans with percentile tiers."""
+        return agg.kpis_base_one_pass(self.enriched) if self._percentile else agg.kpis_base(self.base)
+
+    def kpis(self) -> DataFrame:
+        """A2, A3, A11 over the view; one pass with percentile tiers."""
+        return agg.kpis_one_pass(self._tier_table()) if self._percentile else agg.kpis_by_scenario(self.view)
+
+    def tier_histogram(self) -> DataFrame:
+        """A4 over the view; one pass with percentile tiers."""
+        return agg.tier_histogram_one_pass(self._tier_table()) if self._percentile else agg.tier_histogram(self.view)
+
+    @property
+    def _percentile(self) -> bool:
+        return self.params.tiering == "percentile"
+
+    def _tier_table(self) -> DataFrame:
+        return agg.tier_table(self.scenarios, self.params.tier)
+
     def covenants(self) -> DataFrame:
         return with_covenants(self.view, self.params.covenants)
 
@@ -60,7 +82,7 @@ def run_portfolio(
     filtered, eff = filter_portfolio(cleaned, params.sector, params.geography)
     if check_empty and (params.sector != ALL or params.geography != ALL):
         # F5 only needs a job when a filter could have emptied the table.
-        require_rows(filtered)
+        require_rows(filtered, eff.sector, eff.geography)
     enriched = enrich_base(filtered, params.dscr_row_fallback)
     if params.materialize_base:
         ensure_checkpoint_dir(spark)
@@ -78,7 +100,8 @@ def run_portfolio(
     elif params.tiering != "percentile":
         raise ValueError(f"tiering must be 'percentile' or 'threshold', got {params.tiering!r}")
     view = filter_tier(stressed, params.tier)
-    return PortfolioRun(cleaned, base, cuts, stressed, view, eff, params)
+    scenarios = stress_risk(enriched, params.scenarios, params.dscr_row_fallback)
+    return PortfolioRun(cleaned, enriched, scenarios, base, cuts, stressed, view, eff, params)
 
 
 def _threshold_tiers(df: DataFrame, sfx: str) -> DataFrame:

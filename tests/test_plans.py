@@ -19,13 +19,30 @@ def test_no_python_and_no_cartesian(spark):
 
 
 def test_scenarios_expand_without_join_and_cuts_scalar(spark):
-    p = plan(catalogue.kpis_by_scenario(spark, SF))
+    p = plan(catalogue.stressed_risk(spark, SF))
     assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
     assert "Generate inline" in p  # one row per (loan, scenario) from a literal array
     assert "Subquery" in p  # the tier cutpoints
     assert "SortMergeJoin" not in p
 
 
+def test_kpis_read_the_loans_once(spark):
+    for q in (catalogue.kpis_base, catalogue.kpis_by_scenario, catalogue.tier_histogram, catalogue.kpis_tier_high,
+              catalogue.top3_sector_share, catalogue.tier_cuts_q):
+        p = plan(q(spark, SF))
+        assert p.count("orders.parquet") == 1 and "Subquery" not in p, q.__name__
+
+
+def test_lifetime_has_no_fold_and_stays_in_generated_code(spark):
+    df = catalogue.lifetime_totals(spark, SF)
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in p and "lambdafunction" not in p
+    final = p.split("== Initial Plan ==")[0]
+    projects = [line for line in final.split("\n") if "Project [" in line and "EL_life" in line]
+    assert projects and all("*(" in line for line in projects)
+
+
 def test_unused_tiers_prune_the_cut_pass(spark):
     p = plan(catalogue.covenant_table(spark, SF))
     assert "Subquery" not in p and "percentile" not in p.lower()
