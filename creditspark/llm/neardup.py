@@ -11,8 +11,11 @@ confirms each link, and stars of links are contracted to components.
 
 Long lists belong to large families of near copies or to texts made of one
 common passage. Pairs that meet in long lists only are found by pivots: each
-member is held against one member per round, components are contracted, and
-what is still apart after the rounds is joined in blocks, without a cap.
+member is held against its list's most typical member (whose values most others
+retain as well: the text that copies were made from), components are contracted,
+and the next round takes a pivot outside the largest one. What is still apart
+after the rounds is held against its whole family (lists that share members),
+in blocks, without a cap.
 
 A sketch misses a link only if, by chance, more than 5.5 standard deviations
 too few of the union's smallest values are shared (under one in a million for a
@@ -44,9 +47,9 @@ SKETCH = 64
 MEET = 8
 # Lists up to this length are joined as they are.
 LONG_LIST = 128
-PIVOT_ROUNDS = 3
-# Blocks that the members of a long list are dealt into in the last join.
-BLOCKS = 8
+PIVOT_ROUNDS = 4
+# Blocks that the members of a family are dealt into in the last join.
+BLOCKS = 4
 
 
 # ---- shingle sets and sketches, in tasks ------------------------------------------------------
@@ -196,9 +199,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _listed(classes: DataFrame, s: float) -> DataFrame:
-    """value, cnt (classes that retain it), node, n, meet, long: the rarest
-    retained values of each class, as far as a similar pair must meet in them;
-    long counts those that are in long lists."""
+    """value, cnt (classes that retain it), node, n, meet, long, typical: the
+    rarest retained values of each class, as far as a similar pair must meet in
+    them; long counts those that are in long lists, typical tells how many other
+    classes retain its values (mean logarithm)."""
     entries = classes.select("node", "n", F.explode("sketch").alias("value"))
     counted = entries.groupBy("value").agg(F.count("*").alias("cnt")).where("cnt > 1")
     own = (entries.join(counted, "value").groupBy("node", "n")
@@ -206,11 +210,12 @@ def _listed(classes: DataFrame, s: float) -> DataFrame:
     kept = F.least(F.col("n"), F.lit(SKETCH))
     alone = kept - F.size("values")  # values that nobody else retains come first
     far = F.greatest(F.lit(0), kept - shared_at_least(F.col("n"), s) + _meets(F.col("n"), s) - alone)
-    own = own.select("node", "n", _meets(F.col("n"), s).alias("meet"),
+    shared = F.aggregate("values", F.lit(0.0), lambda total, x: total + F.log(x["cnt"].cast("double")))
+    own = own.select("node", "n", _meets(F.col("n"), s).alias("meet"), (shared / kept).alias("typical"),
                      F.slice("values", F.lit(1), far.cast("int")).alias("values"))
     own = own.withColumn("long", F.size(F.filter("values", lambda x: x["cnt"] > LONG_LIST)))
-    return own.select("node", "n", "meet", "long", F.explode("values").alias("x")).select(
-        "node", "n", "meet", "long", F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
+    return own.select("node", "n", "meet", "typical", "long", F.explode("values").alias("x")).select(
+        "node", "n", "meet", "typical", "long", F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
 
 
 def _short_pairs(listed: DataFrame, s: float) -> DataFrame:
@@ -232,7 +237,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFram
     pairs = cut(_union_estimate(_short_pairs(listed, s), classes, s))
     # Only pairs of sets that both reach into long lists often enough can have been missed.
     hot = listed.where((F.col("cnt") > LONG_LIST) & (F.col("long") >= _meets(F.ceil(F.col("n") * s), s))) \
-        .select("value", "node", "n")
+        .select("value", "node", "n", "typical")
     nodes = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
              .unionByName(hot.select("node")).distinct())
     sets = cut(full_sets(docs, classes.select("node", "digest").join(nodes, "node"), words))
@@ -242,18 +247,19 @@ def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFram
     hot = cut(hot)
     for k in range(PIVOT_ROUNDS):
         apart = _apart(hot, found)
-        pivot = (apart.groupBy("value").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "n", "component")).alias("p"))
+        outside = apart if k == 0 else (apart.join(_largest(apart, "value"), "value")
+                                        .where(F.col("component") != F.col("largest")))
+        pivot = (outside.groupBy("value").agg(F.max(F.struct("typical", "node", "n", "component")).alias("p"))
                  .select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"),
                          F.col("p.component").alias("pivot_component")))
         star = (apart.join(pivot, "value").where(F.col("component") != F.col("pivot_component"))
                 .where(_sizes_fit("n", "pivot_n", s))
                 .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
         new = cut(_confirm(_union_estimate(star, classes, s), sets, s))
-        if new.isEmpty():
+        if new.isEmpty() and k > 0:
             break
         found = cut(found.unionByName(new))
-    rest = _rest(_apart(hot, found), classes, s)
-    return found.unionByName(_confirm(rest, sets, s))
+    return found.unionByName(_rest(_apart(hot, found), sets, s))
 
 
 def _apart(hot: DataFrame, found: DataFrame) -> DataFrame:
@@ -264,27 +270,39 @@ def _apart(hot: DataFrame, found: DataFrame) -> DataFrame:
     return cut(now.join(several, "value", "left_semi"))
 
 
-def _rest(apart: DataFrame, classes: DataFrame, s: float) -> DataFrame:
-    """Members outside their list's largest component against all its members.
-    Only sizes that can be similar meet, in blocks, and only pairs whose
-    sketches share enough leave the join."""
-    sized = apart.join(classes.select("node", "sketch"), "node")
-    sized = sized.withColumn("band", F.floor(F.log(F.col("n")) / math.log(1 / s)).cast("int"))
-    most = (apart.groupBy("value", "component").agg(F.count("*").alias("members"))
-            .groupBy("value").agg(F.max(F.struct("members", "component")).alias("m"))
-            .select("value", F.col("m.component").alias("largest")))
+def _largest(members: DataFrame, by: str) -> DataFrame:
+    """The component with most members, for each ``by``."""
+    return (members.groupBy(by, "component").agg(F.count("*").alias("members"))
+            .groupBy(by).agg(F.max(F.struct("members", "component")).alias("m"))
+            .select(by, F.col("m.component").alias("largest")))
+
+
+def _rest(apart: DataFrame, sets: DataFrame, s: float) -> DataFrame:
+    """Links of members outside their family's largest component to any member
+    of it. A family is what lists with common members hold, so each member is
+    there once. Only sizes that can be similar meet, in blocks, and only
+    confirmed links leave the join: sketches are compared first, then sets."""
+    first = apart.groupBy("value").agg(F.min("node").alias("first"))
+    edges = apart.join(first, "value").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    family = components(edges).select("node", F.col("component").alias("family"))
+    members = apart.select("node", "n", "component").distinct().join(family, "node")
+    band = F.floor(F.log(F.col("n")) / math.log(1 / s)).cast("int")
+    full = cut(members.join(sets, "node").withColumn("band", band).withColumn("sketch", F.slice("shingles", 1, SKETCH)))
     block = F.pmod(F.xxhash64("node"), F.lit(BLOCKS)).cast("int")
-    few = (sized.join(most, "value").where("component <> largest").withColumn("block", block)
-           .select("value", "band", "block", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component", "sketch")]))
-    blocks = F.array(*[F.lit(i) for i in range(BLOCKS)])
-    many = (sized.select("value", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
-                         *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "sketch")])
-            .withColumn("block", F.explode(blocks)))
+    names = ("node", "n", "component", "shingles", "sketch")
+    many = full.withColumn("block", block).select("family", "band", "block", *[F.col(c).alias(f"{c}_b") for c in names])
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
+    few = (full.join(_largest(members, "family"), "family").where("component <> largest")
+           .select("family", near, *[F.col(c).alias(f"{c}_a") for c in names])
+           .withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(BLOCKS)]))))
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
     least = max(1, math.floor(SKETCH * s - 5.5 * math.sqrt(SKETCH * s * (1 - s)))) / SKETCH
-    met = few.join(many, ["value", "band", "block"]).where(
-        (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s) & (shared >= least * F.size(union)))
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    exact = both * 100 >= round(100 * s) * (F.size("shingles_a") + F.size("shingles_b") - both)
+    met = few.join(many, ["family", "band", "block"]).where(
+        (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s)
+        & F.when(shared >= least * F.size(union), exact).otherwise(False))
     return cut(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
 
 
