@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.core import clip, collapse_ws, nan_to_null, strip_ws, to_number
 from ..schema import UNKNOWN, UNKNOWN_LABELS, check_required
+from ..session import ensure_checkpoint_dir
 
 OPTIONAL_NUMERIC = ("CreditScore", "MonthlyIncome", "NOI", "EBITDA", "CollateralValue", "CurrentMarketValue")
 
@@ -49,25 +50,32 @@ def decimal_rate(r: Column) -> Column:
     return F.when(r > 1.0, r / F.lit(100.0)).otherwise(r)
 
 
-def with_generated_ids(df: DataFrame) -> DataFrame:
-    """Dense ``L-001``-style ids by position (P6), without an RDD and without
-    pulling rows to the driver.
+# Partitions whose counts are summed in one step of the position prefix sums.
+_ID_GROUP = 1024
 
-    Position = rows in earlier input partitions + offset inside the partition.
-    The per-partition counts form a table bounded by the number of input splits,
-    so it is broadcast; the scan is deterministic, so both uses of it see the same
-    split-to-partition assignment.
+
+def with_generated_ids(df: DataFrame, on_scan: bool = False) -> DataFrame:
+    """Dense ``L-001``-style ids by position (P6): rows in earlier partitions
+    plus the place within the partition.
+
+    The input is used twice, so it must not change in between: a bare file scan
+    (``on_scan``) is read the same way again; anything else is kept first, in
+    the shared checkpoint folder. The prefix sums over partitions are made in
+    two steps, groups of partitions and partitions of a group.
     """
+    if not on_scan:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     tagged = df.withColumn("_part", F.spark_partition_id()).withColumn(
         "_offset", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     )
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per input partition; a single-partition window over it is bounded.
-    starts = counts.select(
-        "_part",
-        (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_start"),
-    ).fillna(0, subset=["_start"])
-    numbered = tagged.join(F.broadcast(starts), "_part")
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.floor(F.col("_part") / _ID_GROUP))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_n"))
+    groups = groups.select("_group", earlier(Window.orderBy("_group")).alias("_before"))
+    starts = counts.join(groups, "_group").select(
+        "_part", (F.col("_before") + earlier(Window.partitionBy("_group").orderBy("_part"))).alias("_start"))
+    numbered = tagged.join(starts, "_part")
     pos = numbered["_start"] + numbered["_offset"] + 1
     return numbered.withColumn("LoanID", F.format_string("L-%03d", pos)).drop("_part", "_offset", "_start")
 

@@ -39,15 +39,9 @@ def watchlist(cov_df: DataFrame, n: int = 10, severity_first: bool = False, repo
     Reference order sorts the badge *alphabetically* (Amber before Red), then
     worst headroom ascending; ``severity_first`` puts Red first. The report
     rounds to 4 decimals before sorting, which the default follows. LoanID
-    breaks remaining ties. The ranking is the two-level ``rank_within``: per-task
-    group limits, then at most 64 x n rows per scenario in the final task.
+    breaks remaining ties. Only Red and Amber rows are ranked, on narrow keys.
     """
     worst = np_round(F.col("WorstHeadroom_st"), 4) if report_rounding else F.col("WorstHeadroom_st")
     badge_key = F.when(F.col("Badge_st") == "Red", 0).otherwise(1) if severity_first else F.col("Badge_st")
-    # Watch rows sort first, so their ranks equal a ranking of watch rows only.
-    # Filtering *after* the ranking keeps the badge predicate from being pushed
-    # below the projections that compute it (which would evaluate the stress
-    # chain twice per row).
-    watch = F.col("Badge_st").isin(*WATCH_BADGES)
-    order = [watch.desc(), badge_key.asc(), worst.asc_nulls_last(), F.col("LoanID").asc()]
-    return rank_within(cov_df, "Scenario", order, n).where(watch)
+    watched = keep_where(cov_df, F.col("Badge_st").isin(*WATCH_BADGES))
+    return rank_within(watched, "Scenario", [badge_key, worst], n)

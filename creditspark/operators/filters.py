@@ -1,16 +1,15 @@
 """Sector / geography / tier filters with the reference's relaxation rules.
 
-Relaxation needs to know whether a filter leaves anything: ``isEmpty`` is a
-limit-1 job that stops at the first matching row. Sector and geography are
-equality predicates on *normalised* labels; to get partition pruning on them
-at scale, store the cleaned portfolio partitioned by Sector (see README).
+Relaxation needs to know whether a filter leaves anything. That is one narrow
+aggregate over the cleaned labels, a scalar subquery of the plan: building the
+plan runs no job. Labels are normalised once, in their own layer.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import keep_where
@@ -22,37 +21,61 @@ TIERS = ("Low", "Medium", "High")
 
 @dataclass(frozen=True)
 class EffectiveFilters:
-    sector: str
-    geography: str
-    # (dimension, value) of a filter that matched nothing and was dropped.
-    notes: tuple[tuple[str, str], ...] = ()
-
-
-def _apply(df: DataFrame, sector: str, geography: str) -> DataFrame:
-    if sector != ALL:
-        df = df.where(F.col("Sector") == sector)
-    if geography != ALL:
-        df = df.where(F.col("Geography") == geography)
-    return df
+    """The requested filters, and what presence the plan sees (a DataFrame of
+    one row: has_both, has_sector); None if nothing is filtered."""
+
+    asked_sector: str
+    asked_geography: str
+    presence: DataFrame | None = None
+
+    def _flag(self, name: str) -> Column:
+        return F.coalesce(self.presence.select(name).scalar(), F.lit(False))
+
+    @property
+    def sector_column(self) -> Column:
+        """The sector filter in effect, known when the plan runs."""
+        if self.asked_sector == ALL or self.asked_geography != ALL or self.presence is None:
+            return F.lit(self.asked_sector)  # the geography is relaxed first
+        return F.when(self._flag("has_sector"), F.lit(self.asked_sector)).otherwise(F.lit(ALL))
+
+    @property
+    def geography_column(self) -> Column:
+        if self.asked_geography == ALL or self.presence is None:
+            return F.lit(self.asked_geography)
+        return F.when(self._flag("has_both"), F.lit(self.asked_geography)).otherwise(F.lit(ALL))
+
+    def resolve(self) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+        """(sector, geography, dropped filters as (dimension, value)); runs the
+        narrow aggregate."""
+        if self.presence is None:
+            return self.asked_sector, self.asked_geography, ()
+        has = self.presence.head()
+        if self.asked_geography != ALL:
+            if has["has_both"]:
+                return self.asked_sector, self.asked_geography, ()
+            return self.asked_sector, ALL, (("geography", self.asked_geography),)
+        if has["has_sector"]:
+            return self.asked_sector, ALL, ()
+        return ALL, ALL, (("sector", self.asked_sector),)
 
 
 def filter_portfolio(df: DataFrame, sector: str = ALL, geography: str = ALL) -> tuple[DataFrame, EffectiveFilters]:
     """Filter; if nothing is left, first drop the geography, else the sector."""
-    out = _apply(df, sector, geography)
-    notes = []
-    if (sector != ALL or geography != ALL) and out.isEmpty():
-        if geography != ALL:
-            notes.append(("geography", geography))
-            geography = ALL
-        elif sector != ALL:
-            notes.append(("sector", sector))
-            sector = ALL
-        out = _apply(df, sector, geography)
-    return out, EffectiveFilters(sector, geography, tuple(notes))
+    if sector == ALL and geography == ALL:
+        return df, EffectiveFilters(sector, geography)
+    in_sector = F.lit(True) if sector == ALL else F.col("Sector") == sector
+    in_geography = F.lit(True) if geography == ALL else F.col("Geography") == geography
+    presence = df.agg(F.coalesce(F.max(in_sector & in_geography), F.lit(False)).alias("has_both"),
+                      F.coalesce(F.max(in_sector), F.lit(False)).alias("has_sector"))
+    eff = EffectiveFilters(sector, geography, presence)
+    kept = (eff.sector_column.eqNullSafe(F.lit(ALL)) | in_sector) & (eff.geography_column.eqNullSafe(F.lit(ALL)) | in_geography)
+    # In place, on the named labels: a pushed-down predicate would carry the
+    # label's whole expression into the join conditions below.
+    return keep_where(df, kept), eff
 
 
 def require_rows(df: DataFrame, sector: str = ALL, geography: str = ALL) -> DataFrame:
-    """stop when no loans remain."""
+    """stop when no loans remain (a job that ends at the first row)."""
     if df.isEmpty():
         raise EmptyPortfolioError(sector, geography)
     return df
@@ -61,13 +84,13 @@ def require_rows(df: DataFrame, sector: str = ALL, geography: str = ALL) -> Data
 def filter_tier(stressed: DataFrame, tier: str = ALL) -> DataFrame:
     """keep one stressed tier, per scenario; a scenario in which that tier
     does not occur keeps all its loans. The presence test is an aggregate with
-    one row per scenario, joined back by broadcast."""
+    one row per scenario. (KPIs take ``aggregates.tier_table``, in one pass.)"""
     if tier == ALL:
         return stressed
     if tier not in TIERS:
         raise ValueError(f"tier must be one of {TIERS} or 'All', got {tier!r}")
     present = stressed.groupBy("Scenario").agg(F.max(F.col("RiskTier_st") == tier).alias("_has_tier"))
-    joined = stressed.join(F.broadcast(present), "Scenario")
+    joined = stressed.join(present, "Scenario")
     return keep_where(joined, ~F.col("_has_tier") | (F.col("RiskTier_st") == tier)).drop("_has_tier")
 
 

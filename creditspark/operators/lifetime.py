@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cashflow import ZERO_RATE_EPS, monthly_rate
-from ..functions.core import apply_layers, clip, keep_where
+from ..functions.core import apply_layers, clip
 from ..functions.lifetime import BALANCE_STOP, lifetime_el_layers, monthly_discount, monthly_hazard
 
 
+# Months of a loan are generated in blocks of blocks of so many.
+BLOCK = 1024
+
+
 def with_lifetime_el(df: DataFrame, discount_rate: float) -> DataFrame:
     """EL_life_base (base rate, PD, LGD) and EL_life_st (stressed ones), as
     closed forms: a handful of projection layers, no explode, no shuffle."""
@@ -28,31 +32,42 @@ def amortisation_schedule(df: DataFrame, discount_rate: float, stressed: bool =
     """One row per loan and month (L2): opening balance, interest, principal,
     survival, default mass, loss and discounted loss.
 
-    Generated by ``explode(sequence(1, n))`` with closed-form balances, so each
-    loan's months are produced inside the task that holds the loan (no shuffle);
-    the output is ~term x the input, written or aggregated downstream. Months
-    after the balance is exhausted are dropped, as in the month loop.
+    Generated with closed-form balances inside the task that holds the loan (no
+    shuffle), in nested blocks of months, so no array grows with the term; the
+    output is ~term x the input, written or aggregated downstream. Months after
+    the balance is exhausted are dropped, as in the month loop. A loan without a
+    payment (its growth factor overflows) has no schedule;
+    ``quality.implausible_terms`` reports such terms.
     """
     sfx = "_st" if stressed else ""
     rate_col = "InterestRate_st" if stressed else "InterestRate_clean"
     P, R, n = F.col("LoanAmount"), F.col(rate_col), F.col("TermMonths")
     A = F.col("MonthlyPayment" + sfx)
     pd_col, lgd_col = F.col(("PD_12m_st" if stressed else "PD_12m")), F.col("LGD" + sfx)
-    usable = P.isNotNull() & R.isNotNull() & n.isNotNull() & (n > 0) & pd_col.isNotNull() & lgd_col.isNotNull()
+    # Plain tests on cleaned columns: they reach the scan side.
+    df = df.where(P.isNotNull() & F.col("InterestRate_clean").isNotNull() & n.isNotNull())
     keys = [c for c in ("Scenario",) if c in df.columns]
     d = monthly_discount(discount_rate)
     r = monthly_rate(R)
     # Per-loan logarithms, so that each month needs exp() of a product instead
     # of pow() (Spark evaluates both with StrictMath; exp is the cheaper one).
-    per_loan = keep_where(df, usable).select(
+    per_loan = df.select(
         *keys, "LoanID", P.alias("_prin"), r.alias("_r"), n.alias("_n"), A.alias("_A"),
         monthly_hazard(pd_col).alias("_haz"), clip(lgd_col, 0.0, 1.0).alias("_lgd"),
     )
     # Everything beside the generator in this projection is evaluated once per loan.
+    known = F.col("_A").isNotNull() & F.col("_haz").isNotNull() & F.col("_lgd").isNotNull()
+    blocks = F.sequence(F.lit(0), ((F.col("_n") - 1) / (BLOCK * BLOCK)).cast("int"))
     rows = per_loan.select(
         "*", F.log1p(F.col("_r")).alias("_lg"), F.log1p(-F.col("_haz")).alias("_ls"),
-        F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("month"),
-    ).withColumn("_j", (F.col("month") - 1).cast("double"))
+        F.explode(F.when(known, blocks)).alias("_outer"),
+    )
+    last = ((F.col("_n") - 1) / BLOCK).cast("int")
+    first = F.col("_outer") * BLOCK
+    rows = rows.select("*", F.explode(F.sequence(first, F.least(first + (BLOCK - 1), last))).alias("_inner"))
+    first = F.col("_inner") * BLOCK
+    rows = rows.select("*", F.explode(F.sequence(first + 1, F.least(first + BLOCK, F.col("_n")))).alias("month"))
+    rows = rows.withColumn("_j", (F.col("month") - 1).cast("double"))
     zero = F.abs(F.col("_r")) < ZERO_RATE_EPS
     g = F.exp(F.col("_j") * F.col("_lg"))
     open_bal = F.when(zero, F.col("_prin") - (F.col("_prin") / F.col("_n")) * F.col("_j")).otherwise(

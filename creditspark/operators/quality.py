@@ -42,3 +42,9 @@ def issues(clean_df: DataFrame) -> DataFrame:
 def issue_sample(issues_df: DataFrame, n: int = 10) -> DataFrame:
     """F8: the first ``n`` issue rows by LoanID (a top-k, no full sort)."""
     return issues_df.orderBy("LoanID").limit(n)
+
+
+def implausible_terms(clean_df: DataFrame, most_months: int = 1200) -> DataFrame:
+    """``(LoanID, TermMonths)`` of loans beyond ``most_months`` (100 years): an
+    addition to the rules above, whose messages are fixed."""
+    return clean_df.where(F.col("TermMonths") > most_months).select("LoanID", "TermMonths")

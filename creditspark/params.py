@@ -1,7 +1,7 @@
 """Run parameters: scenarios, covenant limits, pricing add-ons, discount rate.
 
-Every parameter reaches the plan as a literal (or, for scenarios, as a tiny
-broadcast table), so Catalyst folds it into the generated code.
+Every parameter reaches the plan as a literal (scenarios as an array of literal
+structs), so Catalyst folds it into the generated code.
 """
 
 from __future__ import annotations

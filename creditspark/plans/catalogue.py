@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.core import np_round
 from ..operators import aggregates as agg
 from ..operators.clean import clean
-from ..operators.covenants import exceptions, watchlist
+from ..operators.covenants import exceptions
 from ..operators.enrich import enrich_base
 from ..operators.filters import filter_domains, filter_portfolio
 from ..operators.lifetime import amortisation_schedule
@@ -63,7 +63,7 @@ def filtered_relaxed(spark, sf_dir):
     df, eff = filter_portfolio(_clean(spark, sf_dir), RELAX_SECTOR, RELAX_GEOGRAPHY)
     return df.select(
         "LoanID", "Sector", "Geography",
-        F.lit(eff.sector).alias("eff_sector"), F.lit(eff.geography).alias("eff_geography"),
+        eff.sector_column.alias("eff_sector"), eff.geography_column.alias("eff_geography"),
     )
 
 
@@ -176,7 +176,7 @@ def badge_rollup(spark, sf_dir):
 
 
 def watchlist_top10(spark, sf_dir):
-    w = watchlist(_run(spark, sf_dir).covenants())
+    w = _run(spark, sf_dir).watchlist()
     return w.select("Scenario", "rank", "LoanID", "Badge_st", "Tightest",
                     *[_r(c, 4) for c in ("WorstHeadroom_st", "DSCR_st", "LTV_st", "DTI_st", "PD_12m_st", "LGD_st")])
 

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import aggregates as agg
 from ..operators.clean import clean
-from ..operators.covenants import with_covenants
+from ..operators.covenants import watchlist, with_covenants
 from ..operators.enrich import enrich_base
-from ..operators.filters import ALL, EffectiveFilters, filter_portfolio, filter_tier, require_rows
+from ..operators.filters import EffectiveFilters, filter_portfolio, filter_tier, require_rows
 from ..operators.lifetime import with_lifetime_el
 from ..operators.pricing import with_pricing
 from ..operators.stress import stress_risk, with_stress
@@ -63,6 +63,10 @@ class PortfolioRun:
     def lifetime(self) -> DataFrame:
         return with_lifetime_el(self.view, self.params.discount_rate)
 
+    def watchlist(self, n: int = 10, report_rounding: bool = True) -> DataFrame:
+        """V6, Red first if the run asks for ``severity_first``."""
+        return watchlist(self.covenants(), n, self.params.severity_first, report_rounding)
+
     def pricing(self) -> DataFrame:
         return with_pricing(self.view, self.params.pricing)
 
@@ -76,13 +80,13 @@ def run_portfolio(
     spark: SparkSession,
     raw: DataFrame,
     params: RunParams = RunParams(),
-    check_empty: bool = True,
+    check_empty: bool = False,
 ) -> PortfolioRun:
     cleaned = clean(raw, lenient_rates=params.lenient_rates)
     filtered, eff = filter_portfolio(cleaned, params.sector, params.geography)
-    if check_empty and (params.sector != ALL or params.geography != ALL):
-        # F5 only needs a job when a filter could have emptied the table.
-        require_rows(filtered, eff.sector, eff.geography)
+    if check_empty:
+        # F5 needs a job; without it, building the run starts none.
+        require_rows(filtered, params.sector, params.geography)
     enriched = enrich_base(filtered, params.dscr_row_fallback)
     if params.materialize_base:
         ensure_checkpoint_dir(spark)

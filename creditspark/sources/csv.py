@@ -116,7 +116,7 @@ def read_csv_portfolio(
 
 def _with_ids(df: DataFrame) -> DataFrame:
     """Position-based ids follow file order, so they are made on the scan itself."""
-    return df if "LoanID" in df.columns else with_generated_ids(df)
+    return df if "LoanID" in df.columns else with_generated_ids(df, on_scan=True)
 
 
 def read_parquet_portfolio(spark: SparkSession, path: str) -> DataFrame:

@@ -170,9 +170,9 @@ def test_generated_ids(spark, scratch):
 def test_filter_relaxation(spark):
     c = clean(frame(spark, {"Sector": "Retail", "Geography": "NY"}, {"Sector": "Construction", "Geography": "CA"}))
     df, eff = filter_portfolio(c, "Retail", "CA")
-    assert eff.geography == "All" and eff.sector == "Retail" and df.count() == 1
+    assert eff.resolve() == ("Retail", "All", (("geography", "CA"),)) and df.count() == 1
     df, eff = filter_portfolio(c, "Mining", "All")
-    assert eff.sector == "All" and df.count() == 2
+    assert eff.resolve() == ("All", "All", (("sector", "Mining"),)) and df.count() == 2
 
 
 def test_tier_filter_relaxes_per_scenario(spark):
