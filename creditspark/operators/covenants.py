@@ -41,7 +41,9 @@ def watchlist(cov_df: DataFrame, n: int = 10, severity_first: bool = False, repo
     rounds to 4 decimals before sorting, which the default follows. LoanID
     breaks remaining ties. Only Red and Amber rows are ranked, on narrow keys.
     """
-    worst = np_round(F.col("WorstHeadroom_st"), 4) if report_rounding else F.col("WorstHeadroom_st")
+    # Without the report's rounding, values that differ in their last bits only
+    # (equal terms and rates at other amounts) still count as ties.
+    worst = np_round(F.col("WorstHeadroom_st"), 4 if report_rounding else 10)
     badge_key = F.when(F.col("Badge_st") == "Red", 0).otherwise(1) if severity_first else F.col("Badge_st")
     watched = keep_where(cov_df, F.col("Badge_st").isin(*WATCH_BADGES))
     return rank_within(watched, "Scenario", [badge_key, worst], n)

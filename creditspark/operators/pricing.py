@@ -12,13 +12,10 @@ def with_pricing(df: DataFrame, pricing: Pricing = Pricing()) -> DataFrame:
     """EL_rate_st, SuggestedSpread_pct, SuggestedSpread_bps (unrounded),
     SuggestedAllInRate_pct.
 
-    The EL rate is EL / EAD for a positive EAD. Since EL = PD x LGD x EAD it is
-    taken as PD x LGD directly: the same number without the EAD round trip, so
-    that values on a display-rounding tie (e.g. 0.35 x 0.703) do not flip with
-    last-bit noise in EAD.
+    The EL rate is EL / EAD for a positive EAD.
     """
     ead = F.col("EAD_12m_st")
-    df = df.withColumn("EL_rate_st", F.when(ead > 0, F.col("PD_12m_st") * F.col("LGD_st")))
+    df = df.withColumn("EL_rate_st", F.when(ead > 0, F.col("EL_12m_st") / F.when(ead > 0, ead)))
     df = df.withColumn("SuggestedSpread_pct", F.col("EL_rate_st") + F.lit(pricing.add_ons))
     return df.select(
         "*",

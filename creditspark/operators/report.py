@@ -75,6 +75,24 @@ def display_lifetime(df: DataFrame) -> DataFrame:
     return df.select("Scenario", "LoanID", _num("EL_life_base", 2), _num("EL_life_st", 2))
 
 
+def display_watchlist_tab(ranked: DataFrame) -> DataFrame:
+    """The watchlist as the covenant tab shows it."""
+    return ranked.select("Scenario", "rank", "LoanID", "Badge_st", _pct("PD_12m_st"), _pct("LGD_st"),
+                         *[_num(c, 4) for c in ("WorstHeadroom_st", "DSCR_st", "LTV_st", "DTI_st", "EL_12m_st")])
+
+
+def display_watchlist_report(ranked: DataFrame) -> DataFrame:
+    """The watchlist of the report: everything rounded to 4 digits."""
+    return ranked.select("Scenario", "rank", "LoanID", "Badge_st", "Tightest",
+                         *[_num(c, 4) for c in ("WorstHeadroom_st", "DSCR_st", "LTV_st", "DTI_st", "PD_12m_st", "LGD_st")])
+
+
+def display_top(ranked: DataFrame) -> DataFrame:
+    """A top-10 table of the report."""
+    return ranked.select("Scenario", "rank", "LoanID", "Borrower", "Sector", "Geography", _num("EAD_12m_st", 2),
+                         _num("EL_12m_st", 2), _pct("PD_12m_st"), _pct("LGD_st"), "RiskTier_st")
+
+
 # --- sinks ---------------------------------------------------------------------------
 
 def write_exceptions_csv(exceptions_df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -100,26 +118,39 @@ def write_snapshot(spark: SparkSession, run, root: str, mask: bool = True, snaps
                    top_n: int = 10) -> str:
     """An immutable, self-consistent report snapshot.
 
-    The enriched view (covenants, lifetime, pricing; masked when asked) is
-    written once as ``<root>/<id>/loans``; every other table is then derived
-    from that written copy, so all tables agree with each other even if
-    executors are lost mid-way, and the lineage to the raw input is cut.
-    Writes use ``errorifexists``: a snapshot is never overwritten.
+    The enriched view (covenants, lifetime, pricing, quality issues; masked when
+    asked) is written once as ``<root>/<id>/loans``; every other table is then
+    derived from that written copy, so all tables agree with each other even if
+    executors are lost mid-way, and the lineage to the raw input is cut. Where
+    ids are masked, tables are ranked by a hash of the real id as the last key,
+    which is kept as ``loan_key``. Writes use ``errorifexists``: a snapshot is
+    never overwritten.
     """
     from . import aggregates as agg
     from .covenants import watchlist
-    from .quality import issue_sample, issues
+    from .quality import issues
     from .rankings import top_k
     from .stress import scenario_frame
 
-    sid = snapshot_id or new_snapshot_id()
+    sid, p = snapshot_id or new_snapshot_id(), run.params
+    # What a filter came to is one small job, which the meta table records.
+    sector, geography, _ = run.filters.resolve()
     base = f"{root.rstrip('/')}/{sid}"
-    full = run.full()
+    loan = F.col("LoanID")
+    full = run.full().join(issues(run.base).select("LoanID", "Issues").distinct(), "LoanID", "left")
+    full = full.withColumn("loan_key", F.sha2(F.concat(F.lit(sid), loan), 256) if mask else loan)
     if mask:
         full = mask_pii(full)
     full.withColumn("snapshot_id", F.lit(sid)).write.mode("errorifexists").parquet(f"{base}/loans")
     view = spark.read.parquet(f"{base}/loans")
 
+    # Ranked by the real id's key, shown with the id as written.
+    keyed = view.withColumnRenamed("LoanID", "shown_id").withColumnRenamed("loan_key", "LoanID")
+
+    def shown(ranked: DataFrame) -> DataFrame:
+        return ranked.drop("LoanID").withColumnRenamed("shown_id", "LoanID")
+
+    first = p.scenarios[0].name
     tables = {
         "kpis": agg.kpis_by_scenario(view),
         "lifetime_totals": agg.lifetime_totals(view),
@@ -128,21 +159,20 @@ def write_snapshot(spark: SparkSession, run, root: str, mask: bool = True, snaps
         "ead_by_geography": agg.ead_by(view, "Geography"),
         "tier_histogram": agg.tier_histogram(view),
         "badge_rollup": agg.badge_rollup(view),
-        "watchlist": watchlist(view, top_n),
-        "top_ead": top_k(view, "EAD_12m_st", top_n),
-        "top_el": top_k(view, "EL_12m_st", top_n),
-        "top_spread": top_k(view, "SuggestedSpread_bps", top_n),
+        "watchlist": display_watchlist_report(shown(watchlist(keyed, top_n, run.params.severity_first))),
+        "top_ead": display_top(shown(top_k(keyed, "EAD_12m_st", top_n))),
+        "top_el": display_top(shown(top_k(keyed, "EL_12m_st", top_n))),
+        "top_spread": display_pricing(shown(top_k(keyed, "SuggestedSpread_bps", top_n)), extra=("rank",)),
         "portfolio_pricing": agg.portfolio_pricing(view, run.params.pricing),
     }
-    dq = issue_sample(issues(run.base))
-    tables["data_quality_sample"] = mask_pii(dq) if mask else dq
-    p = run.params
+    dq = view.where((F.col("Scenario") == first) & (F.col("Issues") != "")).orderBy("loan_key").limit(10)
+    tables["data_quality_sample"] = dq.select("LoanID", "Issues")
     meta = spark.createDataFrame(
         [(
             sid,
             _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"),
             ",".join(s.name for s in p.scenarios),
-            run.filters.sector, run.filters.geography, p.tier,
+            sector, geography, p.tier,
             float(p.discount_rate_pct), p.pricing.cap_buffer_pct, p.pricing.opex_pct,
             p.pricing.target_profit_pct, p.pricing.funding_cost_pct, bool(mask),
         )],

@@ -24,17 +24,21 @@ from ..operators.quality import issue_sample, issues
 from ..operators.rankings import preview, top_k
 from ..operators.report import (
     display_base_risk, display_covenants, display_derived_base, display_lifetime, display_pricing,
-    display_stressed_risk, mask_pii,
+    display_stressed_risk, display_top, display_watchlist_report, display_watchlist_tab, mask_pii,
 )
 from ..operators.tiers import tier_cuts, with_threshold_tier
-from ..params import RunParams
+from ..params import RunParams, Scenario
 from ..plans.portfolio import PortfolioRun, run_portfolio
-from ..sources.testdata import loans
+from ..sources.testdata import loans, read_table
 
 # Digits used in query outputs.
 MONEY, RATIO, PROB, TOTAL, PCT = 2, 6, 8, 0, 6
 # Filter request used by the relaxation query: a geography with no loans.
 RELAX_SECTOR, RELAX_GEOGRAPHY = "Construction", "ATLANTIS"
+# A sector without loans, and a scenario of one's own: falling rates, and more
+# unemployment than any preset.
+NO_SECTOR = "Mining"
+CUSTOM_SCENARIO = ("Custom", -150, 18, 30)
 
 
 def _r(name: str, digits: int) -> Column:
@@ -67,6 +71,39 @@ def filtered_relaxed(spark, sf_dir):
     )
 
 
+def filtered_sector_relaxed(spark, sf_dir):
+    df, eff = filter_portfolio(_clean(spark, sf_dir), NO_SECTOR)
+    return df.select("LoanID", "Sector", "Geography", eff.sector_column.alias("eff_sector"),
+                     eff.geography_column.alias("eff_geography"))
+
+
+# Strings as files hold them; the oracle states what each must become.
+AMOUNT_TEXTS = ("1000", " 2500.5 ", "1e3", "1d", "abc", "", "-5", ".5", "5.", "1e400", None)
+RATE_TEXTS = ("7.5%", "7,5", "0.05", "5", "1.0", "1.01", "x")
+TERM_TEXTS = ("60", "60.9", "0.5", "-3", "text")
+
+
+def coerced_strings(spark, sf_dir):
+    """P2, P3, P5 on string columns, one loan per order."""
+    k = F.col("o_orderkey")
+
+    def text(values):
+        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (k % len(values) + 1).cast("int"))
+
+    raw = read_table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("L-"), k.cast("string")).alias("LoanID"), text(AMOUNT_TEXTS).alias("LoanAmount"),
+        text(RATE_TEXTS).alias("InterestRate"), text(TERM_TEXTS).alias("TermMonths"))
+    return clean(raw).select("LoanID", "LoanAmount", _r("InterestRate_clean", 10), "TermMonths")
+
+
+def generated_ids(spark, sf_dir):
+    """Ids of a table without LoanID are unique and dense."""
+    number = F.regexp_extract("LoanID", "^L-([0-9]+)$", 1).cast("long")
+    ids = clean(loans(spark, sf_dir).drop("LoanID")).select(number.alias("id"))
+    return ids.agg(F.count(F.lit(1)).alias("n_loans"), F.countDistinct("id").alias("n_ids"),
+                   F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 def data_quality(spark, sf_dir):
     return issues(_clean(spark, sf_dir))
 
@@ -91,6 +128,12 @@ def ratios_base(spark, sf_dir):
     return base.select("LoanID", *[_r(c, RATIO) for c in ("LTV", "DTI", "DSCR", "ICR")])
 
 
+def ratios_noi(spark, sf_dir):
+    """C7 where the table has an NOI column."""
+    with_noi = loans(spark, sf_dir).withColumn("NOI", F.col("EBITDA") * F.lit(1.5))
+    return enrich_base(clean(with_noi)).select("LoanID", _r("DSCR", RATIO))
+
+
 def pd_lgd_ead_el_base(spark, sf_dir):
     base = enrich_base(_clean(spark, sf_dir))
     return base.select("LoanID", _r("PD_12m", PROB), _r("LGD", PROB), _r("EAD_12m", MONEY), _r("EL_12m", MONEY))
@@ -134,6 +177,14 @@ def kpis_by_scenario(spark, sf_dir):
     return k.select("Scenario", "n_loans", *cols)
 
 
+def kpis_custom_scenario(spark, sf_dir):
+    """A scenario of the user's own instead of the presets."""
+    k = _run(spark, sf_dir, RunParams(scenarios=(Scenario(*CUSTOM_SCENARIO),))).kpis()
+    digits = {"total_ead": TOTAL, "wavg_pd": PROB, "total_el": TOTAL, "pct_high": PCT}
+    cols = [_r(f"{p}_{m}", d) for p in ("base", "st", "delta") for m, d in digits.items()]
+    return k.select("Scenario", "n_loans", *cols)
+
+
 def kpis_tier_high(spark, sf_dir):
     """KPIs over the stressed High tier (per scenario; all loans where a
     scenario has no High loan)."""
@@ -176,9 +227,12 @@ def badge_rollup(spark, sf_dir):
 
 
 def watchlist_top10(spark, sf_dir):
-    w = _run(spark, sf_dir).watchlist()
-    return w.select("Scenario", "rank", "LoanID", "Badge_st", "Tightest",
-                    *[_r(c, 4) for c in ("WorstHeadroom_st", "DSCR_st", "LTV_st", "DTI_st", "PD_12m_st", "LGD_st")])
+    return display_watchlist_report(_run(spark, sf_dir).watchlist())
+
+
+def watchlist_tab(spark, sf_dir):
+    """V6 as the covenant tab shows it: ranked by the unrounded headroom."""
+    return display_watchlist_tab(_run(spark, sf_dir).watchlist(report_rounding=False))
 
 
 def exceptions_q(spark, sf_dir):
@@ -201,6 +255,21 @@ def amortisation_schedule_q(spark, sf_dir):
     return by_month.select("Scenario", "month", "n_loans", _r("opening_balance", TOTAL), _r("loss_pv", MONEY))
 
 
+def amortisation_columns(spark, sf_dir):
+    """L2 with all its columns, of the base loans and of the severe scenario."""
+    run = _run(spark, sf_dir)
+    digits = {"opening_balance": TOTAL, "interest": TOTAL, "principal": TOTAL, "survival": 6, "default_mass": 6,
+              "loss": MONEY, "loss_pv": MONEY}
+
+    def by_month(df, basis):
+        sums = df.groupBy("month").agg(F.count(F.lit(1)).alias("n_loans"), *[F.sum(c).alias(c) for c in digits])
+        return sums.select(F.lit(basis).alias("basis"), "month", "n_loans", *[_r(c, d) for c, d in digits.items()])
+
+    severe = run.scenarios.where("Scenario = 'Severe'")
+    return by_month(amortisation_schedule(run.enriched, run.params.discount_rate, stressed=False), "base").unionByName(
+        by_month(amortisation_schedule(severe, run.params.discount_rate, stressed=True), "stressed"))
+
+
 def lifetime_el(spark, sf_dir):
     return display_lifetime(_run(spark, sf_dir).lifetime())
 
@@ -213,8 +282,15 @@ def lifetime_totals(spark, sf_dir):
 
 # --- pricing and rankings ---------------------------------------------------------
 
+def _steady(priced: DataFrame) -> DataFrame:
+    """Rates without the last digits, which differ between engines' powers: a
+    value on a display tie would else show either neighbour."""
+    digits = {"EL_rate_st": 10, "SuggestedSpread_bps": 6, "SuggestedAllInRate_pct": 8}
+    return priced.withColumns({c: np_round(F.col(c), d) for c, d in digits.items()})
+
+
 def pricing_table(spark, sf_dir):
-    return display_pricing(_run(spark, sf_dir).pricing())
+    return display_pricing(_steady(_run(spark, sf_dir).pricing()))
 
 
 def portfolio_pricing(spark, sf_dir):
@@ -225,14 +301,7 @@ def portfolio_pricing(spark, sf_dir):
 
 
 def _ranked(df: DataFrame, measure: str) -> DataFrame:
-    t = top_k(df, measure, 10)
-    return t.select(
-        "Scenario", "rank", "LoanID", "Borrower", "Sector", "Geography",
-        _r("EAD_12m_st", MONEY), _r("EL_12m_st", MONEY),
-        np_round(F.col("PD_12m_st") * F.lit(100.0), 2).alias("PD_12m_st"),
-        np_round(F.col("LGD_st") * F.lit(100.0), 2).alias("LGD_st"),
-        "RiskTier_st",
-    )
+    return display_top(top_k(df, measure, 10))
 
 
 def top_ead(spark, sf_dir):
@@ -245,7 +314,7 @@ def top_el(spark, sf_dir):
 
 def top_spread(spark, sf_dir):
     t = top_k(_run(spark, sf_dir).pricing(), "SuggestedSpread_bps", 10)
-    return display_pricing(t, extra=("rank",))
+    return display_pricing(_steady(t), extra=("rank",))
 
 
 def masked_report(spark, sf_dir):
@@ -281,11 +350,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_portfolio": clean_portfolio,
     "filter_domains": filter_domains_q,
     "filtered_relaxed": filtered_relaxed,
+    "filtered_sector_relaxed": filtered_sector_relaxed,
+    "coerced_strings": coerced_strings,
+    "generated_ids": generated_ids,
     "data_quality": data_quality,
     "data_quality_sample": data_quality_sample,
     "preview_first10": preview_first10,
     "cashflows_base": cashflows_base,
     "ratios_base": ratios_base,
+    "ratios_noi": ratios_noi,
     "pd_lgd_ead_el_base": pd_lgd_ead_el_base,
     "tier_cuts": tier_cuts_q,
     "tiers_base": tiers_base,
@@ -294,6 +367,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stressed_risk": stressed_risk,
     "kpis_by_scenario": kpis_by_scenario,
     "kpis_tier_high": kpis_tier_high,
+    "kpis_custom_scenario": kpis_custom_scenario,
     "tier_histogram": tier_histogram,
     "ead_by_sector": ead_by_sector,
     "ead_by_geography": ead_by_geography,
@@ -301,8 +375,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "covenant_table": covenant_table,
     "badge_rollup": badge_rollup,
     "watchlist_top10": watchlist_top10,
+    "watchlist_tab": watchlist_tab,
     "exceptions": exceptions_q,
     "amortisation_schedule": amortisation_schedule_q,
+    "amortisation_columns": amortisation_columns,
     "lifetime_el": lifetime_el,
     "lifetime_totals": lifetime_totals,
     "pricing_table": pricing_table,

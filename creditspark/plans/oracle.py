@@ -9,17 +9,35 @@ exact decimal arithmetic); outputs use NumPy rounding, ``round_even(x*10^d)/10^d
 
 from __future__ import annotations
 
-from ..functions.scoring import (
-    DTI_ABOVE, DTI_BANDS, DTI_MISSING, HAIRCUT_DEFAULT, HAIRCUTS, LGD_CAP, LGD_FLOOR, LGD_NO_COLLATERAL,
-    LTV_ABOVE, LTV_BANDS, LTV_MISSING, PD_CAP, PD_FLOOR, RECOVERY_COST, SCORE_BANDS, SCORE_FLOOR_PD,
-    SCORE_MISSING_PD, SECTOR_DEFAULT, SECTOR_FACTORS, THRESHOLD_HIGH, THRESHOLD_MEDIUM, TIER_FALLBACK,
-    TIER_MIN_COUNT, TIER_MIN_GAP, TIER_PD_FLOOR, TIER_PERCENTILES,
-)
-from ..functions.lifetime import monthly_discount
-from ..params import PD_ST_CAP, PD_ST_FLOOR, Covenants, RunParams
+from dataclasses import replace
+
+from ..params import Covenants, RunParams, Scenario
 from ..sources.testdata import LOANS_SQL
 from . import catalogue as cat
 
+# --- Fixed values, stated here again and not taken from the engine, so that a
+# --- wrong constant on either side shows as a difference ---------------------
+SCORE_BANDS = ((760, 0.005), (720, 0.008), (680, 0.015), (640, 0.030), (600, 0.060))
+SCORE_FLOOR_PD, SCORE_MISSING_PD = 0.100, 0.03
+DTI_BANDS, DTI_ABOVE, DTI_MISSING = ((0.20, 1.0), (0.35, 1.2), (0.50, 1.6)), 2.2, 1.2
+LTV_BANDS, LTV_ABOVE, LTV_MISSING = ((0.70, 1.0), (0.85, 1.2), (1.00, 1.5)), 2.0, 1.2
+SECTOR_FACTORS = {
+    "construction": 1.30, "retail": 1.25, "realestate": 1.20, "real estate": 1.20,
+    "hospitality": 1.25, "manufacturing": 1.10, "healthcare": 1.10, "transport": 1.15,
+}
+SECTOR_DEFAULT = 1.0
+PD_FLOOR, PD_CAP, PD_ST_FLOOR, PD_ST_CAP = 0.002, 0.35, 0.002, 0.60
+HAIRCUTS = {
+    "realestate": 0.30, "real estate": 0.30, "equipment": 0.45, "inventory": 0.60,
+    "ar": 0.60, "accounts receivable": 0.60, "securities": 0.10,
+}
+HAIRCUT_DEFAULT, RECOVERY_COST = 0.50, 0.10
+LGD_NO_COLLATERAL, LGD_FLOOR, LGD_CAP = 0.60, 0.05, 0.95
+TIER_PD_FLOOR, TIER_MIN_COUNT, TIER_FALLBACK, TIER_MIN_GAP = 1e-5, 6, (0.02, 0.06), 0.003
+TIER_PERCENTILES = (0.33, 0.66)
+THRESHOLD_HIGH, THRESHOLD_MEDIUM = (0.06, 0.90, 1.20, 0.45), (0.02, 0.80, 1.50, 0.35)
+# -----------------------------------------------------------------------------
+
 
 def D(x) -> str:
     """A DOUBLE literal carrying the exact binary value of the Python float."""
@@ -50,12 +68,16 @@ def lookup(c: str, table: dict, default) -> str:
     return f"(CASE {key(c)} {whens} ELSE {D(default)} END)"
 
 
+def no_nan(expr: str) -> str:
+    return f"(CASE WHEN NOT isnan({expr}) THEN {expr} END)"
+
+
 def pay(P: str, R: str, n: str) -> str:
     r = f"({R} / 12e0)"
     g = f"pow(1e0 + {r}, {n})"
     return (f"(CASE WHEN {P} IS NULL OR {R} IS NULL OR {n} IS NULL OR {n} <= 0 THEN NULL "
             f"WHEN abs({r}) < 1e-12 THEN {P} / {n} "
-            f"ELSE ({P} * {g}) / (({g} - 1e0) / {r}) END)")
+            f"ELSE {no_nan(f'({P} * {g}) / (({g} - 1e0) / {r})')} END)")
 
 
 def bal12(P: str, R: str, n: str, A: str) -> str:
@@ -105,7 +127,7 @@ def interest_y1_sum(src: str, R: str, A: str, keys: str) -> str:
     g = f"pow(1e0 + {r}, CAST(j AS DOUBLE))"
     bal = f"greatest(LoanAmount * {g} - {A} * ({g} - 1e0) / {r}, 0e0)"
     return (f"SELECT {keys}, sum({bal} * {r}) AS iy FROM {src} JOIN months ON j < least(TermMonths, 12) "
-            f"WHERE LoanAmount > 0 AND {R} IS NOT NULL AND abs({r}) >= 1e-12 GROUP BY {keys}")
+            f"WHERE LoanAmount > 0 AND {R} IS NOT NULL AND {A} IS NOT NULL AND abs({r}) >= 1e-12 GROUP BY {keys}")
 
 
 def interest_y1(R: str, iy: str) -> str:
@@ -126,16 +148,20 @@ def schedule_rows(src: str, R: str, A: str, pd: str, lgd_col: str, d: float) ->
     closed = f"(CASE WHEN abs(rm) < 1e-12 THEN prin - (prin / nm) * CAST(j AS DOUBLE) ELSE prin * {g} - pay * ({g} - 1e0) / rm END)"
     return f"""
       SELECT LoanID, Scenario, j + 1 AS month, ob,
+             CASE WHEN abs(rm) < 1e-12 THEN 0e0 ELSE ob * rm END AS interest,
+             pay - CASE WHEN abs(rm) < 1e-12 THEN 0e0 ELSE ob * rm END AS principal,
+             pow(1e0 - haz, CAST(j AS DOUBLE)) AS survival, pow(1e0 - haz, CAST(j AS DOUBLE)) * haz AS default_mass,
+             pow(1e0 - haz, CAST(j AS DOUBLE)) * haz * lgdc * ob AS loss,
              pow(1e0 - haz, CAST(j AS DOUBLE)) * haz * lgdc * ob / pow(1e0 + {D(d)}, CAST(j + 1 AS DOUBLE)) AS loss_pv
       FROM (
-        SELECT LoanID, Scenario, j, haz, lgdc,
+        SELECT LoanID, Scenario, j, haz, lgdc, rm, pay,
                CASE WHEN j = 0 THEN prin ELSE greatest({closed}, 0e0) END AS ob,
                (j = 0 OR {closed} > 1e-8) AS live
         FROM (
           SELECT LoanID, Scenario, LoanAmount AS prin, ({R} / 12e0) AS rm, TermMonths AS nm, {A} AS pay,
                  {hazard(pd)} AS haz, least(greatest({lgd_col}, 0e0), 1e0) AS lgdc
           FROM {src}
-          WHERE LoanAmount IS NOT NULL AND {R} IS NOT NULL AND TermMonths > 0
+          WHERE LoanAmount IS NOT NULL AND {R} IS NOT NULL AND TermMonths > 0 AND {A} IS NOT NULL
             AND {pd} IS NOT NULL AND {lgd_col} IS NOT NULL
         ) x JOIN months ON j < nm
       ) y WHERE live"""
@@ -159,11 +185,10 @@ def _badge(cov: Covenants) -> str:
 
 def ctes(params: RunParams = RunParams()) -> str:
     cov, pr = params.covenants, params.pricing
-    d = monthly_discount(params.discount_rate)
+    d = params.discount_rate_pct / 100.0 / 12.0
     lo_p, hi_p = TIER_PERCENTILES
     return f"""
 WITH loans AS ({LOANS_SQL}),
-months AS (SELECT CAST(range AS INTEGER) AS j FROM range(0, (SELECT coalesce(max(TermMonths), 0) FROM loans))),
 clean AS (
   SELECT LoanID, Borrower, {norm_dim('Sector')} AS Sector, {norm_dim('Geography')} AS Geography,
          LoanAmount,
@@ -176,6 +201,8 @@ clean AS (
 cf AS (SELECT *, {pay('LoanAmount', 'InterestRate_clean', 'TermMonths')} AS MonthlyPayment FROM clean),
 cf2 AS (SELECT *, MonthlyPayment * 12e0 AS AnnualDebtService,
                {bal12('LoanAmount', 'InterestRate_clean', 'TermMonths', 'MonthlyPayment')} AS Balance_12m FROM cf),
+months AS (SELECT CAST(range AS INTEGER) AS j FROM range(0, (
+  SELECT coalesce(max(TermMonths), 0) FROM cf WHERE MonthlyPayment IS NOT NULL))),
 iy AS ({interest_y1_sum('cf2', 'InterestRate_clean', 'MonthlyPayment', 'LoanID')}),
 b1 AS (SELECT cf2.*, {interest_y1('InterestRate_clean', 'iy.iy')} AS Interest_Y1 FROM cf2 LEFT JOIN iy USING (LoanID)),
 b2 AS (SELECT *, LoanAmount / nullif(CollateralBase, 0) AS LTV,
@@ -230,7 +257,7 @@ el_b AS (SELECT LoanID, Scenario, sum(loss_pv) AS el FROM sched_base GROUP BY Lo
 el_s AS (SELECT LoanID, Scenario, sum(loss_pv) AS el FROM sched_st GROUP BY LoanID, Scenario),
 life AS (SELECT s.*, el_b.el AS EL_life_base, el_s.el AS EL_life_st
          FROM stressed s LEFT JOIN el_b USING (LoanID, Scenario) LEFT JOIN el_s USING (LoanID, Scenario)),
-priced AS (SELECT *, CASE WHEN EAD_12m_st > 0 THEN PD_12m_st * LGD_st END AS EL_rate_st FROM stressed),
+priced AS (SELECT *, CASE WHEN EAD_12m_st > 0 THEN EL_12m_st / EAD_12m_st END AS EL_rate_st FROM stressed),
 priced2 AS (SELECT *, EL_rate_st + {D(pr.add_ons)} AS SuggestedSpread_pct FROM priced),
 pricing AS (SELECT *, SuggestedSpread_pct * 1e4 AS SuggestedSpread_bps,
                    ({D(pr.funding_cost_pct / 100.0)} + SuggestedSpread_pct) * 1e2 AS SuggestedAllInRate_pct FROM priced2)
@@ -316,6 +343,12 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
           SELECT Scenario, count(*) AS n_loans, {quad('base_', 'EAD_12m', 'PD_12m', 'EL_12m', 'RiskTier')},
                  {quad('st_', 'EAD_12m_st', 'PD_12m_st', 'EL_12m_st', 'RiskTier_st')}
           FROM tier_view GROUP BY Scenario) a) b"""
+    sql["kpis_custom_scenario"] = ctes(replace(params, scenarios=(Scenario(*cat.CUSTOM_SCENARIO),))) + f"""
+        SELECT Scenario, n_loans, {kcols}, {dcols} FROM (
+        SELECT Scenario, n_loans, {fin('base_')}, {fin('st_')} FROM (
+          SELECT Scenario, count(*) AS n_loans, {quad('base_', 'EAD_12m', 'PD_12m', 'EL_12m', 'RiskTier')},
+                 {quad('st_', 'EAD_12m_st', 'PD_12m_st', 'EL_12m_st', 'RiskTier_st')}
+          FROM stressed GROUP BY Scenario) a) b"""
     sql["tier_histogram"] = W + """, hist AS (
           SELECT Scenario, 'base' AS basis, RiskTier AS tier, count(*) AS n FROM stressed GROUP BY 1, 2, 3
           UNION ALL SELECT Scenario, 'stressed', RiskTier_st, count(*) FROM stressed GROUP BY 1, 2, 3),
@@ -357,6 +390,33 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
     sql["amortisation_schedule"] = W + f"""SELECT Scenario, CAST(month AS INTEGER) AS month, count(*) AS n_loans,
         {RND('sum(ob)', T)} AS opening_balance, {RND('sum(loss_pv)', M)} AS loss_pv
         FROM sched_st GROUP BY Scenario, month"""
+    all_sums = ", ".join(f"{RND(f'sum({a})', dg)} AS {b}" for a, b, dg in (
+        ("ob", "opening_balance", T), ("interest", "interest", T), ("principal", "principal", T), ("survival", "survival", 6),
+        ("default_mass", "default_mass", 6), ("loss", "loss", M), ("loss_pv", "loss_pv", M)))
+    sql["amortisation_columns"] = W + f"""SELECT 'base' AS basis, CAST(month AS INTEGER) AS month, count(*) AS n_loans, {all_sums}
+        FROM sched_base WHERE Scenario = 'Base' GROUP BY month
+        UNION ALL SELECT 'stressed', CAST(month AS INTEGER), count(*), {all_sums}
+        FROM sched_st WHERE Scenario = 'Severe' GROUP BY month"""
+    sql["ratios_noi"] = W + f"""SELECT LoanID, {RND('(EBITDA * 1.5e0) / nullif(AnnualDebtService, 0)', R)} AS DSCR FROM base"""
+    sql["watchlist_tab"] = W + f"""SELECT Scenario, rank, LoanID, Badge_st, {RND('PD_12m_st * 1e2', 2)} AS PD_12m_st,
+        {RND('LGD_st * 1e2', 2)} AS LGD_st, {", ".join(f"{RND(c, 4)} AS {c}" for c in
+        ("WorstHeadroom_st", "DSCR_st", "LTV_st", "DTI_st", "EL_12m_st"))} FROM (
+        SELECT *, CAST(row_number() OVER (PARTITION BY Scenario ORDER BY Badge_st ASC,
+               {RND('WorstHeadroom_st', 10)} ASC NULLS LAST, LoanID ASC) AS INTEGER) AS rank
+        FROM covs WHERE Badge_st IN ('Red', 'Amber')) t WHERE rank <= 10"""
+    sql["filtered_sector_relaxed"] = W + f""", eff AS (SELECT CASE WHEN EXISTS (
+          SELECT 1 FROM clean WHERE Sector = '{cat.NO_SECTOR}') THEN '{cat.NO_SECTOR}' ELSE 'All' END AS eff_sector)
+        SELECT LoanID, Sector, Geography, eff_sector, 'All' AS eff_geography FROM clean CROSS JOIN eff
+        WHERE eff_sector = 'All' OR Sector = eff_sector"""
+    sql["generated_ids"] = W + """SELECT count(*) AS n_loans, count(*) AS n_ids, CAST(1 AS BIGINT) AS first_id,
+        count(*) AS last_id FROM loans"""
+    # What each planted string must become, stated value by value.
+    amounts = "1000e0, 2500.5e0, 1000e0, NULL, NULL, NULL, -5e0, 0.5e0, 5e0, NULL, NULL"
+    rates = "NULL, NULL, 0.05e0, 0.05e0, 1e0, 0.0101e0, NULL"
+    sql["coerced_strings"] = f"""SELECT concat('L-', CAST(o_orderkey AS VARCHAR)) AS LoanID,
+        list_extract([{amounts}], CAST(o_orderkey % 11 + 1 AS INTEGER)) AS LoanAmount,
+        {RND(f'list_extract([{rates}], CAST(o_orderkey % 7 + 1 AS INTEGER))', 10)} AS InterestRate_clean,
+        list_extract([60, 60, NULL, NULL, NULL], CAST(o_orderkey % 5 + 1 AS INTEGER)) AS TermMonths FROM orders"""
     sql["lifetime_el"] = W + f"""SELECT LoanID, Scenario, {RND('EL_life_base', M)} AS EL_life_base,
         {RND('EL_life_st', M)} AS EL_life_st FROM life"""
     sql["lifetime_totals"] = W + f"""SELECT Scenario, {RND('b', T)} AS el_life_base, {RND('s', T)} AS el_life_st,
@@ -370,8 +430,9 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
     def price_cols(extra=""):
         return (f"Scenario, {extra}LoanID, {RND('PD_12m_st * 1e2', 2)} AS PD_12m_st, {RND('LGD_st * 1e2', 2)} AS LGD_st, "
                 f"{RND('EAD_12m_st', 2)} AS EAD_12m_st, {RND('EL_12m_st', 2)} AS EL_12m_st, "
-                f"{RND('EL_rate_st * 1e2', 2)} AS EL_rate_st, {RND('SuggestedSpread_bps', 0)} AS SuggestedSpread_bps, "
-                f"{RND('SuggestedAllInRate_pct', 2)} AS SuggestedAllInRate_pct")
+                f"{RND(RND('EL_rate_st', 10) + ' * 1e2', 2)} AS EL_rate_st, "
+                f"{RND(RND('SuggestedSpread_bps', 6), 0)} AS SuggestedSpread_bps, "
+                f"{RND(RND('SuggestedAllInRate_pct', 8), 2)} AS SuggestedAllInRate_pct")
     sql["pricing_table"] = W + f"SELECT {price_cols()} FROM pricing"
     sql["portfolio_pricing"] = W + f"""SELECT Scenario, {RND('el_rate', P)} AS el_rate, {RND('sp * 1e2', 4)} AS spread_bps,
         {RND(f'{D(pr.funding_cost_pct)} + sp', PC)} AS allin_pct FROM (

@@ -57,12 +57,14 @@ def loans_from_tables(orders: DataFrame, customer: DataFrame, nation: DataFrame)
         .alias("Sector"),
         F.col("n_name").alias("Geography"),
         F.when(k % 499 == 7, _null("double")).when(k % 499 == 8, _d(0)).otherwise(price).alias("LoanAmount"),
-        F.when(k % 401 == 9, _null("double"))
+        F.when(k % 4999 == 21, _d(7500))  # with the long terms: growth factors overflow
+        .when(k % 9973 == 5, _d(6))
+        .when(k % 401 == 9, _null("double"))
         .when(k % 401 == 10, _d(0))
         .when(k % 5 == 0, x / _d(100))
         .otherwise(x)
         .alias("InterestRate"),
-        term.alias("TermMonths"),
+        F.when(k % 4999 == 21, 360).when(k % 9973 == 5, 200_000).otherwise(term).alias("TermMonths"),
         F.when(k % 23 == 0, _null("double"))
         .when(k % 307 == 11, _d(900))
         .otherwise((F.lit(520) + (k * 7919) % 331).cast("double"))
@@ -115,12 +117,15 @@ SELECT
   CASE WHEN o_orderkey % 499 = 7 THEN NULL
        WHEN o_orderkey % 499 = 8 THEN CAST(0 AS DOUBLE)
        ELSE o_totalprice END AS LoanAmount,
-  CASE WHEN o_orderkey % 401 = 9 THEN NULL
+  CASE WHEN o_orderkey % 4999 = 21 THEN CAST(7500 AS DOUBLE)
+       WHEN o_orderkey % 9973 = 5 THEN CAST(6 AS DOUBLE)
+       WHEN o_orderkey % 401 = 9 THEN NULL
        WHEN o_orderkey % 401 = 10 THEN CAST(0 AS DOUBLE)
        WHEN o_orderkey % 5 = 0 THEN (CAST(3.5 AS DOUBLE) + CAST(0.25 AS DOUBLE) * CAST(o_orderkey % 37 AS DOUBLE)) / CAST(100 AS DOUBLE)
        ELSE CAST(3.5 AS DOUBLE) + CAST(0.25 AS DOUBLE) * CAST(o_orderkey % 37 AS DOUBLE) END AS InterestRate,
-  CAST(CASE o_orderkey % 10 WHEN 0 THEN 6 WHEN 1 THEN 12 WHEN 2 THEN 24 WHEN 3 THEN 36 WHEN 4 THEN 48
-       WHEN 5 THEN 60 WHEN 6 THEN 84 WHEN 7 THEN 120 WHEN 8 THEN 180 ELSE 360 END AS INTEGER) AS TermMonths,
+  CAST(CASE WHEN o_orderkey % 4999 = 21 THEN 360 WHEN o_orderkey % 9973 = 5 THEN 200000 ELSE
+       CASE o_orderkey % 10 WHEN 0 THEN 6 WHEN 1 THEN 12 WHEN 2 THEN 24 WHEN 3 THEN 36 WHEN 4 THEN 48
+       WHEN 5 THEN 60 WHEN 6 THEN 84 WHEN 7 THEN 120 WHEN 8 THEN 180 ELSE 360 END END AS INTEGER) AS TermMonths,
   CASE WHEN o_orderkey % 23 = 0 THEN NULL
        WHEN o_orderkey % 307 = 11 THEN CAST(900 AS DOUBLE)
        ELSE CAST(520 + (o_orderkey * 7919) % 331 AS DOUBLE) END AS CreditScore,

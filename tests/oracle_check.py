@@ -38,9 +38,10 @@ def compare(spark, sf_dir, names=None, verbose=True):
     import __spark_entry__ as E
 
     qs, sqls = E.queries(), E.oracle_sql()
+    names = names or [n for n in qs if n in sqls]
     con = duck(sf_dir)
     results = {}
-    for name in names or qs:
+    for name in names:
         t0 = time.time()
         sdf = qs[name](spark, sf_dir)
         s_cols = sdf.columns

@@ -130,3 +130,88 @@ def test_another_header_is_an_error(spark, scratch):
     _write(os.path.join(folder, "b.csv"), (swapped + "\nL-2,B,NY,Retail,1000,5,12,700\n").encode())
     with pytest.raises(Exception, match="header"):
         read_csv_portfolio(spark, folder).collect()
+
+
+def test_snapshot_tables_hold_the_reference_shapes(spark, scratch):
+    from creditspark.operators import aggregates as agg
+    from creditspark.operators.rankings import top_k
+    from creditspark.operators.report import display_top
+
+    run = run_portfolio(spark, sample_portfolio(spark))
+    a = write_snapshot(spark, run, os.path.join(scratch, "a"), mask=True, snapshot_id="A")
+    plain = write_snapshot(spark, run, os.path.join(scratch, "p"), mask=False, snapshot_id="P")
+    top = spark.read.parquet(f"{a}/top_ead")
+    assert top.columns == ["Scenario", "rank", "LoanID", "Borrower", "Sector", "Geography", "EAD_12m_st", "EL_12m_st",
+                           "PD_12m_st", "LGD_st", "RiskTier_st", "snapshot_id"]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = display_top(top_k(run.view, "EAD_12m_st", 10))
+    assert rows(spark.read.parquet(f"{plain}/top_ead").drop("snapshot_id")) == rows(want)
+    masked = [(r["Scenario"], r["rank"], r["EAD_12m_st"]) for r in top.collect()]
+    assert sorted(masked) == sorted((r["Scenario"], r["rank"], r["EAD_12m_st"]) for r in want.collect())
+    watch = spark.read.parquet(f"{a}/watchlist")
+    assert watch.columns == ["Scenario", "rank", "LoanID", "Badge_st", "Tightest", "WorstHeadroom_st", "DSCR_st", "LTV_st",
+                             "DTI_st", "PD_12m_st", "LGD_st", "snapshot_id"]
+    assert len(spark.read.parquet(f"{a}/top_spread").columns) == 11  # eight of its own
+    assert [r["WorstHeadroom_st"] for r in watch.where("Scenario = 'Base'").orderBy("rank").collect()] == [
+        -2.15, -1.75, -0.5786, -0.4833, -0.3352, -0.3342, -0.0759]
+    kpis = agg.kpis_by_scenario(run.view)
+    assert rows(spark.read.parquet(f"{plain}/kpis").drop("snapshot_id").select(kpis.columns)) == rows(kpis)
+
+
+def test_tied_masked_rows_are_stable(spark, scratch):
+    from pyspark.sql import functions as F
+
+    loans = sample_portfolio(spark).where("LoanID = 'L-001'")
+    tied = loans.crossJoin(spark.range(30)).withColumn("LoanID", F.concat(F.lit("X"), F.col("id"), F.lit("-9999"))).drop("id")
+    tables = []
+    for part in (1, 7):
+        run = run_portfolio(spark, tied.repartition(part))
+        base = write_snapshot(spark, run, os.path.join(scratch, f"t{part}"), mask=True, snapshot_id="T")
+        top = spark.read.parquet(f"{base}/top_ead")
+        keys = spark.read.parquet(f"{base}/loans").select("loan_key").distinct()
+        assert keys.count() == 30
+        tables.append(sorted(map(tuple, top.collect()), key=repr))
+    assert tables[0] == tables[1] and len(tables[0]) == 30
+
+
+def test_overflowing_loans_keep_totals_finite(spark):
+    from pyspark.sql import functions as F
+
+    sample = sample_portfolio(spark)
+    one = sample.where("LoanID = 'L-001'")
+    odd = (one.withColumns({"LoanID": F.lit("O-1"), "InterestRate": F.lit(6.0), "TermMonths": F.lit(200_000)})
+           .unionByName(one.withColumns({"LoanID": F.lit("O-2"), "InterestRate": F.lit(7500.0), "TermMonths": F.lit(360)}))
+           .unionByName(one.withColumns({"LoanID": F.lit("O-3"), "TermMonths": F.lit(2_000_000_000)})))
+    run = run_portfolio(spark, sample.unionByName(odd.select(sample.columns), allowMissingColumns=True))
+    rows = {r["LoanID"]: r for r in run.base.collect()}
+    for i in ("O-1", "O-2", "O-3"):
+        assert rows[i]["MonthlyPayment"] is None and rows[i]["EAD_12m"] == rows[i]["LoanAmount"] and rows[i]["DTI"] is None
+    for r in run.kpis().collect() + agg_rows(run):
+        assert all(v is None or v == v and abs(v) < 1e300 for v in r.asDict().values() if isinstance(v, float))
+    from creditspark.operators.lifetime import amortisation_schedule
+    from creditspark.operators.quality import implausible_terms
+
+    assert amortisation_schedule(run.enriched, 0.06, stressed=False).where("LoanID LIKE 'O-%'").count() == 0
+    assert {r["LoanID"] for r in implausible_terms(run.clean).collect()} == {"O-1", "O-3"}
+    infinite = run_portfolio(spark, one.withColumn("LoanAmount", F.lit(float("inf"))))
+    assert infinite.base.head()["EAD_12m"] == float("inf")
+
+
+def agg_rows(run):
+    from creditspark.operators import aggregates as agg
+
+    return agg.lifetime_totals(run.lifetime()).collect()
+
+
+def test_generated_ids_on_a_shuffled_input(spark):
+    df = spark.range(5000).repartition(13).selectExpr("id", "1000.0 AS LoanAmount", "5.0 AS InterestRate", "12 AS TermMonths")
+    ids = [r["LoanID"] for r in clean(df).select("LoanID").collect()]
+    assert sorted(int(i[2:]) for i in ids) == list(range(1, 5001))
+
+
+def test_many_scenarios_run(spark):
+    from creditspark.params import RunParams, Scenario
+
+    many = tuple(Scenario(f"S{i}", rate_bps=i) for i in range(70))
+    run = run_portfolio(spark, sample_portfolio(spark), RunParams(scenarios=many))
+    assert run.kpis().count() == 70
