@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditspark.llm import textbatch as tb
-from creditspark.llm.shared import cut
+from creditspark.llm.shared import compact, cut
 
 SKETCH = 64
 MEET = 8
@@ -175,34 +175,36 @@ def _confirm(pairs: DataFrame, sets: DataFrame, s: float) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for all nodes of ``edges`` (a, b):
-    large-star and small-star steps until nothing changes."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if mark == before or mark[0] == 0:
-            break
-        before = mark
+    large-star and small-star steps until every node hangs on its root."""
+    e = compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-                .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = compact(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """No node has two smaller neighbours, or a smaller and a larger one."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return (ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+            .where("down > 1 or (down = 1 and up = 1)").isEmpty())
 
 
 # ---- links ----------------------------------------------------------------------------------------
 
 
 def _listed(classes: DataFrame, s: float) -> DataFrame:
-    """value, cnt (classes that retain it), node, n, meet, long, typical: the
-    rarest retained values of each class, as far as a similar pair must meet in
-    them; long counts those that are in long lists, typical tells how many other
-    classes retain its values (mean logarithm)."""
+    """value, cnt (classes that retain it), node, n, meet, long, typical, place:
+    the rarest retained values of each class, as far as a similar pair must meet
+    in them; place numbers them from the commonest on, long counts those that are
+    in long lists, typical tells how many other classes retain its values (mean
+    logarithm)."""
     entries = classes.select("node", "n", F.explode("sketch").alias("value"))
     counted = entries.groupBy("value").agg(F.count("*").alias("cnt")).where("cnt > 1")
     own = (entries.join(counted, "value").groupBy("node", "n")
@@ -214,8 +216,9 @@ def _listed(classes: DataFrame, s: float) -> DataFrame:
     own = own.select("node", "n", _meets(F.col("n"), s).alias("meet"), (shared / kept).alias("typical"),
                      F.slice("values", F.lit(1), far.cast("int")).alias("values"))
     own = own.withColumn("long", F.size(F.filter("values", lambda x: x["cnt"] > LONG_LIST)))
-    return own.select("node", "n", "meet", "typical", "long", F.explode("values").alias("x")).select(
-        "node", "n", "meet", "typical", "long", F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
+    own = own.select("node", "n", "meet", "typical", "long", F.size("values").alias("last"), F.posexplode("values").alias("at", "x"))
+    return own.select("node", "n", "meet", "typical", "long", (F.col("last") - F.col("at")).alias("place"),
+                      F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
 
 
 def _short_pairs(listed: DataFrame, s: float) -> DataFrame:
@@ -234,31 +237,29 @@ def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFram
     """Confirmed links a, b between classes: enough of them to connect all that
     are connected."""
     listed = cut(_listed(classes, s))
-    pairs = cut(_union_estimate(_short_pairs(listed, s), classes, s))
+    pairs = compact(_union_estimate(_short_pairs(listed, s), classes, s))
     # Only pairs of sets that both reach into long lists often enough can have been missed.
     hot = listed.where((F.col("cnt") > LONG_LIST) & (F.col("long") >= _meets(F.ceil(F.col("n") * s), s))) \
-        .select("value", "node", "n", "typical")
+        .select("value", "node", "n", "typical", "place")
     nodes = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
              .unionByName(hot.select("node")).distinct())
     sets = cut(full_sets(docs, classes.select("node", "digest").join(nodes, "node"), words))
-    found = cut(_confirm(pairs, sets, s))
+    found = compact(_confirm(pairs, sets, s))
     if hot.isEmpty():
         return found
-    hot = cut(hot)
+    hot = compact(hot)
     for k in range(PIVOT_ROUNDS):
-        apart = _apart(hot, found)
-        outside = apart if k == 0 else (apart.join(_largest(apart, "value"), "value")
-                                        .where(F.col("component") != F.col("largest")))
+        # Each member once, in its longest list (every other round: the second).
+        lists = _apart(hot.where(F.col("place") == k % 2 + 1), found)
+        outside = lists if k < 2 else (lists.join(_largest(lists, "value"), "value")
+                                       .where(F.col("component") != F.col("largest")))
         pivot = (outside.groupBy("value").agg(F.max(F.struct("typical", "node", "n", "component")).alias("p"))
                  .select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"),
                          F.col("p.component").alias("pivot_component")))
-        star = (apart.join(pivot, "value").where(F.col("component") != F.col("pivot_component"))
+        star = (lists.join(pivot, "value").where(F.col("component") != F.col("pivot_component"))
                 .where(_sizes_fit("n", "pivot_n", s))
                 .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        new = cut(_confirm(_union_estimate(star, classes, s), sets, s))
-        if new.isEmpty() and k > 0:
-            break
-        found = cut(found.unionByName(new))
+        found = compact(found.unionByName(_confirm(_union_estimate(star, classes, s), sets, s)))
     return found.unionByName(_rest(_apart(hot, found), sets, s))
 
 
@@ -267,7 +268,7 @@ def _apart(hot: DataFrame, found: DataFrame) -> DataFrame:
     now = hot.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = (now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                .where("lo < hi").select("value"))
-    return cut(now.join(several, "value", "left_semi"))
+    return compact(now.join(several, "value", "left_semi"))
 
 
 def _largest(members: DataFrame, by: str) -> DataFrame:
@@ -303,7 +304,7 @@ def _rest(apart: DataFrame, sets: DataFrame, s: float) -> DataFrame:
     met = few.join(many, ["family", "band", "block"]).where(
         (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s)
         & F.when(shared >= least * F.size(union), exact).otherwise(False))
-    return cut(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+    return compact(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
 
 
 # ---- the operator ---------------------------------------------------------------------------------

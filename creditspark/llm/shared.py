@@ -21,5 +21,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
+    """``cut``, then as few partitions as its rows need: tables that a filter has
+    made small do not go on in as many tasks as there are shuffle partitions."""
+    kept = cut(df)
+    return kept.coalesce(1 + kept.count() // rows_per_part)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
