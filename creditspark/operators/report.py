@@ -29,6 +29,9 @@ def mask_pii(df: DataFrame) -> DataFrame:
     return out
 
 
+# --- Display tables. Their columns, order and digits are fixed values: they ---
+# --- must equal the reference's tables for identical results -----------------
+
 def _pct(name: str, digits: int = 2):
     return np_round(F.col(name) * F.lit(100.0), digits).alias(name)
 

@@ -31,7 +31,8 @@ from ..params import RunParams, Scenario
 from ..plans.portfolio import PortfolioRun, run_portfolio
 from ..sources.testdata import loans, read_table
 
-# Digits used in query outputs.
+# Digits used in query outputs. Output column names throughout this module are
+# fixed values: they are the reference's names.
 MONEY, RATIO, PROB, TOTAL, PCT = 2, 6, 8, 0, 6
 # Filter request used by the relaxation query: a geography with no loans.
 RELAX_SECTOR, RELAX_GEOGRAPHY = "Construction", "ATLANTIS"
