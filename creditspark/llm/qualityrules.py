@@ -140,22 +140,42 @@ def measures(docs: DataFrame) -> DataFrame:
 # ---- risk control, on histograms --------------------------------------------------------------
 
 
+def binomial_tail(x: int, n: int, p: float) -> float:
+    """The probability of x or fewer among n at share p, as an incomplete beta
+    function by its continued fraction: the cost does not grow with n."""
+    a, b, z = n - x, x + 1, 1.0 - p
+    if z <= 0.0:
+        return 0.0
+    if z > (a + 1) / (a + b + 2):  # the fraction converges fast on one side
+        return 1.0 - _beta_fraction(b, a, p)
+    return _beta_fraction(a, b, z)
+
+
+def _beta_fraction(a: float, b: float, z: float) -> float:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(z) + b * math.log1p(-z)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1.0 / (1.0 - (a + b) * z / (a + 1.0) or tiny)
+    value = d
+    for m in range(1, 10_000):
+        for k in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)),
+                  -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + k * d or tiny)
+            c = 1.0 + k / c or tiny
+            value *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return front * value
+
+
 def upper_bound(x: int, n: int, error: float) -> float:
     """The exact (Clopper-Pearson) upper confidence bound for a share of which
     x of n were seen: the p at which x or fewer have probability ``error``."""
     if n == 0 or x >= n:
         return 1.0
-
-    def tail(p: float) -> float:
-        a, b = math.log(p), math.log1p(-p)
-        terms = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * a + (n - k) * b for k in range(x + 1)]
-        top = max(terms)
-        return math.exp(top) * sum(math.exp(t - top) for t in terms)
-
     low, high = x / n, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if mid < 1 and tail(mid) > error else (low, mid)
+        low, high = (mid, high) if mid < 1 and binomial_tail(x, n, mid) > error else (low, mid)
     return high
 
 

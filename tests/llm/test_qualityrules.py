@@ -41,6 +41,10 @@ def test_upper_bound_is_exact():
     for x, n, error in ((0, 50, 0.05), (3, 100, 0.01), (20, 40, 0.1), (0, 1, 0.5)):
         p = qr.upper_bound(x, n, error)
         assert abs(sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x + 1)) - error) < 1e-9
+    for x, n, p in ((0, 10, 0.3), (9, 10, 0.9), (40, 90, 0.41), (3, 1000, 0.01), (500, 900, 0.6)):
+        exact = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x + 1))
+        assert abs(qr.binomial_tail(x, n, p) - exact) < 1e-11
+    assert 0.01 < qr.upper_bound(10_000_000, 1_000_000_000, 0.01) < 0.01001
     assert qr.upper_bound(5, 5, 0.1) == 1.0 and qr.upper_bound(0, 0, 0.1) == 1.0
     assert abs(qr.upper_bound(0, 60, 0.05) - (1 - 0.05 ** (1 / 60))) < 1e-12
 
