@@ -47,7 +47,7 @@ SKETCH = 64
 MEET = 8
 # Lists up to this length are joined as they are.
 LONG_LIST = 128
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 3
 # Blocks that the members of a family are dealt into in the last join.
 BLOCKS = 4
 
@@ -173,9 +173,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, s: float) -> DataFrame:
 # ---- components ---------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for all nodes of ``edges`` (a, b):
-    large-star and small-star steps until every node hangs on its root."""
+def contract(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) as stars: a, each node that is not a root, and b, the smallest
+    node of its component; by large-star and small-star steps. Contracting stars
+    with some new edges takes few steps."""
     e = compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -184,8 +185,18 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = compact(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return e.select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def labels(stars: DataFrame) -> DataFrame:
+    """node, component (its smallest node) for all nodes of ``contract``'s stars."""
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component for all nodes of ``edges`` (a, b)."""
+    return labels(contract(edges))
 
 
 def _are_stars(e: DataFrame) -> bool:
@@ -234,8 +245,8 @@ def _short_pairs(listed: DataFrame, s: float) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFrame:
-    """Confirmed links a, b between classes: enough of them to connect all that
-    are connected."""
+    """Pairs a, b of classes that links connect: enough of them to connect all
+    that are connected."""
     listed = cut(_listed(classes, s))
     pairs = compact(_union_estimate(_short_pairs(listed, s), classes, s))
     # Only pairs of sets that both reach into long lists often enough can have been missed.
@@ -247,9 +258,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFram
     found = compact(_confirm(pairs, sets, s))
     if hot.isEmpty():
         return found
-    hot = compact(hot)
+    hot, found = compact(hot), contract(found)
     for k in range(PIVOT_ROUNDS):
-        # Each member once, in its longest list (every other round: the second).
+        # Each member once, in its commonest list (every other round: the second).
         lists = _apart(hot.where(F.col("place") == k % 2 + 1), found)
         outside = lists if k < 2 else (lists.join(_largest(lists, "value"), "value")
                                        .where(F.col("component") != F.col("largest")))
@@ -259,13 +270,13 @@ def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFram
         star = (lists.join(pivot, "value").where(F.col("component") != F.col("pivot_component"))
                 .where(_sizes_fit("n", "pivot_n", s))
                 .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        found = compact(found.unionByName(_confirm(_union_estimate(star, classes, s), sets, s)))
+        found = contract(found.unionByName(_confirm(_union_estimate(star, classes, s), sets, s)))
     return found.unionByName(_rest(_apart(hot, found), sets, s))
 
 
-def _apart(hot: DataFrame, found: DataFrame) -> DataFrame:
+def _apart(hot: DataFrame, stars: DataFrame) -> DataFrame:
     """The long lists that still hold several components, with each member's."""
-    now = hot.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = hot.join(labels(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = (now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                .where("lo < hi").select("value"))
     return compact(now.join(several, "value", "left_semi"))
