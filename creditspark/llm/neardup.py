@@ -15,7 +15,7 @@ member is held against its list's most typical member (whose values most others
 retain as well: the text that copies were made from), components are contracted,
 and the next round takes a pivot outside the largest one. What is still apart
 after the rounds is held against its whole family (lists that share members),
-in blocks, without a cap.
+without a cap.
 
 A sketch misses a link only if, by chance, more than 5.5 standard deviations
 too few of the union's smallest values are shared (under one in a million for a
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,6 @@ MEET = 8
 # Lists up to this length are joined as they are.
 LONG_LIST = 128
 PIVOT_ROUNDS = 3
-# Blocks that the members of a family are dealt into in the last join.
-BLOCKS = 4
 
 
 # ---- shingle sets and sketches, in tasks ------------------------------------------------------
@@ -106,13 +105,14 @@ def sketches(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, shingles for the classes of ``wanted`` (node, digest): their texts'
-    whole sets. One shuffle of the texts, of which few go on."""
+    whole sets. One shuffle of the texts, compressed, of which few go on."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, digests = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             rows, size = [], 0
-            for d, digest, values in zip(ids, digests, shingle_sets(batch.column(1), words), strict=True):
+            texts = pa.array([zlib.decompress(t) for t in batch.column(1).to_pylist()], type=pa.large_binary()).cast(pa.large_string())
+            for d, digest, values in zip(ids, digests, shingle_sets(texts, words), strict=True):
                 if _digest(values) == digest:  # else another text under the same doc_id
                     rows.append((d, values))
                     size += len(values)
@@ -122,8 +122,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             if rows:
                 yield _set_rows(rows)
 
-    texts = (docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-             .join(wanted, "node").select("node", "text", "digest"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [zlib.compress((t or "").encode(), 1) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.binary())], names=["node", "packed"])
+
+    texts = (docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(pack, "node long, packed binary")
+             .join(wanted, "node").select("node", "packed", "digest"))
     return texts.mapInArrow(whole, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
@@ -211,11 +216,10 @@ def _are_stars(e: DataFrame) -> bool:
 
 
 def _listed(classes: DataFrame, s: float) -> DataFrame:
-    """value, cnt (classes that retain it), node, n, meet, long, typical, place:
-    the rarest retained values of each class, as far as a similar pair must meet
-    in them; place numbers them from the commonest on, long counts those that are
-    in long lists, typical tells how many other classes retain its values (mean
-    logarithm)."""
+    """node, n, values (cnt: classes that retain it, value), long, typical for
+    each class: its rarest retained values, as far as a similar pair must meet in
+    them; long counts those in long lists, typical tells how many other classes
+    retain its values (mean logarithm)."""
     entries = classes.select("node", "n", F.explode("sketch").alias("value"))
     counted = entries.groupBy("value").agg(F.count("*").alias("cnt")).where("cnt > 1")
     own = (entries.join(counted, "value").groupBy("node", "n")
@@ -224,17 +228,22 @@ def _listed(classes: DataFrame, s: float) -> DataFrame:
     alone = kept - F.size("values")  # values that nobody else retains come first
     far = F.greatest(F.lit(0), kept - shared_at_least(F.col("n"), s) + _meets(F.col("n"), s) - alone)
     shared = F.aggregate("values", F.lit(0.0), lambda total, x: total + F.log(x["cnt"].cast("double")))
-    own = own.select("node", "n", _meets(F.col("n"), s).alias("meet"), (shared / kept).alias("typical"),
+    own = own.select("node", "n", (shared / kept).alias("typical"),
                      F.slice("values", F.lit(1), far.cast("int")).alias("values"))
-    own = own.withColumn("long", F.size(F.filter("values", lambda x: x["cnt"] > LONG_LIST)))
-    own = own.select("node", "n", "meet", "typical", "long", F.size("values").alias("last"), F.posexplode("values").alias("at", "x"))
-    return own.select("node", "n", "meet", "typical", "long", (F.col("last") - F.col("at")).alias("place"),
-                      F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
+    return own.withColumn("long", F.size(F.filter("values", lambda x: x["cnt"] > LONG_LIST)))
+
+
+def _entries(listed: DataFrame) -> DataFrame:
+    """A row per listed value; place numbers a class's values from the commonest on."""
+    rows = listed.select("node", "n", "typical", "long", F.size("values").alias("last"), F.posexplode("values").alias("at", "x"))
+    return rows.select("node", "n", "typical", "long", (F.col("last") - F.col("at")).alias("place"),
+                       F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
 
 
 def _short_pairs(listed: DataFrame, s: float) -> DataFrame:
     """Pairs that meet often enough, as far as short lists show it."""
-    short = listed.where(F.col("cnt") <= LONG_LIST).select("value", "node", "n", "meet", "long")
+    short = (_entries(listed).where(F.col("cnt") <= LONG_LIST)
+             .select("value", "node", "n", _meets(F.col("n"), s).alias("meet"), "long"))
     a = short.select("value", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "meet", "long")])
     b = short.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "meet", "long")])
     met = (a.join(b, "value").where((F.col("node_a") < F.col("node_b")) & _sizes_fit("n_a", "n_b", s))
@@ -250,7 +259,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFram
     listed = cut(_listed(classes, s))
     pairs = compact(_union_estimate(_short_pairs(listed, s), classes, s))
     # Only pairs of sets that both reach into long lists often enough can have been missed.
-    hot = listed.where((F.col("cnt") > LONG_LIST) & (F.col("long") >= _meets(F.ceil(F.col("n") * s), s))) \
+    hot = _entries(listed).where((F.col("cnt") > LONG_LIST) & (F.col("long") >= _meets(F.ceil(F.col("n") * s), s))) \
         .select("value", "node", "n", "typical", "place")
     nodes = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
              .unionByName(hot.select("node")).distinct())
@@ -292,27 +301,26 @@ def _largest(members: DataFrame, by: str) -> DataFrame:
 def _rest(apart: DataFrame, sets: DataFrame, s: float) -> DataFrame:
     """Links of members outside their family's largest component to any member
     of it. A family is what lists with common members hold, so each member is
-    there once. Only sizes that can be similar meet, in blocks, and only
-    confirmed links leave the join: sketches are compared first, then sets."""
+    there once. Only sizes that can be similar meet, and only confirmed links
+    leave the join: sketches are compared first, then sets."""
     first = apart.groupBy("value").agg(F.min("node").alias("first"))
     edges = apart.join(first, "value").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
     family = components(edges).select("node", F.col("component").alias("family"))
     members = apart.select("node", "n", "component").distinct().join(family, "node")
     band = F.floor(F.log(F.col("n")) / math.log(1 / s)).cast("int")
-    full = cut(members.join(sets, "node").withColumn("band", band).withColumn("sketch", F.slice("shingles", 1, SKETCH)))
-    block = F.pmod(F.xxhash64("node"), F.lit(BLOCKS)).cast("int")
-    names = ("node", "n", "component", "shingles", "sketch")
-    many = full.withColumn("block", block).select("family", "band", "block", *[F.col(c).alias(f"{c}_b") for c in names])
+    full = cut(members.join(sets, "node").withColumn("band", band))
+    names = ("node", "n", "component", "shingles")
+    many = full.select("family", "band", *[F.col(c).alias(f"{c}_b") for c in names])
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
     few = (full.join(_largest(members, "family"), "family").where("component <> largest")
-           .select("family", near, *[F.col(c).alias(f"{c}_a") for c in names])
-           .withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(BLOCKS)]))))
-    union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
+           .select("family", near, *[F.col(c).alias(f"{c}_a") for c in names]))
+    a, b = (F.slice(f"shingles_{x}", 1, SKETCH) for x in "ab")
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
     least = max(1, math.floor(SKETCH * s - 5.5 * math.sqrt(SKETCH * s * (1 - s)))) / SKETCH
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     exact = both * 100 >= round(100 * s) * (F.size("shingles_a") + F.size("shingles_b") - both)
-    met = few.join(many, ["family", "band", "block"]).where(
+    met = few.join(many, ["family", "band"]).where(
         (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s)
         & F.when(shared >= least * F.size(union), exact).otherwise(False))
     return compact(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
