@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from creditspark.llm import textbatch as tb
 
-# Pieces remembered by a Python worker; when full, the memory starts anew.
+# Pieces remembered by a Python worker; when full, those met once are forgotten.
 MEMORY_PIECES = 300_000
 # Longer pieces are encoded without being remembered.
 MEMORY_PIECE_BYTES = 64
@@ -96,8 +96,31 @@ class Encoder:
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 14, dtype=np.int64)
         self.lengths = np.zeros(1 << 14, dtype=np.int64)
+        self.met = np.zeros(1 << 14, dtype=np.int32)  # slices that held the piece
         self.used = self.entries = 0
 
+    def _forget_rare(self) -> None:
+        """Keeps the pieces met in several slices, half the memory at most."""
+        names = list(self.known)
+        places = np.fromiter(self.known.values(), dtype=np.int64, count=len(names))
+        met = self.met[places]
+        least = 2
+        while int((met >= least).sum()) > MEMORY_PIECES // 2:
+            least *= 2
+        kept = np.flatnonzero(met >= least)
+        starts, lengths = self.starts[places[kept]], self.lengths[places[kept]]
+        ends = np.cumsum(lengths)
+        gather = np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
+        flat = self.flat[gather]
+        self._forget()
+        self.used, self.entries = len(flat), len(kept)
+        self.flat = _room(self.flat, self.used)
+        self.starts, self.lengths, self.met = (_room(x, self.entries) for x in (self.starts, self.lengths, self.met))
+        self.flat[: self.used] = flat
+        self.starts[: self.entries], self.lengths[: self.entries] = ends - lengths, lengths
+        self.met[: self.entries] = 1
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+
     def _library(self, parts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(
             [p.decode("utf-8") for p in parts], add_special_tokens=False)]
@@ -105,7 +128,7 @@ class Encoder:
     def _places(self, parts: list[bytes]) -> np.ndarray:
         """For each distinct piece its place in the memory, encoding new ones."""
         if self.entries + len(parts) > MEMORY_PIECES:
-            self._forget()
+            self._forget_rare()
         known = self.known
         places = np.fromiter((known.get(p, -1) for p in parts), dtype=np.int64, count=len(parts))
         new = np.flatnonzero(places < 0)
@@ -117,6 +140,7 @@ class Encoder:
             self.flat = _room(self.flat, self.used + total)
             self.starts = _room(self.starts, self.entries + len(some))
             self.lengths = _room(self.lengths, self.entries + len(some))
+            self.met = _room(self.met, self.entries + len(some))
             self.flat[self.used: self.used + total] = [x for ids in coded for x in ids]
             where = self.entries + np.arange(len(some))
             self.starts[where] = self.used + np.cumsum(lengths) - lengths
@@ -127,6 +151,7 @@ class Encoder:
                     known[parts[i]] = int(w)
             self.used += total
             self.entries += len(some)
+        self.met[places] += 1
         return places
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
