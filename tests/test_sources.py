@@ -155,7 +155,10 @@ def test_snapshot_tables_hold_the_reference_shapes(spark, scratch):
     assert [r["WorstHeadroom_st"] for r in watch.where("Scenario = 'Base'").orderBy("rank").collect()] == [
         -2.15, -1.75, -0.5786, -0.4833, -0.3352, -0.3342, -0.0759]
     kpis = agg.kpis_by_scenario(run.view)
-    assert rows(spark.read.parquet(f"{plain}/kpis").drop("snapshot_id").select(kpis.columns)) == rows(kpis)
+    written = rows(spark.read.parquet(f"{plain}/kpis").select(kpis.columns))
+    # Sums over another partitioning differ in their last bits.
+    for got, want in zip(written, rows(kpis), strict=True):
+        assert got[:2] == want[:2] and got[2:] == pytest.approx(want[2:], rel=1e-9, abs=1e-9)
 
 
 def test_tied_masked_rows_are_stable(spark, scratch):
