@@ -4,8 +4,12 @@ Greedy word-piece segmentation takes the longest vocabulary piece at each place
 of a word (continuation pieces after the first). A trie of the pieces, each
 node with a failure link and the number of pieces that are complete when the
 link is taken, gives the number of pieces of a word in one pass over its
-letters: no piece is built and no place is read twice. Words without a
-segmentation count as one unknown token.
+letters: no piece is built and no place is read twice.
+
+The word mark alone is a beginning too, if the vocabulary has it: a word that no
+other piece begins is the mark and continuations. With byte pieces, a character
+that no continuation begins with counts by its UTF-8 bytes, so every word has a
+segmentation. Without them, words without one count as one unknown token.
 
 The automaton has a node per prefix of the vocabulary's pieces, whatever the
 corpus' size. Defined cases: a null text is an empty one (no tokens); rows with
@@ -28,16 +32,23 @@ from creditspark.llm import textbatch as tb
 # Counts remembered by a Python worker.
 MEMORY_WORDS = 300_000
 UNKNOWN = -1
+MARK = "\u2581"
 
 
 class Automaton:
-    """``first`` pieces begin words; ``later`` pieces continue them."""
-
-    def __init__(self, first: Iterable[str], later: Iterable[str]):
+    """``first`` pieces begin words (the empty one: the word mark alone);
+    ``later`` pieces continue them. With ``byte_pieces``, a place where no piece
+    fits takes a piece per byte of its character (or of the word mark)."""
+
+    def __init__(self, first: Iterable[str], later: Iterable[str], byte_pieces: bool = False):
+        first, later = set(first), set(later)
+        self.byte_pieces = byte_pieces
+        # Characters of pieces that are no continuation themselves; others are met in ``pieces`` only.
+        spelled = {c for piece in first | later for c in piece} - later if byte_pieces else set()
         # Node 0 is the root of beginnings, node 1 that of continuations.
         self.next: list[dict[str, int]] = [{}, {}]
-        complete = [False, False]
-        for root, pieces in ((0, first), (1, later)):
+        complete = [0, 0]  # the tokens of a piece that ends here, 0: none does
+        for root, pieces in ((0, first), (1, later | spelled)):
             for piece in pieces:
                 node = root
                 for c in piece:
@@ -45,20 +56,22 @@ class Automaton:
                     if to is None:
                         to = self.next[node][c] = len(self.next)
                         self.next.append({})
-                        complete.append(False)
+                        complete.append(0)
                     node = to
                 if piece:
-                    complete[node] = True
+                    complete[node] = len(piece.encode()) if root and piece in spelled else 1
         # link: where to go on when no child fits (None: the word has no
         # segmentation); pops: the pieces complete by then.
         self.link: list[int | None] = [None] * len(self.next)
         self.pops = [0] * len(self.next)
+        if "" in first or byte_pieces:
+            self.link[0], self.pops[0] = 1, 1 if "" in first else len(MARK.encode())
         queue = deque([0, 1])
         while queue:
             node = queue.popleft()
             for c, child in self.next[node].items():
                 if complete[child]:
-                    self.link[child], self.pops[child] = 1, 1
+                    self.link[child], self.pops[child] = 1, complete[child]
                 else:
                     z, pops = self.link[node], self.pops[node]
                     while z is not None and c not in self.next[z]:
@@ -76,6 +89,10 @@ class Automaton:
         for c in word:
             to = following[node].get(c)
             while to is None:
+                if node == 1 and self.byte_pieces:
+                    n += len(c.encode())
+                    to = 1
+                    break
                 n += pops[node]
                 node = link[node]
                 if node is None:
@@ -102,8 +119,9 @@ class Automaton:
 
 
 def sentencepiece_pieces(path: str) -> tuple[list[str], list[str]]:
-    """Beginnings (pieces with the word mark, without it) and continuations of
-    a sentencepiece vocabulary; its control and byte pieces are left out."""
+    """Beginnings (pieces with the word mark, without it; the mark alone is the
+    empty one) and continuations of a sentencepiece vocabulary, without its
+    control and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -112,8 +130,16 @@ def sentencepiece_pieces(path: str) -> tuple[list[str], list[str]]:
         if model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k):
             continue
         piece = model.id_to_piece(k)
-        (first if piece.startswith("\u2581") else later).append(piece.removeprefix("\u2581"))
-    return [p for p in first if p], later
+        (first if piece.startswith(MARK) else later).append(piece.removeprefix(MARK))
+    return first, later
+
+
+def has_byte_pieces(path: str) -> bool:
+    """The vocabulary has a piece for each byte."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(model.is_byte(k) for k in range(model.get_piece_size())) == 256
 
 
 _MADE: dict[str, Automaton] = {}
@@ -121,7 +147,7 @@ _MADE: dict[str, Automaton] = {}
 
 def automaton(path: str) -> Automaton:
     if path not in _MADE:
-        _MADE[path] = Automaton(*sentencepiece_pieces(path))
+        _MADE[path] = Automaton(*sentencepiece_pieces(path), has_byte_pieces(path))
     return _MADE[path]
 
 

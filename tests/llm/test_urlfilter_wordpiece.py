@@ -180,3 +180,42 @@ def test_counts_over_documents(spark, monkeypatch):
     got = sorted(map(tuple, wp.token_counts(odd, path).collect()), key=repr)
     assert [g[:2] for g in got] == [(1, 0), (1, 2), (2, 1), (3, 2), (None, 0)]
     assert got[3][3] == 1 and got[3][2] == 2
+
+
+def full_greedy(word, pieces):
+    """Greedy search over the whole piece list, the word mark being part of the word."""
+    n, at, text = 0, 0, "\u2581" + word
+    while at < len(text):
+        end = next((e for e in range(min(len(text), at + 48), at, -1)
+                    if text[at:e] in pieces and (at == 0 or text[at] != "\u2581")), None)
+        n, at = (n + 1, end) if end else (n + len(text[at].encode()), at + 1)
+    return n
+
+
+def test_mark_alone_and_byte_pieces(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
+    assert sum(model.is_byte(k) for k in range(len(names))) == 256 and max(map(len, names)) <= 48
+    pieces = {p for k, p in enumerate(names) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
+    machine = wp.automaton(path)
+    odd = ["12345", "\u00f1and\u00fa", "\u00e7a", "\u00eatre", "\u6f22\u5b57", "\u6f22" * 50, "\U0001F600x\u0001", "7" * 200_000, "\u2581", "a\u2581b", "\uffff",
+           "x\U00012000\U00012001y", "the1the"]
+    rng = random.Random(1)
+    letters = "abthe129\u00f1\u00e7\u00ea\u6f22\u5b57\U0001F600\u0001\u00ff\u0431\U00012000-."
+    odd += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    assert [(w, machine.pieces(w)) for w in odd] == [(w, full_greedy(w, pieces)) for w in odd]
+    assert machine.pieces("12345") == 6 and machine.pieces("7" * 200_000) == 200_001
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in wp.token_counts(docs, path).collect()}
+    for r in docs.collect():
+        n = [full_greedy(w, pieces) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text)]
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].n_unknown, got[r.doc_id].longest_word_tokens) == (sum(n), 0, max(n, default=0))
+
+
+def test_automaton_without_byte_pieces_or_mark():
+    assert wp.Automaton(["", "ab"], ["c", "d"]).pieces("cd") == 3
+    assert wp.Automaton(["", "ab"], ["c", "d"]).pieces("ax") == wp.UNKNOWN
+    assert wp.Automaton(["ab"], ["c"], True).pieces("ac") == 3 + 1 + 1
