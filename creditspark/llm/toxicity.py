@@ -96,15 +96,20 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
 # ---- decoding -----------------------------------------------------------------------------------
 
 _RUN = re.compile(r"([a-z])\1\1")
-_SPACED = re.compile(r"(?:[^\W_][.\-_*~·,:;/\\'`^ ]+){3,}[^\W_]")
+_SPACED = re.compile(r"(?:[^\W_][.\-_*~·,:;/\\'`^ ]+){2,}[^\W_]")
 _EDGE = re.compile(r"^[^\w@$!|+€(]+|[^\w]+$")
+# The same, but look-alike signs at the end stay.
+_OUTER = re.compile(r"^[^\w@$!|+€(]+|[^\w@$!|+€(]+$")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _SIGN = re.compile("[" + re.escape("".join(SIGNS)) + "]")
+# Two signs at least and nothing else, but for separators.
+_ALL_SIGNS = re.compile("(?:[{0}][{1}]*)+[{0}]".format(re.escape("".join(SIGNS)), re.escape(SEPARATORS)))
 
 
 def suspicious(word: str) -> bool:
     """``word`` (lower case, edges stripped) may hide letters."""
-    return bool(_SIGN.search(word) and _TOKEN.search(word) or _RUN.search(word) or _SPACED.search(word))
+    return bool(_SIGN.search(word) and _TOKEN.search(word) or _RUN.search(word) or _SPACED.search(word)
+                or _ALL_SIGNS.fullmatch(word))
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -141,6 +146,10 @@ def decode(word: str, costs: list) -> str:
                 if letter:
                     c = _symbol(letter)
                     state, total, way = (b, c), cost + own + costs[a][b][c], (letter, path)
+                    if c == SYMBOLS - 1:  # the counts have a symbol per byte
+                        for _ in range(len(letter.encode()) - 1):
+                            total += costs[state[0]][c][c]
+                            state = (c, c)
                 else:
                     state, total, way = (a, b), cost + own, path
                 if state not in new or total < new[state][0]:
@@ -171,11 +180,11 @@ class Restorer:
         return found
 
     def _tokens(self, word: str) -> tuple[str, ...]:
-        word = _EDGE.sub("", word.lower())
-        plain = tuple(_TOKEN.findall(word))
-        if suspicious(word):
-            return tuple(dict.fromkeys((*plain, decode(word, self.costs))))
-        return plain
+        word = word.lower()
+        # Signs at the end may be letters (a$$) or marks (idiot!): both forms are read.
+        forms = dict.fromkeys((_EDGE.sub("", word), _OUTER.sub("", word)))
+        read = [decode(form, self.costs) for form in forms if suspicious(form)]
+        return tuple(dict.fromkeys((*_TOKEN.findall(next(iter(forms))), *read)))
 
     def spaced(self, words: list[bytes]) -> list[str]:
         """The words that a run of single letters or signs stands for."""
@@ -183,7 +192,7 @@ class Restorer:
 
     def slice(self, data: np.ndarray, offsets: np.ndarray):
         """``(row, tokens)`` pairs: the tokens of each distinct word per row, and
-        those of runs of four or more spaced letters, each once per row."""
+        those of runs of three or more spaced letters (code points), each once per row."""
         w = tb.words(data, offsets)
         ids, distinct = tb.encode_words(data, w)
         names = distinct.to_pylist()
@@ -191,10 +200,11 @@ class Restorer:
         row = np.repeat(np.arange(len(offsets) - 1), w.counts)
         pairs = np.unique(row * max(1, len(names)) + ids)
         extra = []
-        single = (w.ends - w.starts) == 1
+        points = tb.code_points_before(data)
+        single = (points[w.ends] - points[w.starts]) == 1
         runs = tb.runs(single, w.first)
         for a, b in zip(runs.starts.tolist(), runs.ends.tolist(), strict=True):
-            if b - a >= 4:
+            if b - a >= 3:
                 extra.extend((int(row[a]), t) for t in self.spaced([names[i] for i in ids[a:b]]))
         return pairs // max(1, len(names)), pairs % max(1, len(names)), tokens, list(dict.fromkeys(extra))
 

@@ -110,3 +110,24 @@ def test_held_out_accuracy_on_the_table(spark, sf):
     print("held out", len(held), "accuracy", accuracy, "auc", auc, "caught", np.mean([h[2] for h in held if h[0]]),
           "false alarms", np.mean([h[2] for h in held if not h[0]]))
     assert accuracy > 0.94 and np.mean([h[2] for h in held if not h[0]]) < 0.02
+
+
+def test_signs_at_the_end_all_signs_and_short_or_accented_runs(spark):
+    rng = random.Random(5)
+    toxic = ["ass", "shit", "bullshit", "imb\u00e9cile", "stu"]
+    rows, labels = [], []
+    for i in range(3000):
+        words = [rng.choice(WORDS + ["caf\u00e9", "d\u00e9cile", "assume", "10", "2024", "so!"]) for _ in range(rng.randint(5, 40))]
+        if i % 6 == 0:
+            words += [rng.choice(toxic), rng.choice(toxic)]
+        rows.append((i, " ".join(words), 0.0, ""))
+        labels.append((i, 1, int(i % 6 == 0)))
+    hidden = ["such a$$ and", "the sh!+ ring", "bullsh!+", "a 455 thing", "the @$$ of", "what i m b \u00e9 c i l e thing", "the a s s hand",
+              "rest s.t.u of", "(a$$)", "hand 4.5.5 rest"]
+    clean = ["hand$ ring!", "in 2024 10 rest!!", "3.14 and", "so! (rest)", "a b", "+ + +", "1 2", "$$$", "\u6f22 \u5b57 \u6f22 \u5b57"]
+    extra = [(10_000 + i, t, 0.0, "") for i, t in enumerate(hidden)] + [(20_000 + i, t, 0.0, "") for i, t in enumerate(clean)]
+    docs = spark.createDataFrame(rows + extra, SCHEMA)
+    by = {r.doc_id: r.predicted for r in tx.toxicity(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    assert [t for i, t in enumerate(hidden) if not by[10_000 + i]] == []
+    assert [t for i, t in enumerate(clean) if by[20_000 + i]] == []
+    assert np.mean([by[i] == (i % 6 == 0) for i in range(3000)]) > 0.99
