@@ -5,13 +5,16 @@ of key alphabets that mix digits and letters are candidates: the smallest
 alphabet that holds a candidate is its inferred encoding, and three tests ask
 whether it looks drawn at random from it: a chi-squared test of uniformity, a
 runs test about the middle, and lag-1 serial correlation, joined by Fisher's
-method. Strings of the same length made of the texts' ordinary long words, scored
-alike, show how often such a score arises without a secret; within each length class, candidates are
-accepted while the false-discovery rate (Benjamini-Hochberg on these empirical
-p-values) stays below ``FALSE_DISCOVERIES``. Longer strings separate better, so
-each class has a cutoff of its own.
-
-Only histograms over classes and score bins come to the driver. Defined cases:
+method. Strings of the same length made of the table's distinct ordinary long words, scored
+alike, show how often such a score arises without a secret. Where no such string
+scores as random, their number says little about the tail; there the battery's
+distribution for ordinary text tells it: the uneven letters of written language
+make more pairs of equal characters than random ones. Within each length class, candidates are accepted while the false-discovery rate
+(Benjamini-Hochberg on these p-values) stays below ``FALSE_DISCOVERIES``. Longer
+strings and larger alphabets separate better, so each length class and encoding
+has a cutoff of its own.
+
+Only histograms over classes, encodings and score bins come to the driver. Defined cases:
 a null text is an empty one (no spans); an empty table gives no rows; rows with
 equal doc_ids are scanned each; other columns are kept by ``redact`` only.
 """
@@ -22,6 +25,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.llm import textbatch as tb
+from creditspark.llm.shared import cut
 
 # The base patterns, their least lengths, and the kinds in order.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -42,6 +47,13 @@ LEAST_RANDOM = 16
 FALSE_DISCOVERIES = 0.01
 # Score bins: tenths of -log10 p, the last one open.
 BINS, BIN_WIDTH = 200, 0.1
+# How often two characters of ordinary text with some digits and marks are
+# equal, at least (letters alone: 0.065 in English, more in most languages).
+COINCIDENCE = 0.05
+# How often three are, in terms of its square (letters of English: 1.3).
+UNEVEN = 1.5
+# Ordinary words are joined in so many groups by hash, whatever the partitions.
+WORD_GROUPS = 64
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Length classes (each from 1.25 times the last one's least length) for which
@@ -152,8 +164,8 @@ def base_spans(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray, base: list[tuple[int, int, int]]):
-    """Byte ranges, length classes and score bins of runs outside base spans
-    that mix digits and letters."""
+    """Byte ranges, length classes, encodings and score bins of runs outside
+    base spans that mix digits and letters."""
     runs = tb.runs(_KEY[data], offsets)
     long = runs.ends - runs.starts >= LEAST_RANDOM
     starts, ends = runs.starts[long], runs.ends[long]
@@ -168,8 +180,10 @@ def candidates(data: np.ndarray, offsets: np.ndarray, base: list[tuple[int, int,
     starts, ends = starts[mixed], ends[mixed]
     lengths = ends - starts
     flat = _joined(data, starts, ends)
-    p = battery(flat, lengths, infer(flat, lengths)) if len(lengths) else np.zeros(0)
-    return starts, ends, length_class(lengths) if len(lengths) else lengths, score_bin(p)
+    if not len(lengths):
+        return starts, ends, lengths, lengths, lengths
+    encoding = infer(flat, lengths)
+    return starts, ends, length_class(lengths), encoding, score_bin(battery(flat, lengths, encoding))
 
 
 def _count(marks: np.ndarray) -> np.ndarray:
@@ -182,24 +196,29 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return np.concatenate([data[a:b] for a, b in zip(starts, ends, strict=True)]) if len(starts) else data[:0]
 
 
-def ordinary(data: np.ndarray, offsets: np.ndarray):
-    """Length classes, score bins and numbers of ordinary strings: the distinct
-    long words of ASCII letters (capitals only at the beginning or throughout),
-    one after another, cut into strings of each class's least length."""
+def ordinary_words(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The distinct long words of ASCII letters (capitals only at the beginning
+    or throughout), in lower case."""
     runs = tb.runs(_LETTER[data], offsets)
     long = runs.ends - runs.starts >= LEAST_RANDOM
     starts, ends = runs.starts[long], runs.ends[long]
     if not len(starts):
-        return np.zeros((0, 3), dtype=np.int64)
+        return []
     upper = _count((data >= 65) & (data <= 90))
     lengths = ends - starts
     plain = (upper[ends] - upper[starts + 1] == 0) | (upper[ends] - upper[starts] == lengths)
     at = np.concatenate(([0], np.cumsum(lengths[plain])))
-    distinct = tb.pieces(_joined(data, starts[plain], ends[plain]), at[:-1], at[1:]).unique().to_pylist()
-    flat = tb.lower_ascii(np.frombuffer(b"".join(distinct), dtype=np.uint8))
+    flat = tb.lower_ascii(_joined(data, starts[plain], ends[plain]))
+    return tb.pieces(flat, at[:-1], at[1:]).unique().to_pylist()
+
+
+def ordinary(words: list[bytes]) -> np.ndarray:
+    """Length classes, score bins and numbers of ordinary strings: ``words`` one
+    after another, cut into strings of each class's least length."""
+    flat = np.frombuffer(b"".join(words), dtype=np.uint8)
     rows = []
     for c in range(CLASSES):
-        length = math.ceil(LEAST_RANDOM * 1.25**c)
+        length = _least_length(c)
         strings = len(flat) // length
         if strings:
             p = battery(flat[: strings * length], np.full(strings, length), np.full(strings, ALPHABETS.index(_LOWER)))
@@ -208,63 +227,132 @@ def ordinary(data: np.ndarray, offsets: np.ndarray):
     return np.concatenate(rows) if rows else np.zeros((0, 3), dtype=np.int64)
 
 
+def _least_length(c: int) -> int:
+    return math.ceil(LEAST_RANDOM * 1.25**c)
+
+
 # ---- cutoffs --------------------------------------------------------------------------------
 
 
-def histograms(docs: DataFrame) -> dict[str, dict[int, np.ndarray]]:
-    """Counts by length class and score bin, of candidates and ordinary words
-    of all documents."""
+Histograms = tuple[dict[int, np.ndarray], dict[int, np.ndarray]]
+
+
+def histograms(docs: DataFrame) -> Histograms:
+    """By length class: counts of candidates by encoding and score bin, and of
+    strings of ordinary words by score bin, of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int, int], int] = {}
         for batch in batches:
             for _, _, data, offsets in tb.slices(batch.column(0)):
-                _, _, classes, bins = candidates(data, offsets, base_spans(data, offsets))
-                rows = [(1, c, b, 1) for c, b in zip(classes.tolist(), bins.tolist(), strict=True)]
-                rows += [(0, *r) for r in ordinary(data, offsets).tolist()]
-                for what, c, b, n in rows:
-                    total[what, c, b] = total.get((what, c, b), 0) + n
+                _, _, *key = candidates(data, offsets, base_spans(data, offsets))
+                for k in zip(*(x.tolist() for x in key), strict=True):
+                    total[k] = total.get(k, 0) + 1
+                words = ordinary_words(data, offsets)
+                if words:
+                    none = pa.nulls(len(words), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), none, none, none, none], names=names)
         if total:
-            kinds, classes, bins = zip(*total, strict=True)
-            yield pa.RecordBatch.from_pydict({"candidate": list(kinds), "class": list(classes), "bin": list(bins),
-                                              "n": list(total.values())})
-
-    rows = (docs.select("text").mapInArrow(count, "candidate long, class long, bin long, n long")
-            .groupBy("candidate", "class", "bin").agg(F.sum("n").alias("n"))).collect()  # classes times bins
-    out: dict[str, dict[int, np.ndarray]] = {"candidate": {}, "ordinary": {}}
-    for r in rows:
-        by = out["candidate" if r["candidate"] else "ordinary"]
-        by.setdefault(r["class"], np.zeros(BINS, dtype=np.int64))[r["bin"]] += r["n"]
-    return out
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.binary()), *map(pa.array, zip(*total, strict=True)),
+                                              pa.array(list(total.values()))], names=names)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], int] = {}
 
+        def add(words: list[bytes]) -> None:
+            for c, b, n in ordinary(words).tolist():
+                total[c, b] = total.get((c, b), 0) + n
 
-def cutoffs(histogram: dict[str, dict[int, np.ndarray]], q: float = FALSE_DISCOVERIES) -> dict[int, int]:
-    """For each length class the highest score bin that is still accepted (-1:
-    none). A class with too few ordinary words to reach q takes those of shorter
-    classes as well, which only makes it stricter."""
+        now, words = None, []
+        for batch in batches:
+            for group, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if group != now:
+                    add(words)
+                    now, words = group, []
+                words.append(word)
+        add(words)
+        if total:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*total, strict=True)), pa.array(list(total.values()))],
+                                             names=["class", "bin", "n"])
+
+    names = ["word", "class", "encoding", "bin", "n"]
+    rows = cut(docs.select("text").mapInArrow(count, "word binary, class long, encoding long, bin long, n long"))
+    found = (rows.where("word is null").groupBy("class", "encoding", "bin").agg(F.sum("n").alias("n"))).collect()
+    # Each word once in the table, in an order that does not depend on batches or partitions.
+    words = (rows.where("word is not null").select((F.crc32("word") % WORD_GROUPS).alias("group"), "word")
+             .distinct().repartition("group").sortWithinPartitions("group", "word"))
+    null = (words.mapInArrow(strings, "class long, bin long, n long").groupBy("class", "bin").agg(F.sum("n").alias("n"))).collect()
+    candidate: dict[int, np.ndarray] = {}
+    for r in found:
+        candidate.setdefault(r["class"], np.zeros((len(ALPHABETS), BINS), dtype=np.int64))[r["encoding"], r["bin"]] = r["n"]
+    out: dict[int, np.ndarray] = {}
+    for r in null:
+        out.setdefault(r["class"], np.zeros(BINS, dtype=np.int64))[r["bin"]] = r["n"]
+    return candidate, out
+
+
+def analytic_tail(c: int, encoding: int) -> np.ndarray:
+    """Per score bin how often ordinary text of class c scores as random or more:
+    Fisher's p is above the bin's end only if that of the uniformity test is
+    above exp(-y). Its statistic counts pairs of equal characters, whose mean and
+    variance under uneven letters are known (gamma approximation of the tail)."""
+    n, size = _least_length(c), float(_SIZES[encoding])
+    df = size - 1
+    lo, hi = np.zeros(BINS), np.full(BINS, 200.0)
+    target = 10.0 ** (-BIN_WIDTH * np.arange(1, BINS + 1))
+    for _ in range(60):
+        y = (lo + hi) / 2
+        above = np.exp(-y) * (1 + y + y * y / 2) > target
+        lo, hi = np.where(above, y, lo), np.where(above, hi, y)
+    # The statistic up to which the uniformity test's p is above exp(-y).
+    z = np.array([-NormalDist().inv_cdf(min(max(math.exp(-v), 1e-300), 0.5)) for v in hi])
+    most = df * (1 - 2 / (9 * df) + z * math.sqrt(2 / (9 * df))) ** 3
+    pairs = np.maximum(n * (most + n) / size - n, 1e-9) / 2  # of equal characters
+    at_random = n * (n - 1) / 2 / size
+    mean = n * (n - 1) / 2 * COINCIDENCE
+    if mean <= at_random:
+        return np.ones(BINS)
+    variance = mean * (1 - COINCIDENCE) + n * (n - 1) * (n - 2) * (UNEVEN - 1) * COINCIDENCE**2
+    spread = variance / mean**2 / 9
+    return _normal_tail((1 - spread - (pairs / mean) ** (1 / 3)) / math.sqrt(spread))
+
+
+def cutoffs(histogram: Histograms, q: float = FALSE_DISCOVERIES) -> dict[tuple[int, int], int]:
+    """For each length class and encoding the highest score bin that is still
+    accepted (left out: none). Strings of shorter classes score as random more
+    often, so taking those in as well only makes p larger than it is, but
+    resolves smaller ones."""
     out = {}
-    for c, own in histogram["candidate"].items():
-        null = np.zeros(BINS, dtype=np.int64)
-        for k in sorted((k for k in histogram["ordinary"] if k <= c), reverse=True):
-            if null.sum() * q >= 10:
-                break
-            null += histogram["ordinary"][k]
-        p = (np.cumsum(null) + 1) / (null.sum() + 1)  # an ordinary word scores as random or more so
-        accepted = np.flatnonzero((np.cumsum(own) > 0) & (p * own.sum() <= q * np.cumsum(own)))
-        out[c] = int(accepted[-1]) if len(accepted) else -1
+    for c, own in histogram[0].items():
+        p, null = np.ones(BINS), np.zeros(BINS, dtype=np.int64)
+        for k in range(c, -1, -1):
+            null = null + histogram[1].get(k, 0)
+            p = np.minimum(p, (np.cumsum(null) + 1) / (null.sum() + 1))
+        # Beyond the most random ordinary string of the class.
+        tail = np.cumsum(histogram[1].get(c, np.zeros(BINS, dtype=np.int64))) == 0
+        p = np.stack([np.where(tail, np.minimum(p, np.maximum.accumulate(analytic_tail(c, e))), p) for e in range(len(ALPHABETS))])
+        there = own > 0
+        order = np.argsort(p[there], kind="stable")
+        rank = np.cumsum(own[there][order])
+        level = p[there][order]
+        accepted = np.flatnonzero(level * own.sum() <= q * rank)
+        if len(accepted):
+            for e in range(len(ALPHABETS)):
+                at = np.flatnonzero(there[e] & (p[e] <= level[accepted[-1]]))
+                if len(at):
+                    out[c, e] = int(at[-1])
     return out
 
 
 # ---- the operator ---------------------------------------------------------------------------
 
 
-def _all_spans(texts: pa.Array, cutoff: dict[int, int]):
+def _all_spans(texts: pa.Array, cutoff: dict[tuple[int, int], int]):
     """For each text: its bytes, and its spans (start, kind, end) in code points and in bytes."""
     for first, end, data, offsets in tb.slices(texts):
         base = base_spans(data, offsets)
-        starts, ends, classes, bins = candidates(data, offsets, base)
-        spans = base + [(int(a), 3, int(b)) for a, b, c, k in zip(starts, ends, classes.tolist(), bins.tolist(), strict=True)
-                        if k <= cutoff.get(c, -1)]
+        found = candidates(data, offsets, base)
+        spans = base + [(a, 3, b) for a, b, c, e, k in zip(*(x.tolist() for x in found), strict=True) if k <= cutoff.get((c, e), -1)]
         spans.sort()
         points = tb.code_points_before(data)
         row = np.searchsorted(offsets, [s[0] for s in spans], side="right") - 1
@@ -280,7 +368,7 @@ def _all_spans(texts: pa.Array, cutoff: dict[int, int]):
 SPANS = "array<struct<kind: string, start: long, end: long>>"
 
 
-def scan(docs: DataFrame, cutoff: dict[int, int] | None = None) -> DataFrame:
+def scan(docs: DataFrame, cutoff: dict[tuple[int, int], int] | None = None) -> DataFrame:
     """doc_id and spans (kind, start, end in code points) for each row, by
     start, then kind. ``cutoff`` is fitted on ``docs`` if not given."""
     cutoff = cutoffs(histograms(docs)) if cutoff is None else cutoff

@@ -98,3 +98,46 @@ def test_whole_table(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert {*joined.split(",")} <= {*r.spans.split(","), ""}
     assert sum(r.n_random for r in rows) <= 2
+
+
+def test_one_key_among_thousands_and_tables_without_long_words(spark):
+    rng = random.Random(21)
+    key = base64.b64encode(rng.randbytes(72)).decode()
+    syllables = "the an re on ti er ing st nd tion ha ent ed is or at".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    slugs = []
+    for i in range(4000):
+        slug = f"{rng.randint(1990, 2024)}/{rng.randint(1, 12):02d}/" + word().title()
+        while len(slug) < 96:
+            slug += rng.choice("-/") + word()
+        slugs.append((i, f"{prose(rng, 5)} {slug} end", "", 0))
+
+    def found(rows):
+        return [(r.doc_id, rows_by[r.doc_id][s.start: s.end]) for rows_by in [{x[0]: x[1] for x in rows}]
+                for r in ss.scan(spark.createDataFrame(rows, SCHEMA)).collect() for s in r.spans if s.kind == "random"]
+
+    assert found([*slugs, (9999, f"see {key} here", "", 0)]) == [(9999, key)]
+    short = [(i, "\u0441\u043b\u043e\u0432\u043e \u6f22\u5b57 a b1 " * 20, "", 0) for i in range(50)]
+    assert found([*short, (99, f"\u6f22 {key} \u5b57", "", 0)]) == [(99, key)]
+
+
+def test_ordinary_strings_do_not_depend_on_partitions(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, prose(rng, 200), "", 0) for i in range(60)], SCHEMA)
+    one, many = (ss.histograms(docs.repartition(n))[1] for n in (1, 7))
+    assert one.keys() == many.keys() and all(np.array_equal(one[c], many[c]) for c in one) and len(one) == ss.CLASSES
+
+
+def test_analytic_tail_covers_letters_with_digits():
+    rng = np.random.default_rng(4)
+    letters = [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1]
+    weights = np.concatenate([0.02 * np.ones(26) / 26, 0.88 * np.array(letters) / sum(letters), 0.09 * np.ones(10) / 10, [0.005, 0.005]])
+    assert abs((weights**2).sum() - ss.COINCIDENCE) < 0.005
+    e = ss.ALPHABETS.index(ss._UPPER + ss._LOWER + ss._DIGITS + "+/")
+    alphabet = np.frombuffer(ss.ALPHABETS[e].encode(), dtype=np.uint8)
+    for c in (1, 3, 5):
+        n = ss._least_length(c)
+        flat = alphabet[rng.choice(64, 20_000 * n, p=weights / weights.sum())]
+        bins = ss.score_bin(ss.battery(flat, np.full(20_000, n), np.full(20_000, e)))
+        share = np.cumsum(np.bincount(bins, minlength=ss.BINS)) / 20_000
+        assert (share <= ss.analytic_tail(c, e) * 1.1 + 5e-4).all()
