@@ -1,7 +1,8 @@
 """Operator 9: near duplicates by bottom-k sketches from one hash function.
 
 A document is the set of hashes of its word shingles; its sketch holds the
-``SKETCH`` smallest. Documents with equal sets form a class, worked on as one.
+``SKETCH`` smallest. Documents with equal sets form a class, worked on as one
+under a number of its own (doc_ids may repeat with other texts).
 Inverted lists of the retained values generate candidates: two sets with a
 similarity of at least s share all but a few of their retained values, so each
 class lists only its rarest values, as many as any such pair must meet in
@@ -86,26 +87,32 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set (null if empty), sketch."""
+    """doc_id, text_hash, n_shingles, digest of the whole set (null if empty), sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digests, small = [], [], []
-            for values in shingle_sets(batch.column(1), words):
+            for values in shingle_sets(batch.column(2), words):
                 n.append(len(values))
                 digests.append(_digest(values))
                 small.append(values[:k])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, type=pa.int64()), pa.array(digests, type=pa.binary()), _lists(small)],
-                names=["doc_id", "n_shingles", "digest", "sketch"])
+                [batch.column(0), batch.column(1), pa.array(n, type=pa.int64()), pa.array(digests, type=pa.binary()), _lists(small)],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "sketch"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(), "text")
+    return narrow.mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, sketch array<long>")
+
+
+def _text_hash() -> Column:
+    """Tells apart the texts under one doc_id."""
+    return F.xxhash64("text").alias("text_hash")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, shingles for the classes of ``wanted`` (node, digest): their texts'
-    whole sets. One shuffle of the texts, compressed, of which few go on."""
+    """node, shingles for the classes of ``wanted`` (node, doc_id, text_hash,
+    digest): the whole sets of these texts. One shuffle of the texts, compressed,
+    of which few go on."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +120,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             rows, size = [], 0
             texts = pa.array([zlib.decompress(t) for t in batch.column(1).to_pylist()], type=pa.large_binary()).cast(pa.large_string())
             for d, digest, values in zip(ids, digests, shingle_sets(texts, words), strict=True):
-                if _digest(values) == digest:  # else another text under the same doc_id
+                if _digest(values) == digest:  # else another text of equal hash
                     rows.append((d, values))
                     size += len(values)
                 if size > 1 << 20:
@@ -124,11 +131,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [zlib.compress((t or "").encode(), 1) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.binary())], names=["node", "packed"])
+            packed = [zlib.compress((t or "").encode(), 1) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, type=pa.binary())],
+                                             names=["doc_id", "text_hash", "packed"])
 
-    texts = (docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(pack, "node long, packed binary")
-             .join(wanted, "node").select("node", "packed", "digest"))
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(), "text")
+             .mapInArrow(pack, "doc_id long, text_hash long, packed binary")
+             .join(wanted, ["doc_id", "text_hash"]).select("node", "packed", "digest"))
     return texts.mapInArrow(whole, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
@@ -263,7 +272,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFram
         .select("value", "node", "n", "typical", "place")
     nodes = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
              .unionByName(hot.select("node")).distinct())
-    sets = cut(full_sets(docs, classes.select("node", "digest").join(nodes, "node"), words))
+    sets = cut(full_sets(docs, classes.select("node", "doc_id", "text_hash", "digest").join(nodes, "node"), words))
     found = compact(_confirm(pairs, sets, s))
     if hot.isEmpty():
         return found
@@ -329,27 +338,48 @@ def _rest(apart: DataFrame, sets: DataFrame, s: float) -> DataFrame:
 # ---- the operator ---------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, s: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links lead
-    to), kept (it is the document's own) for each row of ``docs``."""
+# Shares in which a component's members meet its smallest doc_id.
+SHARES = 32
+
+
+def _judged(docs: DataFrame, words: int, s: float) -> DataFrame:
+    """doc_id, text_hash, n_shingles, group (the component's number; null without
+    shingles or a doc_id in the class), component_id for each row of ``docs``."""
     rows = cut(sketches(docs, words))
     sets = (rows.where("digest is not null and doc_id is not null").groupBy("digest")
-            .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")))
-    sets = cut(sets)
+            .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
+    sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
     # One row per class with its sketch; equal sets meet by digest and doc_id, so no class is too large.
-    classes = cut(rows.select("digest", F.col("doc_id").alias("node"), "sketch").join(sets, ["digest", "node"])
-                  .dropDuplicates(["digest", "node"]))
-    linked = components(links(docs, classes, words, s))
-    named = sets.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    classes = cut(rows.select("digest", "doc_id", "text_hash", "sketch").join(sets, ["digest", "doc_id"]).dropDuplicates(["node"]))
+    linked = cut(components(links(docs, classes, words, s)).join(sets.select("node", "digest", "doc_id"), "node"))
+    least = (linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+             .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))))
+    linked = (linked.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(SHARES)).cast("int")).join(least, ["component", "share"])
+              .select("node", "component", "component_id"))
+    named = (sets.join(linked, "node", "left")
+             .select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    return (rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
+            .select("doc_id", "text_hash", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, s: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links lead
+    to), kept (it is the document's own) for each row of ``docs``."""
+    component = F.col("component_id")
+    return _judged(docs, words, s).select("doc_id", "n_shingles", component,
+                                          F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def without_copies(docs: DataFrame, words: int = 5, s: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with
-    the smallest doc_id. Equal rows count once; rows without a doc_id stay."""
-    kept = near_duplicates(docs, words, s).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    the smallest doc_id (of several texts under it, the one of smallest hash).
+    Texts of equal doc_id in other groups are documents of their own. Equal rows
+    count once; rows without a doc_id stay."""
+    own = _judged(docs, words, s).where("doc_id = component_id").select("doc_id", "text_hash", "group")
+    kept = (own.where("group is not null").groupBy("doc_id", "group").agg(F.min("text_hash").alias("text_hash"))
+            .select("doc_id", "text_hash").unionByName(own.where("group is null").select("doc_id", "text_hash")).distinct())
+    texts = docs.where("doc_id is not null")
+    named = (texts.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__text_hash": F.xxhash64("text")})
+             .join(kept.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")), ["__doc_id", "__text_hash"], "left_semi")
+             .dropDuplicates(["doc_id", "text"]))
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -101,3 +101,21 @@ def test_components(spark):
 def test_query_equals_sql(spark):
     assert "op9_near_duplicates" in ORACLE_SQL
     assert compare(spark, "/root/testdata/sf0.001", ["op9_near_duplicates"], verbose=False) == {"op9_near_duplicates": True}
+
+
+def test_different_texts_under_one_doc_id(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    base = [text() for _ in range(12)]
+    near = lambda t: t + " end"
+    rows = [(1, base[0], None, ""), (7, near(base[0]), None, ""), (7, base[1], None, ""), (9, near(base[1]), None, ""),
+            (20, base[2], None, ""), (20, base[3], None, ""), (21, near(base[2]), None, ""), (22, near(base[3]), None, ""),
+            (30, base[4], None, ""), (30, near(base[4]), None, ""), (30, "", None, ""), (30, None, None, "")]
+    rows += [(40, b, None, "") for b in base[5:]] + [(41 + i, near(b), None, "") for i, b in enumerate(base[5:])]
+    assert got(spark, rows, 2) == brute(rows, 2)
+    rng.shuffle(rows)
+    assert got(spark, rows, 2) == brute(rows, 2)
+    kept = {(r.doc_id, r.text) for r in nd.without_copies(spark.createDataFrame(rows, SCHEMA), 2).collect()}
+    assert {t for d, t in kept if d == 7} == {base[1]} and (1, base[0]) in kept and not any(d in (9, 21, 22) or d > 40 for d, _ in kept)
+    assert {t for d, t in kept if d == 20} == {base[2], base[3]} and {t for d, t in kept if d == 40} == set(base[5:])
+    assert len([t for d, t in kept if d == 30 and t]) == 1 and {(30, ""), (30, None)} <= kept
