@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import fingerprints, idfiles, mixing, neardup, packing, qualityrules, secretscan, toxicity, urlfilter, wordpiece
+from creditspark.llm import fingerprints, idfiles, mixing, neardup, packing, qualityrules, secretscan, sharding, toxicity, urlfilter, wordpiece
 from creditspark.llm.shared import folder, table
 
 END_ID = 0
@@ -65,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(sharding.write_shards(table(spark, sf_dir, "documents"), folder(spark, "shards")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_id_files": op8_token_id_files,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
+    "op12_two_pass_shuffle": op12_two_pass_shuffle,
 }
 
 ORACLE_SQL: dict[str, str] = {
