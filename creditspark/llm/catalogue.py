@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import fingerprints, idfiles, mixing, neardup, packing, qualityrules, secretscan, sharding, toxicity, urlfilter, wordpiece
+from creditspark.llm import fingerprints, idfiles, mixing, neardup, packing, periodic, qualityrules, secretscan, sharding, toxicity, urlfilter, wordpiece
 from creditspark.llm.shared import folder, table
 
 END_ID = 0
@@ -69,6 +69,10 @@ def op12_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.write_shards(table(spark, sf_dir, "documents"), folder(spark, "shards")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.repeated_order))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_token_counts": op2_token_counts,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
     "op12_two_pass_shuffle": op12_two_pass_shuffle,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
