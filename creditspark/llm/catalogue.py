@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import fingerprints, idfiles, mixing, neardup, packing, periodic, qualityrules, secretscan, sharding, toxicity, urlfilter, wordpiece
+from creditspark.llm import crc_sql, fingerprints, idfiles, mixing, neardup, packing, periodic, qualityrules, secretscan, sharding, spelling, toxicity, urlfilter, wordpiece
 from creditspark.llm.shared import folder, table
 
 END_ID = 0
@@ -65,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.vocabulary(table(spark, sf_dir, "documents"), spelling.one_letter_lost))
+
+
 def op12_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.write_shards(table(spark, sf_dir, "documents"), folder(spark, "shards")))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_id_files": op8_token_id_files,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_two_pass_shuffle": op12_two_pass_shuffle,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -116,4 +121,6 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.root AS component_id, d.doc_i
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = d.doc_id
 """,
+    "op11_spelling_variants": crc_sql.SPELLING_VARIANTS,
+    "op13_periodic_runs": crc_sql.PERIODIC_RUNS,
 }
