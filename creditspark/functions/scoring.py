@@ -114,11 +114,15 @@ def ead_12m(loan_amount, balance_12m) -> Column:
     )
 
 
+# Units of the tier key in 1.
+TIER_KEY_UNITS = 1e12
+
+
 def tier_key(pd_col) -> Column:
     """PD as used for cutting and comparing: floored at 1e-5 and rounded to
     12 decimals, so that factor-order ulps cannot split ties."""
     x = clip(pd_col, TIER_PD_FLOOR)
-    return F.rint(x * F.lit(1e12)) / F.lit(1e12)
+    return F.rint(x * F.lit(TIER_KEY_UNITS)) / F.lit(TIER_KEY_UNITS)
 
 
 def tier_from_cuts(pd_col, q_low, q_high) -> Column:

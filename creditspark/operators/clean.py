@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.core import clip, collapse_ws, nan_to_null, strip_ws, to_number
 from ..schema import UNKNOWN, UNKNOWN_LABELS, check_required
 from ..session import ensure_checkpoint_dir
+from ..sources.scan import is_file_scan
 
 OPTIONAL_NUMERIC = ("CreditScore", "MonthlyIncome", "NOI", "EBITDA", "CollateralValue", "CurrentMarketValue")
 
@@ -52,30 +53,36 @@ def decimal_rate(r: Column) -> Column:
 
 # Partitions whose counts are summed in one step of the position prefix sums.
 _ID_GROUP = 1024
+# A row of 16 bytes per partition is broadcast up to so many partitions.
+_MOST_BROADCAST = 1 << 18
 
 
-def with_generated_ids(df: DataFrame, on_scan: bool = False) -> DataFrame:
+def with_generated_ids(df: DataFrame) -> DataFrame:
     """Dense ``L-001``-style ids by position (P6): rows in earlier partitions
     plus the place within the partition.
 
-    The input is used twice, so it must not change in between: a bare file scan
-    (``on_scan``) is read the same way again; anything else is kept first, in
-    the shared checkpoint folder. The prefix sums over partitions are made in
-    two steps, groups of partitions and partitions of a group.
+    The input is used twice, so it must not change in between: a file scan is
+    read the same way again, and building the plan runs no job; anything else is
+    kept first, in the shared checkpoint folder. The prefix sums over partitions
+    are made in two steps, groups of partitions and partitions of a group. The
+    starts, a row per partition, go to the loans by broadcast as long as the
+    partitions are no more than ``_MOST_BROADCAST``, else by a join.
     """
-    if not on_scan:
+    if not is_file_scan(df):
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
-    tagged = df.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_offset", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
-    )
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", F.floor(F.col("_part") / _ID_GROUP))
+    part = F.spark_partition_id()
+    tagged = df.withColumn("_part", part).withColumn("_offset", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33))
+    # Counted on rows without columns: only the files' row counts are read.
+    counts = (df.select(part.alias("_part")).groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_group", F.floor(F.col("_part") / _ID_GROUP)))
     earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = counts.groupBy("_group").agg(F.sum("_n").alias("_n"))
-    groups = groups.select("_group", earlier(Window.orderBy("_group")).alias("_before"))
+    groups = groups.select("_group", earlier(Window.partitionBy(F.lit(0)).orderBy("_group")).alias("_before"))
     starts = counts.join(groups, "_group").select(
         "_part", (F.col("_before") + earlier(Window.partitionBy("_group").orderBy("_part"))).alias("_start"))
-    numbered = tagged.join(starts, "_part")
+    few = df.rdd.getNumPartitions() <= _MOST_BROADCAST
+    numbered = tagged.join(F.broadcast(starts) if few else starts, "_part")
     pos = numbered["_start"] + numbered["_offset"] + 1
     return numbered.withColumn("LoanID", F.format_string("L-%03d", pos)).drop("_part", "_offset", "_start")
 

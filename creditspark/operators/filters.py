@@ -83,15 +83,19 @@ def require_rows(df: DataFrame, sector: str = ALL, geography: str = ALL) -> Data
 
 def filter_tier(stressed: DataFrame, tier: str = ALL) -> DataFrame:
     """keep one stressed tier, per scenario; a scenario in which that tier
-    does not occur keeps all its loans. The presence test is an aggregate with
-    one row per scenario. (KPIs take ``aggregates.tier_table``, in one pass.)"""
+    does not occur keeps all its loans. Which scenarios have it is one value of
+    the plan, a map with an entry per scenario, so the loans themselves are
+    filtered where they are, without an exchange. (KPIs take
+    ``aggregates.tier_table``, in one pass.)"""
     if tier == ALL:
         return stressed
     if tier not in TIERS:
         raise ValueError(f"tier must be one of {TIERS} or 'All', got {tier!r}")
-    present = stressed.groupBy("Scenario").agg(F.max(F.col("RiskTier_st") == tier).alias("_has_tier"))
-    joined = stressed.join(present, "Scenario")
-    return keep_where(joined, ~F.col("_has_tier") | (F.col("RiskTier_st") == tier)).drop("_has_tier")
+    chosen = F.col("RiskTier_st") == tier
+    present = stressed.groupBy("Scenario").agg(F.max(chosen).alias("has"))
+    present = present.agg(F.map_from_entries(F.collect_list(F.struct("Scenario", "has"))).alias("has")).scalar()
+    # In place: a pushed-down predicate would carry the whole scoring with it.
+    return keep_where(stressed, ~F.coalesce(present[F.col("Scenario")], F.lit(False)) | chosen)
 
 
 def filter_domains(df: DataFrame) -> DataFrame:

@@ -18,11 +18,10 @@ ISSUE_SEPARATOR = ", "
 # ---------------------------------------------------------------------------
 
 
-def issues(clean_df: DataFrame) -> DataFrame:
-    """``(LoanID, Issues)`` for rows breaking any rule; messages in rule order.
-
-    ``concat_ws`` skips the NULLs of rules that did not fire.
-    """
+def with_issues(df: DataFrame) -> DataFrame:
+    """``df`` with ``Issues``: the messages of the rules that the row breaks, in
+    rule order (empty if none). Each row is judged by itself, so rows that share
+    a LoanID, or have none, keep their own."""
     amount, term = F.col("LoanAmount"), F.col("TermMonths")
     rate, coll = F.col("InterestRate_clean"), F.col("CollateralBase")
     rules = [
@@ -30,11 +29,17 @@ def issues(clean_df: DataFrame) -> DataFrame:
         F.when(term.isNull() | (term <= 0), F.lit(MSG_TERM)),
         F.when(rate.isNull() | (rate < 0), F.lit(MSG_RATE)),
     ]
-    if "CreditScore" in clean_df.columns:
+    if "CreditScore" in df.columns:
         cs = F.col("CreditScore")
         rules.append(F.when(cs.isNotNull() & ((cs < SCORE_RANGE[0]) | (cs > SCORE_RANGE[1])), F.lit(MSG_SCORE)))
     rules.append(F.when(coll.isNull() | (coll <= 0), F.lit(MSG_COLLATERAL)))
-    out = clean_df.select("LoanID", F.concat_ws(ISSUE_SEPARATOR, *rules).alias("Issues"))
+    # ``concat_ws`` skips the NULLs of rules that did not fire.
+    return df.withColumn("Issues", F.concat_ws(ISSUE_SEPARATOR, *rules))
+
+
+def issues(clean_df: DataFrame) -> DataFrame:
+    """``(LoanID, Issues)`` for rows breaking any rule."""
+    out = with_issues(clean_df).select("LoanID", "Issues")
     # Filter on the computed text without re-running the cleaning in a pushed-down predicate.
     return keep_where(out, F.col("Issues") != "")
 

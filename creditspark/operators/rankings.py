@@ -1,18 +1,16 @@
 """Top-k rankings (K1-K4) and the ranking primitive used by the watchlist.
 
-Per group (scenario), the top k rows are found on narrow rows first: the group,
-the sort keys and LoanID only, so the scan and the scoring behind them are
-pruned to what the keys need. Ranking is two-level, so that no task receives
-more than ``fan_in * k`` rows of a group, however hot it is:
+Per group (scenario), one pass ranks and returns whole rows. Ranking is
+two-level, so that no task receives more than ``fan_in * k`` rows of a group,
+however hot it is:
 
 1. rows are ranked within (group, input partition mod ``fan_in``); Spark runs
    this ``row_number() <= k`` as a per-task group limit before the exchange, so
-   each task ships at most k rows per group;
+   each task ships at most k rows per group, with the columns that are asked for;
 2. the survivors are ranked within the group.
 
 Every global top-k row is in the top k of its own first-level slot, so the
-result is exact. The survivors' loans (at most k per group) are then fetched by
-LoanID, which the optimizer moves below the scoring, and ranked as whole rows.
+result is exact, and partial results of any tasks merge the same way.
 LoanID is the last sort key everywhere, so results do not depend on file order.
 A single global top-k is ``TakeOrderedAndProject``.
 """
@@ -25,28 +23,17 @@ from pyspark.sql import functions as F
 FAN_IN = 64
 
 
-def _ranked(df: DataFrame, by: str, order: list[Column], k: int, fan_in: int) -> DataFrame:
-    slot = F.pmod(F.spark_partition_id(), F.lit(fan_in))
-    first = (
-        df.withColumn("_slot", slot)
-        .withColumn("_r1", F.row_number().over(Window.partitionBy(by, "_slot").orderBy(*order)))
-        .where(F.col("_r1") <= k)
-        .drop("_slot", "_r1")
-    )
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.where(F.col("rank") <= k)
-
-
 def rank_within(df: DataFrame, by: str, keys: list[Column], k: int, fan_in: int = FAN_IN) -> DataFrame:
     """Rows ranked 1..k per ``by`` (column ``rank``), exactly, by ``keys``
     ascending, NULLs last, then LoanID."""
     named = [c.alias(f"_key{i}") for i, c in enumerate(keys)]
     order = [F.col(f"_key{i}").asc_nulls_last() for i in range(len(keys))] + [F.col("LoanID").asc()]
-    candidates = df.select(by, "LoanID", *named)
-    # At most k rows per scenario: a bounded broadcast.
-    best = F.broadcast(_ranked(candidates, by, order, k, fan_in).select("LoanID").distinct())
-    rows = df.join(best, "LoanID", "left_semi")
-    return _ranked(rows.select("*", *named), by, order, k, fan_in).drop(*[f"_key{i}" for i in range(len(keys))])
+    slot = F.pmod(F.spark_partition_id(), F.lit(fan_in)).alias("_slot")
+    first = (df.select("*", *named, slot)
+             .withColumn("_r1", F.row_number().over(Window.partitionBy(by, "_slot").orderBy(*order)))
+             .where(F.col("_r1") <= k))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+    return ranked.drop("_slot", "_r1", *[f"_key{i}" for i in range(len(keys))])
 
 
 def top_k(df: DataFrame, measure: str, k: int = 10, by: str | None = "Scenario") -> DataFrame:

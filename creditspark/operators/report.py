@@ -1,11 +1,11 @@
-"""Masking, display projections, sinks and the report snapshot."""
+"""Masking, display projections and sinks (P7, P8, S5, S6); the snapshot is in ``snapshot``."""
 
 from __future__ import annotations
 
 import datetime as _dt
-import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.core import np_round
@@ -98,94 +98,45 @@ def display_top(ranked: DataFrame) -> DataFrame:
 
 # --- sinks ---------------------------------------------------------------------------
 
-def write_exceptions_csv(exceptions_df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Every Red / Amber loan, unrounded, CSV with header, one folder per scenario."""
-    exceptions_df.write.mode(mode).option("header", True).partitionBy("Scenario").csv(path)
-
-
-def write_pricing_table(pricing_display: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """The rounded pricing table, partitioned by scenario."""
-    w = pricing_display.write.mode(mode).partitionBy("Scenario")
-    if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.parquet(path)
-
-
-def new_snapshot_id(now: _dt.datetime | None = None) -> str:
-    now = now or _dt.datetime.now(_dt.timezone.utc)
-    return now.strftime("RPT-%Y%m%d-%H%M%S-") + uuid.uuid4().hex[:8]
-
-
-def write_snapshot(spark: SparkSession, run, root: str, mask: bool = True, snapshot_id: str | None = None,
-                   top_n: int = 10) -> str:
-    """An immutable, self-consistent report snapshot.
-
-    The enriched view (covenants, lifetime, pricing, quality issues; masked when
-    asked) is written once as ``<root>/<id>/loans``; every other table is then
-    derived from that written copy, so all tables agree with each other even if
-    executors are lost mid-way, and the lineage to the raw input is cut. Where
-    ids are masked, tables are ranked by a hash of the real id as the last key,
-    which is kept as ``loan_key``. Writes use ``errorifexists``: a snapshot is
-    never overwritten.
-    """
-    from . import aggregates as agg
-    from .covenants import watchlist
-    from .quality import issues
-    from .rankings import top_k
-    from .stress import scenario_frame
-
-    sid, p = snapshot_id or new_snapshot_id(), run.params
-    # What a filter came to is one small job, which the meta table records.
-    sector, geography, _ = run.filters.resolve()
-    base = f"{root.rstrip('/')}/{sid}"
-    loan = F.col("LoanID")
-    full = run.full().join(issues(run.base).select("LoanID", "Issues").distinct(), "LoanID", "left")
-    full = full.withColumn("loan_key", F.sha2(F.concat(F.lit(sid), loan), 256) if mask else loan)
-    if mask:
-        full = mask_pii(full)
-    full.withColumn("snapshot_id", F.lit(sid)).write.mode("errorifexists").parquet(f"{base}/loans")
-    view = spark.read.parquet(f"{base}/loans")
-
-    # Ranked by the real id's key, shown with the id as written.
-    keyed = view.withColumnRenamed("LoanID", "shown_id").withColumnRenamed("loan_key", "LoanID")
-
-    def shown(ranked: DataFrame) -> DataFrame:
-        return ranked.drop("LoanID").withColumnRenamed("shown_id", "LoanID")
-
-    first = p.scenarios[0].name
-    tables = {
-        "kpis": agg.kpis_by_scenario(view),
-        "lifetime_totals": agg.lifetime_totals(view),
-        "top3_sector_share": agg.top3_sector_share(view),
-        "ead_by_sector": agg.ead_by(view, "Sector"),
-        "ead_by_geography": agg.ead_by(view, "Geography"),
-        "tier_histogram": agg.tier_histogram(view),
-        "badge_rollup": agg.badge_rollup(view),
-        "watchlist": display_watchlist_report(shown(watchlist(keyed, top_n, run.params.severity_first))),
-        "top_ead": display_top(shown(top_k(keyed, "EAD_12m_st", top_n))),
-        "top_el": display_top(shown(top_k(keyed, "EL_12m_st", top_n))),
-        "top_spread": display_pricing(shown(top_k(keyed, "SuggestedSpread_bps", top_n)), extra=("rank",)),
-        "portfolio_pricing": agg.portfolio_pricing(view, run.params.pricing),
-    }
-    dq = view.where((F.col("Scenario") == first) & (F.col("Issues") != "")).orderBy("loan_key").limit(10)
-    tables["data_quality_sample"] = dq.select("LoanID", "Issues")
-    meta = spark.createDataFrame(
-        [(
-            sid,
-            _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S"),
-            ",".join(s.name for s in p.scenarios),
-            sector, geography, p.tier,
-            float(p.discount_rate_pct), p.pricing.cap_buffer_pct, p.pricing.opex_pct,
-            p.pricing.target_profit_pct, p.pricing.funding_cost_pct, bool(mask),
-        )],
-        "snapshot_id string, generated_utc string, scenarios string, sector string, geography string, tier string, "
-        "discount_rate_pct double, cap_buffer_pct double, opex_pct double, target_profit_pct double, "
-        "funding_cost_pct double, masked boolean",
-    )
-    tables["meta"] = meta
-    tables["scenarios"] = scenario_frame(spark, p.scenarios)
-    # Every table below is an aggregate or a top-k: bounded, one file each.
-    for name, df in tables.items():
-        df.withColumn("snapshot_id", F.lit(sid)).coalesce(1).write.mode("errorifexists").parquet(f"{base}/{name}")
-    return base
+# Rows of one written file at most; Spark deals the rows of a large scenario to
+# as many tasks as its size asks for.
+ROWS_PER_FILE = 5_000_000
+
+
+def _write_by_scenario(df: DataFrame, path: str, fmt: str, scenarios: Sequence[str], rows_per_file: int) -> None:
+    """Writes ``df`` in one folder per scenario, and replaces the folders of the
+    scenarios it has; other scenarios' folders stay. A rerun gives the same
+    table. ``scenarios`` are those that were run: one of them without rows is
+    replaced by a folder without rows."""
+    seen = Observation()
+    # Rows meet by scenario so that each task writes few files; AQE splits large ones.
+    dealt = df.hint("rebalance", "Scenario").observe(seen, F.collect_set("Scenario").alias("names"))
+    how = {"header": True, "maxRecordsPerFile": rows_per_file}
+    (dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**how)
+     .partitionBy("Scenario").format(fmt).save(path))
+    as_folder = df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for name in sorted(set(scenarios) - set(seen.get["names"] or ())):
+        # Static overwrite of that folder alone: it has no rows to name it.
+        none = df.drop("Scenario").where(F.lit(False)).coalesce(1)
+        none.write.mode("overwrite").options(**how).format(fmt).save(f"{path.rstrip('/')}/Scenario={as_folder(name)}")
+
+
+def write_exceptions_csv(exceptions_df: DataFrame, path: str, scenarios: Sequence[str] = (),
+                         rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Every Red / Amber loan, unrounded, CSV with header, one folder per
+    scenario. A rerun replaces the scenarios it ran and leaves the others."""
+    _write_by_scenario(exceptions_df, path, "csv", scenarios, rows_per_file)
+
+
+def write_pricing_table(pricing_display: DataFrame, path: str, fmt: str = "parquet", scenarios: Sequence[str] = (),
+                        rows_per_file: int = ROWS_PER_FILE) -> None:
+    """The rounded pricing table, partitioned by scenario. A rerun replaces
+    the scenarios it ran and leaves the others."""
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
+    _write_by_scenario(pricing_display, path, fmt, scenarios, rows_per_file)
+
+
+def pricing_export_name(preset: str, now: _dt.datetime | None = None) -> str:
+    """The name of one pricing export: preset and time, as the reference names it."""
+    return f"pricing_table_{preset}_{now or _dt.datetime.now():%Y%m%d_%H%M%S}"

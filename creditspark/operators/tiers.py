@@ -3,7 +3,8 @@
 The cutpoints are exact order statistics of the base PD, taken with the
 built-in ``percentile`` from a frequency table (a count per distinct PD). The
 scorecard yields at most a few hundred distinct values (6 score bands x 4 DTI x
-4 LTV x sector factors), so that table is small at any number of loans.
+4 LTV x sector factors), so that table is small at any number of loans; PDs from
+elsewhere may all differ, and take the refinement of ``quantiles`` instead.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import (
     TIER_FALLBACK,
+    TIER_KEY_UNITS,
     TIER_MIN_COUNT,
     TIER_MIN_GAP,
     TIER_PERCENTILES,
@@ -20,6 +22,7 @@ from ..functions.scoring import (
     tier_from_key,
     tier_key,
 )
+from .quantiles import exact_percentiles
 
 
 def _cutpoints(n_pd: Column, q: Column) -> tuple[Column, Column]:
@@ -37,15 +40,24 @@ def _percentiles(x: str, n: str) -> Column:
     return F.percentile(F.col(x), list(TIER_PERCENTILES), F.col(n))
 
 
-def tier_cuts(base: DataFrame, pd_col: str = "PD_12m") -> DataFrame:
+def tier_cuts(base: DataFrame, pd_col: str = "PD_12m", discrete: bool = True) -> DataFrame:
     """One row ``(n_pd, q_low, q_high)``. The frequency table is built with a
     partial count per task and merged per key, so no task merges one state per
-    input partition. A NULL PD counts for nothing."""
+    input partition. A NULL PD counts for nothing.
+
+    ``discrete`` PDs are few, as the scorecard's are, and one task takes the
+    percentiles of their table. Others may all differ: their percentiles are
+    found by range refinement (``quantiles``), in bounded tasks."""
     # No filter on the key: it would be pushed below the scoring projections,
     # with the whole chain inlined into the predicate.
     freq = base.select(tier_key(F.col(pd_col)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    stats = freq.agg(F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("n"))), F.lit(0)).alias("n_pd"),
-                     _percentiles("x", "n").alias("q"))
+    if discrete:
+        stats = freq.agg(F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("n"))), F.lit(0)).alias("n_pd"),
+                         _percentiles("x", "n").alias("q"))
+    else:
+        units = freq.select(F.rint(F.col("x") * F.lit(TIER_KEY_UNITS)).cast("long").alias("x"), "n")
+        stats = exact_percentiles(units, [], "x", "n", TIER_PERCENTILES)
+        stats = stats.select(F.col("total").alias("n_pd"), F.transform("q", lambda q: q / F.lit(TIER_KEY_UNITS)).alias("q"))
     q_low, q_high = _cutpoints(F.col("n_pd"), F.col("q"))
     return stats.select(F.col("n_pd").cast("long").alias("n_pd"), q_low.alias("q_low"), q_high.alias("q_high"))
 

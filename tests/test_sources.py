@@ -6,7 +6,8 @@ import pytest
 
 from creditspark.operators.clean import clean
 from creditspark.operators.covenants import exceptions
-from creditspark.operators.report import display_pricing, write_exceptions_csv, write_pricing_table, write_snapshot
+from creditspark.operators.report import display_pricing, write_exceptions_csv, write_pricing_table
+from creditspark.operators.snapshot import write_snapshot
 from creditspark.plans.portfolio import run_portfolio
 from creditspark.schema import MalformedRowsError, MissingColumnsError
 from creditspark.sources.csv import encodings, read_csv_portfolio
@@ -59,12 +60,12 @@ def test_sinks_and_snapshot(spark, scratch):
     assert back.count() == exceptions(cov).count()
     write_pricing_table(display_pricing(run.pricing()), os.path.join(scratch, "pricing"))
     assert spark.read.parquet(os.path.join(scratch, "pricing")).count() == 30
-    base = write_snapshot(spark, run, os.path.join(scratch, "snap"), mask=True, snapshot_id="RPT-TEST")
-    loans = spark.read.parquet(f"{base}/loans")
+    snap = write_snapshot(spark, run, os.path.join(scratch, "snap"), mask=True, snapshot_id="RPT-TEST")
+    loans = snap.table("loans")
     assert loans.count() == 30 and all(r["LoanID"].startswith("****") for r in loans.collect())
-    kpis = spark.read.parquet(f"{base}/kpis").collect()
+    kpis = snap.table("kpis").collect()
     assert {r["snapshot_id"] for r in kpis} == {"RPT-TEST"} and len(kpis) == 3
-    scen = {r["Scenario"]: r for r in spark.read.parquet(f"{base}/scenarios").collect()}
+    scen = {r["Scenario"]: r for r in snap.table("scenarios").collect()}
     assert scen["Severe"]["rate_bps"] == 250.0 and scen["Adverse"]["unemp_mult"] == 1.2
     with pytest.raises(Exception):
         write_snapshot(spark, run, os.path.join(scratch, "snap"), snapshot_id="RPT-TEST")
@@ -140,22 +141,22 @@ def test_snapshot_tables_hold_the_reference_shapes(spark, scratch):
     run = run_portfolio(spark, sample_portfolio(spark))
     a = write_snapshot(spark, run, os.path.join(scratch, "a"), mask=True, snapshot_id="A")
     plain = write_snapshot(spark, run, os.path.join(scratch, "p"), mask=False, snapshot_id="P")
-    top = spark.read.parquet(f"{a}/top_ead")
+    top = a.table("top_ead")
     assert top.columns == ["Scenario", "rank", "LoanID", "Borrower", "Sector", "Geography", "EAD_12m_st", "EL_12m_st",
                            "PD_12m_st", "LGD_st", "RiskTier_st", "snapshot_id"]
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     want = display_top(top_k(run.view, "EAD_12m_st", 10))
-    assert rows(spark.read.parquet(f"{plain}/top_ead").drop("snapshot_id")) == rows(want)
+    assert rows(plain.table("top_ead").drop("snapshot_id")) == rows(want)
     masked = [(r["Scenario"], r["rank"], r["EAD_12m_st"]) for r in top.collect()]
     assert sorted(masked) == sorted((r["Scenario"], r["rank"], r["EAD_12m_st"]) for r in want.collect())
-    watch = spark.read.parquet(f"{a}/watchlist")
+    watch = a.table("watchlist")
     assert watch.columns == ["Scenario", "rank", "LoanID", "Badge_st", "Tightest", "WorstHeadroom_st", "DSCR_st", "LTV_st",
                              "DTI_st", "PD_12m_st", "LGD_st", "snapshot_id"]
-    assert len(spark.read.parquet(f"{a}/top_spread").columns) == 11  # eight of its own
+    assert len(a.table("top_spread").columns) == 11  # eight of its own
     assert [r["WorstHeadroom_st"] for r in watch.where("Scenario = 'Base'").orderBy("rank").collect()] == [
         -2.15, -1.75, -0.5786, -0.4833, -0.3352, -0.3342, -0.0759]
     kpis = agg.kpis_by_scenario(run.view)
-    written = rows(spark.read.parquet(f"{plain}/kpis").select(kpis.columns))
+    written = rows(plain.table("kpis").select(kpis.columns))
     # Sums over another partitioning differ in their last bits.
     for got, want in zip(written, rows(kpis), strict=True):
         assert got[:2] == want[:2] and got[2:] == pytest.approx(want[2:], rel=1e-9, abs=1e-9)
@@ -169,9 +170,9 @@ def test_tied_masked_rows_are_stable(spark, scratch):
     tables = []
     for part in (1, 7):
         run = run_portfolio(spark, tied.repartition(part))
-        base = write_snapshot(spark, run, os.path.join(scratch, f"t{part}"), mask=True, snapshot_id="T")
-        top = spark.read.parquet(f"{base}/top_ead")
-        keys = spark.read.parquet(f"{base}/loans").select("loan_key").distinct()
+        snap = write_snapshot(spark, run, os.path.join(scratch, f"t{part}"), mask=True, snapshot_id="T")
+        top = snap.table("top_ead")
+        keys = snap.table("loans").select("loan_key").distinct()
         assert keys.count() == 30
         tables.append(sorted(map(tuple, top.collect()), key=repr))
     assert tables[0] == tables[1] and len(tables[0]) == 30
