@@ -10,13 +10,14 @@ class lists only its rarest values, as many as any such pair must meet in
 similarity and drops clear misses; the exact similarity of the full sets then
 confirms each link, and stars of links are contracted to components.
 
-Long lists belong to large families of near copies or to texts made of one
-common passage. Pairs that meet in long lists only are found by pivots: each
-member is held against its list's most typical member (whose values most others
-retain as well: the text that copies were made from), components are contracted,
-and the next round takes a pivot outside the largest one. What is still apart
-after the rounds is held against its whole family (lists that share members),
-without a cap.
+Most pairs are never formed. In each of a few rounds a list's most typical member
+(whose values most others retain as well: the text that copies were made from)
+is its pivot, each class is held against the one pivot it meets most often, and
+components are contracted; lists that hold one component only are done. What is
+still apart is then held against all it meets: in short lists pair by pair, in
+long ones (texts made of one common passage, say) by an exact prefix filter on
+the full sets, ordered by frequency: a similar pair shares one of the rarest
+shingles of both, at places that leave enough shingles behind them.
 
 A sketch misses a link only if, by chance, more than 5.5 standard deviations
 too few of the union's smallest values are shared (under one in a million for a
@@ -34,7 +35,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,13 +44,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditspark.llm import textbatch as tb
-from creditspark.llm.shared import compact, cut
+from creditspark.llm.shared import compact, cut, free_names, row_hash
 
 SKETCH = 64
 MEET = 8
-# Lists up to this length are joined as they are.
+# Lists up to this length are joined as they are, once the pivots are through.
 LONG_LIST = 128
 PIVOT_ROUNDS = 3
+# Classes whose numbers (40 bytes each) are broadcast to pick out their texts;
+# beyond that the texts are dealt out by a shuffle.
+MOST_BROADCAST = 1 << 19
 
 
 # ---- shingle sets and sketches, in tasks ------------------------------------------------------
@@ -109,25 +113,12 @@ def _text_hash() -> Column:
     return F.xxhash64("text").alias("text_hash")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, shingles for the classes of ``wanted`` (node, doc_id, text_hash,
-    digest): the whole sets of these texts. One shuffle of the texts, compressed,
-    of which few go on."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, digests = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows, size = [], 0
-            texts = pa.array([zlib.decompress(t) for t in batch.column(1).to_pylist()], type=pa.large_binary()).cast(pa.large_string())
-            for d, digest, values in zip(ids, digests, shingle_sets(texts, words), strict=True):
-                if _digest(values) == digest:  # else another text of equal hash
-                    rows.append((d, values))
-                    size += len(values)
-                if size > 1 << 20:
-                    yield _set_rows(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _set_rows(rows)
+def packed_texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, packed: a compressed text for each class of ``wanted`` (node,
+    doc_id, text_hash, digest). Only wanted texts are compressed and moved; while
+    the wanted are few they are picked out where they are. Equal rows meet
+    map-side, so no task gets them all; where other texts have the same doc_id
+    and hash, the class's digest tells its own."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,15 +126,25 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, type=pa.binary())],
                                              names=["doc_id", "text_hash", "packed"])
 
-    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(), "text")
-             .mapInArrow(pack, "doc_id long, text_hash long, packed binary")
-             .join(wanted, ["doc_id", "text_hash"]).select("node", "packed", "digest"))
-    return texts.mapInArrow(whole, "node long, shingles array<long>").dropDuplicates(["node"])
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            chosen = [v[0] if len(v) == 1 else next(x for x in v if _digest(_unpacked([x], words)[0]) == d) for d, v in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, type=pa.binary())], names=["node", "packed"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(), "text")
+    if wanted.count() <= MOST_BROADCAST:
+        texts = texts.join(F.broadcast(wanted.select("doc_id", "text_hash").distinct()), ["doc_id", "text_hash"], "left_semi")
+    versions = (texts.mapInArrow(pack, "doc_id long, text_hash long, packed binary")
+                .groupBy("doc_id", "text_hash").agg(F.collect_set("packed").alias("versions")))
+    return (versions.join(wanted.select("node", "doc_id", "text_hash", "digest"), ["doc_id", "text_hash"])
+            .select("node", "digest", "versions").mapInArrow(own, "node long, packed binary"))
 
-def _set_rows(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), _lists([r[1] for r in rows])],
-                                      names=["node", "shingles"])
+
+def _unpacked(packed: list[bytes], words: int) -> list[np.ndarray]:
+    """The shingle sets of compressed texts."""
+    texts = pa.array([zlib.decompress(t) for t in packed], type=pa.large_binary()).cast(pa.large_string())
+    return list(shingle_sets(texts, words))
 
 
 # ---- bounds on what two sketches share ----------------------------------------------------------
@@ -175,13 +176,25 @@ def _union_estimate(pairs: DataFrame, classes: DataFrame, s: float, k: int = SKE
     return both.where(shared >= least * F.size(union)).select("a", "b")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, s: float) -> DataFrame:
-    """Pairs whose full sets have a similarity of at least s."""
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
-            .select("a", "b", (F.size("xa") + F.size("xb")).alias("n"),
-                    F.size(F.array_intersect("xa", "xb")).alias("shared")))
-    return both.where(F.col("shared") * 100 >= round(100 * s) * (F.col("n") - F.col("shared"))).select("a", "b")
+def _confirmer(texts: DataFrame, words: int, s: float) -> Callable[[DataFrame], DataFrame]:
+    """What keeps the pairs (a, b) whose full sets have a similarity of at least s."""
+    hundred = round(100 * s)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            sides = (_unpacked(batch.column(k).to_pylist(), words) for k in (2, 3))
+            for xa, xb in zip(*sides, strict=True):
+                shared = len(np.intersect1d(xa, xb, assume_unique=True))
+                keep.append(shared * 100 >= hundred * (len(xa) + len(xb) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
+                .join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b"))
+        return both.select("a", "b", "pa", "pb").mapInArrow(exact, "a long, b long")
+
+    return confirm
 
 
 # ---- components ---------------------------------------------------------------------------------
@@ -239,100 +252,115 @@ def _listed(classes: DataFrame, s: float) -> DataFrame:
     shared = F.aggregate("values", F.lit(0.0), lambda total, x: total + F.log(x["cnt"].cast("double")))
     own = own.select("node", "n", (shared / kept).alias("typical"),
                      F.slice("values", F.lit(1), far.cast("int")).alias("values"))
-    return own.withColumn("long", F.size(F.filter("values", lambda x: x["cnt"] > LONG_LIST)))
+    return own.withColumn("long", F.size(F.filter("values", lambda x: x["cnt"] > LONG_LIST))).where(F.size("values") > 0)
 
 
 def _entries(listed: DataFrame) -> DataFrame:
-    """A row per listed value; place numbers a class's values from the commonest on."""
-    rows = listed.select("node", "n", "typical", "long", F.size("values").alias("last"), F.posexplode("values").alias("at", "x"))
-    return rows.select("node", "n", "typical", "long", (F.col("last") - F.col("at")).alias("place"),
-                       F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
-
-
-def _short_pairs(listed: DataFrame, s: float) -> DataFrame:
-    """Pairs that meet often enough, as far as short lists show it."""
-    short = (_entries(listed).where(F.col("cnt") <= LONG_LIST)
-             .select("value", "node", "n", _meets(F.col("n"), s).alias("meet"), "long"))
-    a = short.select("value", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "meet", "long")])
-    b = short.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "meet", "long")])
-    met = (a.join(b, "value").where((F.col("node_a") < F.col("node_b")) & _sizes_fit("n_a", "n_b", s))
+    """A row per class and listed value."""
+    rows = listed.select("node", "n", "typical", "long", F.explode("values").alias("x"))
+    return rows.select("node", "n", "typical", "long", F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
+
+
+def _apart(entries: DataFrame, stars: DataFrame) -> DataFrame:
+    """The lists that still hold several components, with each member's."""
+    now = entries.join(labels(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = (now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+               .where("lo < hi").select("value"))
+    return cut(now.join(several, "value", "left_semi"))
+
+
+def _stars(lists: DataFrame, s: float, outside: bool) -> DataFrame:
+    """Pairs of each class and the pivot it meets most often, of another
+    component. A list's pivot is its most typical member; ``outside`` takes one
+    outside the list's largest component."""
+    likely = lists
+    if outside:
+        most = (lists.groupBy("value", "component").agg(F.count("*").alias("members"))
+                .groupBy("value").agg(F.max(F.struct("members", "component")).alias("m"))
+                .select("value", F.col("m.component").alias("largest")))
+        likely = lists.join(most, "value").where("component <> largest")
+    pivot = (likely.groupBy("value").agg(F.max(F.struct("typical", "node", "n", "component")).alias("p"))
+             .select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"),
+                     F.col("p.component").alias("pivot_component")))
+    met = (lists.join(pivot, "value").where(F.col("component") != F.col("pivot_component"))
+           .where(_sizes_fit("n", "pivot_n", s))
+           .groupBy("node", "pivot").agg(F.count("*").alias("times"))
+           .groupBy("node").agg(F.max(F.struct("times", "pivot")).alias("best")))
+    return met.select(F.least("node", "best.pivot").alias("a"), F.greatest("node", "best.pivot").alias("b")).distinct()
+
+
+def _short_pairs(lists: DataFrame, s: float) -> DataFrame:
+    """Pairs of other components that meet often enough, as far as short lists
+    show it."""
+    short = lists.where(F.col("cnt") <= LONG_LIST).select("value", "node", "n", "component", _meets(F.col("n"), s).alias("meet"), "long")
+    names = ("node", "n", "component", "meet", "long")
+    a, b = (short.select("value", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
+    met = (a.join(b, "value").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+                                    & _sizes_fit("n_a", "n_b", s))
            .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
            .agg(F.count("*").alias("times"),
                 F.first(F.least("meet_a", "meet_b") - F.least("long_a", "long_b")).alias("least")))
     return met.where(F.col("times") >= F.col("least")).select("a", "b")
 
 
+def _long_pairs(members: DataFrame, texts: DataFrame, words: int, s: float) -> DataFrame:
+    """Pairs of ``members`` (node, n, component) of other components by the prefix
+    filter. A similar pair shares a shingle among the rarest (1 - s) n of the
+    larger set and, as its partner is no smaller, among the rarest
+    (1 - 2s / (1 + s)) n of the smaller one; behind that place both must hold the
+    rest of what they share. Shingles of one member only are rarest of all and
+    meet nothing."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                nodes = batch.column(0).slice(k, 256).to_numpy()
+                sets = _unpacked(batch.column(1).slice(k, 256).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, [len(x) for x in sets])), pa.array(np.concatenate(sets))],
+                                                 names=["node", "shingle"])
+
+    rows = (texts.join(members.select("node"), "node", "left_semi").select("node", "packed")
+            .mapInArrow(explode, "node long, shingle long"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    # A set's shingles that others hold as well; places count those of its own as well.
+    first = F.col("n") - F.ceil(F.col("n") * s) + 1
+    own = (rows.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("cnt", "shingle"))).alias("x"))
+           .join(members, "node").withColumn("alone", F.col("n") - F.size("x")))
+    own = own.select("node", "n", "component", "alone",
+                     F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")).cast("int"))).alias("at", "y"))
+    own = cut(own.select("node", "n", "component", (F.col("alone") + F.col("at")).alias("at"), F.col("y.shingle").alias("shingle")))
+    names = ("node", "n", "component", "at")
+    small = own.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * s / (1 + s)) - 1e-9) + 1)
+    a = own.select("shingle", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = small.select("shingle", *[F.col(c).alias(f"{c}_b") for c in names])
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    # For the first shingle that both hold the bound is exact; a later one alone may fail it.
+    enough = left + 1e-9 >= (F.col("n_a") + F.col("n_b")) * (s / (1 + s))
+    met = a.join(b, "shingle").where(larger & (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s) & enough)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFrame:
     """Pairs a, b of classes that links connect: enough of them to connect all
     that are connected."""
     listed = cut(_listed(classes, s))
-    pairs = compact(_union_estimate(_short_pairs(listed, s), classes, s))
-    # Only pairs of sets that both reach into long lists often enough can have been missed.
-    hot = _entries(listed).where((F.col("cnt") > LONG_LIST) & (F.col("long") >= _meets(F.ceil(F.col("n") * s), s))) \
-        .select("value", "node", "n", "typical", "place")
-    nodes = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-             .unionByName(hot.select("node")).distinct())
-    sets = cut(full_sets(docs, classes.select("node", "doc_id", "text_hash", "digest").join(nodes, "node"), words))
-    found = compact(_confirm(pairs, sets, s))
-    if hot.isEmpty():
-        return found
-    hot, found = compact(hot), contract(found)
+    # Classes that can have a partner meet others often enough.
+    listed = listed.where(F.size("values") >= _meets(F.ceil(F.col("n") * s), s))
+    wanted = cut(classes.join(listed.select("node"), "node", "left_semi"))
+    texts = cut(packed_texts(docs, wanted, words))
+    confirm = _confirmer(texts, words, s)
+    found = contract(docs.sparkSession.createDataFrame([], "a long, b long"))
+    lists = _apart(_entries(listed), found)
     for k in range(PIVOT_ROUNDS):
-        # Each member once, in its commonest list (every other round: the second).
-        lists = _apart(hot.where(F.col("place") == k % 2 + 1), found)
-        outside = lists if k < 2 else (lists.join(_largest(lists, "value"), "value")
-                                       .where(F.col("component") != F.col("largest")))
-        pivot = (outside.groupBy("value").agg(F.max(F.struct("typical", "node", "n", "component")).alias("p"))
-                 .select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"),
-                         F.col("p.component").alias("pivot_component")))
-        star = (lists.join(pivot, "value").where(F.col("component") != F.col("pivot_component"))
-                .where(_sizes_fit("n", "pivot_n", s))
-                .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        found = contract(found.unionByName(_confirm(_union_estimate(star, classes, s), sets, s)))
-    return found.unionByName(_rest(_apart(hot, found), sets, s))
-
-
-def _apart(hot: DataFrame, stars: DataFrame) -> DataFrame:
-    """The long lists that still hold several components, with each member's."""
-    now = hot.join(labels(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = (now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-               .where("lo < hi").select("value"))
-    return compact(now.join(several, "value", "left_semi"))
-
-
-def _largest(members: DataFrame, by: str) -> DataFrame:
-    """The component with most members, for each ``by``."""
-    return (members.groupBy(by, "component").agg(F.count("*").alias("members"))
-            .groupBy(by).agg(F.max(F.struct("members", "component")).alias("m"))
-            .select(by, F.col("m.component").alias("largest")))
-
-
-def _rest(apart: DataFrame, sets: DataFrame, s: float) -> DataFrame:
-    """Links of members outside their family's largest component to any member
-    of it. A family is what lists with common members hold, so each member is
-    there once. Only sizes that can be similar meet, and only confirmed links
-    leave the join: sketches are compared first, then sets."""
-    first = apart.groupBy("value").agg(F.min("node").alias("first"))
-    edges = apart.join(first, "value").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    family = components(edges).select("node", F.col("component").alias("family"))
-    members = apart.select("node", "n", "component").distinct().join(family, "node")
-    band = F.floor(F.log(F.col("n")) / math.log(1 / s)).cast("int")
-    full = cut(members.join(sets, "node").withColumn("band", band))
-    names = ("node", "n", "component", "shingles")
-    many = full.select("family", "band", *[F.col(c).alias(f"{c}_b") for c in names])
-    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band")
-    few = (full.join(_largest(members, "family"), "family").where("component <> largest")
-           .select("family", near, *[F.col(c).alias(f"{c}_a") for c in names]))
-    a, b = (F.slice(f"shingles_{x}", 1, SKETCH) for x in "ab")
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    least = max(1, math.floor(SKETCH * s - 5.5 * math.sqrt(SKETCH * s * (1 - s)))) / SKETCH
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    exact = both * 100 >= round(100 * s) * (F.size("shingles_a") + F.size("shingles_b") - both)
-    met = few.join(many, ["family", "band"]).where(
-        (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s)
-        & F.when(shared >= least * F.size(union), exact).otherwise(False))
-    return compact(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+        star = _union_estimate(compact(_stars(lists, s, outside=k > 0)), wanted, s)
+        found = contract(found.unionByName(confirm(star)))
+        lists = _apart(lists.drop("component"), found)
+    pairs = _union_estimate(compact(_short_pairs(lists, s)), wanted, s)
+    found = contract(found.unionByName(confirm(pairs)))
+    # Only pairs of sets that both reach into long lists often enough can have been missed.
+    hot = lists.where((F.col("cnt") > LONG_LIST) & (F.col("long") >= _meets(F.ceil(F.col("n") * s), s)))
+    members = compact(_apart(hot.drop("component"), found).select("node", "n", "component").distinct())
+    return found.unionByName(confirm(compact(_long_pairs(members, texts, words, s))))
 
 
 # ---- the operator ---------------------------------------------------------------------------------
@@ -349,8 +377,9 @@ def _judged(docs: DataFrame, words: int, s: float) -> DataFrame:
     sets = (rows.where("digest is not null and doc_id is not null").groupBy("digest")
             .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
     sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
-    # One row per class with its sketch; equal sets meet by digest and doc_id, so no class is too large.
-    classes = cut(rows.select("digest", "doc_id", "text_hash", "sketch").join(sets, ["digest", "doc_id"]).dropDuplicates(["node"]))
+    # One row per class with its sketch; equal rows meet map-side, so no class is too large.
+    first = rows.groupBy("digest", "doc_id").agg(F.first("text_hash").alias("text_hash"), F.first("sketch").alias("sketch"))
+    classes = cut(first.join(sets, ["digest", "doc_id"]))
     linked = cut(components(links(docs, classes, words, s)).join(sets.select("node", "digest", "doc_id"), "node"))
     least = (linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
              .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))))
@@ -358,8 +387,13 @@ def _judged(docs: DataFrame, words: int, s: float) -> DataFrame:
               .select("node", "component", "component_id"))
     named = (sets.join(linked, "node", "left")
              .select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    return (rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
-            .select("doc_id", "text_hash", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id")))
+    narrow = rows.select("doc_id", "text_hash", "n_shingles", "digest")
+    # Empty sets have no class; they stay out of the join, where they would be one key.
+    empty = (narrow.where("digest is null")
+             .select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("group"), F.lit(None).cast("long").alias("component_id")))
+    with_class = (narrow.where("digest is not null").join(named, "digest", "left")
+                  .select("doc_id", "text_hash", "n_shingles", "group", "component_id"))
+    return with_class.unionByName(empty).withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, s: float = 0.8) -> DataFrame:
@@ -373,13 +407,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, s: float = 0.8) -> DataFram
 def without_copies(docs: DataFrame, words: int = 5, s: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with
     the smallest doc_id (of several texts under it, the one of smallest hash).
-    Texts of equal doc_id in other groups are documents of their own. Equal rows
-    count once; rows without a doc_id stay."""
+    Texts of equal doc_id in other groups are documents of their own. Rows of
+    equal doc_id and text are copies, whatever their other columns hold: the row
+    whose columns have the smallest hash stays. Rows without a doc_id stay."""
     own = _judged(docs, words, s).where("doc_id = component_id").select("doc_id", "text_hash", "group")
     kept = (own.where("group is not null").groupBy("doc_id", "group").agg(F.min("text_hash").alias("text_hash"))
             .select("doc_id", "text_hash").unionByName(own.where("group is null").select("doc_id", "text_hash")).distinct())
-    texts = docs.where("doc_id is not null")
-    named = (texts.withColumns({"__doc_id": F.col("doc_id").cast("long"), "__text_hash": F.xxhash64("text")})
-             .join(kept.select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")), ["__doc_id", "__text_hash"], "left_semi")
-             .dropDuplicates(["doc_id", "text"]))
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    keys = free_names(docs.columns, "doc_key", "text_key", "row_key")
+    doc, text, row = keys
+    texts = docs.where("doc_id is not null").withColumns(
+        {doc: F.col("doc_id").cast("long"), text: F.xxhash64("text"), row: row_hash(docs)})
+    one = (texts.select(*keys).groupBy(doc, text).agg(F.min(row).alias(row))
+           .join(kept.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)), [doc, text], "left_semi"))
+    chosen = texts.join(one, keys, "left_semi").dropDuplicates(keys)
+    return chosen.select(*docs.columns).unionByName(docs.where("doc_id is null"))

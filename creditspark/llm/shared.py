@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditspark.session import ensure_checkpoint_dir
+from creditspark.sources.scan import is_file_scan
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -30,3 +35,35 @@ def compact(df: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that are taken (in any case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of all columns of a row; maps, which have no order, as JSON."""
+    def plain(field: T.StructField) -> Column:
+        name = "`" + field.name.replace("`", "``") + "`"
+        return F.to_json(F.struct(name)) if "map<" in field.dataType.simpleString() else F.col(name)
+
+    return F.xxhash64(F.lit(seed), *[plain(f) for f in df.schema.fields])
+
+
+def located(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """``df`` with two more columns, whose names are returned: the file and the
+    row in it that each row stands at, the same in every attempt of a task. What
+    is no scan of files is written to the shared folder first."""
+    if not is_file_scan(df) or "Union" in df._jdf.queryExecution().analyzed().toString():
+        path = folder(df.sparkSession, "rows")
+        df.write.parquet(path)
+        df = df.sparkSession.read.schema(df.schema).parquet(path)
+    file, row = free_names(df.columns, "file", "row")
+    return df.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row)), file, row
