@@ -3,7 +3,8 @@
 Every aggregate is keyed by scenario (a handful of groups, each possibly
 holding all loans). Spark's hash aggregate combines map-side first, so only
 one partial row per scenario and task is shuffled, however hot a scenario is.
-Sector / geography roll-ups likewise shuffle partials, not loans.
+Sector / geography roll-ups likewise shuffle partials, not loans. Money is summed
+exactly (``functions.sums``), so totals do not depend on the partitioning.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from pyspark.sql import functions as F
 
 from ..functions.core import np_round
 from ..functions.scoring import tier_from_key, tier_key
+from ..functions.sums import exact_sum, exact_units, large_sum, units_to_double
 from ..params import Pricing
 from .tiers import with_window_cuts
 
 TIER_ORDER = ("Low", "Medium", "High")
 
 
-def _sum0(c: Column) -> Column:
-    """pandas ``sum``: NULLs skipped, an all-NULL or empty sum is 0."""
-    return F.coalesce(F.sum(c), F.lit(0.0))
+# pandas ``sum``: NULLs skipped, an all-NULL or empty sum is 0; equal at any partitioning.
+_sum0 = exact_sum
 
 
 def kpi_aggs(ead: str, pd_: str, el: str, tier: str, prefix: str) -> list[Column]:
@@ -50,13 +51,14 @@ _SIDES = (("base_", "", "tx"), ("st_", "_st", "tx_st"))
 
 def _grouped(df: DataFrame, by: list[str], sides) -> DataFrame:
     """Sums and counts per ``by`` and tier key(s): the one pass over the loans.
-    PDs are discrete, so the keys and with them the table are few."""
+    PDs are discrete, so the keys and with them the table are few. Sums stay
+    whole numbers (``functions.sums``) until the table is summed up."""
     keys = [tier_key(F.col(f"PD_12m{sfx}")).alias(tx) for _, sfx, tx in sides]
     sums = []
     for prefix, sfx, _ in sides:
         e = F.col(f"EAD_12m{sfx}")
-        sums += [F.sum(e).alias(f"{prefix}ead"), F.sum(F.col(f"PD_12m{sfx}") * e).alias(f"{prefix}pd_ead"),
-                 F.sum(f"EL_12m{sfx}").alias(f"{prefix}el")]
+        for name, c in (("ead", e), ("pd_ead", F.col(f"PD_12m{sfx}") * e), ("el", F.col(f"EL_12m{sfx}"))):
+            sums += [exact_units(c).alias(f"{prefix}{name}"), large_sum(c).alias(f"{prefix}{name}_large")]
     return df.groupBy(*by, *keys).agg(F.count(F.lit(1)).alias("n_loans"), *sums)
 
 
@@ -68,12 +70,18 @@ def _tiered(grouped: DataFrame, by: list[str], sides) -> DataFrame:
 
 
 def _totals(prefix: str) -> list[Column]:
-    e = F.col(f"{prefix}ead")
+    high = F.col(f"{prefix}tier") == "High"
+
+    def total(name: str, where: Column | None = None) -> Column:
+        of = lambda c: F.col(c) if where is None else F.when(where, F.col(c))
+        units = F.coalesce(F.sum(of(f"{prefix}{name}")), F.lit(0)).cast("decimal(38,0)")
+        return units_to_double(units) + F.coalesce(F.sum(of(f"{prefix}{name}_large")), F.lit(0.0))
+
     return [
-        _sum0(e).alias(f"{prefix}total_ead"),
-        _sum0(F.col(f"{prefix}pd_ead")).alias(f"_{prefix}pd_ead"),
-        _sum0(F.col(f"{prefix}el")).alias(f"{prefix}total_el"),
-        _sum0(F.when(F.col(f"{prefix}tier") == "High", e)).alias(f"_{prefix}high_ead"),
+        total("ead").alias(f"{prefix}total_ead"),
+        total("pd_ead").alias(f"_{prefix}pd_ead"),
+        total("el").alias(f"{prefix}total_el"),
+        total("ead", high).alias(f"_{prefix}high_ead"),
     ]
 
 
@@ -164,7 +172,7 @@ def top3_sector_share(view: DataFrame) -> DataFrame:
     sums = view.groupBy("Scenario", "Sector").agg(_sum0(F.col("EAD_12m_st")).alias("ead_st"))
     w = Window.partitionBy("Scenario").orderBy(F.col("ead_st").desc_nulls_last(), F.col("Sector").asc())
     totals = sums.withColumn("rank", F.row_number().over(w)).groupBy("Scenario").agg(
-        F.sum(F.when(F.col("rank") <= 3, F.col("ead_st"))).alias("top3_ead"), F.sum("ead_st").alias("total_ead_st"))
+        exact_sum(F.when(F.col("rank") <= 3, F.col("ead_st"))).alias("top3_ead"), exact_sum("ead_st").alias("total_ead_st"))
     pos = F.col("total_ead_st") > 0
     return totals.select(
         "Scenario", "top3_ead", "total_ead_st",

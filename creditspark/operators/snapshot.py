@@ -1,25 +1,14 @@
-"""The report snapshot (S7): a set of tables that is published whole or not at all.
-
-Publishing has two phases. First every table is written under a staging name of
-this attempt, ``<root>/_staging/<id>-<attempt>/<table>``, its rows are counted
-as they are written, and the counts are compared with what the files hold. Then
-one small table, ``<root>/<id>/manifest``, names the staged tables and their
-counts; it is a single file, so it is there whole or not at all. Readers go
-through the manifest and refuse an id without one, so a write that fails midway,
-or that is still running, leaves nothing that can be read. Nothing is renamed,
-which object stores could not do at once.
-"""
+"""The report snapshot (S7): a set of tables that is published whole (``sources.publish``)."""
 
 from __future__ import annotations
 
 import datetime as _dt
 import uuid
-from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.publish import Published, Publisher, read_published
 from . import aggregates as agg
 from .covenants import watchlist
 from .quality import with_issues
@@ -27,11 +16,7 @@ from .rankings import top_k
 from .report import display_base_risk, display_pricing, display_stressed_risk, display_top, display_watchlist_report, mask_pii
 from .stress import scenario_frame
 
-MANIFEST = "table string, path string, n_rows long, snapshot_id string, published_utc string"
-
-
-class SnapshotError(ValueError):
-    """A snapshot that is not published, or that no longer holds what it did."""
+read_snapshot = read_published
 
 
 def new_snapshot_id(now: _dt.datetime | None = None) -> str:
@@ -39,81 +24,8 @@ def new_snapshot_id(now: _dt.datetime | None = None) -> str:
     return now.strftime("RPT-%Y%m%d-%H%M%S-") + uuid.uuid4().hex[:8]
 
 
-@dataclass(frozen=True)
-class Snapshot:
-    """A published snapshot: where each table lies and how many rows it has."""
-
-    spark: SparkSession
-    snapshot_id: str
-    paths: dict[str, str]
-    rows: dict[str, int]
-
-    def table(self, name: str) -> DataFrame:
-        if name not in self.paths:
-            raise SnapshotError(f"snapshot {self.snapshot_id} has no table {name!r}; it has {', '.join(sorted(self.paths))}")
-        return self.spark.read.parquet(self.paths[name])
-
-    def verify(self) -> Snapshot:
-        """Counts the rows of every table again (from the files' footers)."""
-        for name, n in self.rows.items():
-            found = self.table(name).count()
-            if found != n:
-                raise SnapshotError(f"table {name!r} of snapshot {self.snapshot_id} has {found} rows, published were {n}")
-        return self
-
-
-def _manifest_path(root: str, snapshot_id: str) -> str:
-    return f"{root.rstrip('/')}/{snapshot_id}/manifest"
-
-
-def read_snapshot(spark: SparkSession, root: str, snapshot_id: str) -> Snapshot:
-    """The published snapshot; ``SnapshotError`` if that id is not published."""
-    try:
-        rows = spark.read.schema(MANIFEST).parquet(_manifest_path(root, snapshot_id)).collect()  # a row per table
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        rows = []
-    if not rows:
-        raise SnapshotError(f"snapshot {snapshot_id} is not published under {root}")
-    return Snapshot(spark, snapshot_id, {r.table: f"{root.rstrip('/')}/{r.path}" for r in rows}, {r.table: r.n_rows for r in rows})
-
-
-class _Publisher:
-    """One attempt to publish a snapshot."""
-
-    def __init__(self, spark: SparkSession, root: str, snapshot_id: str):
-        self.spark, self.root, self.snapshot_id = spark, root.rstrip("/"), snapshot_id
-        self.stage = f"_staging/{snapshot_id}-{uuid.uuid4().hex[:8]}"
-        self.rows: dict[str, int] = {}
-        try:
-            read_snapshot(spark, root, snapshot_id)
-        except SnapshotError:
-            return
-        raise SnapshotError(f"snapshot {snapshot_id} is already published; it is never overwritten")
-
-    def stage_table(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes a table, and returns it as read back."""
-        seen, path = Observation(), f"{self.root}/{self.stage}/{name}"
-        out = df.withColumn("snapshot_id", F.lit(self.snapshot_id))
-        out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(path)
-        written = self.spark.read.schema(out.schema).parquet(path)
-        held = written.count()
-        if held != seen.get["n"]:
-            raise SnapshotError(f"table {name!r} holds {held} rows, written were {seen.get['n']}")
-        self.rows[name] = held
-        return written
-
-    def publish(self) -> Snapshot:
-        now = _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        rows = [(name, f"{self.stage}/{name}", n, self.snapshot_id, now) for name, n in self.rows.items()]
-        (self.spark.createDataFrame(rows, MANIFEST).coalesce(1)
-         .write.mode("errorifexists").parquet(_manifest_path(self.root, self.snapshot_id)))
-        return read_snapshot(self.spark, self.root, self.snapshot_id)
-
-
 def write_snapshot(spark: SparkSession, run, root: str, mask: bool = True, snapshot_id: str | None = None,
-                   top_n: int = 10) -> Snapshot:
+                   top_n: int = 10) -> Published:
     """An immutable, self-consistent report snapshot, published whole.
 
     The enriched view (covenants, lifetime, pricing, quality issues; masked when
@@ -125,13 +37,17 @@ def write_snapshot(spark: SparkSession, run, root: str, mask: bool = True, snaps
     by a hash of the real id as the last key, which is kept as ``loan_key``.
     """
     sid, p = snapshot_id or new_snapshot_id(), run.params
-    publisher = _Publisher(spark, root, sid)
+    publisher = Publisher(spark, root, sid)
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        return publisher.stage_table(name, df.withColumn("snapshot_id", F.lit(sid)))
+
     # What a filter came to is one small job, which the meta table records.
     sector, geography, _ = run.filters.resolve()
     loan = F.col("LoanID")
     full = with_issues(run.full())
     full = full.withColumn("loan_key", F.sha2(F.concat(F.lit(sid), loan), 256) if mask else loan)
-    view = publisher.stage_table("loans", mask_pii(full) if mask else full)
+    view = stage("loans", mask_pii(full) if mask else full)
 
     # Ranked by the real id's key, shown with the id as written.
     keyed = view.withColumnRenamed("LoanID", "shown_id").withColumnRenamed("loan_key", "LoanID")
@@ -172,8 +88,8 @@ def write_snapshot(spark: SparkSession, run, root: str, mask: bool = True, snaps
     }
     # Each of these is an aggregate or a top-k: bounded, one file.
     for name, df in tables.items():
-        publisher.stage_table(name, df.coalesce(1))
+        stage(name, df.coalesce(1))
     # The risk tables of all loans, as displayed.
-    publisher.stage_table("base_risk", display_base_risk(one_scenario))
-    publisher.stage_table("stressed_risk", display_stressed_risk(view))
+    stage("base_risk", display_base_risk(one_scenario))
+    stage("stressed_risk", display_stressed_risk(view))
     return publisher.publish()

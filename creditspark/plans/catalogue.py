@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import np_round
+from ..functions.sums import exact_sum
 from ..operators import aggregates as agg
 from ..operators.clean import clean
 from ..operators.covenants import exceptions
 from ..operators.enrich import enrich_base
 from ..operators.filters import filter_domains, filter_portfolio
-from ..operators.lifetime import amortisation_schedule
+from ..operators.lifetime import amortisation_schedule, schedule_by_month
 from ..operators.quality import issue_sample, issues
 from ..operators.rankings import preview, top_k
 from ..operators.report import (
@@ -33,7 +34,7 @@ from ..sources.testdata import loans, read_table
 
 # Digits used in query outputs. Output column names throughout this module are
 # fixed values: they are the reference's names.
-MONEY, RATIO, PROB, TOTAL, PCT = 2, 6, 8, 0, 6
+MONEY, RATIO, PROB, TOTAL, PCT = 2, 6, 8, 2, 6
 # Filter request used by the relaxation query: a geography with no loans.
 RELAX_SECTOR, RELAX_GEOGRAPHY = "Construction", "ATLANTIS"
 # A sector without loans, and a scenario of one's own: falling rates, and more
@@ -195,6 +196,12 @@ def kpis_tier_high(spark, sf_dir):
     return k.select("Scenario", "n_loans", *cols)
 
 
+def tier_filtered_loans(spark, sf_dir):
+    """F4 on the loans themselves."""
+    v = _run(spark, sf_dir, RunParams(tier="High")).view
+    return v.select("Scenario", "LoanID", "RiskTier_st", _r("EAD_12m_st", MONEY))
+
+
 def tier_histogram(spark, sf_dir):
     return _run(spark, sf_dir).tier_histogram()
 
@@ -246,13 +253,9 @@ def exceptions_q(spark, sf_dir):
 # --- lifetime ---------------------------------------------------------------------
 
 def amortisation_schedule_q(spark, sf_dir):
+    """L2 summed by month, through cohorts."""
     run = _run(spark, sf_dir)
-    s = amortisation_schedule(run.view, run.params.discount_rate, stressed=True)
-    by_month = s.groupBy("Scenario", "month").agg(
-        F.count(F.lit(1)).alias("n_loans"),
-        F.sum("opening_balance").alias("opening_balance"),
-        F.sum("loss_pv").alias("loss_pv"),
-    )
+    by_month = schedule_by_month(run.view, run.params.discount_rate, stressed=True)
     return by_month.select("Scenario", "month", "n_loans", _r("opening_balance", TOTAL), _r("loss_pv", MONEY))
 
 
@@ -263,7 +266,7 @@ def amortisation_columns(spark, sf_dir):
               "loss": MONEY, "loss_pv": MONEY}
 
     def by_month(df, basis):
-        sums = df.groupBy("month").agg(F.count(F.lit(1)).alias("n_loans"), *[F.sum(c).alias(c) for c in digits])
+        sums = df.groupBy("month").agg(F.count(F.lit(1)).alias("n_loans"), *[exact_sum(c).alias(c) for c in digits])
         return sums.select(F.lit(basis).alias("basis"), "month", "n_loans", *[_r(c, d) for c, d in digits.items()])
 
     severe = run.scenarios.where("Scenario = 'Severe'")
@@ -368,6 +371,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stressed_risk": stressed_risk,
     "kpis_by_scenario": kpis_by_scenario,
     "kpis_tier_high": kpis_tier_high,
+    "tier_filtered_loans": tier_filtered_loans,
     "kpis_custom_scenario": kpis_custom_scenario,
     "tier_histogram": tier_histogram,
     "ead_by_sector": ead_by_sector,

@@ -44,6 +44,11 @@ def D(x) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
+def SUM(expr: str) -> str:
+    """The sum of each value's multiple of 2^-30, as whole numbers; 0 without values."""
+    return f"(coalesce(sum(CAST(round_even(({expr}) * 1073741824e0, 0) AS HUGEINT)), 0)::DOUBLE / 1073741824e0)"
+
+
 def RND(expr: str, d: int) -> str:
     if d == 0:
         return f"round_even({expr}, 0)"
@@ -266,9 +271,9 @@ pricing AS (SELECT *, SuggestedSpread_pct * 1e4 AS SuggestedSpread_bps,
 
 def _kpi_select():
     def quad(prefix, ead_c, pd_c, el_c, tier_c):
-        return (f"coalesce(sum({ead_c}), 0e0) AS {prefix}total_ead, coalesce(sum({pd_c} * {ead_c}), 0e0) AS {prefix}pd_ead, "
-                f"coalesce(sum({el_c}), 0e0) AS {prefix}total_el, "
-                f"coalesce(sum(CASE WHEN {tier_c} = 'High' THEN {ead_c} END), 0e0) AS {prefix}high_ead")
+        high = f"CASE WHEN {tier_c} = 'High' THEN {ead_c} END"
+        return (f"{SUM(ead_c)} AS {prefix}total_ead, {SUM(f'{pd_c} * {ead_c}')} AS {prefix}pd_ead, "
+                f"{SUM(el_c)} AS {prefix}total_el, {SUM(high)} AS {prefix}high_ead")
 
     def fin(prefix):
         return (f"{prefix}total_ead, CASE WHEN {prefix}total_ead > 0 THEN {prefix}pd_ead / {prefix}total_ead END AS {prefix}wavg_pd, "
@@ -334,10 +339,13 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
           SELECT Scenario, count(*) AS n_loans, {quad('base_', 'EAD_12m', 'PD_12m', 'EL_12m', 'RiskTier')},
                  {quad('st_', 'EAD_12m_st', 'PD_12m_st', 'EL_12m_st', 'RiskTier_st')}
           FROM stressed GROUP BY Scenario) a) b"""
-    sql["kpis_tier_high"] = W + f""", present AS (
+    tier_view = """, present AS (
           SELECT Scenario, max(CASE WHEN RiskTier_st = 'High' THEN 1 ELSE 0 END) AS has_high FROM stressed GROUP BY Scenario),
         tier_view AS (SELECT s.* FROM stressed s JOIN present p ON s.Scenario = p.Scenario
-                      WHERE p.has_high = 0 OR s.RiskTier_st = 'High')
+                      WHERE p.has_high = 0 OR s.RiskTier_st = 'High')"""
+    sql["tier_filtered_loans"] = W + tier_view + f"""
+        SELECT Scenario, LoanID, RiskTier_st, {RND('EAD_12m_st', M)} AS EAD_12m_st FROM tier_view"""
+    sql["kpis_tier_high"] = W + tier_view + f"""
         SELECT Scenario, n_loans, {kcols}, {dcols} FROM (
         SELECT Scenario, n_loans, {fin('base_')}, {fin('st_')} FROM (
           SELECT Scenario, count(*) AS n_loans, {quad('base_', 'EAD_12m', 'PD_12m', 'EL_12m', 'RiskTier')},
@@ -361,13 +369,13 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
         sql[name] = W + f"""SELECT Scenario, {k}, {RND('ead_st', T)} AS ead_st, rank FROM (
             SELECT Scenario, {k}, ead_st,
                    CAST(row_number() OVER (PARTITION BY Scenario ORDER BY ead_st DESC NULLS LAST, {k} ASC) AS INTEGER) AS rank
-            FROM (SELECT Scenario, {k}, coalesce(sum(EAD_12m_st), 0e0) AS ead_st FROM stressed GROUP BY Scenario, {k}) a) b
+            FROM (SELECT Scenario, {k}, {SUM('EAD_12m_st')} AS ead_st FROM stressed GROUP BY Scenario, {k}) a) b
             WHERE rank <= 10"""
     sql["top3_sector_share"] = W + f""", sec AS (
-          SELECT Scenario, Sector, coalesce(sum(EAD_12m_st), 0e0) AS ead_st FROM stressed GROUP BY Scenario, Sector),
+          SELECT Scenario, Sector, {SUM('EAD_12m_st')} AS ead_st FROM stressed GROUP BY Scenario, Sector),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY Scenario ORDER BY ead_st DESC NULLS LAST, Sector ASC) AS rk FROM sec),
-        top AS (SELECT Scenario, sum(ead_st) AS top3_ead FROM ranked WHERE rk <= 3 GROUP BY Scenario),
-        tot AS (SELECT Scenario, coalesce(sum(EAD_12m_st), 0e0) AS total_ead_st FROM stressed GROUP BY Scenario)
+        top AS (SELECT Scenario, {SUM('ead_st')} AS top3_ead FROM ranked WHERE rk <= 3 GROUP BY Scenario),
+        tot AS (SELECT Scenario, {SUM('EAD_12m_st')} AS total_ead_st FROM stressed GROUP BY Scenario)
         SELECT tot.Scenario, {RND('coalesce(top3_ead, 0e0)', T)} AS top3_ead, {RND('total_ead_st', T)} AS total_ead_st,
                {RND('CASE WHEN total_ead_st > 0 THEN top3_ead / total_ead_st * 1e2 END', PC)} AS top3_share_pct
         FROM tot LEFT JOIN top USING (Scenario)"""
@@ -390,7 +398,7 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
     sql["amortisation_schedule"] = W + f"""SELECT Scenario, CAST(month AS INTEGER) AS month, count(*) AS n_loans,
         {RND('sum(ob)', T)} AS opening_balance, {RND('sum(loss_pv)', M)} AS loss_pv
         FROM sched_st GROUP BY Scenario, month"""
-    all_sums = ", ".join(f"{RND(f'sum({a})', dg)} AS {b}" for a, b, dg in (
+    all_sums = ", ".join(f"{RND(SUM(a), dg)} AS {b}" for a, b, dg in (
         ("ob", "opening_balance", T), ("interest", "interest", T), ("principal", "principal", T), ("survival", "survival", 6),
         ("default_mass", "default_mass", 6), ("loss", "loss", M), ("loss_pv", "loss_pv", M)))
     sql["amortisation_columns"] = W + f"""SELECT 'base' AS basis, CAST(month AS INTEGER) AS month, count(*) AS n_loans, {all_sums}
@@ -424,8 +432,8 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
         {RND('CASE WHEN p > 0 THEN b / p * 1e2 END', PC)} AS pct_life_base,
         {RND('CASE WHEN p > 0 THEN s / p * 1e2 END', PC)} AS pct_life_st,
         {RND('CASE WHEN p > 0 THEN s / p * 1e2 END - CASE WHEN p > 0 THEN b / p * 1e2 END', PC)} AS delta_pct
-        FROM (SELECT Scenario, coalesce(sum(EL_life_base), 0e0) AS b, coalesce(sum(EL_life_st), 0e0) AS s,
-                     coalesce(sum(LoanAmount), 0e0) AS p FROM life GROUP BY Scenario) t"""
+        FROM (SELECT Scenario, {SUM('EL_life_base')} AS b, {SUM('EL_life_st')} AS s,
+                     {SUM('LoanAmount')} AS p FROM life GROUP BY Scenario) t"""
 
     def price_cols(extra=""):
         return (f"Scenario, {extra}LoanID, {RND('PD_12m_st * 1e2', 2)} AS PD_12m_st, {RND('LGD_st * 1e2', 2)} AS LGD_st, "
@@ -439,7 +447,7 @@ def build(params: RunParams = RunParams()) -> dict[str, str]:
           SELECT Scenario, el_rate, el_rate * 1e2 + {D(pr.cap_buffer_pct)} + {D(pr.opex_pct)}
                  + {D(pr.target_profit_pct)} AS sp FROM (
             SELECT Scenario, CASE WHEN e > 0 THEN l / e END AS el_rate FROM (
-              SELECT Scenario, coalesce(sum(EAD_12m_st), 0e0) AS e, coalesce(sum(EL_12m_st), 0e0) AS l
+              SELECT Scenario, {SUM('EAD_12m_st')} AS e, {SUM('EL_12m_st')} AS l
               FROM stressed GROUP BY Scenario) a) b) c"""
 
     def ranked(measure):

@@ -18,12 +18,13 @@ from ..operators.clean import clean
 from ..operators.covenants import watchlist, with_covenants
 from ..operators.enrich import enrich_base
 from ..operators.filters import EffectiveFilters, filter_portfolio, filter_tier, require_rows
-from ..operators.lifetime import with_lifetime_el
+from ..operators.lifetime import with_base_lifetime_el, with_lifetime_el
 from ..operators.pricing import with_pricing
 from ..operators.stress import stress_risk, with_stress
 from ..operators.tiers import cut_values, tier_cuts, with_base_tier, with_threshold_tier
 from ..params import RunParams
 from ..session import ensure_checkpoint_dir
+from ..sources.layer import PortfolioLayer
 
 
 @dataclass
@@ -84,6 +85,18 @@ def run_portfolio(
 ) -> PortfolioRun:
     cleaned = clean(raw, lenient_rates=params.lenient_rates)
     filtered, eff = filter_portfolio(cleaned, params.sector, params.geography)
+    return _run(spark, cleaned, filtered, eff, params, check_empty)
+
+
+def run_layer(spark: SparkSession, layer: PortfolioLayer, params: RunParams = RunParams(), check_empty: bool = False) -> PortfolioRun:
+    """The same run over a stored, cleaned layer: nothing is cleaned again, and
+    a sector filter reads that sector's folder only."""
+    filtered, eff = layer.filtered(params.sector, params.geography)
+    return _run(spark, layer.loans, filtered, eff, params, check_empty)
+
+
+def _run(spark: SparkSession, cleaned: DataFrame, filtered: DataFrame, eff: EffectiveFilters, params: RunParams,
+         check_empty: bool) -> PortfolioRun:
     if check_empty:
         # F5 needs a job; without it, building the run starts none.
         require_rows(filtered, params.sector, params.geography)
@@ -96,7 +109,8 @@ def run_portfolio(
     cuts = tier_cuts(enriched)
     q_low, q_high = cut_values(cuts)
     base = with_base_tier(enriched, q_low, q_high)
-    stressed = with_stress(base, params.scenarios, q_low, q_high, params.dscr_row_fallback)
+    with_life = with_base_lifetime_el(base, params.discount_rate)
+    stressed = with_stress(with_life, params.scenarios, q_low, q_high, params.dscr_row_fallback)
     if params.tiering == "threshold":
         # Rule-based tiers from PD and the leverage ratios, base and stressed.
         base = _threshold_tiers(base, "")

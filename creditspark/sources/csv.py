@@ -5,7 +5,7 @@ Each file's encoding is decided from all of its bytes: one aggregate over the
 raw lines tells which files are valid UTF-8, the others are ISO-8859-1. Rows
 that do not fit the header are errors with counts, never shifted or cut. Both
 passes can be left out (``encoding=``, ``validate=False``) for input that is
-known to be sound.
+known to be sound; ``layer.ingest`` does both in the pass that reads the rows.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return out
 
 
-def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
+def csv_reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
+    """A reader for delimited text with a header, quoted as pandas does it."""
     return (
         spark.read.option("header", True)
         .option("sep", sep)
@@ -73,7 +74,7 @@ def _check_rows(spark: SparkSession, paths: list[str], columns: list[str], sep:
     Rows with fewer fields are filled with NULL, as pandas does."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _CORRUPT]])
     # Without pruning: a field count needs every field parsed.
-    rows = (_reader(spark, sep, encoding, multi_line).option("columnPruning", False)
+    rows = (csv_reader(spark, sep, encoding, multi_line).option("columnPruning", False)
             .option("columnNameOfCorruptRecord", _CORRUPT).schema(schema).csv(paths))
     rest = F.regexp_replace(_CORRUPT, '"([^"]|"")*"', "")
     fields = F.length(rest) - F.length(F.replace(rest, F.lit(sep))) + 1
@@ -102,7 +103,7 @@ def read_csv_portfolio(
     for enc, paths in groups.items():
         if not paths:
             continue
-        df = _reader(spark, sep, enc, multi_line).csv(paths)
+        df = csv_reader(spark, sep, enc, multi_line).csv(paths)
         # A byte-order mark may survive in the first header name under latin-1.
         names = [c.lstrip("\ufeff").replace("\u00ef\u00bb\u00bf", "", 1) for c in df.columns]
         check_required(names)

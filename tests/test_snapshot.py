@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditspark.operators import snapshot as S
+from creditspark.sources import publish as P
 from creditspark.operators.covenants import exceptions
 from creditspark.operators.report import display_pricing, pricing_export_name, write_exceptions_csv, write_pricing_table
 from creditspark.params import RunParams
@@ -49,25 +50,25 @@ def test_base_and_stressed_risk_are_tables(spark, scratch):
 
 def test_a_write_that_fails_publishes_nothing(spark, scratch, monkeypatch):
     run = run_portfolio(spark, sample_portfolio(spark))
-    stage, done = S._Publisher.stage_table, []
+    stage, done = P.Publisher.stage_table, []
 
-    def fails(self, name, df):
+    def fails(self, name, df, *more):
         if len(done) == 5:
             raise RuntimeError("lost")
         done.append(name)
-        return stage(self, name, df)
+        return stage(self, name, df, *more)
 
-    monkeypatch.setattr(S._Publisher, "stage_table", fails)
+    monkeypatch.setattr(P.Publisher, "stage_table", fails)
     with pytest.raises(RuntimeError):
         S.write_snapshot(spark, run, scratch, snapshot_id="X")
-    with pytest.raises(S.SnapshotError, match="not published"):
+    with pytest.raises(P.PublishError, match="not published"):
         S.read_snapshot(spark, scratch, "X")
     assert not os.path.exists(os.path.join(scratch, "X"))
     monkeypatch.undo()
     # The same id can be published by a later attempt, once.
     first = S.write_snapshot(spark, run, scratch, snapshot_id="X")
     assert S.read_snapshot(spark, scratch, "X") == first
-    with pytest.raises(S.SnapshotError, match="already published"):
+    with pytest.raises(P.PublishError, match="already published"):
         S.write_snapshot(spark, run, scratch, snapshot_id="X")
 
 
@@ -75,9 +76,9 @@ def test_row_counts_are_checked(spark, scratch):
     run = run_portfolio(spark, sample_portfolio(spark))
     snap = S.write_snapshot(spark, run, scratch, snapshot_id="Y")
     snap.table("kpis").limit(1).write.mode("append").parquet(snap.paths["kpis"])
-    with pytest.raises(S.SnapshotError, match="kpis"):
+    with pytest.raises(P.PublishError, match="kpis"):
         S.read_snapshot(spark, scratch, "Y").verify()
-    with pytest.raises(S.SnapshotError, match="no table"):
+    with pytest.raises(P.PublishError, match="no table"):
         snap.table("nothing")
 
 
