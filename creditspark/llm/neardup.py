@@ -10,14 +10,15 @@ class lists only its rarest values, as many as any such pair must meet in
 similarity and drops clear misses; the exact similarity of the full sets then
 confirms each link, and stars of links are contracted to components.
 
-Most pairs are never formed. In each of a few rounds a list's most typical member
-(whose values most others retain as well: the text that copies were made from)
-is its pivot, each class is held against the one pivot it meets most often, and
-components are contracted; lists that hold one component only are done. What is
-still apart is then held against all it meets: in short lists pair by pair, in
-long ones (texts made of one common passage, say) by an exact prefix filter on
-the full sets, ordered by frequency: a similar pair shares one of the rarest
-shingles of both, at places that leave enough shingles behind them.
+Pairs that meet in short lists are formed at once, and confirmed in two steps:
+each class with its first partner, then, components contracted, only pairs that
+are still apart. Long lists belong to large families of near copies or to texts
+made of one common passage; their pairs are never all formed. Each member is held
+against its list's most typical member (whose values most others retain as well:
+the text that copies were made from), in its two commonest lists. What is still
+apart then is found by an exact prefix filter on the full sets, ordered by
+frequency: a similar pair shares one of the rarest shingles of both, at places
+that leave enough shingles behind them, and few parities of their sets differ.
 
 A sketch misses a link only if, by chance, more than 5.5 standard deviations
 too few of the union's smallest values are shared (under one in a million for a
@@ -48,9 +49,12 @@ from creditspark.llm.shared import compact, cut, free_names, row_hash
 
 SKETCH = 64
 MEET = 8
-# Lists up to this length are joined as they are, once the pivots are through.
+# Lists up to this length are joined as they are.
 LONG_LIST = 128
-PIVOT_ROUNDS = 3
+# Parity bits that tell how much two sets differ at least.
+PARITY = 512
+# Groups by hash whose numbers of shingles order them by frequency.
+FREQUENCY_GROUPS = 1 << 16
 # Classes whose numbers (40 bytes each) are broadcast to pick out their texts;
 # beyond that the texts are dealt out by a shuffle.
 MOST_BROADCAST = 1 << 19
@@ -121,10 +125,11 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     and hash, the class's digest tells its own."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [zlib.compress((t or "").encode(), 1) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, type=pa.binary())],
-                                             names=["doc_id", "text_hash", "packed"])
+        for whole in batches:
+            for batch in _parts(whole):
+                packed = [zlib.compress((t or "").encode(), 1) for t in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, type=pa.binary())],
+                                                 names=["doc_id", "text_hash", "packed"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,6 +146,11 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             .select("node", "digest", "versions").mapInArrow(own, "node long, packed binary"))
 
 
+def _parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows at a time: texts are held unpacked for those only."""
+    return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+
 def _unpacked(packed: list[bytes], words: int) -> list[np.ndarray]:
     """The shingle sets of compressed texts."""
     texts = pa.array([zlib.decompress(t) for t in packed], type=pa.large_binary()).cast(pa.large_string())
@@ -181,7 +191,7 @@ def _confirmer(texts: DataFrame, words: int, s: float) -> Callable[[DataFrame],
     hundred = round(100 * s)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             keep = []
             sides = (_unpacked(batch.column(k).to_pylist(), words) for k in (2, 3))
             for xa, xb in zip(*sides, strict=True):
@@ -194,6 +204,7 @@ def _confirmer(texts: DataFrame, words: int, s: float) -> Callable[[DataFrame],
                 .join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b"))
         return both.select("a", "b", "pa", "pb").mapInArrow(exact, "a long, b long")
 
+    confirm.texts = texts
     return confirm
 
 
@@ -203,22 +214,28 @@ def _confirmer(texts: DataFrame, words: int, s: float) -> Callable[[DataFrame],
 def contract(edges: DataFrame) -> DataFrame:
     """Edges (a, b) as stars: a, each node that is not a root, and b, the smallest
     node of its component; by large-star and small-star steps. Contracting stars
-    with some new edges takes few steps."""
+    with some new edges takes few steps. Few edges stay in few partitions
+    (``shared.compact``), in which steps need no exchange."""
     e = compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while not _are_stars(e):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _together(e, e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = compact(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = compact(_together(small, least.select("u", F.col("m").alias("v")), e).distinct())
     return e.select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
+def _together(a: DataFrame, b: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """The rows of both in as many partitions as ``like`` (``a`` if not given) has."""
+    return a.unionByName(b).coalesce(max(1, (a if like is None else like).rdd.getNumPartitions()))
+
+
 def labels(stars: DataFrame) -> DataFrame:
     """node, component (its smallest node) for all nodes of ``contract``'s stars."""
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return _together(stars.select(F.col("a").alias("node"), F.col("b").alias("component")),
+                     stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct(), stars)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,8 +245,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _are_stars(e: DataFrame) -> bool:
     """No node has two smaller neighbours, or a smaller and a larger one."""
-    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
-        e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    ends = _together(e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")),
+                     e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")), e)
     return (ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
             .where("down > 1 or (down = 1 and up = 1)").isEmpty())
 
@@ -252,83 +269,111 @@ def _listed(classes: DataFrame, s: float) -> DataFrame:
     shared = F.aggregate("values", F.lit(0.0), lambda total, x: total + F.log(x["cnt"].cast("double")))
     own = own.select("node", "n", (shared / kept).alias("typical"),
                      F.slice("values", F.lit(1), far.cast("int")).alias("values"))
-    return own.withColumn("long", F.size(F.filter("values", lambda x: x["cnt"] > LONG_LIST))).where(F.size("values") > 0)
+    return own.withColumn("long", F.size(F.filter("values", lambda x: x["cnt"] > LONG_LIST)))
 
 
 def _entries(listed: DataFrame) -> DataFrame:
-    """A row per class and listed value."""
-    rows = listed.select("node", "n", "typical", "long", F.explode("values").alias("x"))
-    return rows.select("node", "n", "typical", "long", F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
+    """A row per listed value; place numbers a class's values from the commonest on."""
+    rows = listed.select("node", "n", "typical", "long", F.size("values").alias("last"), F.posexplode("values").alias("at", "x"))
+    return rows.select("node", "n", "typical", "long", (F.col("last") - F.col("at")).alias("place"),
+                       F.col("x.value").alias("value"), F.col("x.cnt").alias("cnt"))
+
+
+def _short_pairs(listed: DataFrame, s: float) -> DataFrame:
+    """Pairs that meet often enough, as far as short lists show it."""
+    short = (_entries(listed).where(F.col("cnt") <= LONG_LIST)
+             .select("value", "node", "n", _meets(F.col("n"), s).alias("meet"), "long"))
+    a, b = (short.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "meet", "long")]) for x in "ab")
+    met = (a.join(b, "value").where((F.col("node_a") < F.col("node_b")) & _sizes_fit("n_a", "n_b", s))
+           .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+           .agg(F.count("*").alias("times"),
+                F.first(F.least("meet_a", "meet_b") - F.least("long_a", "long_b")).alias("least")))
+    return met.where(F.col("times") >= F.col("least")).select("a", "b")
+
+
+def _with_components(rows: DataFrame, stars: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with the component of each node column (the node itself if it is alone)."""
+    for name in names:
+        own = labels(stars).select(F.col("node").alias(name), F.col("component").alias(f"component_{name}"))
+        rows = rows.join(own, name, "left").withColumn(f"component_{name}", F.coalesce(f"component_{name}", name))
+    return rows
 
 
 def _apart(entries: DataFrame, stars: DataFrame) -> DataFrame:
     """The lists that still hold several components, with each member's."""
-    now = entries.join(labels(stars), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = _with_components(entries, stars, "node").withColumnRenamed("component_node", "component")
     several = (now.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                .where("lo < hi").select("value"))
-    return cut(now.join(several, "value", "left_semi"))
-
-
-def _stars(lists: DataFrame, s: float, outside: bool) -> DataFrame:
-    """Pairs of each class and the pivot it meets most often, of another
-    component. A list's pivot is its most typical member; ``outside`` takes one
-    outside the list's largest component."""
-    likely = lists
-    if outside:
-        most = (lists.groupBy("value", "component").agg(F.count("*").alias("members"))
-                .groupBy("value").agg(F.max(F.struct("members", "component")).alias("m"))
-                .select("value", F.col("m.component").alias("largest")))
-        likely = lists.join(most, "value").where("component <> largest")
-    pivot = (likely.groupBy("value").agg(F.max(F.struct("typical", "node", "n", "component")).alias("p"))
+    return compact(now.join(several, "value", "left_semi"))
+
+
+def _stars(lists: DataFrame, s: float) -> DataFrame:
+    """Pairs of each member and its list's pivot, the most typical member, where
+    that is of another component."""
+    pivot = (lists.groupBy("value").agg(F.max(F.struct("typical", "node", "n", "component")).alias("p"))
              .select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"),
                      F.col("p.component").alias("pivot_component")))
     met = (lists.join(pivot, "value").where(F.col("component") != F.col("pivot_component"))
-           .where(_sizes_fit("n", "pivot_n", s))
-           .groupBy("node", "pivot").agg(F.count("*").alias("times"))
-           .groupBy("node").agg(F.max(F.struct("times", "pivot")).alias("best")))
-    return met.select(F.least("node", "best.pivot").alias("a"), F.greatest("node", "best.pivot").alias("b")).distinct()
-
-
-def _short_pairs(lists: DataFrame, s: float) -> DataFrame:
-    """Pairs of other components that meet often enough, as far as short lists
-    show it."""
-    short = lists.where(F.col("cnt") <= LONG_LIST).select("value", "node", "n", "component", _meets(F.col("n"), s).alias("meet"), "long")
-    names = ("node", "n", "component", "meet", "long")
-    a, b = (short.select("value", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab")
-    met = (a.join(b, "value").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-                                    & _sizes_fit("n_a", "n_b", s))
-           .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-           .agg(F.count("*").alias("times"),
-                F.first(F.least("meet_a", "meet_b") - F.least("long_a", "long_b")).alias("least")))
-    return met.where(F.col("times") >= F.col("least")).select("a", "b")
+           .where(_sizes_fit("n", "pivot_n", s)))
+    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _long_pairs(members: DataFrame, texts: DataFrame, words: int, s: float) -> DataFrame:
-    """Pairs of ``members`` (node, n, component) of other components by the prefix
-    filter. A similar pair shares a shingle among the rarest (1 - s) n of the
-    larger set and, as its partner is no smaller, among the rarest
-    (1 - 2s / (1 + s)) n of the smaller one; behind that place both must hold the
-    rest of what they share. Shingles of one member only are rarest of all and
-    meet nothing."""
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(members: DataFrame, texts: DataFrame, words: int, s: float) -> DataFrame:
+    """node, n, typical, parity, x for each of ``members`` (node): how frequent
+    its shingles are (mean logarithm), a parity bit for each of ``PARITY`` groups
+    of its shingles, and the rarest ones, its first (1 - s) n, in order. Any order
+    that is the same for all sets is right; here shingles are in the order of how
+    many the members hold of their group by hash, so common passages come last.
+    The counts have a fixed size; no shingle is moved."""
+    own = cut(texts.join(members.select("node"), "node", "left_semi").select("node", "packed"))
+    groups = FREQUENCY_GROUPS
+
+    def group_of(shingles: np.ndarray) -> np.ndarray:
+        return (tb.mix64(shingles.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(groups, dtype=np.int64)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                nodes = batch.column(0).slice(k, 256).to_numpy()
-                sets = _unpacked(batch.column(1).slice(k, 256).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, [len(x) for x in sets])), pa.array(np.concatenate(sets))],
-                                                 names=["node", "shingle"])
-
-    rows = (texts.join(members.select("node"), "node", "left_semi").select("node", "packed")
-            .mapInArrow(explode, "node long, shingle long"))
-    common = rows.groupBy("shingle").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    # A set's shingles that others hold as well; places count those of its own as well.
-    first = F.col("n") - F.ceil(F.col("n") * s) + 1
-    own = (rows.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("cnt", "shingle"))).alias("x"))
-           .join(members, "node").withColumn("alone", F.col("n") - F.size("x")))
-    own = own.select("node", "n", "component", "alone",
-                     F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")).cast("int"))).alias("at", "y"))
-    own = cut(own.select("node", "n", "component", (F.col("alone") + F.col("at")).alias("at"), F.col("y.shingle").alias("shingle")))
-    names = ("node", "n", "component", "at")
+                for x in _unpacked(batch.column(1).slice(k, 256).to_pylist(), words):
+                    np.add.at(total, group_of(x), 1)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["group", "times"])
+
+    counted = own.mapInArrow(count, "group long, times long").groupBy("group").agg(F.sum("times").alias("times")).toArrow()
+    times = np.zeros(groups, dtype=np.int64)  # FREQUENCY_GROUPS rows at most
+    times[counted.column("group").to_numpy()] = counted.column("times").to_numpy()
+    sent = members.sparkSession.sparkContext.broadcast(times)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                node = batch.column(0).slice(k, 256)
+                typical, bits, prefix, n = [], [], [], []
+                for x in _unpacked(batch.column(1).slice(k, 256).to_pylist(), words):
+                    g = group_of(x)
+                    often = sent.value[g]
+                    order = np.lexsort((x, often))
+                    n.append(len(x))
+                    typical.append(float(np.log(np.maximum(often, 1)).mean()) if len(x) else 0.0)
+                    bits.append(np.packbits((np.bincount(g % PARITY, minlength=PARITY) & 1).astype(bool)).view(np.int64))
+                    prefix.append(x[order[: len(x) - math.ceil(len(x) * s - 1e-9) + 1]])
+                yield pa.RecordBatch.from_arrays([node, pa.array(n, type=pa.int64()), pa.array(typical), _lists(bits), _lists(prefix)],
+                                                 names=["node", "n", "typical", "parity", "x"])
+
+    return own.mapInArrow(shorten, "node long, n long, typical double, parity array<long>, x array<long>")
+
+
+def _long_pairs(members: DataFrame, prefixes: DataFrame, s: float) -> DataFrame:
+    """Pairs a, b of ``members`` (node, component) of other components by the prefix
+    filter, and how typical each is. A similar pair shares a shingle among the rarest (1 - s) n of the
+    larger set and, as its partner is no smaller, among the rarest
+    (1 - 2s / (1 + s)) n of the smaller one; behind that place both must hold the
+    rest of what they share. Each parity that differs stands for a shingle that
+    only one of them holds, and a similar pair has few of those."""
+    own = cut(prefixes.join(members.select("node", "component"), "node")
+              .select("node", "n", "component", "typical", "parity", F.posexplode("x").alias("at", "shingle")))
+    names = ("node", "n", "component", "typical", "at", "parity")
     small = own.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * s / (1 + s)) - 1e-9) + 1)
     a = own.select("shingle", *[F.col(c).alias(f"{c}_a") for c in names])
     b = small.select("shingle", *[F.col(c).alias(f"{c}_b") for c in names])
@@ -336,31 +381,61 @@ def _long_pairs(members: DataFrame, texts: DataFrame, words: int, s: float) -> D
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     # For the first shingle that both hold the bound is exact; a later one alone may fail it.
     enough = left + 1e-9 >= (F.col("n_a") + F.col("n_b")) * (s / (1 + s))
-    met = a.join(b, "shingle").where(larger & (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s) & enough)
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    differ = F.lit(0)
+    for k in range(PARITY // 64):
+        differ = differ + F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k]))
+    few = differ <= (F.col("n_a") + F.col("n_b")) * ((1 - s) / (1 + s)) + 1e-9
+    met = a.join(b, "shingle").where(larger & (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s) & enough & few)
+    in_order = F.col("node_a") < F.col("node_b")
+    by = lambda c, x, y: F.when(in_order, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    return met.select(by("node", "a", "b").alias("a"), by("node", "b", "a").alias("b"),
+                      by("typical", "a", "b").alias("typical_a"), by("typical", "b", "a").alias("typical_b")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFrame:
     """Pairs a, b of classes that links connect: enough of them to connect all
     that are connected."""
     listed = cut(_listed(classes, s))
-    # Classes that can have a partner meet others often enough.
-    listed = listed.where(F.size("values") >= _meets(F.ceil(F.col("n") * s), s))
-    wanted = cut(classes.join(listed.select("node"), "node", "left_semi"))
-    texts = cut(packed_texts(docs, wanted, words))
-    confirm = _confirmer(texts, words, s)
-    found = contract(docs.sparkSession.createDataFrame([], "a long, b long"))
-    lists = _apart(_entries(listed), found)
-    for k in range(PIVOT_ROUNDS):
-        star = _union_estimate(compact(_stars(lists, s, outside=k > 0)), wanted, s)
-        found = contract(found.unionByName(confirm(star)))
-        lists = _apart(lists.drop("component"), found)
-    pairs = _union_estimate(compact(_short_pairs(lists, s)), wanted, s)
-    found = contract(found.unionByName(confirm(pairs)))
+    pairs = compact(_union_estimate(_short_pairs(listed, s), classes, s))
     # Only pairs of sets that both reach into long lists often enough can have been missed.
-    hot = lists.where((F.col("cnt") > LONG_LIST) & (F.col("long") >= _meets(F.ceil(F.col("n") * s), s)))
-    members = compact(_apart(hot.drop("component"), found).select("node", "n", "component").distinct())
-    return found.unionByName(confirm(compact(_long_pairs(members, texts, words, s))))
+    hot = compact(_entries(listed).where((F.col("cnt") > LONG_LIST) & (F.col("long") >= _meets(F.ceil(F.col("n") * s), s)))
+                  .select("value", "node", "n", "typical", "place"))
+    nodes = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+             .unionByName(hot.select("node")).distinct())
+    wanted = cut(classes.join(nodes, "node", "left_semi"))
+    confirm = _confirmer(cut(packed_texts(docs, wanted, words)), words, s)
+
+
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        return compact(_with_components(pairs, found, "a", "b").where("component_a <> component_b").select("a", "b"))
+
+    # Each class with one partner, and each member of a long list with its pivot.
+    some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    long = not hot.isEmpty()
+    if long:
+        lists = hot.where("place = 1").withColumn("component", F.col("node"))
+        some = some.unionByName(_union_estimate(_stars(lists, s), wanted, s)).distinct()
+    found = contract(confirm(some))
+    # Then only pairs that are still apart, and the pivots of the second lists.
+    left = apart(pairs, found)
+    if long:
+        lists = _apart(hot.where("place = 2"), found)
+        left = left.unionByName(_union_estimate(_stars(lists, s), wanted, s)).distinct()
+    if not left.isEmpty():
+        found = contract(found.unionByName(confirm(left)))
+    if not long:
+        return found
+    members = _apart(hot, found).select("node", "component").distinct()
+    prefixes = cut(_prefixes(members, confirm.texts, words, s))
+    pairs = compact(_long_pairs(members, prefixes, s))
+    # The full sets tell better than sketches which partner is closest to the family's origin.
+    both = pairs.select(F.col("a").alias("node"), F.struct(F.col("typical_b").alias("typical"), F.col("b").alias("other")).alias("p")).unionByName(
+        pairs.select(F.col("b").alias("node"), F.struct(F.col("typical_a").alias("typical"), F.col("a").alias("other")).alias("p")))
+    best = both.groupBy("node").agg(F.max("p").alias("p"))
+    found = contract(found.unionByName(confirm(
+        best.select(F.least("node", "p.other").alias("a"), F.greatest("node", "p.other").alias("b")).distinct())))
+    left = apart(pairs.select("a", "b"), found)
+    return found if left.isEmpty() else found.unionByName(confirm(left))
 
 
 # ---- the operator ---------------------------------------------------------------------------------

@@ -19,6 +19,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that ``folder`` named and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as computed once and kept in the shared folder, so that later
     uses neither compute it again nor depend on an executor's disk."""
@@ -26,17 +32,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def compact(df: DataFrame, rows_per_part: int = 100_000) -> DataFrame:
+def compact(df: DataFrame, rows_per_part: int = 200_000) -> DataFrame:
     """``cut``, then as few partitions as its rows need: tables that a filter has
     made small do not go on in as many tasks as there are shuffle partitions."""
     kept = cut(df)
-    return kept.coalesce(1 + kept.count() // rows_per_part)
+    parts = 1 + kept.count() // rows_per_part
+    # Many small parts are written again as few, which each use then reads.
+    return cut(kept.coalesce(parts)) if 4 * parts < kept.rdd.getNumPartitions() else kept
+
+
+def fewer_tasks(df: DataFrame, task_bytes: int = 4 << 20) -> DataFrame:
+    """``df`` in tasks of about ``task_bytes`` of what it reads, if it has more
+    and smaller ones: for passes whose tasks each give a whole table of counts."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes))
+    return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows of a small table (under 200 bytes each) that may be broadcast.
+MOST_BROADCAST = 1 << 17
+
+
+def checked(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df``, kept, with a broadcast hint as long as it has ``most`` rows at
+    most; a larger one is joined by a shuffle, whose hot partitions Spark splits."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def free_names(taken: Iterable[str], *names: str) -> list[str]:
     """``names``, with underscores before those that are taken (in any case)."""
     used, out = {c.lower() for c in taken}, []

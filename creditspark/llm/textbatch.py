@@ -2,7 +2,9 @@
 
 A word is a maximal run of bytes other than the six ASCII white-space bytes
 (space and 0x09 to 0x0D), which for UTF-8 equals the same rule on code points.
-All helpers take null texts as empty ones and never cut a text.
+All helpers take null texts as empty ones and never cut a text: a text longer
+than a slice is worked on alone, by one task, with 20 to 40 bytes of arrays per
+byte of it, so the longest text times that must fit into a Python worker.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow.compute as pc
 
 # Bytes of text that are worked on at once inside a task; a longer single text
 # is worked on alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -28,7 +30,9 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
     n = len(texts)
     if n == 0:
         return
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     _, offset_buffer, data = texts.buffers()
@@ -41,6 +45,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = offsets[first: end + 1]
         yield first, end, whole[at[0]: at[-1]], at - at[0]
         first = end
+    # Workers are kept for later tasks; what this batch took is not.
+    pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

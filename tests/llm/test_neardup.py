@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from creditspark.llm import neardup as nd
 from creditspark.llm.catalogue import ORACLE_SQL
@@ -77,7 +78,8 @@ def test_long_lists(spark, monkeypatch):
     monkeypatch.setattr(nd, "LONG_LIST", 6)
     rows = corpus(11, 30, 60, 60, 5, 40)
     assert got(spark, rows, 2) == brute(rows, 2)
-    monkeypatch.setattr(nd, "PIVOT_ROUNDS", 0)
+    # Without pivots everything is left to the prefix filter.
+    monkeypatch.setattr(nd, "_stars", lambda lists, s: lists.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
     assert got(spark, rows, 2) == brute(rows, 2)
 
 
@@ -119,3 +121,24 @@ def test_different_texts_under_one_doc_id(spark):
     assert {t for d, t in kept if d == 7} == {base[1]} and (1, base[0]) in kept and not any(d in (9, 21, 22) or d > 40 for d, _ in kept)
     assert {t for d, t in kept if d == 20} == {base[2], base[3]} and {t for d, t in kept if d == 40} == set(base[5:])
     assert len([t for d, t in kept if d == 30 and t]) == 1 and {(30, ""), (30, None)} <= kept
+
+
+def test_rows_that_differ_in_other_columns(spark):
+    """Rows of equal doc_id and text are copies; which row stays does not hang on their order."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "en", 99), (1, text, "de", 99), (2, text, "fr", 1), (3, "other words here", None, 3), (3, "other words here", None, 3)]
+    names = "doc_id long, text string, lang string, __doc_id int"
+    first = spark.createDataFrame(rows, names).withColumns({"doc_key": F.lit("x"), "row_key": F.lit(7), "text_key": F.lit(None).cast("string")})
+    kept = sorted(map(tuple, nd.without_copies(first).collect()))
+    assert [r[0] for r in kept] == [1, 3] and kept[0][3] == 99 and kept[0][4:] == ("x", 7, None)
+    again = spark.createDataFrame(rows[::-1], names).withColumns({"doc_key": F.lit("x"), "row_key": F.lit(7), "text_key": F.lit(None).cast("string")})
+    assert sorted(map(tuple, nd.without_copies(again.repartition(4)).collect())) == kept
+
+
+def test_hot_rows_and_maps(spark):
+    docs = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same words again and again").alias("text"),
+                                    F.create_map(F.lit("k"), F.lit(1)).alias("meta"))
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(8).cast("long")))
+    assert [(r.doc_id, r.meta) for r in nd.without_copies(docs).collect()] == [(7, {"k": 1})]
+    got = nd.near_duplicates(docs).groupBy("component_id", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(7, False, 1), (7, True, 4000)]
