@@ -1,11 +1,14 @@
 """Operator 10: exact counts and decoding, held-out accuracy, hidden words."""
 
 import itertools
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from creditspark.llm import toxicity as tx
 from creditspark.llm.catalogue import QUERIES
@@ -14,36 +17,104 @@ SCHEMA = "doc_id long, text string, score double, toxic string"
 LABELS = "doc_id long, quality int, toxic int"
 
 
-def test_counts_equal_a_loop(spark):
-    texts = ["Ab c", None, "", "x9é", "a" * 300, "\n"]
-    want = np.zeros((28, 28, 28))
-    symbols = lambda t: [ord(c) - 96 if "a" <= c <= "z" else 0 for c in t.lower()]
-    docs = spark.createDataFrame([(i, t, 0.0, "") for i, t in enumerate(texts)], SCHEMA).coalesce(1)
-    got = tx.character_counts(docs)
-    joined = [0, 0, *symbols("Ab c"), 0, 0, 0, *[24, 0, 27, 27], 0, *[1] * 300, 0, 0, 0]
-    for a, b, c in zip(joined, joined[1:], joined[2:]):
-        want[a, b, c] += 1
-    assert np.array_equal(got, want)
-
-
-def brute_decode(word, costs):
-    best = None
-    for readings in itertools.product(*tx.lattice(word)):
-        letters = [0, 0, *(tx._symbol(x) for x, _ in readings if x), 0]
-        cost = sum(c for _, c in readings) + sum(costs[a][b][c] for a, b, c in zip(letters, letters[1:], letters[2:]))
-        if best is None or cost < best[0] - 1e-9:
-            best = (cost, "".join(x for x, _ in readings))
-    return best
+def loop_counts(texts):
+    want = Counter()
+    for t in texts:
+        for run in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split():
+            s = [0, 0, *map(ord, run), 0]
+            want.update(tx.gram(*x) for x in zip(s, s[1:], s[2:]))
+    return want
+
+
+def loop_costs(counts):
+    """Costs by the same formula from plain sums."""
+    three, two, one, m3, m2 = counts, Counter(), Counter(), Counter(), Counter()
+    bits = (1 << 21) - 1
+    for g, n in counts.items():
+        b, c = g >> 21 & bits, g & bits
+        two[b, c] += n
+        m3[g >> 21] += n
+        m2[b] += n
+        one[c] += n
+    whole = sum(counts.values())
+
+    class Costs(dict):
+        def __missing__(self, g):
+            b, c = g >> 21 & bits, g & bits
+            p = (one[c] + 1) / (whole + len(one) + 1)
+            p = (two[b, c] + 5 * p) / (m2[b] + 5)
+            return -math.log((three[g] + 5 * p) / (m3[g >> 21] + 5))
+
+    return Costs()
+
+
+TEXTS = ["Ab c", None, "", "x9\u00e9 \u00c9t\u00e9", "a" * 300, "\n", "\u6f22\u5b57 \U00020000b", "caf\u00e9s and cafes", "rest-of it"]
+
+
+def test_counts_and_costs_equal_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(tx, "SLICE_BYTES", 8)
+    docs = spark.createDataFrame([(i, t, 0.0, "") for i, t in enumerate(TEXTS)], SCHEMA).coalesce(2)
+    grams, forms = tx.evidence(docs)
+    counts = loop_counts(TEXTS)
+    assert {r.gram: r.n for r in grams.collect()} == counts
+    costs = loop_costs(counts)
+    wanted = [(g,) for g in {*counts, tx.gram(1, 2, 3), tx.gram(0, 0, 98), tx.gram(97, 98, 99), 0, tx.gram(0, 99, 0)}]
+    got = {r.gram: r.cost for r in tx.gram_costs(grams, spark.createDataFrame(wanted, "gram long")).collect()}
+    assert len(got) == len(wanted) and all(abs(got[g] - costs[g]) < 1e-9 for g in got)
+    # The table grows with what the corpus holds.
+    more = docs.unionByName(spark.createDataFrame([(99, "quite other words \u0416\u0416", 0.0, "")], SCHEMA))
+    assert tx.evidence(more)[0].count() > len(counts)
+
+
+def reading_cost(letters, costs):
+    """Of a reading: its words one by one."""
+    total = 0.0
+    state = (0, 0)
+    for x in letters:
+        c = tx._symbol(x)
+        total += costs[tx.gram(*state, c)]
+        state = (state[1], c) if c else (0, 0)
+    return total + costs[tx.gram(*state, 0)]
 
 
 def test_viterbi_finds_the_cheapest_reading():
-    rng = np.random.default_rng(3)
-    costs = tx.character_costs(rng.poisson(2.0, (28, 28, 28)).astype(float))
-    for word in ("1d10t", "s.t.u.p.i.d", "stuuuupid", "$cum", "tr4$h", "l00o0ser", "a", "é1é", "m-0-r-0-n", "9x|", "a s t u p"):
-        got = tx.decode(word, costs.tolist())
-        cost, want = brute_decode(word, costs)
-        letters = [0, 0, *(tx._symbol(c) for c in got), 0]
-        assert got == want or abs(cost - brute_decode(word, costs)[0]) < 1e-9, (word, got, want, letters)
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["idiot", "stupid", "scum", "trash", "loser", "moron", "\u00e9l\u00e9", "diet", "its", "soul"]) for _ in range(400))
+    costs = loop_costs(loop_counts([text]))
+    for word in ("1d10t", "s.t.u.p.i.d", "stuuuupid", "$cum", "tr4$h", "l00o0ser", "a", "\u00e91\u00e9", "m-0-r-0-n", "9x|", "a s t u p"):
+        every = []
+        for readings in itertools.product(*tx.lattice(word)):
+            letters = [x for x, _ in readings if x]
+            every.append((sum(c for _, c in readings) + reading_cost(letters, costs), "".join(letters)))
+        assert abs(min(every)[0] - min(c for c, w in every if w == tx.decode(word, costs))) < 1e-9, word
+        known = {g: costs[g] for g in tx.needed(word)}  # no reading leaves these
+        assert tx.decode(word, known) == tx.decode(word, costs)
+    assert tx.decode("1d10t", costs) == "idiot" and tx.decode("m-0-r-0-n", costs) == "moron"
+
+
+def test_long_forms():
+    costs = loop_costs(loop_counts(["stupid words and more of them x y z"] * 50))
+    assert tx.restored("a1" * 500, costs) == []
+    long = "x y z " * 200 + "s t u p i d " + "x y z " * 200
+    assert "stupid" in tx.restored(long.strip(), costs) and len(tx.windows(long)) > 5
+    assert tx.tokens_and_forms("stuuuuuuuuuupid!!!!!!!") == (["stuuuuuuuuuupid"], ["stuuupid", "stuuupid!!!"])
+
+
+def test_read_equals_a_loop_over_words():
+    texts = ["The \"cat\" sat, (on) 1d10t's a$$ mat!", "", "s t u p i d and A B then \u00c9t\u00e9.", "the the THE 100", "aaa baaad x" * 3]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    x = tx.read(np.frombuffer(data, dtype=np.uint8), offsets)
+    names, got_t, got_f = x.tokens.to_pylist(), [set() for _ in texts], [set() for _ in texts]
+    for r, t in zip(x.token_row, x.token, strict=True):
+        got_t[r].add(names[t])
+    for r, f in zip(x.form_row, x.form, strict=True):
+        got_f[r].add(x.forms[f])
+    for k, t in enumerate(texts):
+        pairs = [tx.tokens_and_forms(w) for w in t.split()]
+        assert got_t[k] == {y for ts, _ in pairs for y in ts}, t
+        spaced = {"s t u p i d"} if k == 2 else set()
+        assert got_f[k] == {y for _, fs in pairs for y in fs} | spaced, t
 
 
 WORDS = "the of and then thing rest hand nest ring ton sting lane onen tide solid united dot into pilot patio audio radio".split()
@@ -90,11 +161,25 @@ def test_edge_tables(spark):
     assert [r.predicted for r in tx.toxicity(docs, spark.createDataFrame([(1, 1, 1), (1, 0, None), (7, 1, 1)], LABELS)).collect()] == [1, 1]
 
 
-def test_long_text_and_slices(monkeypatch):
-    costs = tx.character_costs(np.ones((28, 28, 28)))
-    data = ("a " * 50_000 + "1d10t").encode()
-    row, word, tokens, extra = tx.Restorer(costs).slice(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
-    assert len(tokens) == 2 and 1 <= len(extra) and all(r == 0 for r, _ in extra)
+def test_accept_keeps_rows_as_they_are(spark, monkeypatch):
+    rows, labels = corpus(900)
+    names = ["file", "row", "features", "forms", "form", "at_file", "at_row", "score2", "toxicity_score"]
+    docs = spark.createDataFrame(rows + [(9_000, "you 1d10t", 0.5, "x"), (9_000, "you 1d10t", 0.5, "x"), (9_001, None, None, None)], SCHEMA)
+    docs = docs.withColumns({n: F.lit(1) for n in names})
+    want = {r.doc_id for r in tx.toxicity(docs, spark.createDataFrame(labels, LABELS)).collect() if not r.predicted}
+    for most in (1 << 17, 0):
+        monkeypatch.setattr(tx, "MOST_BROADCAST", most)
+        kept = tx.accept(docs, spark.createDataFrame(labels, LABELS))
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=repr) == sorted(map(tuple, docs.where(F.col("doc_id").isin(want)).collect()), key=repr)
+    assert 9_001 in want and 9_000 not in want
+
+
+def test_parts_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, 0.0, "") for i, t in enumerate(["1d10t and s t u p i d", "idiot stupid rest", "4.5.5 x9y 10 2024 a$$"] * 3)], SCHEMA)
+    whole = sorted(map(str, tx.restore(*tx.evidence(docs)).collect()))
+    monkeypatch.setattr(tx, "PART_FORMS", 1)
+    assert sorted(map(str, tx.restore(*tx.evidence(docs)).collect())) == whole and len(whole) >= 6
 
 
 @pytest.mark.parametrize("sf", ["sf0.1"])
