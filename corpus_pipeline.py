@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditspark.llm import catalogue, mixing, neardup, packing, secretscan, toxicity
-from creditspark.llm.shared import folder, table
+from creditspark.llm.shared import discard, folder, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked, the documents stay; n_chars follows the new text."""
+    """Secrets are masked, the documents stay; n_chars follows the new text, and
+    stays as it is where the text is null."""
     redacted = secretscan.redact(docs)
-    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    length = F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return redacted.withColumn("n_chars", length).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, over the documents of ``sf_dir``."""
+    """All stages, one after another, over the documents of ``sf_dir``. A stage's
+    rows go once the next stage's are written; the last ones stay."""
     docs = table(spark, sf_dir, "documents")
-    written = folder(spark, "pipeline")
+    written, before = folder(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{written}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

@@ -121,4 +121,13 @@ def test_run_is_registered(spark):
     out = e.queries()["pipeline"](spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
     assert secretscan.KINDS[0] == "assign"
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in e.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in e.queries() if n.startswith("op")) == list(range(1, 14))
+
+
+def test_only_the_last_stage_stays(spark, monkeypatch):
+    import os
+
+    made = []
+    monkeypatch.setattr(corpus_pipeline, "folder", lambda spark, name: made.append(folder(spark, name)) or made[-1])
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert os.listdir(made[0]) == ["4-packing"] and out.count() > 0
