@@ -8,10 +8,16 @@ passes, and a rest that is taken as documents in a seeded order, up to the last
 one that fits, filled up with a few documents of fitting size.
 
 The driver holds a row per membership pattern and per source, never per document.
+Patterns that share no source with others need no search: the flow of one source
+fed by one pattern is the smaller of quota and capacity. What is decided per
+pattern goes to the documents by broadcast up to ``MOST_BROADCAST`` patterns, so
+a pattern that holds a third of all documents is spread over tasks as they are;
+beyond that by a join, whose hot partitions Spark splits.
 
 Defined cases: a null text has size 0; the null source is a source of its own
 (last in order); rows with equal doc_ids are documents of their own; documents
-of size 0 take nothing; an empty table gives no rows; other columns are not read.
+of size 0 take nothing; an empty table gives no rows; other columns are not read
+by ``mix_documents`` and are kept, row by row, by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -25,13 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditspark.llm import textbatch as tb
-from creditspark.llm.shared import cut
+from creditspark.llm.shared import cut, free_names, located
 
 MOST_PASSES = 3
 SEED = 7
 # The seeded order is first summed over so many ranges of it.
 RANGES = 1 << 12
 FILL_ROUNDS = 3
+# Rows per pattern that are broadcast at once (under 100 bytes each).
+MOST_BROADCAST = 1 << 17
 
 
 def sizes(docs: DataFrame, *keep: str) -> DataFrame:
@@ -87,7 +95,12 @@ def flow(patterns: dict[tuple, int], quotas: dict, passes: int = MOST_PASSES) ->
     k-th pass costs k - 1 a word."""
     out: dict = {}
     for own in _components(patterns):
-        out |= _flow_of({p: patterns[p] for p in own}, quotas, passes)
+        if len(own) == 1 and len(set(own[0])) == 1:
+            (p,), s = own, own[0][0]
+            n = min(round(quotas[s]), passes * patterns[p])
+            out |= {(p, s): n} if n else {}
+        else:
+            out |= _flow_of({p: patterns[p] for p in own}, quotas, passes)
     return out
 
 
@@ -183,16 +196,19 @@ def mix(items: DataFrame, weights=cyclic_weights, seed: int = SEED, passes: int
         rows.append((k, int(whole), int(rest), source_sizes.get(one) if len(pattern[k]) == 1 else None,
                      quota.get(one) if len(pattern[k]) == 1 else None))
     plan = spark.createDataFrame(rows, "mix_pattern string, mix_whole long, mix_rest long, source_size long, target double")
-    chosen = _choose(cut(keyed.join(plan, "mix_pattern").withColumn("mix_row", F.monotonically_increasing_id())), seed)
+    few = len(rows) <= MOST_BROADCAST
+    with_plan = keyed.join(F.broadcast(plan) if few else plan, "mix_pattern")
+    chosen = _choose(cut(with_plan.withColumn("mix_row", F.monotonically_increasing_id())), seed, few)
     copies = F.col("mix_whole") + F.col("mix_extra")
     return chosen.select(*items.columns, "source_size", "target", copies.alias("copies"),
                          (F.col("size") * copies).alias("taken"))
 
 
-def _choose(rows: DataFrame, seed: int) -> DataFrame:
+def _choose(rows: DataFrame, seed: int, few: bool) -> DataFrame:
     """Adds mix_extra: 1 for documents of the last, partial pass. In the seeded
     order those are the ones up to the rest; sums over ranges of that order find
-    the range where it is reached, and only that range is summed one by one."""
+    the range where it is reached, and only that range is summed one by one.
+    ``few`` says that a row per pattern can be broadcast."""
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     rows = (rows.withColumn("mix_order", order)
             .withColumn("mix_range", F.shiftrightunsigned(order, 64 - RANGES.bit_length() + 1)))
@@ -201,7 +217,7 @@ def _choose(rows: DataFrame, seed: int) -> DataFrame:
     sums = sums.withColumn("end", F.sum("n").over(upto)).where("end > mix_rest")
     edge = sums.groupBy("mix_pattern").agg(F.min(F.struct("mix_range", (F.col("end") - F.col("n")).alias("before"))).alias("e"))
     edge = edge.select("mix_pattern", F.col("e.mix_range").alias("mix_edge"), F.col("e.before").alias("mix_before"))
-    rows = rows.join(edge, "mix_pattern", "left")
+    rows = rows.join(F.broadcast(edge) if few else edge, "mix_pattern", "left")
     rows = rows.withColumn("mix_extra", F.when(F.col("mix_range") < F.col("mix_edge"), 1).otherwise(0))
     one_by_one = Window.partitionBy("mix_pattern").orderBy("mix_order", "doc_id", "size", "mix_row")
     last = (rows.where("mix_range = mix_edge")
@@ -210,14 +226,15 @@ def _choose(rows: DataFrame, seed: int) -> DataFrame:
     picked = last.select("mix_row", F.lit(1).alias("mix_now"))
     rows = cut(rows.join(picked, "mix_row", "left")
                .withColumn("mix_extra", F.greatest("mix_extra", F.coalesce("mix_now", F.lit(0)))).drop("mix_now"))
-    return _fill(rows)
+    return _fill(rows, few)
 
 
-def _fill(rows: DataFrame) -> DataFrame:
+def _fill(rows: DataFrame, few: bool) -> DataFrame:
     """Takes a few more documents of each pattern: the largest that fits what is
     still missing, some rounds long, and at last the one that comes nearest. A
     row per pattern and round comes to the driver."""
     spark = rows.sparkSession
+    small = F.broadcast if few else (lambda df: df)  # a row per pattern and round at most
     missing = {r[0]: r[1] for r in rows.where("mix_rest > 0").groupBy("mix_pattern", "mix_rest")
                .agg(F.sum(F.col("size") * F.col("mix_extra")).alias("n"))
                .select("mix_pattern", F.col("mix_rest") - F.col("n")).collect()}
@@ -226,15 +243,15 @@ def _fill(rows: DataFrame) -> DataFrame:
         fits_below = F.col("size") <= F.col("mix_missing") if k < FILL_ROUNDS else F.col("size") < 2 * F.col("mix_missing")
         wanted = spark.createDataFrame([(k, n) for k, n in missing.items() if n > 0], "mix_pattern string, mix_missing long")
         had = spark.createDataFrame([(x,) for x in added], "mix_row long")
-        fits = (rows.where("mix_extra = 0 and size > 0").join(wanted, "mix_pattern").where(fits_below)
-                .join(had, "mix_row", "left_anti")
+        fits = (rows.where("mix_extra = 0 and size > 0").join(small(wanted), "mix_pattern").where(fits_below)
+                .join(small(had), "mix_row", "left_anti")
                 .groupBy("mix_pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("mix_missing")).alias("off"),
                                                            "size", "mix_order", "mix_row")).alias("best"))).collect()
         for r in fits:
             missing[r["mix_pattern"]] -= r["best"]["size"]
             added.append(r["best"]["mix_row"])
     marks = spark.createDataFrame([(x, 1) for x in added], "mix_row long, mix_now int")
-    return (rows.join(marks, "mix_row", "left")
+    return (rows.join(small(marks), "mix_row", "left")
             .withColumn("mix_extra", F.greatest("mix_extra", F.coalesce("mix_now", F.lit(0)))).drop("mix_now"))
 
 
@@ -245,11 +262,16 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (left out if never)."""
-    keys = [F.xxhash64("doc_id", "source", "text", F.lit(k)).alias(f"mix_key{k}") for k in (1, 2)]
-    names = ["mix_key1", "mix_key2"]
-    narrow = docs.select("doc_id", "source", "text", *keys)
-    items = cut(sizes(narrow, "source", *names).withColumn("sources", F.array(F.col("source").cast("string"))))
-    copies = mix(items, seed=seed).groupBy(*names).agg(F.sum("copies").alias("mix_copies")).where("mix_copies > 0")
-    taken = docs.select("*", *keys).dropDuplicates(names).join(copies, names)
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them (left out if never;
+    at most ``MOST_PASSES`` times). Each row counts by itself and is told by its
+    place in its file, so rows that are equal, or differ in some columns only,
+    neither meet in one task nor stand for each other."""
+    at, file, row = located(docs)
+    narrow = at.select("doc_id", "source", "text", F.col(file).alias("mix_file"), F.col(row).alias("mix_line"))
+    items = cut(sizes(narrow, "source", "mix_file", "mix_line").withColumn("sources", F.array(F.col("source").cast("string"))))
+    (times,) = free_names(at.columns, "times")
+    copies = mix(items, seed=seed).where("copies > 0").select(
+        F.col("mix_file").alias(file), F.col("mix_line").alias(row), F.col("copies").alias(times))
+    taken = at.join(copies, [file, row])
+    (copy,) = free_names(taken.columns, "copy")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)

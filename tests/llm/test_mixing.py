@@ -77,9 +77,54 @@ def test_whole_table_comes_near_its_targets(spark):
 
 
 def test_overlapping_sources(spark):
-    items = spark.range(2000).select(
+    """Quotas that the shared documents must fill: every source gets its words."""
+    items = spark.range(6000).select(
         F.col("id").alias("doc_id"), (F.col("id") % 37 + 1).alias("size"),
-        F.expr("filter(array('a', if(id % 3 = 0, 'b', null), if(id % 50 = 0, 'c', null)), x -> x is not null)").alias("sources"))
-    rows = mixing.mix(mixing.cut(items)).collect()
-    assert len(rows) == 2000 and sum(r.taken for r in rows) > 0
-    assert all(r.copies <= 3 and r.source_size is None or len(r.sources) == 1 for r in rows)
+        F.expr("filter(array(if(id % 3 < 2, 'a', null), if(id % 3 > 0, 'b', null), if(id % 5 = 0, 'c', null)), x -> x is not null)").alias("sources"))
+    weights = lambda sources: {"a": 3.0, "b": 2.0, "c": 1.0}
+    rows = mixing.mix(mixing.cut(items), weights).collect()
+    assert len(rows) == 6000 and all(0 <= r.copies <= 3 and r.taken == r.copies * r["size"] for r in rows)
+    sizes, patterns, taken = Counter(), Counter(), Counter()
+    for r in rows:
+        patterns[tuple(r.sources)] += r["size"]
+        taken[tuple(r.sources)] += r.taken
+        for s in r.sources:
+            sizes[s] += r["size"]
+    quotas = mixing.targets(dict(sizes), weights(sizes))
+    flow = mixing.flow(dict(patterns), quotas)
+    given = Counter()
+    for (p, s), n in flow.items():
+        given[s] += n
+    for s, q in quotas.items():  # the flow fills each quota, and the documents follow the flow
+        assert abs(given[s] - q) <= 1, (s, given[s], q)
+    # What the documents give can be shared out so that every source gets its quota.
+    shared = Counter()
+    for (_, s), n in mixing.flow(dict(taken), quotas, passes=1).items():
+        shared[s] += n
+    for s, q in quotas.items():
+        assert abs(shared[s] - q) <= 0.005 * q, (s, shared[s], q)
+    assert abs(sum(taken.values()) - sum(quotas.values())) <= 3 * len(patterns)
+    for r in rows:
+        assert (r.source_size is None) == (len(r.sources) != 1) == (r.target is None)
+
+
+def test_rows_of_their_own(spark):
+    """Equal rows, rows that differ in one column only, and clashing names."""
+    rows = ([(1, "a b c", "s", "en", 1)] * 40 + [(1, "a b c", "s", "de", 1)] + [(2, "x y", "t", None, 2)] * 9
+            + [(k, "w " * (k % 7), "s", "en", 0) for k in range(3, 200)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, mix_key1 int")
+    docs = docs.withColumns({n: F.lit(5) for n in ("mix_copies", "copies", "times", "file", "row", "mix_line", "copy", "sources", "taken")})
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    there, times = Counter(map(tuple, docs.collect())), Counter(map(tuple, out.collect()))
+    assert set(times) <= set(there) and all(times[r] <= 3 * n for r, n in there.items())
+    size = lambda r: len(r[1].split())
+    sizes, taken = Counter(), Counter()
+    for r, n in there.items():
+        sizes[r[2]] += n * size(r)
+        taken[r[2]] += times[r] * size(r)
+    for s, t in mixing.targets(dict(sizes), mixing.cyclic_weights(sizes)).items():
+        assert abs(taken[s] - t) <= 3, (s, taken[s], t)
+    # A mix that takes all of a source takes each of its rows, not one of them again and again.
+    docs = spark.createDataFrame([(1, "a b", "s", "en"), (1, "a b", "s", "de")], "doc_id long, text string, source string, lang string")
+    assert sorted(map(tuple, mixing.mixed_documents(docs).collect())) == [(1, "a b", "s", "de"), (1, "a b", "s", "en")]
