@@ -2,10 +2,13 @@
 
 Each document becomes pieces of at most ``capacity`` ids. How many pieces have
 each length is a histogram of ``capacity`` numbers, whatever the corpus' size;
-on it the driver plans: it enumerates patterns of up to three lengths that fill
-a sequence exactly, fits non-negative repeat counts of the patterns to the
-histogram by least squares, rounds them, and packs what is left by best fit on
-the histogram. The plan gives, for the r-th piece of a length, its sequence and
+on it the driver plans: patterns are up to three lengths that fill a sequence exactly,
+non-negative repeat counts of the patterns are fitted to the histogram by least
+squares, rounded, and what is left is packed by best fit on the histogram. All
+exact fills take part, by column generation: the fit starts from the pairs, each
+round prices every fill by the residual it would take away and adds the best ones
+of each length, until none is worth more than half a piece or the fit no longer
+gains. The plan gives, for the r-th piece of a length, its sequence and
 place; the executors rank the pieces of each length (counts by task and length,
 then running sums over tasks) and look their places up.
 
@@ -32,38 +35,67 @@ from creditspark.llm import tokens as tk
 from creditspark.llm.shared import cut
 
 CAPACITY = 2048
-# Patterns that the fit may use; a seeded choice of all exact fills of three
-# lengths, so that the plan stays small at any corpus size.
-MAX_PATTERNS = 30_000
 FIT_STEPS = 300
+# A fill is added if it takes away more than so many pieces of the residual, and
+# rounds go on while they lessen the squared residual by this part at least.
+WORTH, GAIN = 0.5, 1e-3
 
 
 # ---- the plan, on the histogram of lengths -------------------------------------------------
 
 
-def patterns(present: np.ndarray, capacity: int, most: int = MAX_PATTERNS) -> np.ndarray:
-    """Exact fills of two and three lengths that occur, as rows (a >= b >= c; c = 0 for pairs)."""
+def pairs(present: np.ndarray, capacity: int) -> np.ndarray:
+    """Exact fills of two lengths that occur, as rows (a >= b, 0)."""
+    here = _here(present, capacity)
+    a = np.arange(-(-capacity // 2), capacity)
+    a = a[here[a] & here[capacity - a]]
+    return np.stack([a, capacity - a, np.zeros_like(a)], axis=1)
+
+
+def _here(present: np.ndarray, capacity: int) -> np.ndarray:
     here = np.zeros(capacity + 1, dtype=bool)
     here[present[present < capacity]] = True
     here[0] = False
-    a, b = np.meshgrid(np.arange(1, capacity), np.arange(1, capacity), indexing="ij")
-    c = capacity - a - b
-    fits = (a >= b) & here[a] & here[b]
-    pairs = fits & (c == 0)
-    triples = fits & (c > 0) & (c <= b)
-    triples[triples] = here[c[triples]]
-    two = np.stack([a[pairs], b[pairs], np.zeros(int(pairs.sum()), dtype=int)], axis=1)
-    three = np.stack([a[triples], b[triples], c[triples]], axis=1)
-    room = max(0, most - len(two))
-    if len(three) > room:
-        order = tb.mix64((three[:, 0] * (capacity + 1) + three[:, 1]).astype(np.uint64))
-        three = three[np.sort(np.argsort(order, kind="stable")[:room])]
-    return np.concatenate([two, three])
-
-
-def fit(rows: np.ndarray, histogram: np.ndarray, steps: int = FIT_STEPS) -> np.ndarray:
+    return here
+
+
+def priced(residual: np.ndarray, present: np.ndarray, capacity: int) -> np.ndarray:
+    """For each largest length a, the exact fill of three lengths (a >= b >= c)
+    that takes most of the residual away, if it is worth it."""
+    here, found = _here(present, capacity), []
+    for a in np.flatnonzero(here[-(-capacity // 3):]) + -(-capacity // 3):
+        b = np.arange(-(-(capacity - a) // 2), min(a, capacity - a - 1) + 1)
+        b = b[here[b] & here[capacity - a - b]]
+        if len(b):
+            worth = residual[a] + residual[b] + residual[capacity - a - b]
+            k = int(np.argmax(worth))
+            if worth[k] > WORTH:
+                found.append((a, b[k], capacity - a - b[k]))
+    return np.array(found, dtype=int).reshape(-1, 3)
+
+
+def fitted(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (rows) and their fitted repeat counts, by column generation."""
+    present = np.flatnonzero(histogram)
+    rows = pairs(present, capacity)
+    x, known, last = np.zeros(len(rows)), set(map(tuple, rows.tolist())), np.inf
+    while True:
+        x = fit(rows, histogram, start=x)
+        used = (rows > 0) * x[:, None]
+        residual = histogram - np.bincount(rows.ravel(), weights=used.ravel(), minlength=len(histogram))
+        new = np.array([r for r in priced(residual, present, capacity).tolist() if tuple(r) not in known], dtype=int).reshape(-1, 3)
+        now = float((residual[1:] ** 2).sum())
+        if not len(new) or now > (1 - GAIN) * last:
+            return rows, x
+        last = now
+        known.update(map(tuple, new.tolist()))
+        rows, x = np.concatenate([rows, new]), np.concatenate([x, np.zeros(len(new))])
+
+
+def fit(rows: np.ndarray, histogram: np.ndarray, steps: int = FIT_STEPS, start: np.ndarray | None = None) -> np.ndarray:
     """Non-negative repeat counts x that minimise ``|A x - histogram|`` (A:
-    how often a pattern holds each length), by accelerated projected gradients."""
+    how often a pattern holds each length), by accelerated projected gradients
+    from ``start`` on."""
     if not len(rows):
         return np.zeros(0)
     bins = len(histogram)
@@ -80,7 +112,7 @@ def fit(rows: np.ndarray, histogram: np.ndarray, steps: int = FIT_STEPS) -> np.n
         v = patterns_of(lengths_of(v))
         norm = np.linalg.norm(v)
         v /= norm
-    x = z = np.zeros(len(rows))
+    x = z = np.zeros(len(rows)) if start is None else start
     t = 1.0
     for _ in range(steps):
         x_next = np.maximum(0.0, z - patterns_of(lengths_of(z) - histogram) / (1.05 * norm))
@@ -153,12 +185,11 @@ class Plan:
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """The plan for ``histogram[length]`` pieces of each length up to ``capacity``."""
-    rows = patterns(np.flatnonzero(histogram), capacity)
-    fitted, left = rounded(rows, fit(rows, histogram), histogram)
+    exact, left = rounded(*fitted(histogram, capacity), histogram)
     runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     ranked = np.zeros(capacity + 1, dtype=np.int64)
     sequences = 0
-    for pattern, n in fitted + best_fit(left, capacity):
+    for pattern, n in exact + best_fit(left, capacity):
         offset = 0
         for length in pattern:
             runs[length].append((int(ranked[length]), sequences, offset))
@@ -216,7 +247,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in by_task.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
         histogram[length] = n
-    # The plan's size is bounded by MAX_PATTERNS and the number of lengths.
+    # The plan's size is bounded by the number of lengths and their exact fills.
     planned = spark.sparkContext.broadcast(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("pack_task").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_task.select("length", "pack_task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("pack_base"))

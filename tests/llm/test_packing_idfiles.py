@@ -118,13 +118,44 @@ def test_plan_is_tight_and_whole():
 
 
 def test_fit_recovers_a_mixture():
-    rows = packing.patterns(np.array([500, 1000, 1548, 1048]), 2048)
+    rows = packing.pairs(np.array([500, 1000, 1548, 1048]), 2048)
+    assert sorted(map(tuple, rows.tolist())) == [(1048, 1000, 0), (1548, 500, 0)]
     histogram = np.zeros(2049, dtype=int)
     histogram[[500, 1548, 1000, 1048]] = [40, 40, 70, 70]
     plan, left = packing.rounded(rows, packing.fit(rows, histogram), histogram)
     assert left.sum() <= 2 and dict(plan)[(1048, 1000)] >= 69
 
 
+def test_fills_are_priced_over_all_there_are():
+    rng = np.random.default_rng(8)
+    for capacity in (9, 30, 64):
+        present = np.flatnonzero(rng.random(capacity + 1) < 0.7)
+        present = present[present > 0]
+        residual = rng.normal(0, 3, capacity + 1)
+        every = [(a, b, capacity - a - b) for a in present for b in present if b <= a and 0 < capacity - a - b <= b and capacity - a - b in present]
+        best = {}
+        for f in every:
+            worth = residual[list(f)].sum()
+            if worth > packing.WORTH and worth > best.get(f[0], (-9, None))[0]:
+                best[f[0]] = (worth, f)
+        assert sorted(map(tuple, packing.priced(residual, present, capacity).tolist())) == sorted(f for _, f in best.values())
+
+
+def test_column_generation_uses_fills_beyond_pairs():
+    """Lengths that only fit in threes: the fit finds the triples among all fills."""
+    histogram = np.zeros(2049, dtype=int)
+    rng = np.random.default_rng(1)
+    sequences = 0
+    for _ in range(500):
+        a = int(rng.integers(700, 1000))
+        b = int(rng.integers((2048 - a) // 2 + 1, min(a, 2047 - a)))
+        histogram[[a, b, 2048 - a - b]] += 40
+        sequences += 40
+    rows, x = packing.fitted(histogram, 2048)
+    assert (rows[:, 2] > 0).sum() > 100 and (rows.sum(axis=1) == 2048).all() and len(set(map(tuple, rows.tolist()))) == len(rows)
+    assert packing.plan(histogram).sequences <= 1.01 * sequences
+
+
 def test_queries_cover_the_tables(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
