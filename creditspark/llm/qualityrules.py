@@ -1,33 +1,38 @@
 """Operator 6: quality rules with risk-controlled thresholds.
 
-Each rule rejects documents whose measure (a share, in hundredths) is above a
-cutoff of the document's stratum (its language). Half of the labelled documents
-propose cutoffs: the tightest at which most rejected ones are labelled bad. The
-other half, the holdout, decides: going from the loosest cutoff to the proposed
-one, each step must show, by the exact binomial (Clopper-Pearson) upper bound on
-the holdout's good documents, that the rule rejects at most its part of
-``FALSE_REJECTIONS``; the first that does not ends the walk (a fixed-sequence
-test), and the error level is divided by the number of walks (Bonferroni). So
-with confidence ``1 - ERROR`` no stratum loses more than ``FALSE_REJECTIONS`` of
-its good documents to all rules together. Where labels are too few for that, a
-rule is not used.
-
-Histograms over strata, rules and hundredths are all that comes to the driver.
+Each rule is a measure of a text (a share, in hundredths). Half of the labelled
+documents say how much each range of a measure speaks for a bad text (smoothed
+log odds); a document's evidence is their sum over the rules. The other half, the
+holdout, decides per stratum (language) from which evidence on documents are
+rejected: going down from the strongest evidence, each cutoff must show, by the
+exact binomial (Clopper-Pearson) upper bound on the holdout's good documents,
+that at most ``FALSE_REJECTIONS`` of them would go. The first that does not ends
+the walk: a fixed-sequence test, which spends a stratum's whole error once for
+all rules together, and the error is divided by the number of strata
+(Bonferroni). So with confidence ``1 - ERROR`` no stratum loses more than that
+share of its good documents. The walk also ends where, in the first half, most of
+the rejected are no longer bad.
+
+Languages with fewer than ``LEAST_LABELLED`` labelled documents are one stratum
+together, so a column of stray languages adds nothing to the plan. Histograms
+over strata, rules, ranges and evidence are all that comes to the driver; a
+stratum's cutoff and its tables go to the documents as a small table.
 Defined cases: a null text has no words (base_failed); a null language is a
-stratum of its own; a doc_id with several labels is good if all are; rows with
-equal doc_ids are judged each; an empty table gives no rows; other columns are
-not read.
+language of its own; a doc_id with several labels is good if all are; rows with
+equal doc_ids are judged each; without labels no document is rejected but by the
+base rules; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditspark.llm import textbatch as tb
@@ -40,10 +45,17 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 
 FALSE_REJECTIONS = 0.05
 ERROR = 0.05
-# A proposed cutoff's rejected documents must be bad to this share at least.
+# The rejected documents of the first half must be bad to this share at least.
 PROPOSED_BAD = 0.5
+LEAST_LABELLED = 200
+# A measure's ranges begin at these hundredths.
+RANGES = (0, 1, 2, 3, 5, 8, 13, 20, 30, 45, 65, 100)
+# Log odds of a range are smoothed by so many documents of the usual share.
+PRIOR = 8.0
+# Evidence is counted in tenths from -10 to 10.
+EVIDENCE = 201
+OTHERS = "(others)"
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "marks", "few_distinct", "digits")
-BINS = 101
 
 
 def _marks(chars: str) -> np.ndarray:
@@ -179,60 +191,120 @@ def upper_bound(x: int, n: int, error: float) -> float:
     return high
 
 
+def range_of(hundredths: Column) -> Column:
+    """The number of the measure's range."""
+    return F.aggregate(F.array(*[F.lit(x) for x in RANGES[1:]]), F.lit(0), lambda n, x: n + (hundredths >= x).cast("int"))
+
+
+def log_odds(table: np.ndarray) -> np.ndarray:
+    """How much each range speaks for a bad text, from counts [quality, range]
+    of good (1) and bad (0) ones."""
+    bad, n = table[0].astype(float), table.sum(axis=0)
+    share = (bad.sum() + 0.5) / (n.sum() + 1.0)
+    smooth = (bad + PRIOR * share) / (n + PRIOR)
+    return np.log(smooth / (1 - smooth)) - math.log(share / (1 - share))
+
+
 def select_cutoff(tune: np.ndarray, hold: np.ndarray, limit: float, error: float) -> int | None:
-    """The cutoff (reject above it) for one rule and stratum, from counts
-    [quality, hundredth] of the two halves; None: the rule is not used."""
+    """The evidence above which documents are rejected, from counts [quality,
+    evidence] of the two halves; None: none is."""
     above = lambda h: np.concatenate((np.cumsum(h[:, ::-1], axis=1)[:, ::-1][:, 1:], np.zeros((2, 1), int)), axis=1)
-    bad, good = above(tune)[0], above(tune)[1]
-    proposed = np.flatnonzero((bad > 0) & (bad >= PROPOSED_BAD * (bad + good)))
-    if not len(proposed):
-        return None
+    bad, good = above(tune)
     rejected, n = above(hold)[1], int(hold[1].sum())
     best = None
-    for c in range(BINS - 2, int(proposed[0]) - 1, -1):
+    for c in range(tune.shape[1] - 2, -1, -1):
         if upper_bound(int(rejected[c]), n, error) > limit:
             break
-        best = c
-    if best is None:
-        return None
-    useful = proposed[proposed >= best]
-    return int(useful[0]) if len(useful) else None
+        if bad[c] > 0 and bad[c] >= PROPOSED_BAD * (bad[c] + good[c]):
+            best = c
+    return best
 
 
-def fit(measured: DataFrame, labels: DataFrame) -> dict[tuple[str | None, str], int]:
-    """Cutoffs by stratum and rule, for documents that pass the base rules."""
-    known = (labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+def _labelled(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled documents that pass the base rules: quality (1: good), hold."""
+    known = (labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
              .agg(F.min(F.col("quality").cast("int")).alias("quality")))
-    rows = measured.where(~_base_failed()).join(known, "doc_id")
-    hold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).alias("hold")
-    rules = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"share_{k}").alias("bin")) for k in RULES])).alias("r")
-    counted = (rows.select("stratum", "quality", hold, rules).groupBy("stratum", "quality", "hold", "r.rule", "r.bin")
-               .agg(F.count("*").alias("n")).collect())  # strata times rules times hundredths
-    tables: dict[tuple, np.ndarray] = {}
+    return (measured.where(~_base_failed()).join(known, "doc_id")
+            .withColumn("hold", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)).cast("int")))
+
+
+@dataclass
+class Fitted:
+    """Per stratum the log odds [rule, range] and the evidence above which
+    documents go (``EVIDENCE``: never)."""
+
+    odds: dict[str | None, np.ndarray]
+    cutoffs: dict[str | None, int]
+
+
+def evidence(ranges: list[Column], odds: Column) -> Column:
+    """The sum of a document's log odds, in tenths from -10 on."""
+    total = F.lit(0.0)
+    for k, x in enumerate(ranges):
+        total = total + odds[F.lit(k * len(RANGES)) + x]
+    return F.floor(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), total)) * 10 + 100).cast("int")
+
+
+def _table(spark: SparkSession, values: dict, kind: str) -> DataFrame:
+    """stratum and a value for each: a few rows, by ``LEAST_LABELLED``."""
+    return spark.createDataFrame([(s, v) for s, v in values.items()], f"at string, value {kind}")
+
+
+def _with(df: DataFrame, values: dict, kind: str, name: str) -> DataFrame:
+    """``df`` with the stratum's value, that of the others where it has none of its own."""
+    rest = F.lit(values.get(OTHERS)).cast(kind) if kind == "int" else F.lit(values.get(OTHERS) or []).cast(kind)
+    own = _table(df.sparkSession, {s: v for s, v in values.items() if s != OTHERS}, kind)
+    joined = df.join(F.broadcast(own), F.col("stratum").eqNullSafe(F.col("at")), "left")
+    return joined.withColumn(name, F.coalesce("value", rest)).drop("at", "value")
+
+
+def fit(measured: DataFrame, labels: DataFrame) -> Fitted:
+    spark = measured.sparkSession
+    rows = cut(_labelled(measured, labels))
+    strata = {r["stratum"] for r in rows.groupBy("stratum").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_LABELLED).collect()}
+    named = spark.createDataFrame([(s, s if s is not None else "") for s in strata], "at string, name string")
+    rows = rows.join(F.broadcast(named), F.col("stratum").eqNullSafe(F.col("at")), "left").withColumn("own", F.col("name").isNotNull()).drop("at", "name")
+    ranges = [range_of(F.col(f"share_{k}")) for k in RULES]
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), x.alias("range")) for k, x in enumerate(ranges)])).alias("r")
+    counted = (rows.where("hold = 0").select("own", "stratum", "quality", pairs)
+               .groupBy("own", F.when(F.col("own"), F.col("stratum")).alias("stratum"), "quality", "r.rule", "r.range")
+               .agg(F.count("*").alias("n")).collect())  # strata times rules times ranges
+    key = lambda r: r["stratum"] if r["own"] else OTHERS
+    tables: dict = {}
     for r in counted:
-        if r["quality"] in (0, 1):
-            table = tables.setdefault((r["stratum"], r["rule"]), np.zeros((2, 2, BINS), dtype=np.int64))
-            table[r["hold"], r["quality"], r["bin"]] += r["n"]
-    out = {}
-    for key, (tune, held) in tables.items():
-        cutoff = select_cutoff(tune, held, FALSE_REJECTIONS / len(RULES), ERROR / len(tables))
-        if cutoff is not None:
-            out[key] = cutoff
-    return out
+        tables.setdefault(key(r), np.zeros((len(RULES), 2, len(RANGES)), dtype=np.int64))[r["rule"], r["quality"], r["range"]] += r["n"]
+    odds = {s: np.array([log_odds(t) for t in table]) for s, table in tables.items()}
+    rows = _with(rows, {s: o.ravel().tolist() for s, o in odds.items()}, "array<double>", "odds").where(F.size("odds") > 0)
+    scored = rows.select("own", "stratum", "quality", "hold", evidence(ranges, F.col("odds")).alias("evidence"))
+    counted = (scored.groupBy("own", F.when(F.col("own"), F.col("stratum")).alias("stratum"), "quality", "hold", "evidence")
+               .agg(F.count("*").alias("n")).collect())
+    halves: dict = {}
+    for r in counted:
+        halves.setdefault(key(r), np.zeros((2, 2, EVIDENCE), dtype=np.int64))[r["hold"], r["quality"], r["evidence"]] += r["n"]
+    cutoffs = {}
+    for s, (tune, hold) in halves.items():
+        found = select_cutoff(tune, hold, FALSE_REJECTIONS, ERROR / len(halves))
+        cutoffs[s] = EVIDENCE if found is None else found
+    return Fitted(odds, cutoffs)
 
 
-def _base_failed():
+def _base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the base measures, base_failed, kept, and the rules that failed."""
+    """doc_id, the base measures, base_failed, kept, evidence, and the rules that
+    spoke most against a rejected document."""
     measured = cut(measures(docs))
-    cutoffs = fit(measured, labels)
-    failed = F.array_compact(F.array(*[
-        F.when(F.col("stratum").eqNullSafe(F.lit(stratum)) & (F.col(f"share_{rule}") > cutoff), F.lit(rule))
-        for (stratum, rule), cutoff in sorted(cutoffs.items(), key=repr)] or [F.lit(None).cast("string")]))
-    judged = measured.withColumn("base_failed", _base_failed()).withColumn("failed_rules", failed)
-    return judged.select("doc_id", *BASE, "base_failed",
-                         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"),
-                         F.array_join("failed_rules", ",").alias("failed_rules"))
+    fitted = fit(measured, labels)
+    rows = _with(measured, {s: o.ravel().tolist() for s, o in fitted.odds.items()}, "array<double>", "odds")
+    rows = _with(rows, fitted.cutoffs, "int", "cutoff")
+    ranges = [range_of(F.col(f"share_{k}")) for k in RULES]
+    speaks = F.array_compact(F.array(*[F.when(F.col("odds")[F.lit(k * len(RANGES)) + x] >= 0.5, F.lit(rule))
+                                       for k, (rule, x) in enumerate(zip(RULES, ranges, strict=True))]))
+    has = F.size("odds") > 0
+    judged = (rows.withColumn("base_failed", _base_failed())
+              .withColumn("evidence", F.when(has, evidence(ranges, F.col("odds"))))
+              .withColumn("rejected", F.coalesce(F.col("evidence") > F.col("cutoff"), F.lit(False))))
+    return judged.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"),
+                         "evidence", F.when(F.col("rejected"), F.array_join(speaks, ",")).otherwise("").alias("failed_rules"))
