@@ -39,23 +39,30 @@ def brute(pages, bad_of):
         host, path = split(url)
         rows.append([page, host, path, [x for x in path.split("/") if x], []])
     shape = lambda s: re.sub(r"[^\W\d_]+", "a", re.sub("[0-9]+", "0", s))
-    for level in range(uf.LEVELS):
+    level = 0
+    while True:
+        going = [r for r in rows if len(r[3]) > level and len(r[4]) == level]
+        if level >= uf.LEVELS:  # below, nodes with good and bad labels only
+            kinds = defaultdict(set)
+            for r in going:
+                kinds[r[1], tuple(r[4])].add(bad_of.get(r[0]))
+            going = [r for r in going if {0, 1} <= kinds[r[1], tuple(r[4])]]
+        if not going:
+            break
         seen = defaultdict(lambda: defaultdict(int))
-        for r in rows:
-            if len(r[3]) > level:
-                seen[r[1], tuple(r[4]), shape(r[3][level])][r[3][level]] += 1
-        for r in rows:
-            if len(r[3]) > level:
-                s = shape(r[3][level])
-                v = seen[r[1], tuple(r[4]), s]
-                share = len(v) / sum(v.values())
-                wild = len(v) >= uf.WILD_VALUES and share >= uf.WILD_SHARE or "0" in s and len(v) >= 2 and share >= uf.WILD_DIGITS_SHARE
-                r.append("{" + s + "}" if wild else r[3][level])
-        for r in rows:
-            if len(r[3]) > level:
-                r[4] = [*r[4], r.pop()]
+        for r in going:
+            seen[r[1], tuple(r[4]), shape(r[3][level])][r[3][level]] += 1
+        for r in going:
+            s = shape(r[3][level])
+            v = seen[r[1], tuple(r[4]), s]
+            share = len(v) / sum(v.values())
+            wild = len(v) >= uf.WILD_VALUES and share >= uf.WILD_SHARE or "0" in s and len(v) >= 2 and share >= uf.WILD_DIGITS_SHARE
+            r.append("{" + s + "}" if wild else r[3][level])
+        for r in going:
+            r[4] = [*r[4], r.pop()]
+        level += 1
     for r in rows:
-        r[4] = tuple(r[4]) + (("{*}",) if len(r[3]) > uf.LEVELS else ())
+        r[4] = tuple(r[4]) + (("{*}",) if len(r[3]) > len(r[4]) else ())
     leaf = defaultdict(lambda: [0, 0])
     for r in rows:
         s = leaf[r[1], r[4]]
@@ -91,7 +98,9 @@ def brute(pages, bad_of):
     out = []
     for page, host, path, _, t in rows:
         m, c = sums[host, branch[host, t]]
-        own = "block" if (c + uf.PRIOR_PAGES * share) / (m + uf.PRIOR_PAGES) > uf.MOST_BAD else "allow"
+        p = (c + uf.PRIOR_PAGES * share) / (m + uf.PRIOR_PAGES)
+        sure = p - uf.SURE_Z * (p * (1 - p) / (m + uf.PRIOR_PAGES)) ** 0.5
+        own = "block" if sure > min(uf.LIFT * share, (1 + share) / 2) else "allow"
         rule = rule_of(host, path)
         out.append((page, host, path, rule[1] if rule else None, rule[0] if rule else own, "/" + "/".join(t)))
     return sorted(out, key=repr)
@@ -128,6 +137,41 @@ def test_branches_equal_plain_python(spark):
     assert {g[4] for g in got if g[2].startswith("/news/")} == {"allow"}
 
 
+def test_deep_sections_are_told_apart(spark):
+    """Sections that differ from the seventh segment on, below long common paths."""
+    rng = random.Random(12)
+    pages, bad = [], {}
+    for i in range(900):
+        section = rng.choice(["good", "spam", "mixed"])
+        deep = "/".join(["a", "b", "c", "d", "e", "f"] * (40 if i % 2 else 1))
+        pages.append((i, f"http://{'x' if i % 2 else 'y'}.net/{deep}/{section}/{rng.randint(1, 9999)}"))
+        if rng.random() < 0.5:
+            bad[i] = int(rng.random() < {"good": 0.05, "spam": 0.9, "mixed": 0.15}[section])
+    df = spark.createDataFrame([(p, u, "", 0) for p, u in pages], PAGE)
+    got = sorted(map(tuple, uf.judge(df, spark.createDataFrame(list(bad.items()), "page_id long, bad int")).collect()), key=repr)
+    assert got == brute(pages, bad)
+    assert {g[4] for g in got if "/spam/" in g[2]} == {"block"} and {g[4] for g in got if "/good/" in g[2]} == {"allow"}
+    assert all("{*}" not in g[5] for g in got if "/spam/" in g[2])
+
+
+def test_planted_section_in_the_pages_table(spark):
+    """A section whose pages are mostly bad is blocked, the table's own pages stay as they were."""
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    labels = uf.page_labels(pages, spark.read.parquet(f"{sf}/labels.parquet"))
+    before = {r.page_id: r.verdict for r in uf.judge(pages, labels).collect()}
+    planted = [(10_000 + i, f"http://news.info/promo/deal-{i}") for i in range(40)] + [(20_000 + i, f"http://news.info/local/story-{i}") for i in range(40)]
+    marks = [(10_000 + i, int(i % 10 > 0)) for i in range(30)] + [(20_000 + i, int(i % 10 == 0)) for i in range(30)]
+    both = pages.unionByName(spark.createDataFrame(planted, "page_id long, url string"))
+    after = {r.page_id: r.verdict for r in uf.judge(both, labels.unionByName(spark.createDataFrame(marks, "page_id long, bad int"))).collect()}
+    assert {after[p] for p, _ in planted[:40]} == {"block"} and {after[p] for p, _ in planted[40:]} == {"allow"}
+    assert sum(after[p] != v for p, v in before.items()) <= 0.01 * len(before)
+
+
+def test_few_bad_labels_say_little():
+    assert abs(uf.limit_of(0.15) - 0.225) < 1e-12 and uf.limit_of(0.9) == 0.95 and uf.limit_of(0.0) == 0.0
+
+
 def test_whole_pages_table(spark):
     sf = "/root/testdata/sf0.01"
     pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
@@ -163,25 +207,6 @@ def test_automaton_equals_greedy_search():
             assert machine.pieces(word) == greedy(word, first, later), (word, first, later)
 
 
-def test_counts_over_documents(spark, monkeypatch):
-    monkeypatch.setattr(wp, "MEMORY_WORDS", 5000)
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    first, later = map(set, wp.sentencepiece_pieces(path))
-    sf = "/root/testdata/sf0.001"
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    rows = QUERIES["op2_token_counts"](spark, sf).collect()
-    assert len(rows) == len(texts)
-    for r in rows:
-        n = [greedy(w, first, later) for w in re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])]
-        assert (r.n_words, r.n_tokens, r.n_unknown) == (len(n), sum(map(abs, n)), n.count(wp.UNKNOWN))
-        assert r.longest_word_tokens == max(map(abs, n), default=0)
-    odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "a  b\n", 3), (2, "x" * 200_000, 4), (3, "\u0001\U0001F600 the", 5)],
-                                "doc_id long, text string, n_words int")
-    got = sorted(map(tuple, wp.token_counts(odd, path).collect()), key=repr)
-    assert [g[:2] for g in got] == [(1, 0), (1, 2), (2, 1), (3, 2), (None, 0)]
-    assert got[3][3] == 1 and got[3][2] == 2
-
-
 def full_greedy(word, pieces):
     """Greedy search over the whole piece list, the word mark being part of the word."""
     n, at, text = 0, 0, "\u2581" + word
@@ -192,14 +217,42 @@ def full_greedy(word, pieces):
     return n
 
 
-def test_mark_alone_and_byte_pieces(spark):
+def piece_list(path):
+    """All plain pieces, read without the operator's own reader."""
     import sentencepiece
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
     assert sum(model.is_byte(k) for k in range(len(names))) == 256 and max(map(len, names)) <= 48
-    pieces = {p for k, p in enumerate(names) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
+    return {p for k, p in enumerate(names) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
+
+
+def test_counts_over_documents(spark, monkeypatch):
+    monkeypatch.setattr(wp, "MEMORY_WORDS", 5000)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = piece_list(path)
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op2_token_counts"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = [full_greedy(w, pieces) for w in re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])]
+        assert (r.n_words, r.n_tokens, r.n_unknown, r.longest_word_tokens) == (len(n), sum(n), 0, max(n, default=0))
+    odd = [(None, None, 1), (1, "", 2), (1, "a  b\n", 3), (2, "x" * 200_000, 4), (3, "\u0001\U0001F600 the", 5)]
+    df = spark.createDataFrame(odd, "doc_id long, text string, n_words int")
+    got = sorted(map(tuple, wp.token_counts(df, path).collect()), key=repr)
+    want = []
+    for d, t, _ in odd:
+        n = [full_greedy(w, pieces) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        want.append((d, len(n), sum(n), 0, max(n, default=0)))
+    assert got == sorted(want, key=repr)
+    none = df.limit(0)
+    assert wp.token_counts(none, path).collect() == []
+
+
+def test_mark_alone_and_byte_pieces(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = piece_list(path)
     machine = wp.automaton(path)
     odd = ["12345", "\u00f1and\u00fa", "\u00e7a", "\u00eatre", "\u6f22\u5b57", "\u6f22" * 50, "\U0001F600x\u0001", "7" * 200_000, "\u2581", "a\u2581b", "\uffff",
            "x\U00012000\U00012001y", "the1the"]
