@@ -44,6 +44,9 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 
 LEAST_RANDOM = 16
+# Runs of letters alone are candidates from so many on; shorter ones are ordinary
+# words, whose scores say how random such words look.
+LEAST_LETTERS = 32
 FALSE_DISCOVERIES = 0.01
 # Score bins: tenths of -log10 p, the last one open.
 BINS, BIN_WIDTH = 200, 0.1
@@ -62,7 +65,7 @@ CLASSES = 12
 
 # Encodings from the smallest alphabet on.
 ALPHABETS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER, _UPPER, _UPPER + "234567", _DIGITS + _LOWER, _DIGITS + _UPPER,
-             _DIGITS + _UPPER + _LOWER, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_",
+             _UPPER + _LOWER, _DIGITS + _UPPER + _LOWER, _UPPER + _LOWER + _DIGITS + "+/", _UPPER + _LOWER + _DIGITS + "-_",
              _UPPER + _LOWER + _DIGITS + "+/-_")
 _VALUE = np.zeros((len(ALPHABETS), 256), dtype=np.int64)
 _MEMBER = np.zeros((len(ALPHABETS), 256), dtype=bool)
@@ -165,12 +168,13 @@ def base_spans(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
 
 def candidates(data: np.ndarray, offsets: np.ndarray, base: list[tuple[int, int, int]]):
     """Byte ranges, length classes, encodings and score bins of runs outside
-    base spans that mix digits and letters."""
+    base spans that mix digits and letters, or are long and all letters."""
     runs = tb.runs(_KEY[data], offsets)
     long = runs.ends - runs.starts >= LEAST_RANDOM
     starts, ends = runs.starts[long], runs.ends[long]
     digits, letters = _count(_DIGIT[data]), _count(_LETTER[data])
-    mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
+    own = letters[ends] - letters[starts]
+    mixed = (digits[ends] > digits[starts]) & (own > 0) | (own == ends - starts) & (own >= LEAST_LETTERS)
     if base:
         covered = np.zeros(len(data) + 1, dtype=np.int64)
         np.add.at(covered, [s[0] for s in base], 1)
@@ -197,10 +201,10 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 
 
 def ordinary_words(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """The distinct long words of ASCII letters (capitals only at the beginning
-    or throughout), in lower case."""
+    """The distinct words of ``LEAST_RANDOM`` to ``LEAST_LETTERS`` ASCII letters
+    (capitals only at the beginning or throughout), in lower case."""
     runs = tb.runs(_LETTER[data], offsets)
-    long = runs.ends - runs.starts >= LEAST_RANDOM
+    long = (runs.ends - runs.starts >= LEAST_RANDOM) & (runs.ends - runs.starts < LEAST_LETTERS)
     starts, ends = runs.starts[long], runs.ends[long]
     if not len(starts):
         return []

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import string
 
 import numpy as np
 
@@ -141,3 +143,52 @@ def test_analytic_tail_covers_letters_with_digits():
         bins = ss.score_bin(ss.battery(flat, np.full(20_000, n), np.full(20_000, e)))
         share = np.cumsum(np.bincount(bins, minlength=ss.BINS)) / 20_000
         assert (share <= ss.analytic_tail(c, e) * 1.1 + 5e-4).all()
+
+
+def plain_battery(text, alphabet):
+    """The three tests by their textbook formulas, and Fisher's combination."""
+    n, size = len(text), len(alphabet)
+    values = [alphabet.index(c) for c in text]
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum((values.count(v) - n / size) ** 2 / (n / size) for v in range(size))
+    df = size - 1
+    uniform = upper(((max(chi, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    changes = sum((a >= size / 2) != (b >= size / 2) for a, b in zip(values, values[1:], strict=False))
+    runs = 2 * upper(abs(changes - (n - 1) / 2) / math.sqrt((n - 1) / 4))
+    mean, variance = (size - 1) / 2, (size**2 - 1) / 12
+    products = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:], strict=False))
+    serial = 2 * upper(abs(products) / (variance * math.sqrt(n - 1)))
+    y = -sum(math.log(max(p, 1e-30)) for p in (uniform, runs, serial))
+    return math.exp(-y) * (1 + y + y * y / 2)
+
+
+def test_battery_equals_the_textbook():
+    rng = random.Random(6)
+    for _ in range(200):
+        k = rng.randrange(len(ss.ALPHABETS))
+        letters = ss.ALPHABETS[k]
+        texts = ["".join(rng.choice(letters[: rng.choice([2, 5, len(letters)])]) for _ in range(rng.randint(16, 200))) for _ in range(5)]
+        flat = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+        got = ss.battery(flat, np.array(list(map(len, texts))), np.full(5, k))
+        assert np.allclose(got, [plain_battery(t, letters) for t in texts], rtol=1e-6, atol=1e-30)
+        smallest = [next(i for i, a in enumerate(ss.ALPHABETS) if set(t) <= set(a)) for t in texts]
+        assert ss.infer(flat, np.array(list(map(len, texts)))).tolist() == smallest
+
+
+def test_a_key_of_letters_alone_among_thousands_of_words(spark):
+    rng = random.Random(33)
+    keys = {50_000: "".join(rng.choice(string.ascii_letters) for _ in range(64)),
+            50_001: "".join(rng.choice(string.ascii_lowercase) for _ in range(90))}
+    rows = [(i, prose(rng, 60), "", 0) for i in range(1500)]
+    # Long, but words: compounds and repetitions.
+    rows += [(10_000 + i, "".join(prose(rng, 12).split()), "", 0) for i in range(60)] + [(20_000, "donau" * 20, "", 0), (20_001, "x" * 300, "", 0)]
+    rows += [(d, f"{prose(rng, 30)} {k} {prose(rng, 5)}", "", 0) for d, k in keys.items()]
+    text = {r[0]: r[1] for r in rows}
+    got = [(r.doc_id, text[r.doc_id][s.start: s.end]) for r in ss.scan(spark.createDataFrame(rows, SCHEMA)).collect() for s in r.spans if s.kind == "random"]
+    assert {g for g in got if g[0] in keys} == set(keys.items())
+    assert len([g for g in got if g[0] not in keys]) <= 1
+
+
+def test_scan_of_no_rows(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert ss.scan(none).collect() == [] and ss.digests(ss.scan(none)).collect() == []
