@@ -372,20 +372,22 @@ def _long_pairs(members: DataFrame, prefixes: DataFrame, s: float) -> DataFrame:
     rest of what they share. Each parity that differs stands for a shingle that
     only one of them holds, and a similar pair has few of those."""
     own = cut(prefixes.join(members.select("node", "component"), "node")
-              .select("node", "n", "component", "typical", "parity", F.posexplode("x").alias("at", "shingle")))
-    names = ("node", "n", "component", "typical", "at", "parity")
-    small = own.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * s / (1 + s)) - 1e-9) + 1)
+              .select("node", "n", "component", "typical", "parity", "x", F.posexplode("x").alias("at", "shingle")))
+    names = ("node", "n", "component", "typical", "at", "parity", "x")
+    most = (F.col("n") - F.ceil(F.col("n") * (2 * s / (1 + s)) - 1e-9) + 1).cast("int")
+    small = own.where(F.col("at") < most).withColumn("x", F.slice("x", F.lit(1), most))
     a = own.select("shingle", *[F.col(c).alias(f"{c}_a") for c in names])
     b = small.select("shingle", *[F.col(c).alias(f"{c}_b") for c in names])
     larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    # For the first shingle that both hold the bound is exact; a later one alone may fail it.
+    # Each pair meets once, in the first shingle that both prefixes hold.
+    first = F.col("shingle") == F.get(F.array_intersect("x_a", "x_b"), F.lit(0))
     enough = left + 1e-9 >= (F.col("n_a") + F.col("n_b")) * (s / (1 + s))
     differ = F.lit(0)
     for k in range(PARITY // 64):
         differ = differ + F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k]))
     few = differ <= (F.col("n_a") + F.col("n_b")) * ((1 - s) / (1 + s)) + 1e-9
-    met = a.join(b, "shingle").where(larger & (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s) & enough & few)
+    met = a.join(b, "shingle").where(larger & (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s) & enough & few & first)
     in_order = F.col("node_a") < F.col("node_b")
     by = lambda c, x, y: F.when(in_order, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
     return met.select(by("node", "a", "b").alias("a"), by("node", "b", "a").alias("b"),
