@@ -4,7 +4,7 @@ The pre-tokenizer of such a vocabulary never lets a token cross certain places
 (before a space that begins a word, around a single line break, between an
 ASCII letter and common punctuation). Texts are cut there, each distinct piece
 is encoded once by the library and remembered, and the ids of a batch are
-gathered with numpy. ``tests/llm`` holds this against encoding whole texts.
+gathered with Arrow. ``tests/llm`` holds this against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from creditspark.llm import textbatch as tb
 MEMORY_PIECES = 300_000
 # Longer pieces are encoded without being remembered.
 MEMORY_PIECE_BYTES = 64
+# Pieces given to the library at once, and those of them in one string.
+CALL_PIECES = 20_000
+JOINED_PIECES = 100
 # Bytes of text whose ids are gathered at once.
 SLICE_BYTES = 2 << 20
 
@@ -81,8 +84,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary_size = self.tokenizer.get_vocab_size()
+        added = {i: t.content.encode("utf-8") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         # Strings that the library turns into one id wherever they stand.
-        self.special = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = list(added.values())
+        # Bytes of text that each id stands for: a byte-level token has one character per byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(added[i]) if i in added else len(token)
         self._forget()
 
     @classmethod
@@ -92,67 +101,62 @@ class Encoder:
         return cls._made[path]
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.lengths = np.zeros(1 << 14, dtype=np.int64)
-        self.met = np.zeros(1 << 14, dtype=np.int32)  # slices that held the piece
-        self.used = self.entries = 0
-
-    def _forget_rare(self) -> None:
-        """Keeps the pieces met in several slices, half the memory at most."""
-        names = list(self.known)
-        places = np.fromiter(self.known.values(), dtype=np.int64, count=len(names))
-        met = self.met[places]
-        least = 2
-        while int((met >= least).sum()) > MEMORY_PIECES // 2:
-            least *= 2
-        kept = np.flatnonzero(met >= least)
-        starts, lengths = self.starts[places[kept]], self.lengths[places[kept]]
-        ends = np.cumsum(lengths)
-        gather = np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
-        flat = self.flat[gather]
-        self._forget()
-        self.used, self.entries = len(flat), len(kept)
-        self.flat = _room(self.flat, self.used)
-        self.starts, self.lengths, self.met = (_room(x, self.entries) for x in (self.starts, self.lengths, self.met))
-        self.flat[: self.used] = flat
-        self.starts[: self.entries], self.lengths[: self.entries] = ends - lengths, lengths
-        self.met[: self.entries] = 1
-        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
+        # Pieces remembered, and under the same places their ids (as bytes, four
+        # for each id) and the number of slices that held them.
+        self.known = _NONE
+        self.coded = _NONE
+        self.met = np.zeros(0, dtype=np.int32)
+
+    def _remember(self, parts: pa.Array, coded: pa.Array, met: np.ndarray) -> None:
+        """Keeps the pieces that are not too long; if those are too many, the
+        ones met in several slices, half the memory at most."""
+        kept = np.diff(_offsets(parts)) <= MEMORY_PIECE_BYTES
+        if kept.sum() > MEMORY_PIECES:
+            least = 2
+            while int((kept & (met >= least)).sum()) > MEMORY_PIECES // 2:
+                least *= 2
+            kept &= met >= least
+            met = np.ones_like(met)
+        if not kept.all():
+            parts, coded, met = parts.filter(pa.array(kept)), coded.filter(pa.array(kept)), met[kept]
+        self.known, self.coded, self.met = parts, coded, met
 
     def _library(self, parts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(
             [p.decode("utf-8") for p in parts], add_special_tokens=False)]
 
-    def _places(self, parts: list[bytes]) -> np.ndarray:
-        """For each distinct piece its place in the memory, encoding new ones."""
-        if self.entries + len(parts) > MEMORY_PIECES:
-            self._forget_rare()
-        known = self.known
-        places = np.fromiter((known.get(p, -1) for p in parts), dtype=np.int64, count=len(parts))
-        new = np.flatnonzero(places < 0)
-        for at in range(0, len(new), 20_000):
-            some = new[at: at + 20_000]
-            coded = self._library([parts[i] for i in some])
-            lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-            total = int(lengths.sum())
-            self.flat = _room(self.flat, self.used + total)
-            self.starts = _room(self.starts, self.entries + len(some))
-            self.lengths = _room(self.lengths, self.entries + len(some))
-            self.met = _room(self.met, self.entries + len(some))
-            self.flat[self.used: self.used + total] = [x for ids in coded for x in ids]
-            where = self.entries + np.arange(len(some))
-            self.starts[where] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[where] = lengths
-            places[some] = where
-            for i, w in zip(some, where, strict=True):
-                if len(parts[i]) <= MEMORY_PIECE_BYTES:
-                    known[parts[i]] = int(w)
-            self.used += total
-            self.entries += len(some)
-        self.met[places] += 1
-        return places
+    def _encoded(self, parts: pa.Array) -> pa.Array:
+        """The ids of each of the pieces, as bytes. Pieces between which the
+        texts were cut alike (before a space) are given to the library many in
+        one string, and told apart by the bytes that each id stands for."""
+        at, data = _offsets(parts), _bytes(parts)
+        lengths = np.diff(at)
+        joins = (lengths > 1) & (lengths <= MEMORY_PIECE_BYTES)
+        joins[joins] = (data[at[:-1][joins]] == 0x20) & _SOLID[data[at[:-1][joins] + 1]]
+        together, alone = parts.filter(pa.array(joins)), parts.filter(pa.array(~joins))
+        out = [self._joined(together.slice(k, CALL_PIECES)) for k in range(0, len(together), CALL_PIECES)]
+        out += [self._apart(alone.slice(k, CALL_PIECES)) for k in range(0, len(alone), CALL_PIECES)]
+        order = np.argsort(np.concatenate((np.flatnonzero(joins), np.flatnonzero(~joins))))
+        return pa.concat_arrays(out).take(pa.array(order)) if out else _NONE
+
+    def _joined(self, parts: pa.Array) -> pa.Array:
+        at, data = _offsets(parts), _bytes(parts)
+        cut = at[[*range(0, len(parts), JOINED_PIECES), len(parts)]]
+        coded = self._library([data[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        flat = np.concatenate([np.array(ids, dtype="<u4") for ids in coded])
+        sizes = self.sizes[flat]
+        ends = at[0] + np.cumsum(sizes)
+        if len(ends) and ends[-1] == at[-1] and sizes.min() > 0:
+            last = np.searchsorted(ends, at[1:])  # of each piece, its last id
+            if np.array_equal(ends[last], at[1:]):
+                return _id_rows(flat, np.concatenate(([0], last + 1)))
+        # An id spans two pieces (a special string with a space), or the vocabulary is not byte-level.
+        return self._apart(parts)
+
+    def _apart(self, parts: pa.Array) -> pa.Array:
+        coded = self._library(parts.to_pylist())
+        first = np.concatenate(([0], np.cumsum([len(ids) for ids in coded])))
+        return _id_rows(np.array([x for ids in coded for x in ids], dtype="<u4"), first)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, first)``: the ids of row d are ``ids[first[d]:first[d + 1]]``."""
@@ -160,14 +164,17 @@ class Encoder:
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(rows + 1, np.int64)
         at = cuts(data, offsets)
-        coded = tb.pieces(data, at[:-1], at[1:]).dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())
-        place = places[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = self.lengths[place]
-        ends = np.cumsum(lengths)
-        gather = np.repeat(self.starts[place] - (ends - lengths), lengths) + np.arange(int(ends[-1]))
-        before = np.concatenate(([0], ends))
-        ids, first = self.flat[gather], before[np.searchsorted(at, offsets)]
+        # The known pieces come first, so a piece's index is its place in the memory.
+        found = pa.chunked_array([self.known, tb.pieces(data, at[:-1], at[1:])]).dictionary_encode().chunks[-1]
+        parts, place = found.dictionary, found.indices
+        coded = pa.concat_arrays([self.coded, self._encoded(parts.slice(len(self.known)))])
+        gathered = coded.take(place)
+        here = np.zeros(len(parts), dtype=np.int32)
+        here[place.to_numpy()] = 1
+        here[: len(self.met)] += self.met
+        self._remember(parts, coded, here)
+        ids = _bytes(gathered).view("<u4")
+        first = _offsets(gathered)[np.searchsorted(at, offsets)] // 4
         text = data.tobytes()
         if any(s in text for s in self.special):
             return self._with_special(text, offsets, ids, first)
@@ -185,12 +192,22 @@ class Encoder:
         return np.concatenate(out), np.concatenate(([0], np.cumsum([len(x) for x in out])))
 
 
-def _room(a: np.ndarray, size: int) -> np.ndarray:
-    if size <= len(a):
-        return a
-    out = np.zeros(max(size, 2 * len(a)), dtype=a.dtype)
-    out[: len(a)] = a
-    return out
+_NONE = pa.array([], type=pa.large_binary())
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where each of the values begins in ``_bytes``, and where the last ends."""
+    at = np.frombuffer(values.buffers()[1], dtype=np.int64)
+    return at[values.offset: values.offset + len(values) + 1]
+
+
+def _bytes(values: pa.Array) -> np.ndarray:
+    data = values.buffers()[2]
+    return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def _id_rows(flat: np.ndarray, first: np.ndarray) -> pa.Array:
+    return tb.pieces(flat.view(np.uint8), 4 * first[:-1], 4 * first[1:])
 
 
 def with_end(ids: np.ndarray, end_id: int) -> np.ndarray:
