@@ -19,6 +19,8 @@ the text that copies were made from), in its two commonest lists. What is still
 apart then is found by an exact prefix filter on the full sets, ordered by
 frequency: a similar pair shares one of the rarest shingles of both, at places
 that leave enough shingles behind them, and few parities of their sets differ.
+Only shingles that several components hold go on from there, in narrow rows: what
+tells pairs apart (parities) goes along with the often held ones alone.
 
 A sketch misses a link only if, by chance, more than 5.5 standard deviations
 too few of the union's smallest values are shared (under one in a million for a
@@ -45,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditspark.llm import textbatch as tb
-from creditspark.llm.shared import compact, cut, free_names, row_hash
+from creditspark.llm.shared import compact, cut, free_names, release, row_hash
 
 SKETCH = 64
 MEET = 8
@@ -55,9 +57,15 @@ LONG_LIST = 128
 PARITY = 512
 # Groups by hash whose numbers of shingles order them by frequency.
 FREQUENCY_GROUPS = 1 << 16
+# Pairs that meet in a shingle of up to so many sets are formed from bare
+# numbers; in one of more sets, parities are held against each other first.
+RARE_SHINGLE = 16
+# Of the often held shingles before one, those that go along with it.
+EARLIER = 4
 # Classes whose numbers (40 bytes each) are broadcast to pick out their texts;
-# beyond that the texts are dealt out by a shuffle.
+# beyond that a bitmap of ``WANTED_BITS`` bits, at any size, drops most others.
 MOST_BROADCAST = 1 << 19
+WANTED_BITS = 1 << 26
 
 
 # ---- shingle sets and sketches, in tasks ------------------------------------------------------
@@ -119,10 +127,10 @@ def _text_hash() -> Column:
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, packed: a compressed text for each class of ``wanted`` (node,
-    doc_id, text_hash, digest). Only wanted texts are compressed and moved; while
-    the wanted are few they are picked out where they are. Equal rows meet
-    map-side, so no task gets them all; where other texts have the same doc_id
-    and hash, the class's digest tells its own."""
+    doc_id, text_hash, digest). Wanted texts are picked out where they are, and
+    only those are compressed and moved; of many, by a bitmap that lets a few others
+    through, up to the join. Equal rows meet map-side, so no task gets them all;
+    where other texts have the same doc_id and hash, the class's digest tells its own."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -140,12 +148,38 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(), "text")
     if wanted.count() <= MOST_BROADCAST:
         texts = texts.join(F.broadcast(wanted.select("doc_id", "text_hash").distinct()), ["doc_id", "text_hash"], "left_semi")
+    else:
+        bits = docs.sparkSession.sparkContext.broadcast(_key_bits(wanted))
+
+        @F.pandas_udf("boolean")
+        def may_be(slot: pd.Series) -> pd.Series:
+            at = slot.to_numpy()
+            return pd.Series((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+
+        keys = texts.where("doc_id is not null").withColumn("wanted", may_be(_slot()))
+        texts = keys.where("wanted").select("doc_id", "text_hash", "text")
     versions = (texts.mapInArrow(pack, "doc_id long, text_hash long, packed binary")
                 .groupBy("doc_id", "text_hash").agg(F.collect_set("packed").alias("versions")))
     return (versions.join(wanted.select("node", "doc_id", "text_hash", "digest"), ["doc_id", "text_hash"])
             .select("node", "digest", "versions").mapInArrow(own, "node long, packed binary"))
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(WANTED_BITS))
+
+
+def _key_bits(wanted: DataFrame) -> np.ndarray:
+    """A bit for each doc_id and text_hash; ``WANTED_BITS`` bits in all."""
+    place = _slot() + 1
+    rows = (wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect())  # 4 KB each
+    out = np.zeros(WANTED_BITS // 8, dtype=np.uint8)
+    for r in rows:
+        at = (r.bucket - 1) * len(r.bits)
+        out[at: at + len(r.bits)] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
+
+
 def _parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """A batch a few rows at a time: texts are held unpacked for those only."""
     return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
@@ -200,8 +234,11 @@ def _confirmer(texts: DataFrame, words: int, s: float) -> Callable[[DataFrame],
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
-                .join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b"))
+        pairs = cut(pairs)
+        nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        own = texts.join(F.broadcast(nodes), "node", "left_semi") if nodes.count() <= MOST_BROADCAST else texts
+        both = (pairs.join(own.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
+                .join(own.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b"))
         return both.select("a", "b", "pa", "pb").mapInArrow(exact, "a long, b long")
 
     confirm.texts = texts
@@ -319,13 +356,14 @@ def _stars(lists: DataFrame, s: float) -> DataFrame:
 
 
 def _prefixes(members: DataFrame, texts: DataFrame, words: int, s: float) -> DataFrame:
-    """node, n, typical, parity, x for each of ``members`` (node): how frequent
-    its shingles are (mean logarithm), a parity bit for each of ``PARITY`` groups
-    of its shingles, and the rarest ones, its first (1 - s) n, in order. Any order
+    """node, component, n, typical, parity, x for each of ``members`` (node,
+    component): how frequent its shingles are (mean logarithm), a parity bit for
+    each of ``PARITY`` groups of its shingles, and the rarest ones, its first
+    (1 - s) n, in order. Any order
     that is the same for all sets is right; here shingles are in the order of how
     many the members hold of their group by hash, so common passages come last.
     The counts have a fixed size; no shingle is moved."""
-    own = cut(texts.join(members.select("node"), "node", "left_semi").select("node", "packed"))
+    own = cut(texts.join(members, "node").select("node", "packed", "component"))
     groups = FREQUENCY_GROUPS
 
     def group_of(shingles: np.ndarray) -> np.ndarray:
@@ -358,55 +396,78 @@ def _prefixes(members: DataFrame, texts: DataFrame, words: int, s: float) -> Dat
                     typical.append(float(np.log(np.maximum(often, 1)).mean()) if len(x) else 0.0)
                     bits.append(np.packbits((np.bincount(g % PARITY, minlength=PARITY) & 1).astype(bool)).view(np.int64))
                     prefix.append(x[order[: len(x) - math.ceil(len(x) * s - 1e-9) + 1]])
-                yield pa.RecordBatch.from_arrays([node, pa.array(n, type=pa.int64()), pa.array(typical), _lists(bits), _lists(prefix)],
-                                                 names=["node", "n", "typical", "parity", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [node, batch.column(2).slice(k, 256), pa.array(n, type=pa.int64()), pa.array(typical), _lists(bits), _lists(prefix)],
+                    names=["node", "component", "n", "typical", "parity", "x"])
 
-    return own.mapInArrow(shorten, "node long, n long, typical double, parity array<long>, x array<long>")
+    return own.mapInArrow(shorten, "node long, component long, n long, typical double, parity array<long>, x array<long>")
 
 
-def _long_pairs(members: DataFrame, prefixes: DataFrame, s: float) -> DataFrame:
-    """Pairs a, b of ``members`` (node, component) of other components by the prefix
-    filter, and how typical each is. A similar pair shares a shingle among the rarest (1 - s) n of the
+def _long_pairs(prefixes: DataFrame, s: float) -> DataFrame:
+    """Pairs a, b of ``_prefixes`` of other components by the prefix filter, and
+    how typical each is. A similar pair shares a shingle among the rarest (1 - s) n of the
     larger set and, as its partner is no smaller, among the rarest
     (1 - 2s / (1 + s)) n of the smaller one; behind that place both must hold the
     rest of what they share. Each parity that differs stands for a shingle that
-    only one of them holds, and a similar pair has few of those."""
-    own = cut(prefixes.join(members.select("node", "component"), "node")
-              .select("node", "n", "component", "typical", "parity", "x", F.posexplode("x").alias("at", "shingle")))
-    names = ("node", "n", "component", "typical", "at", "parity", "x")
-    most = (F.col("n") - F.ceil(F.col("n") * (2 * s / (1 + s)) - 1e-9) + 1).cast("int")
-    small = own.where(F.col("at") < most).withColumn("x", F.slice("x", F.lit(1), most))
-    a = own.select("shingle", *[F.col(c).alias(f"{c}_a") for c in names])
-    b = small.select("shingle", *[F.col(c).alias(f"{c}_b") for c in names])
-    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
-    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    # Each pair meets once, in the first shingle that both prefixes hold.
-    first = F.col("shingle") == F.get(F.array_intersect("x_a", "x_b"), F.lit(0))
-    enough = left + 1e-9 >= (F.col("n_a") + F.col("n_b")) * (s / (1 + s))
-    differ = F.lit(0)
-    for k in range(PARITY // 64):
-        differ = differ + F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k]))
-    few = differ <= (F.col("n_a") + F.col("n_b")) * ((1 - s) / (1 + s)) + 1e-9
-    met = a.join(b, "shingle").where(larger & (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s) & enough & few & first)
-    in_order = F.col("node_a") < F.col("node_b")
-    by = lambda c, x, y: F.when(in_order, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
-    return met.select(by("node", "a", "b").alias("a"), by("node", "b", "a").alias("b"),
-                      by("typical", "a", "b").alias("typical_a"), by("typical", "b", "a").alias("typical_b")).distinct()
+    only one of them holds, and a similar pair has few of those. A shingle within
+    one component makes no pair and is dropped first; whole prefixes and parities
+    would be many times the texts if they went along with each shingle."""
+    small = F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * s / (1 + s)) - 1e-9) + 1
+    rows = prefixes.select("node", "component", "n", F.posexplode("x").alias("at", "shingle"))
+    held = (rows.groupBy("shingle").agg(F.count("*").alias("sets"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                        F.max(small).alias("small"))
+            .where("lo < hi and small").select("shingle", "sets"))
+    held = cut(rows.join(held, "shingle"))
+
+    def few(a: str, b: str) -> Column:
+        differ = F.lit(0)
+        for k in range(PARITY // 64):
+            differ = differ + F.bit_count(F.col(f"parity_{a}")[k].bitwiseXOR(F.col(f"parity_{b}")[k]))
+        return differ <= (F.col(f"n_{a}") + F.col(f"n_{b}")) * ((1 - s) / (1 + s)) + 1e-9
+
+    def met(rows: DataFrame, more: Column, *names: str) -> DataFrame:
+        names = ("node", "n", "component", "at", *names)
+        a, b = (side.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in names]) for x, side in (("a", rows), ("b", rows.where(small))))
+        larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+        left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+        enough = left + 1e-9 >= (F.col("n_a") + F.col("n_b")) * (s / (1 + s))
+        both = a.join(b, "shingle").where(
+            larger & (F.col("component_a") != F.col("component_b")) & _sizes_fit("n_a", "n_b", s) & enough & more)
+        return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+    rare = met(held.where(F.col("sets") <= RARE_SHINGLE), F.lit(True))
+    # A set's often held shingles in order, as many as its prefix at most.
+    lists = (held.where(F.col("sets") > RARE_SHINGLE).groupBy("node")
+             .agg(F.sort_array(F.collect_list(F.struct("at", "shingle"))).alias("often")))
+    lists = prefixes.join(lists, "node").select("node", "component", "n", "parity", "often", F.posexplode("often").alias("k", "e"))
+    before = F.slice(F.col("often.shingle"), F.greatest(F.lit(1), F.col("k") + (1 - EARLIER)), F.least(F.col("k"), F.lit(EARLIER)))
+    often = cut(lists.select("node", "component", "n", "parity", F.col("e.at").alias("at"), F.col("e.shingle").alias("shingle"),
+                             before.alias("before")))
+    # A pair that has met in a shingle shortly before need not meet again.
+    often = met(often, few("a", "b") & ~F.arrays_overlap("before_a", "before_b"), "parity", "before")
+    pairs = cut(rare.unionByName(often).distinct())
+    sides = [prefixes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "typical", "parity")]) for x in "ab"]
+    return (pairs.join(sides[0], "a").join(sides[1], "b").where(few("a", "b"))
+            .select("a", "b", "typical_a", "typical_b"))
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFrame:
     """Pairs a, b of classes that links connect: enough of them to connect all
     that are connected."""
+    spark = docs.sparkSession
     listed = cut(_listed(classes, s))
+    release(spark)
     pairs = compact(_union_estimate(_short_pairs(listed, s), classes, s))
+    release(spark)
     # Only pairs of sets that both reach into long lists often enough can have been missed.
     hot = compact(_entries(listed).where((F.col("cnt") > LONG_LIST) & (F.col("long") >= _meets(F.ceil(F.col("n") * s), s)))
                   .select("value", "node", "n", "typical", "place"))
     nodes = (pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
              .unionByName(hot.select("node")).distinct())
     wanted = cut(classes.join(nodes, "node", "left_semi"))
+    del listed, nodes
     confirm = _confirmer(cut(packed_texts(docs, wanted, words)), words, s)
-
+    release(spark)
 
     def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
         return compact(_with_components(pairs, found, "a", "b").where("component_a <> component_b").select("a", "b"))
@@ -418,6 +479,8 @@ def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFram
         lists = hot.where("place = 1").withColumn("component", F.col("node"))
         some = some.unionByName(_union_estimate(_stars(lists, s), wanted, s)).distinct()
     found = contract(confirm(some))
+    del some
+    release(spark)
     # Then only pairs that are still apart, and the pivots of the second lists.
     left = apart(pairs, found)
     if long:
@@ -425,11 +488,13 @@ def links(docs: DataFrame, classes: DataFrame, words: int, s: float) -> DataFram
         left = left.unionByName(_union_estimate(_stars(lists, s), wanted, s)).distinct()
     if not left.isEmpty():
         found = contract(found.unionByName(confirm(left)))
+    del pairs, left, wanted
+    release(spark)
     if not long:
         return found
     members = _apart(hot, found).select("node", "component").distinct()
-    prefixes = cut(_prefixes(members, confirm.texts, words, s))
-    pairs = compact(_long_pairs(members, prefixes, s))
+    pairs = compact(_long_pairs(cut(_prefixes(members, confirm.texts, words, s)), s))
+    release(spark)
     # The full sets tell better than sketches which partner is closest to the family's origin.
     both = pairs.select(F.col("a").alias("node"), F.struct(F.col("typical_b").alias("typical"), F.col("b").alias("other")).alias("p")).unionByName(
         pairs.select(F.col("b").alias("node"), F.struct(F.col("typical_a").alias("typical"), F.col("a").alias("other")).alias("p")))
@@ -457,6 +522,9 @@ def _judged(docs: DataFrame, words: int, s: float) -> DataFrame:
     # One row per class with its sketch; equal rows meet map-side, so no class is too large.
     first = rows.groupBy("digest", "doc_id").agg(F.first("text_hash").alias("text_hash"), F.first("sketch").alias("sketch"))
     classes = cut(first.join(sets, ["digest", "doc_id"]))
+    rows = cut(rows.select("doc_id", "text_hash", "n_shingles", "digest"))  # the sketches are with the classes
+    del first
+    release(docs.sparkSession)
     linked = cut(components(links(docs, classes, words, s)).join(sets.select("node", "digest", "doc_id"), "node"))
     least = (linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
              .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))))
@@ -464,11 +532,10 @@ def _judged(docs: DataFrame, words: int, s: float) -> DataFrame:
               .select("node", "component", "component_id"))
     named = (sets.join(linked, "node", "left")
              .select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    narrow = rows.select("doc_id", "text_hash", "n_shingles", "digest")
     # Empty sets have no class; they stay out of the join, where they would be one key.
-    empty = (narrow.where("digest is null")
+    empty = (rows.where("digest is null")
              .select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("group"), F.lit(None).cast("long").alias("component_id")))
-    with_class = (narrow.where("digest is not null").join(named, "digest", "left")
+    with_class = (rows.where("digest is not null").join(named, "digest", "left")
                   .select("doc_id", "text_hash", "n_shingles", "group", "component_id"))
     return with_class.unionByName(empty).withColumn("component_id", F.coalesce("component_id", "doc_id"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from collections.abc import Iterable
@@ -32,6 +34,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Seconds after which Python has told the JVM what it no longer refers to
+# (py4j looks once a second).
+TOLD_S = 1.05
+
+
+def release(spark: SparkSession) -> None:
+    """What nothing refers to any more, shuffles and checkpoints, leaves the disk
+    now. Spark's cleaner follows the driver's garbage collection, which in a chain
+    of large steps otherwise comes too late. Listeners keep the last query until
+    the next one, so a small one goes before."""
+    gc.collect()
+    spark.range(1).collect()
+    time.sleep(TOLD_S)
+    spark.sparkContext._jvm.System.gc()
+
+
 def compact(df: DataFrame, rows_per_part: int = 200_000) -> DataFrame:
     """``cut``, then as few partitions as its rows need: tables that a filter has
     made small do not go on in as many tasks as there are shuffle partitions."""

@@ -1,13 +1,17 @@
 """Operator 9 against exact all-pairs similarity on small tables."""
 
+import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from creditspark.llm import neardup as nd
 from creditspark.llm.catalogue import ORACLE_SQL
+from creditspark.llm.shared import cut, release
+from creditspark.session import ensure_checkpoint_dir
 from tests.oracle_check import compare
 
 SCHEMA = "doc_id long, text string, node long, component string"
@@ -83,6 +87,57 @@ def test_long_lists(spark, monkeypatch):
     assert got(spark, rows, 2) == brute(rows, 2)
 
 
+def no_stars(monkeypatch):
+    """Everything is left to the prefix filter."""
+    monkeypatch.setattr(nd, "_stars", lambda lists, s: lists.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+
+
+def test_often_held_shingles_and_many_wanted(spark, monkeypatch):
+    """Parities along with the rows, pairs that meet again, texts picked out by the bitmap."""
+    for name, value in (("LONG_LIST", 6), ("RARE_SHINGLE", 1), ("EARLIER", 2), ("MOST_BROADCAST", 0), ("WANTED_BITS", 1 << 15)):
+        monkeypatch.setattr(nd, name, value)
+    no_stars(monkeypatch)
+    rows = corpus(11, 30, 60, 60, 5, 40)
+    assert got(spark, rows, 2) == brute(rows, 2)
+
+
+def test_prefixes_do_not_go_along_with_each_shingle(spark, monkeypatch):
+    """What is kept on the way follows the texts, not the square of their prefixes."""
+    monkeypatch.setattr(nd, "LONG_LIST", 1)
+    no_stars(monkeypatch)
+    rng, rows = random.Random(5), []
+    for g in range(20):
+        base = [f"w{rng.randrange(100_000)}" for _ in range(2000)]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(base), None, ""))
+            base = base[:]
+            for at in rng.sample(range(2000), rng.choice([70, 140])):
+                base[at] = f"v{rng.randrange(100_000)}"
+
+    def kept():
+        top = ensure_checkpoint_dir(spark).removeprefix("file:")
+        return sum(os.path.getsize(f"{d}/{x}") for d, _, names in os.walk(top) for x in names)
+
+    before, result = kept(), got(spark, rows, 2)
+    assert kept() - before < 10 * sum(len(t) for _, t, *_ in rows)
+    assert result == brute(rows, 2) and 0 < sum(1 for r in result if not r[3]) < 20
+
+
+def test_release(spark):
+    """Shuffles that only finished steps read go at once."""
+    tracked = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    release(spark)
+    time.sleep(1)
+    before = tracked().size()
+    rows = cut(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert tracked().size() > before
+    release(spark)
+    deadline = time.time() + 10
+    while tracked().size() > before and time.time() < deadline:
+        time.sleep(0.1)
+    assert tracked().size() <= before and rows.count() == 7
+
+
 def test_edge_rows(spark):
     rows = [(4, "A b", None, None), (2, "a\tB ", None, ""), (9, None, None, ""), (8, "", None, ""), (7, " \n", None, ""),
             (6, "one", None, ""), (5, "ONE", None, ""), (3, "É b", None, ""), (1, "é b", None, ""), (4, "a b", None, ""),
